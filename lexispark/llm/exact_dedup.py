@@ -73,7 +73,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.maximum.reduceat(t.column("best").to_numpy(), at)
         n = np.add.reduceat(t.column("n").to_numpy(), at)
         first = t.take(pa.array(at))
-        out = first.set_column(5, "best", pa.array(best, pa.int64())).set_column(6, "n", pa.array(n, pa.int64()))
+        out = pa.Table.from_arrays([*first.columns[:5], pa.chunked_array([best], pa.int64()), pa.chunked_array([n], pa.int64())], schema=schema)
         carry = out.slice(out.num_rows - 1)
         if out.num_rows > 1:
             yield from out.slice(0, out.num_rows - 1).combine_chunks().to_batches()

@@ -21,8 +21,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.minhash import near_dedup
+
+    return near_dedup(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op7_exact_dedup)}
+    return {f.__name__: f for f in (op4_bpe, op7_exact_dedup, op9_minhash)}
 
 
 ORACLE = {
