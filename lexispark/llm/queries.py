@@ -15,6 +15,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(load(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.toxicity import score, train
+
+    docs = load(spark, sf_dir, "documents")
+    return score(docs, train(docs, load(spark, sf_dir, "labels")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.mixing import mix_sources
+
+    return mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.exact_dedup import exact_dedup
 
@@ -27,8 +40,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(load(spark, sf_dir, "documents"))
 
 
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.lm import lm_scores
+
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op7_exact_dedup, op9_minhash)}
+    return {f.__name__: f for f in (op2_toxicity, op4_bpe, op6_mixing, op7_exact_dedup, op9_minhash, op10_brown_lm)}
 
 
 ORACLE = {
