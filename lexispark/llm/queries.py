@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from lexispark.llm.common import load
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.rollups import maintained
+
+    return maintained(load(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.bpe import encode_decode
 
     return encode_decode(load(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.sharding import balanced_shards
+
+    return balanced_shards(load(spark, sf_dir, "documents"), shards=40)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.toxicity import score, train
 
@@ -22,6 +34,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, load(spark, sf_dir, "labels")))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.topk import exact_topk
+
+    return exact_topk(load(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.mixing import mix_sources
 
@@ -34,6 +52,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.licenses import license_scan
+
+    return license_scan(load(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispark.llm.minhash import near_dedup
 
@@ -47,10 +71,28 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_bpe, op6_mixing, op7_exact_dedup, op9_minhash, op10_brown_lm)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_bpe, op5_topk, op6_mixing, op7_exact_dedup, op8_licenses, op9_minhash, op10_brown_lm)}
 
 
 ORACLE = {
+    "op3_token_counts": """
+        WITH t AS (
+            SELECT doc_id, source, lang, text,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS blank,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS BIGINT) AS runs,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+            FROM documents)
+        SELECT source, lang, 'blank-1' AS tokenizer, count(*) AS n_docs, CAST(sum(blank + 1) AS BIGINT) AS n_tokens FROM t WHERE doc_id = first GROUP BY ALL
+        UNION ALL
+        SELECT source, lang, 'runs-1', count(*), CAST(sum(runs) AS BIGINT) FROM t WHERE doc_id = first GROUP BY ALL
+    """,
+    "op5_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
