@@ -37,7 +37,9 @@ REGISTERS, ROWS = 96, 3
 BANDS = REGISTERS // ROWS
 #: 5.6 standard errors of the estimate below the threshold: a true link is screened out once in 10^8
 SCREEN = 0.75 - 5.6 * (0.75 * 0.25 / REGISTERS) ** 0.5
-SMALL_BUCKET, BLOCK, FAN = 32, 128, 256
+SMALL_BUCKET, BLOCK, FAN = 32, 512, 256
+#: shingles of a block
+BLOCK_SHINGLES = 1_000_000
 _WORD_CACHE = 300_000
 _rng = np.random.default_rng(20_24)
 _MUL = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -284,9 +286,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = small.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_screened, "member long, center long").distinct()
     more = _verify(written(pairs, "pairs"), texts)
 
-    large = left.where(F.col("size") > SMALL_BUCKET)
-    home = large.groupBy("doc_id", "component").agg(F.max_by("key", F.struct("size", "key")).alias("home"))
-    room = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    large = left.where(F.col("size") > SMALL_BUCKET).join(texts.select("doc_id", "n"), "doc_id")
+    home = large.groupBy("doc_id", "component").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("n").alias("n"))
+    room = home.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     block = home.join(room, "home").select("doc_id", "component", F.xxhash64("home", F.pmod(hash63("doc_id"), "parts")).alias("block"))
     block = written(block, "blocks")
     meet = large.select("key", "doc_id").join(block, "doc_id").groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
