@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLE: dict[str, str] = {}
+from lexispark.plans import corpus, experiments, records, selection, structure  # noqa: F401  they register themselves
+from lexispark.registry import ORACLE, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return dict(ORACLE)
