@@ -1 +1,211 @@
+"""Queries of experiments: interventions, recovery costs and runs, and the statistics of repeated runs."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.functions.text import stable_score
+from lexispark.operators import interventions as iv
+from lexispark.operators import matching, recovery
+from lexispark.operators import statistics as stt
+from lexispark.operators import structure as sx
+from lexispark.plans import oracle
+from lexispark.plans.structure import parts
+from lexispark.registry import query, table
+
+K = 40
+_EN = f"{oracle.keywords(K)}, e AS (SELECT doc_id AS doc, rank AS kw FROM inc WHERE lang = 'en'), d AS (SELECT doc_id AS doc FROM documents WHERE lang = 'en')"
+
+
+def _english(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, _, i = parts(spark, sf_dir, K)
+    return docs.where("lang = 'en'").select(F.col("doc_id").alias("doc")), i.where("lang = 'en'").select(F.col("doc_id").alias("doc"), F.col("rank").alias("kw"))
+
+
+def _counts(inc: DataFrame) -> DataFrame:
+    """Frequency and a digest of the documents of each keyword."""
+    return inc.groupBy("kw").agg(F.count(F.lit(1)).alias("df"), F.sum("doc").cast("long").alias("doc_sum"))
+
+
+def _pairs(spark: SparkSession, count: int) -> DataFrame:
+    return spark.range(count).select((F.col("id") * 2).alias("donor"), (F.col("id") * 2 + 1).alias("recipient"))
+
+
+_SUM = "SELECT kw, count(*) AS df, CAST(sum(doc) AS BIGINT) AS doc_sum FROM r GROUP BY kw"
+
+
+@query(f"WITH {_EN}, r AS (SELECT doc, kw FROM e WHERE NOT (kw % 2 = 1 AND kw < 10) UNION ALL SELECT doc, kw + 1 FROM e WHERE kw % 2 = 0 AND kw < 10) {_SUM}")
+def forced_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(iv.collide(_english(spark, sf_dir)[1], _pairs(spark, 5)))
+
+
+@query(f"""WITH {_EN}, q AS (SELECT doc, kw, row_number() OVER (PARTITION BY kw ORDER BY sha256('3' || chr(10) || kw || chr(10) || doc), doc) AS k, count(*) OVER (PARTITION BY kw) AS n FROM e),
+       r AS (SELECT doc, kw FROM q WHERE k <= least(n, greatest(5, round_even(n * 0.25, 0)))) {_SUM}""")
+def sparsity_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(iv.thin(_english(spark, sf_dir)[1], 0.25, 5, 3))
+
+
+@query(f"""WITH {_EN}, f AS (SELECT kw, count(*) AS df FROM e GROUP BY kw), p AS (SELECT a.kw AS x, b.kw AS y, a.df AS a, b.df AS b, least(round_even(0.5 * (a.df + b.df) / 1.5, 0), a.df, b.df) AS k FROM f a JOIN f b ON b.kw = a.kw + 1 AND a.kw % 2 = 0 AND a.kw < 10),
+       g AS (SELECT p.*, d.doc, EXISTS (SELECT 1 FROM e WHERE e.doc = d.doc AND e.kw = p.x) AS own, sha256('4:similar' || chr(10) || x || chr(10) || y || chr(10) || d.doc) AS s FROM p, d),
+       h AS (SELECT *, row_number() OVER (PARTITION BY x, y, own ORDER BY s, doc) AS n FROM g), r AS (SELECT doc, kw FROM e WHERE NOT (kw % 2 = 1 AND kw < 10) UNION ALL SELECT doc, y FROM h WHERE (own AND n <= k) OR (NOT own AND n <= b - k)) {_SUM}""")
+def access_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, i = _english(spark, sf_dir)
+    return _counts(iv.similar_access(i, docs, _pairs(spark, 5), 0.5, 4))
+
+
+@query(f"""WITH {_EN}, f AS (SELECT kw, count(*) AS df FROM e GROUP BY kw), p AS (SELECT a.kw AS x, b.kw AS y, (a.df + b.df) // 2 AS f FROM f a JOIN f b ON b.kw = a.kw + 1 AND a.kw % 2 = 0 AND a.kw BETWEEN 20 AND 29),
+       h AS (SELECT x, y, f, doc, row_number() OVER (PARTITION BY x, y ORDER BY sha256('5:equal' || chr(10) || x || chr(10) || y || chr(10) || doc), doc) AS n FROM p, d),
+       r AS (SELECT doc, kw FROM e WHERE NOT kw BETWEEN 20 AND 29 UNION ALL SELECT doc, CASE WHEN n <= f THEN x ELSE y END FROM h WHERE n <= 2 * f) {_SUM}""")
+def frequency_equalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, i = _english(spark, sf_dir)
+    p = spark.range(10, 15).select((F.col("id") * 2).alias("donor"), (F.col("id") * 2 + 1).alias("recipient"))
+    return _counts(iv.equalise(i, docs, p, 5))
+
+
+@query(f"""WITH {_EN}, q AS (SELECT doc, kw, row_number() OVER (PARTITION BY kw ORDER BY sha256('3' || chr(10) || kw || chr(10) || doc), doc) AS k, count(*) OVER (PARTITION BY kw) AS n FROM e),
+       m AS (SELECT kw, count(*) AS x, CAST(sum(CAST(k <= least(n, greatest(5, round_even(n * 0.25, 0))) AS INT)) AS BIGINT) AS y FROM q GROUP BY kw) SELECT a.kw AS i, b.kw AS j FROM m a JOIN m b ON a.x > b.x AND a.y < b.y""")
+def order_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _english(spark, sf_dir)[1]
+    f = lambda x: x.groupBy("kw").agg(F.count(F.lit(1)).alias("df"))
+    return iv.order_inversions(f(i), f(iv.thin(i, 0.25, 5, 3)))
+
+
+@query(f"""WITH {_EN}, o AS (SELECT kw, row_number() OVER (ORDER BY sha256('8' || chr(10) || kw), kw) AS r FROM (SELECT DISTINCT kw FROM e)), z AS (SELECT unnest([10, 20, 40]) AS k)
+       SELECT CAST(k AS BIGINT) AS k, count(*) AS incidences, count(DISTINCT e.kw) AS keywords, count(DISTINCT doc) AS docs FROM z JOIN o ON r <= k JOIN e USING (kw) GROUP BY k""")
+def keyword_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _english(spark, sf_dir)[1]
+    from pyspark.sql import Window
+
+    o = i.select("kw").distinct().withColumn("r", F.row_number().over(Window.orderBy(stable_score(8, F.col("kw")), "kw")))
+    sizes = o.select("kw", F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in (10, 20, 40)]), lambda k: F.col("r") <= k)).alias("k"))
+    return i.join(sizes, "kw").groupBy("k").agg(F.count(F.lit(1)).alias("incidences"), F.countDistinct("kw").alias("keywords"), F.countDistinct("doc").alias("docs"))
+
+
+@query(f"""WITH {_EN}, f AS (SELECT kw, sum(CAST(doc % 3 = 0 AS INT)) AS a, sum(CAST(doc % 3 <> 0 AS INT)) AS c FROM e GROUP BY kw), n AS (SELECT sum(CAST(doc % 3 = 0 AS INT)) AS na, sum(CAST(doc % 3 <> 0 AS INT)) AS nc FROM d)
+       SELECT kw, CAST(a AS BIGINT) AS auxiliary_df, CAST(c AS BIGINT) AS client_df, CASE WHEN a = 0 OR a = na OR c = 0 OR c = nc THEN 'unsupported' ELSE 'supported' END AS support FROM f, n""")
+def volume_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each keyword is in some but not all documents on both sides."""
+    docs, i = _english(spark, sf_dir)
+    a = (F.col("doc") % 3 == 0).cast("long")
+    n = docs.agg(F.sum(a).alias("na"), F.sum(1 - a).alias("nc"))
+    f = i.groupBy("kw").agg(F.sum(a).alias("auxiliary_df"), F.sum(1 - a).alias("client_df")).crossJoin(F.broadcast(n))  # n is one row
+    bad = (F.col("auxiliary_df") == 0) | (F.col("auxiliary_df") == F.col("na")) | (F.col("client_df") == 0) | (F.col("client_df") == F.col("nc"))
+    return f.select("kw", "auxiliary_df", "client_df", F.when(bad, "unsupported").otherwise("supported").alias("support"))
+
+
+@query(f"""WITH {_EN}, f AS (SELECT kw, sum(CAST(doc % 3 = 0 AS INT)) AS a, sum(CAST(doc % 3 <> 0 AS INT)) AS c FROM e GROUP BY kw), n AS (SELECT sum(CAST(doc % 3 = 0 AS INT)) AS na, sum(CAST(doc % 3 <> 0 AS INT)) AS nc FROM d)
+       SELECT t.kw AS token, k.kw AS keyword, round(-t.c * ln(k.a / na) - (nc - t.c) * ln(1 - k.a / na), 4) AS cost FROM f t, f k, n WHERE k.a > 0 AND k.a < na""")
+def initial_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, i = _english(spark, sf_dir)
+    a = (F.col("doc") % 3 == 0).cast("long")
+    n = docs.agg(F.sum(a).alias("na"), F.sum(1 - a).alias("nc"))
+    f = i.groupBy("kw").agg(F.sum(a).alias("a"), F.sum(1 - a).alias("c")).crossJoin(F.broadcast(n))  # n is one row; the grid is K x K
+    t, k = f.select(F.col("kw").alias("token"), "c", "nc"), f.select(F.col("kw").alias("keyword"), "a", "na")
+    return t.crossJoin(k).where("a > 0 and a < na").select("token", "keyword", F.round(recovery.initial_cost(F.col("c"), F.col("nc"), F.col("a") / F.col("na")), 4).alias("cost"))
+
+
+@query()
+def recovery_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, i = _english(spark, sf_dir)
+    a = (F.col("doc") % 3 == 0).cast("long")
+    sets = i.groupBy("doc").agg(F.sort_array(F.collect_list("kw")).alias("r"))
+    both = sets.select("doc", F.posexplode("r").alias("p", "i"), "r").select("doc", "i", F.explode(F.slice("r", F.col("p") + 1, F.size("r"))).alias("j"))
+    n = docs.agg(F.sum(a).alias("n_aux"), F.sum(1 - a).alias("n_client"))
+    pairs = both.groupBy("i", "j").agg(F.sum(a).alias("aux"), F.sum(1 - a).alias("client")).crossJoin(F.broadcast(n)).withColumn("dataset", F.lit("en"))  # n is one row
+    tasks = spark.createDataFrame([("en", d, s) for d in ("each", "uniform_iid", "zipf_iid") for s in range(4)], "dataset string, distribution string, seed long")
+    return recovery.recovery_runs(pairs, tasks, K, 60, 0.25, [0, 10, 60])
+
+
+_RUNS = "runs AS (SELECT event_type AS condition, user_id % 12 AS seed, avg(value) AS score FROM events GROUP BY ALL)"
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs: condition, seed, score."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 12).alias("seed")).agg(F.avg("value").alias("score"))
+
+
+_T = ", ".join(f"({i}, {stt.t_critical(i)!r})" for i in range(1, 31))
+
+
+@query(f"""WITH {_RUNS}, t(df, t) AS (VALUES {_T}), s AS (SELECT condition, count(*) AS n, avg(score) AS mean, stddev_samp(score) AS sd, min(score) AS lo, max(score) AS hi FROM runs GROUP BY condition)
+       SELECT condition, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - t * sd / sqrt(n), 6) AS low, round(mean + t * sd / sqrt(n), 6) AS high, round(lo, 6) AS "min", round(hi, 6) AS "max" FROM s LEFT JOIN t ON df = n - 1""")
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stt.summary(runs(spark, sf_dir), ["condition"], "score")
+    return s.select("condition", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "low", "high", "min", "max")])
+
+
+_DIFF = f"{_RUNS}, base AS (SELECT min(condition) AS b FROM runs), d AS (SELECT x.condition, x.seed, x.score - y.score AS difference FROM runs x JOIN runs y USING (seed) JOIN base ON y.condition = b AND x.condition <> b)"
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    return stt.paired(r, [], "seed", "condition", r.agg(F.min("condition")).first()[0], "score")
+
+
+@query(f"WITH {_DIFF} SELECT condition, seed, round(difference, 6) AS difference FROM d")
+def paired_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paired(spark, sf_dir).select("condition", "seed", F.round("difference", 6).alias("difference"))
+
+
+_FLIP = f"""{_DIFF}, k AS (SELECT condition, difference AS x, row_number() OVER (PARTITION BY condition ORDER BY seed) - 1 AS k, count(*) OVER (PARTITION BY condition) AS n FROM d),
+    m AS (SELECT condition, m, n, sum(CASE WHEN (m >> CAST(k AS INT)) & 1 = 1 THEN x ELSE -x END) / n AS mean FROM k, range(4096) r(m) WHERE m < (1 << CAST(n AS INT)) GROUP BY condition, m, n), o AS (SELECT condition, avg(difference) AS mean FROM d GROUP BY condition),
+    p AS (SELECT condition, n, o.mean, avg(CAST(abs(m.mean) >= abs(o.mean) - 1e-12 AS DOUBLE)) AS p FROM m JOIN o USING (condition) GROUP BY condition, n, o.mean)"""
+
+
+@query(f"""WITH {_FLIP}, r AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS k, count(*) OVER () AS m FROM p)
+       SELECT condition, n, round(mean, 6) AS mean, round(p, 9) AS p, round(max(least(1.0, p * (m - k + 1))) OVER (ORDER BY k), 9) AS adjusted FROM r""")
+def sign_flip_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = stt.sign_flip(_paired(spark, sf_dir), ["condition"], "seed", "difference").withColumn("family", F.lit("all"))
+    return stt.holm(p, ["family"], "p", ["condition"]).select("condition", "n", F.round("mean", 6).alias("mean"), F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
+
+
+@query("""WITH f AS (SELECT event_type AS condition, user_id, avg(value) AS x, count(*) AS y FROM events GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY x) + (count(*) OVER (PARTITION BY condition, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY condition ORDER BY y) + (count(*) OVER (PARTITION BY condition, y) - 1) / 2 AS ry FROM f)
+       SELECT condition, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY condition""")
+def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("condition"), "user_id").agg(F.avg("value").alias("x"), F.count(F.lit(1)).cast("double").alias("y"))
+    return stt.correlations(f, ["condition"], "x", "y").select("condition", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@query(f"""WITH {_RUNS}, c AS (SELECT DISTINCT condition FROM runs), s AS (SELECT unnest(range(14)) AS seed)
+       SELECT c.condition, CAST(s.seed AS BIGINT) AS seed FROM c CROSS JOIN s ANTI JOIN runs r ON r.condition = c.condition AND r.seed = s.seed""")
+def remaining_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    tasks = r.select("condition").distinct().withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long"))))
+    return recovery.remaining(tasks, r, ["condition", "seed"])
+
+
+@query("""WITH q AS (SELECT user_id % 12 AS seed, user_id % 7 AS q, value > 50 AS hit FROM events), k AS (SELECT seed, q, avg(CAST(hit AS DOUBLE)) AS a, count(*) AS n FROM q GROUP BY ALL)
+       SELECT seed, round(sum(a * n) / sum(n), 6) AS query_weighted_recovery, round(avg(a), 6) AS distinct_keyword_macro_recovery, count(*) AS observed_keywords FROM k GROUP BY seed""")
+def recovery_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("seed"), (F.col("user_id") % 7).alias("q"), (F.col("value") > 50).cast("double").alias("hit"))
+    k = q.groupBy("seed", "q").agg(F.avg("hit").alias("a"), F.count(F.lit(1)).alias("n"))
+    return k.groupBy("seed").agg(F.round(F.sum(F.col("a") * F.col("n")) / F.sum("n"), 6).alias("query_weighted_recovery"), F.round(F.avg("a"), 6).alias("distinct_keyword_macro_recovery"), F.count(F.lit(1)).alias("observed_keywords"))
+
+
+@query(f"""WITH {_RUNS}, r2 AS (SELECT event_type AS condition, user_id % 12 AS seed, sum(value) / count(value) AS score FROM events GROUP BY ALL)
+       SELECT condition, count(*) AS n, max(abs(runs.score - r2.score)) <= 1e-9 AS equal FROM runs JOIN r2 USING (condition, seed) GROUP BY condition""")
+def replay_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 12).alias("seed")).agg((F.sum("value") / F.count("value")).alias("again"))
+    return runs(spark, sf_dir).join(two, ["condition", "seed"]).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("score") - F.col("again"))) <= 1e-9).alias("equal"))
+
+
+@query(f"""WITH {_RUNS} SELECT condition, array_to_string(list_sort(list(seed)), ',') AS seeds, count(*) = 12 AS complete FROM runs GROUP BY condition""")
+def seed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs(spark, sf_dir).groupBy("condition").agg(F.array_join(F.sort_array(F.collect_list("seed")), ",").alias("seeds"), (F.count(F.lit(1)) == 12).alias("complete"))
+
+
+@query()
+def disjoint_keyword_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword pairs with unequal frequencies of similar size, no keyword twice, closest first."""
+    kw = parts(spark, sf_dir, K)[1].where("lang = 'en'").select("rank", "df")
+    a, b = kw.select(F.col("rank").alias("left"), F.col("df").alias("x")), kw.select(F.col("rank").alias("right"), F.col("df").alias("y"))
+    e = a.crossJoin(b).where("left < right and x <> y and least(x, y) / greatest(x, y) >= 0.5")  # K x K
+    return matching.disjoint_pairs(e, [F.bround(F.abs(F.ln(F.col("x") / F.col("y"))), 6), F.col("left"), F.col("right")], 10).select("left", "right", F.col("o0").alias("score"))
+
+
+@query(f"WITH {_EN}, j AS (SELECT a.kw AS i, b.kw AS j, count(*) AS n FROM e a JOIN e b ON a.doc = b.doc AND b.kw = a.kw + 1 AND a.kw % 2 = 0 GROUP BY ALL), f AS (SELECT kw, count(*) AS df FROM e GROUP BY kw) SELECT i, j, round(n / (x.df + y.df - n), 6) AS jaccard FROM j JOIN f x ON x.kw = i JOIN f y ON y.kw = j")
+def pair_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, kw, i = parts(spark, sf_dir, K)
+    jac = sx.access_jaccard(kw.where("lang = 'en'"), sx.cooccurrence(i.where("lang = 'en'")))
+    return jac.where("j = i + 1 and i % 2 = 0 and jaccard > 0").select("i", "j", F.round("jaccard", 6).alias("jaccard"))

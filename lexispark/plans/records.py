@@ -1 +1,130 @@
+"""Queries over records: normal forms, hashes, validation, gates, pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.functions import text as tx
+from lexispark.functions import web
+from lexispark.operators import policy
+from lexispark.registry import query, table
+
+_SPLIT = "CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body"
+_URL = "'https://' || source || '.example.org/doc/' || doc_id"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: the first line is the title."""
+    d = table(spark, sf_dir, "documents")
+    at = F.locate("\n", F.col("text"))
+    return d.select("doc_id", "source", "lang", F.when(at > 0, F.substring_index("text", "\n", 1)).otherwise(F.col("text")).alias("title"), F.when(at > 0, F.substring("text", at + 1, 2**31 - 1)).otherwise(F.lit("")).alias("body"), F.concat(F.lit("https://"), "source", F.lit(".example.org/doc/"), "doc_id").alias("url"))
+
+
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n[ \\t\\n\\f\\x0B]*\\n'),
+       lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[\\t \\f\\x0B]+', ' ', 'g'), ' *\\n *', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)
+       SELECT doc_id, CAST(len(p) AS BIGINT) AS paragraphs, sha256(array_to_string(p, chr(10) || chr(10))) AS text_sha256 FROM p""")
+def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.normalise_text(F.col("text")).alias("t"))
+    return d.select("doc_id", F.when(F.col("t") == "", F.lit(0)).otherwise(F.size(F.split("t", "\n\n", -1))).cast("long").alias("paragraphs"), F.sha2("t", 256).alias("text_sha256"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, source, {_SPLIT}, {_URL} AS url FROM documents)
+       SELECT doc_id, sha256(source || chr(10) || url) AS record_id, sha256(body) AS content_sha256, sha256(replace(lower(title), 'ß', 'ss') || chr(10) || replace(lower(body), 'ß', 'ss')) AS normalised_text_sha256,
+       CAST(len(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}_]+')) AS BIGINT) AS words FROM r""")
+def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir)
+    return r.select("doc_id", tx.record_id(F.col("source"), F.col("url")).alias("record_id"), F.sha2("body", 256).alias("content_sha256"), tx.text_sha256(F.col("title"), F.col("body")).alias("normalised_text_sha256"), tx.word_count(F.col("body")).alias("words"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, source, lang, {_SPLIT}, {_URL} || CASE WHEN doc_id % 7 = 0 THEN '#part' ELSE '' END AS url FROM documents)
+       SELECT doc_id, concat_ws(',', CASE WHEN NOT lang IN ('en', 'fr', 'de', 'es') THEN 'language' END, CASE WHEN NOT length(trim(title)) > 0 THEN 'title' END, CASE WHEN NOT length(trim(body)) > 0 THEN 'body' END,
+       CASE WHEN url LIKE '%#%' THEN 'canonical_url' END) AS errors FROM r""")
+def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir).withColumnRenamed("lang", "language").withColumn("canonical_url", F.concat("url", F.when(F.col("doc_id") % 7 == 0, "#part").otherwise(""))).withColumn("record_id", tx.record_id(F.col("source"), F.col("url"))).withColumn("content_sha256", F.sha2("body", 256))
+    return r.select("doc_id", F.array_join(policy.record_errors(), ",").alias("errors"))
+
+
+_SOURCES = """SELECT source AS source_id, CASE WHEN CAST(substr(source, 4) AS INT) % 5 = 4 THEN 'disabled' ELSE 'enabled' END AS status, CASE WHEN CAST(substr(source, 4) AS INT) % 4 = 3 THEN 'pending' ELSE 'granted' END AS permission,
+    CASE WHEN CAST(substr(source, 4) AS INT) % 7 = 6 THEN 'none' ELSE 'full_text' END AS storage, CASE WHEN CAST(substr(source, 4) AS INT) % 3 = 0 THEN array('en', 'fr') ELSE array('en', 'de', 'es') END AS languages,
+    array(source || '.example.org') AS allowed_hosts, CASE WHEN CAST(substr(source, 4) AS INT) % 9 <> 8 THEN 'html' END AS parser FROM (SELECT DISTINCT source FROM documents)"""
+
+
+@query(f"""WITH s AS ({_SOURCES.replace('array(', 'list_value(')}), r AS (SELECT lang, source, CASE WHEN doc_id % 11 = 0 THEN 'other.org' ELSE source || '.example.org' END AS host FROM documents),
+       g AS (SELECT CASE WHEN status <> 'enabled' THEN 'source_not_enabled' WHEN permission NOT IN ('granted', 'not_required') THEN 'permission_missing' WHEN storage = 'none' THEN 'storage_forbidden' WHEN NOT list_contains(languages, lang) THEN 'language_not_listed'
+       WHEN NOT list_contains(allowed_hosts, host) THEN 'host_not_allowed' WHEN parser IS NULL THEN 'parser_missing' ELSE 'accepted' END AS reason, source FROM r JOIN s ON source_id = source) SELECT source, reason, count(*) AS n FROM g GROUP BY ALL""")
+def acquisition_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sources = docs.select("source").distinct().selectExpr(*[x.strip() for x in _source_columns()])
+    r = docs.select("lang", F.col("source").alias("source_id"), F.concat(F.lit("https://"), F.when(F.col("doc_id") % 11 == 0, F.lit("other.org")).otherwise(F.concat("source", F.lit(".example.org"))), F.lit("/x")).alias("url"))
+    g = r.join(sources, "source_id", "left").select(F.col("source_id").alias("source"), F.coalesce(policy.gate("url", "lang"), F.lit("accepted")).alias("reason"))
+    return g.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _source_columns() -> list[str]:
+    k = "cast(substr(source, 4) as int)"
+    return ["source as source_id", f"case when {k} % 5 = 4 then 'disabled' else 'enabled' end as status", f"case when {k} % 4 = 3 then 'pending' else 'granted' end as permission", f"case when {k} % 7 = 6 then 'none' else 'full_text' end as storage", f"case when {k} % 3 = 0 then array('en', 'fr') else array('en', 'de', 'es') end as languages", "array(source || '.example.org') as allowed_hosts", f"case when {k} % 9 <> 8 then 'html' end as parser"]
+
+
+@query("""WITH k AS (SELECT *, CAST(substr(source, 4) AS INT) AS k FROM (SELECT DISTINCT source FROM documents))
+       SELECT source AS source_id, concat_ws(',', CASE WHEN k % 6 = 5 THEN 'status' END, CASE WHEN k % 5 = 4 THEN 'base_host' END, CASE WHEN k % 4 <> 3 AND k % 3 = 0 THEN 'evidence' END) AS errors FROM k""")
+def source_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = "cast(substr(source, 4) as int)"
+    s = table(spark, sf_dir, "documents").select("source").distinct().selectExpr(
+        "source as source_id", f"case when {k} % 6 = 5 then 'paused' else 'enabled' end as status", f"case when {k} % 4 = 3 then 'pending' else 'granted' end as permission", "'full_text' as storage", "array(source || '.example.org') as allowed_hosts",
+        f"'https://' || source || case when {k} % 5 = 4 then '.other.org' else '.example.org' end || '/' as base_url", f"case when {k} % 3 <> 0 then 'letter' end as evidence")
+    return s.select("source_id", F.array_join(policy.source_errors(), ",").alias("errors"))
+
+
+@query("SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.repeated_keys(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("key")), "key")
+
+
+@query("""SELECT lang, count(*) AS docs, CAST(sum(CAST(contains(text, chr(65533)) AS INT)) AS BIGINT) AS replacement, CAST(sum(CAST(regexp_matches(text, '[\\x00-\\x08\\x0E-\\x1F\\x7F]') AS INT)) AS BIGINT) AS control,
+       CAST(sum(CAST(contains(text, '%') AS INT)) AS BIGINT) AS percent_signs, CAST(min(length(text)) AS BIGINT) AS shortest, round(quantile_cont(length(text), 0.25), 6) AS q25, round(quantile_cont(length(text), 0.5), 6) AS q50, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text), 0.95), 6) AS q95, CAST(max(length(text)) AS BIGINT) AS longest
+       FROM documents GROUP BY lang""")
+def character_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, n = table(spark, sf_dir, "documents"), F.length("text")
+    one = lambda c, name: F.sum(c.cast("long")).alias(name)
+    q = lambda p, name: F.round(F.percentile(n, F.lit(p)), 6).alias(name)
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), one(F.contains("text", F.lit("�")), "replacement"), one(F.col("text").rlike("[\\x00-\\x08\\x0E-\\x1F\\x7F]"), "control"), one(F.contains("text", F.lit("%")), "percent_signs"), F.min(n).cast("long").alias("shortest"), q(0.25, "q25"), q(0.5, "q50"), F.round(F.avg(n), 6).alias("mean"), q(0.95, "q95"), F.max(n).cast("long").alias("longest"))
+
+
+@query()
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("raw_sha256"), web.articles("html").alias("a"))
+    return p.select("page_id", "raw_sha256", "a.title", F.sha2(F.coalesce("a.body", F.lit("")), 256).alias("body_sha256"), "a.author", "a.published_at", "a.section", "a.error")
+
+
+@query()
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", web.normalised_urls("url").alias("canonical_url"))
+
+
+@query()
+def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.explode(web.page_links("html", "url")).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, count(*) AS pages, min(page_id) AS first_page FROM pages GROUP BY ALL")
+def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("host"))
+    return p.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+
+
+@query("""WITH d AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), b AS (SELECT 'no_english' AS code, source AS path, 'source has few English documents' AS message FROM d GROUP BY source HAVING sum(CASE WHEN lang = 'en' THEN n ELSE 0 END) < 0.6 * sum(n)
+       UNION ALL SELECT 'few_documents', source, 'language has few documents' FROM d WHERE n < 5) SELECT DISTINCT code, path, message FROM b""")
+def readiness_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    en = d.groupBy("source").agg(F.sum(F.when(F.col("lang") == "en", F.col("n")).otherwise(0)).alias("e"), F.sum("n").alias("n")).where("e < 0.6 * n").select(F.lit("no_english").alias("code"), F.col("source").alias("path"), F.lit("source has few English documents").alias("message"))
+    return policy.blockers(en, d.where("n < 5").select(F.lit("few_documents").alias("code"), F.col("source").alias("path"), F.lit("language has few documents").alias("message")))
+
+
+@query("WITH a AS (SELECT source, count(*) AS n, sum(n_chars) AS c FROM documents GROUP BY source) SELECT source, n, CAST(c AS BIGINT) AS c, 'left' AS side FROM a WHERE n < 0 UNION ALL SELECT source, n, CAST(c + 1 AS BIGINT), 'right' FROM a WHERE n < 0")
+def rebuild_and_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result and its rebuilding in another way differ in no row."""
+    d = table(spark, sf_dir, "documents")
+    one = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("c"))
+    two = d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("c")).groupBy("source").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return policy.differences(one, two)

@@ -1 +1,141 @@
+"""Queries of selection: duplicates, screens, range joins, matching, splits, blocks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexispark.functions import text as tx
+from lexispark.operators import dedup, matching
+from lexispark.plans.records import records
+from lexispark.registry import query, table
+
+_DAY = "epoch(o_orderdate) / 86400.0"
+
+
+@query("SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS hash FROM documents QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1")
+def exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.casefold(F.col("text")), 256).alias("hash"))
+    return d.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "hash")
+
+
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = records(spark, sf_dir)
+    return r.select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("record_id"), "lang", tx.text_sha256(F.col("title"), F.col("body")).alias("hash"), tx.word_shingles(F.col("title"), F.col("body")).alias("s"))
+
+
+_SHINGLES = """w AS (SELECT doc_id AS pos, lang, regexp_extract_all(replace(lower(regexp_replace(text, '\\n', ' ')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM documents),
+    u AS (SELECT pos, lang, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM w WHERE len(t) >= 3), g AS (SELECT pos, lang, x || ' ' || lead(x) OVER v || ' ' || lead(x, 2) OVER v AS x FROM u WINDOW v AS (PARTITION BY pos ORDER BY i)),
+    f AS (SELECT DISTINCT pos, lang, x FROM g WHERE x IS NOT NULL UNION ALL SELECT pos, lang, array_to_string(t, ' ') FROM w WHERE len(t) IN (1, 2)), s AS (SELECT pos, count(*) AS n FROM f GROUP BY pos),
+    c AS (SELECT a.lang, a.pos AS a, b.pos AS b, count(*) AS n FROM f a JOIN f b ON a.x = b.x AND a.lang = b.lang AND a.pos < b.pos GROUP BY ALL),
+    near AS (SELECT c.lang, a, b, c.n / (p.n + q.n - c.n) AS similarity FROM c JOIN s p ON p.pos = a JOIN s q ON q.pos = b WHERE c.n / (p.n + q.n - c.n) >= 0.85)"""
+
+
+@query(f"WITH {_SHINGLES} SELECT lang, a, b, round(similarity, 6) AS similarity FROM near")
+def shingle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sets(spark, sf_dir).where(F.size("s") > 0).select("lang", "pos", "s")
+    return dedup.similar_pairs(s, 0.85).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def sequential_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicate(_sets(spark, sf_dir), 0.85)
+
+
+@query()
+def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("l"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
+    return dedup.drop_repeated_blocks(u.join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "l", "r"), "l", "r").select("pos", F.sha2("l", 256).alias("left_sha256"), F.sha2("r", 256).alias("right_sha256"))
+
+
+_UNI = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
+
+
+@query(f"""WITH a AS (SELECT item_id AS a, {_UNI} AS s FROM benchmark), b AS (SELECT doc_id AS b, {_UNI} AS s FROM documents), p AS (SELECT a, b, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS x, len(b.s) AS y FROM a, b)
+       SELECT a, b, round(n / (x + y - n), 6) AS similarity FROM p WHERE n > 0 AND n / (x + y - n) >= 0.3""")
+def cross_partition_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda t, i: table(spark, sf_dir, t).select(F.col(i).alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(tx.WORD), F.lit(0))).alias("s")).where(F.size("s") > 0)
+    return dedup.cross_screen(s("benchmark", "item_id"), s("documents", "doc_id"), 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.unix_micros("o_orderdate") / 86400e6).alias("day"), F.col("o_totalprice").alias("size"), "o_orderpriority")
+    side = lambda p: o.where(F.col("o_orderpriority").startswith(p)).drop("o_orderpriority")
+    return side("1"), side("5")
+
+
+_EDGES = f"""o AS (SELECT o_orderkey AS id, {_DAY} AS day, o_totalprice AS size, substr(o_orderpriority, 1, 1) AS p FROM orders),
+    e AS (SELECT a.id AS left, b.id AS right, abs(a.day - b.day) AS days, greatest(a.size, b.size) / least(a.size, b.size) AS ratio FROM o a JOIN o b ON a.p = '1' AND b.p = '5' AND abs(a.day - b.day) <= 1 AND greatest(a.size, b.size) / least(a.size, b.size) <= 1.05)"""
+
+
+@query(f'WITH {_EDGES.replace("AS left", "AS l").replace("AS right", "AS r")} SELECT l AS "left", r AS "right", round_even(days, 6) AS days, round_even(ratio, 6) AS ratio FROM e')
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.range_edges(*_orders(spark, sf_dir), 1.0, 1.05).drop("cost")
+
+
+@query()
+def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = matching.range_edges(*_orders(spark, sf_dir), 1.0, 1.05)
+    return matching.greedy_matching(e, [F.col("cost"), tx.stable_score(7, F.col("left"), F.col("right"))]).select("left", "right", F.col("o0").alias("cost"))
+
+
+@query()
+def optimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = matching.range_edges(*_orders(spark, sf_dir), 0.5, 1.02)
+    return matching.optimal_matching(e.select("left", "right", "cost"))
+
+
+@query("""WITH p AS (SELECT doc_id AS pair_index FROM documents WHERE lang = 'fr'), r AS (SELECT pair_index, row_number() OVER (ORDER BY sha256('5' || chr(10) || pair_index), pair_index) AS r, count(*) OVER () AS n FROM p)
+       SELECT pair_index, CASE WHEN r <= greatest(1, least(n - 1, floor(n / 3.0 + 0.5))) THEN 'auxiliary' ELSE 'client' END AS side FROM r""")
+def disjoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.rank_split(table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("pair_index")), 1 / 3, 5)
+
+
+@query("SELECT doc_id AS pair_index, unnest(['auxiliary', 'client']) AS side FROM documents WHERE lang = 'fr'")
+def shared_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.shared_split(table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("pair_index")))
+
+
+@query("SELECT doc_id, sha256('9' || chr(10) || doc_id) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM documents WHERE lang = 'en' QUALIFY rank <= 100")
+def matched_size_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.hash_sample(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), 100, 9, "doc_id")
+
+
+@query("""WITH v AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations WHERE role = 'user'), b AS (SELECT n // 10 AS block, count(*) AS k, sum(length(text)) AS chars FROM v GROUP BY 1)
+       SELECT CAST(block AS BIGINT) AS block, k AS rows, CAST(chars AS BIGINT) AS chars, CASE WHEN k < 10 THEN 'incomplete_block' END AS reason FROM b""")
+def sentence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "text")
+    return matching.fixed_blocks(v, 10, "at").groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text").cast("long")).alias("chars"), F.max("reason").alias("reason"))
+
+
+_PAIRS = "p AS (SELECT u.conv_id, u.turn, len(regexp_extract_all(u.text, '[\\p{L}\\p{N}_]+')) AS x, len(regexp_extract_all(a.text, '[\\p{L}\\p{N}_]+')) AS y FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
+
+
+@query(f"""WITH {_PAIRS}, r AS (SELECT greatest(x, y) / least(x, y) AS r FROM p WHERE least(x, y) > 0)
+       SELECT count(*) AS pairs, CAST(sum(CAST(r > 2 AS INT)) AS BIGINT) AS above2, CAST(sum(CAST(r > 4 AS INT)) AS BIGINT) AS above4, round(avg(CAST(r > 2 AS DOUBLE)), 6) AS share2, round(quantile_cont(r, 0.5), 6) AS median, round(max(r), 6) AS largest FROM r""")
+def aligned_ratio_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    n = lambda role, name, off: c.where(F.col("role") == role).select("conv_id", (F.col("turn") - off).alias("turn"), tx.word_count(F.col("text")).alias(name))
+    r = n("user", "x", 0).join(n("assistant", "y", 1), ["conv_id", "turn"]).where("least(x, y) > 0").select((F.greatest("x", "y") / F.least("x", "y")).alias("r"))
+    return r.agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("r") > 2).cast("long")).alias("above2"), F.sum((F.col("r") > 4).cast("long")).alias("above4"), F.round(F.avg((F.col("r") > 2).cast("double")), 6).alias("share2"), F.round(F.percentile("r", F.lit(0.5)), 6).alias("median"), F.round(F.max("r"), 6).alias("largest"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents)
+       SELECT CASE WHEN source IN ('src3', 'src4') THEN 'source' WHEN lang NOT IN ('en', 'fr') THEN 'language' WHEN r > 1 THEN 'duplicate' WHEN n_chars < 100 THEN 'short_body' ELSE 'eligible' END AS reason, lang, count(*) AS n FROM d GROUP BY ALL""")
+def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.sha2("text", 256).alias("h"))
+    first = d.groupBy("h").agg(F.min("doc_id").alias("first"))
+    r = F.when(F.col("source").isin("src3", "src4"), "source").when(~F.col("lang").isin("en", "fr"), "language").when(F.col("doc_id") != F.col("first"), "duplicate").when(F.col("n_chars") < 100, "short_body").otherwise("eligible")
+    return d.join(first, "h").groupBy(r.alias("reason"), "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents WHERE lang = 'fr'), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 + (SELECT count(*) FROM a) AS p FROM documents WHERE source = 'src1')
+       SELECT doc_id, row_number() OVER (ORDER BY min(p)) - 1 AS position FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""")
+def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct identifiers of two lists, in the order of their first occurrence."""
+    d = table(spark, sf_dir, "documents")
+    both = d.where("lang = 'fr'").select("doc_id", F.lit(0).alias("list")).union(d.where("source = 'src1'").select("doc_id", F.lit(1).alias("list")))
+    first = both.groupBy("doc_id").agg(F.min("list").alias("list"))
+    return first.select("doc_id", (F.row_number().over(Window.orderBy("list", "doc_id")) - 1).cast("long").alias("position"))
