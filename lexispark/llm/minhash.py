@@ -266,7 +266,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # an identifier that occurs with several texts ties their sets together
     twice = some.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where(F.col("d1") != F.col("d2")).select("doc_id")
     keyed = some.join(reps, (some["digest"] == reps["digest"]) & (some["doc_id"] == reps["rep"]), "left_semi")
-    rows = keyed.select("doc_id", F.explode("keys").alias("key")).distinct()
+    rows = keyed.select("doc_id", "n", F.explode("keys").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hot = written(rows.join(buckets, "key"), "buckets")
     wanted = hot.select("doc_id").distinct()
@@ -282,21 +282,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
     left = written(labelled.join(open_keys, "key"), "open")
     n = width(spark)
-    small = left.where(F.col("size") <= SMALL_BUCKET).join(texts.select("doc_id", "n", "regs"), "doc_id").select("key", "doc_id", "component", "n", "regs")
+    small = left.where(F.col("size") <= SMALL_BUCKET).join(texts.select("doc_id", "regs"), "doc_id").select("key", "doc_id", "component", "n", "regs")
     pairs = small.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_screened, "member long, center long").distinct()
     more = _verify(written(pairs, "pairs"), texts)
 
-    large = left.where(F.col("size") > SMALL_BUCKET).join(texts.select("doc_id", "n"), "doc_id")
-    home = large.groupBy("doc_id", "component").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("n").alias("n"))
+    # each document's home is the largest bucket it is in; all its keys (BANDS at most) stay with it
+    large = left.where(F.col("size") > SMALL_BUCKET)
+    home = large.groupBy("doc_id", "component").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("n").alias("n"), F.collect_list("key").alias("keys"))
     room = home.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    block = home.join(room, "home").select("doc_id", "component", F.xxhash64("home", F.pmod(hash63("doc_id"), "parts")).alias("block"))
+    block = home.join(room, "home").select("doc_id", "component", "keys", F.xxhash64("home", F.pmod(hash63("doc_id"), "parts")).alias("block"))
     block = written(block, "blocks")
-    meet = large.select("key", "doc_id").join(block, "doc_id").groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    meet = block.select(F.explode("keys").alias("key"), "block", "component").groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     one, two = meet.select("key", F.col("block").alias("one"), F.col("lo").alias("l1"), F.col("hi").alias("h1")), meet.select("key", F.col("block").alias("two"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
-    duo = one.join(two, "key").where((F.col("one") <= F.col("two")) & (F.least("l1", "l2") < F.greatest("h1", "h2"))).select("one", "two").distinct()
+    duo = one.join(two, "key").where((F.col("one") <= F.col("two")) & (F.least("l1", "l2") < F.greatest("h1", "h2"))).groupBy("one", "two").agg(F.collect_list("key").alias("shared"))
     duo = written(duo, "meetings")
-    side = duo.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
-    filled = side.join(block, "block").join(texts.select("doc_id", "text"), "doc_id")
+    side = duo.select("one", "two", "shared", F.explode(F.array_distinct(F.array("one", "two"))).alias("of"))
+    # of two blocks that meet, only the documents in the buckets they share
+    filled = side.join(block, (side["of"] == block["block"]) & F.arrays_overlap("keys", "shared")).drop("keys", "shared", "of").join(texts.select("doc_id", "text"), "doc_id")
     rest = filled.groupBy("one", "two").applyInPandas(_block_links, "a long, b long")
 
     every = links.union(more).union(rest)
