@@ -72,9 +72,14 @@ def text_sha256(title: Column, body: Column) -> Column:
 
 def word_shingles(title: Column, body: Column, n: int = 3) -> Column:
     """Distinct word n-grams of title and body; fewer than n words give one gram of all of them, none an empty array."""
-    t = F.regexp_extract_all(casefold(F.concat_ws(" ", title, body)), F.lit(WORD), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) < n, F.array(F.array_join(t, " "))).otherwise(F.array_distinct(grams))
+    found = F.regexp_extract_all(casefold(F.concat_ws(" ", title, body)), F.lit(WORD), F.lit(0))
+
+    def grams(t: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) < n, F.array(F.array_join(t, " "))).otherwise(F.array_distinct(some))
+
+    # the words are bound once: as a free expression within the inner function they would be found anew for every gram
+    return F.element_at(F.transform(F.array(found), grams), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -61,7 +61,7 @@ def cross_partition_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.unix_micros("o_orderdate") / 86400e6).alias("day"), F.col("o_totalprice").alias("size"), "o_orderpriority")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86400e6).alias("day"), F.col("o_totalprice").alias("size"), "o_orderpriority")
     side = lambda p: o.where(F.col("o_orderpriority").startswith(p)).drop("o_orderpriority")
     return side("1"), side("5")
 
