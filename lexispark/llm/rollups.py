@@ -94,7 +94,7 @@ def maintained(docs: DataFrame) -> DataFrame:
     first version's counts are revised to hold an end mark each. Returns the totals."""
     spark = docs.sparkSession
     rows = written(token_counts(docs), "counts")
-    kept = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    kept = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")  # written, so that the skew join may split a hot digest
     copies = written(rows.join(kept, "digest").where("doc_id <> first"), "copies")
     left = rows.join(kept, "digest").where("doc_id = first or doc_id is null")
     roll = TokenRollup(spark, f"{shared_dir(spark)}/lexispark/rollup-{uuid.uuid4().hex}")
