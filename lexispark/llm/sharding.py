@@ -40,7 +40,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     )
     n = base.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    groups = base.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    groups = written(base.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "groups")  # written, so that the skew join may split a hot digest
     part = max(1, n // shards // 4)
     unit = F.xxhash64("digest", F.pmod(hash63("row"), F.ceil(F.col("copies") / part)))
     units = written(base.join(groups, "digest").select("row", "doc_id", "size", "text_crc32", "copies", F.when(F.col("copies") > 1, unit).alias("unit")), "units")
