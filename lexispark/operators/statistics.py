@@ -99,3 +99,29 @@ def correlations(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """n, pearson and spearman (Pearson of average ranks) by group."""
     r = rows.withColumn("__x", average_rank(x, by)).withColumn("__y", average_rank(y, by))
     return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__x", "__y").alias("spearman"))
+
+
+def correlation_p(r: float, n: int) -> float:
+    """Two-sided p of a correlation of n pairs, by Student's t."""
+    return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+def endpoint_contrasts(rows: DataFrame, by: list[str], key: str, level: str, value: str) -> DataFrame:
+    """The strongest level against the lowest one, run by run: by, n, mean, sd of the differences."""
+    ends = rows.groupBy(*by).agg(F.min(level).alias("__lo"), F.max(level).alias("__hi"))
+    r = rows.join(ends, by)
+    lo = r.where(F.col(level) == F.col("__lo")).select(*by, key, F.col(value).alias("__a"))
+    hi = r.where(F.col(level) == F.col("__hi")).select(*by, key, F.col(value).alias("__b"))
+    d = F.col("__b") - F.col("__a")
+    return lo.join(hi, [*by, key]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"))
+
+
+def within_tolerance(observed: DataFrame, expected: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """Keys with both values and whether they agree; a missing side does not."""
+    both = observed.withColumnRenamed(value, "observed").join(expected.withColumnRenamed(value, "expected"), keys, "full_outer")
+    return both.select(*keys, "observed", "expected", F.coalesce(F.abs(F.col("observed") - F.col("expected")) <= tolerance, F.lit(False)).alias("within"))
+
+
+def resolution(n: int) -> float:
+    """The smallest two-sided p that n sign flips can give."""
+    return 2.0 / 2**n

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import stable_score
+from lexispark.operators import controls
 from lexispark.operators import interventions as iv
 from lexispark.operators import matching, recovery
 from lexispark.operators import statistics as stt
@@ -209,3 +210,55 @@ def pair_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, kw, i = parts(spark, sf_dir, K)
     jac = sx.access_jaccard(kw.where("lang = 'en'"), sx.cooccurrence(i.where("lang = 'en'")))
     return jac.where("j = i + 1 and i % 2 = 0 and jaccard > 0").select("i", "j", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"WITH {_EN}, k AS (SELECT DISTINCT kw FROM e) SELECT kw, row_number() OVER (ORDER BY sha256('6' || chr(10) || kw), kw) - 1 AS rank FROM k")
+def keyword_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return controls.shuffled(_english(spark, sf_dir)[1].select("kw").distinct(), 6)
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = (F.col("doc") % 3 == 0).cast("long")
+    return _english(spark, sf_dir)[1].groupBy("kw").agg(F.sum(a).alias("aux"), F.sum(1 - a).alias("client"))
+
+
+@query()
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return controls.similarity_pairs(_sides(spark, sf_dir), 3, 0.5)
+
+
+@query()
+def equalisation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return controls.equalisation_pairs(_sides(spark, sf_dir), 2)
+
+
+@query()
+def cooccurrence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, i = _english(spark, sf_dir)
+    p = spark.range(10, 13).select((F.col("id") * 2).alias("donor"), (F.col("id") * 2 + 1).alias("recipient"))
+    return controls.cooccurrence_match(i, docs, p, 4, 2).select("donor", "recipient", "draw", F.round("cosine", 9).alias("cosine"), F.size("docs").alias("df"))
+
+
+@query()
+def length_balanced_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of two halves matched by the lengths of their first user and assistant turns."""
+    from lexispark.functions.text import word_count
+
+    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    n = c.groupBy(F.col("conv_id").alias("id")).agg(F.min_by(word_count(F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("a"), F.min_by(word_count(F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("b"))
+    return controls.length_matching(n.where("id % 2 = 0"), n.where("id % 2 = 1"), 1.5).withColumn("cost", F.round("cost", 9))
+
+
+@query(f"""WITH {_RUNS}, l AS (SELECT condition, seed, seed % 3 AS level, score FROM runs), p AS (SELECT a.condition, b.score - a.score AS d FROM l a JOIN l b ON a.condition = b.condition AND a.level = 0 AND b.level = 2 AND b.seed = a.seed + 2)
+       SELECT condition, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd FROM p GROUP BY condition""")
+def endpoint_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir).select("condition", (F.col("seed") % 3).alias("level"), F.floor(F.col("seed") / 3).alias("run"), "score")
+    return stt.endpoint_contrasts(r, ["condition"], "run", "level", "score").select("condition", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query(f"""WITH {_RUNS}, x AS (SELECT condition, avg(score) AS o FROM runs GROUP BY condition), y AS (SELECT event_type AS condition, avg(value) AS e FROM events GROUP BY ALL)
+       SELECT condition, round(o, 6) AS observed, round(e, 6) AS expected, abs(o - e) <= 0.5 AS within FROM x JOIN y USING (condition)""")
+def reference_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = runs(spark, sf_dir).groupBy("condition").agg(F.avg("score").alias("v"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("condition")).agg(F.avg("value").alias("v"))
+    return stt.within_tolerance(o, e, ["condition"], "v", 0.5).select("condition", F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), "within")
