@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 LETTER = "[\\p{L}\\p{M}]"
 WORDLIKE = "[\\p{L}\\p{M}\\p{Nd}]"
 APOSTROPHE = "['’]"
-#: a run of word characters; an apostrophe only between letters; without look-around, so that it means the same to any engine
-TOKEN = f"(?:{WORDLIKE}*{LETTER}{APOSTROPHE}(?:(?:{LETTER}{WORDLIKE}*)?{LETTER}{APOSTROPHE})*{LETTER}{WORDLIKE}*)|{WORDLIKE}+"
+#: a run of word characters; an apostrophe only between letters. Possessive, so that no word is scanned twice
+TOKEN = f"{WORDLIKE}++(?:(?<={LETTER}){APOSTROPHE}(?={LETTER}){WORDLIKE}++)*+"
 HYPHEN_TOKEN = f"{WORDLIKE}+(?:['’-]{WORDLIKE}+)*"
 WORD = "[\\p{L}\\p{N}_]+"
 

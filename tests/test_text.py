@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ def test_tokens(spark):
     text = "Ân MIZO a’n don't state-of-the-art 2026 x"
     df = spark.createDataFrame([(text,)], "t string").select(tx.nfc("t").alias("t")).select(tx.tokens(F.col("t")).alias("x"))
     assert df.first()["x"] == ["ân", "mizo", "a'n", "don't", "state", "of", "the", "art"]
-    assert one(spark, tx.tokens(F.col("t"), hyphens=True), t="state-of-the-art") == ["state-of-the-art"] or True
+    assert one(spark, tx.tokens(F.col("t"), hyphens=True), t="state-of-the-art") == ["state-of-the-art"]
     assert one(spark, tx.word_count(F.col("t")), t="Mizo ṭawng thumal pathum") == 4
 
 
@@ -69,4 +68,3 @@ def test_local_seed(spark):
     import hashlib
 
     assert one(spark, tx.local_seed(F.col("t")), t="1:m:2:3") == int.from_bytes(hashlib.sha256(b"1:m:2:3").digest()[:4], "little")
-    assert np.isfinite(1.0)
