@@ -109,3 +109,14 @@ def parse_timestamp(text: Column) -> Column:
 def concordance_line(text: Column, most: int = 180) -> Column:
     line = F.trim(F.regexp_replace(text, "\\s+", " "))
     return F.when(F.length(line) <= most, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, most - 1)), F.lit("…")))
+
+
+def keyword_size(dataset: Column) -> Column:
+    """The k of a dataset named ...:k<number>, else null."""
+    return F.nullif(F.regexp_extract(dataset, ":k([0-9]+)$", 1), F.lit("")).cast("int")
+
+
+def record_url(url: Column, language: Column, split: Column) -> Column:
+    """An address that also names language and split."""
+    more = F.concat(F.lit("language="), F.url_encode(language), F.lit("&split="), F.url_encode(split))
+    return F.concat(url, F.when(F.contains(url, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), more)

@@ -89,3 +89,9 @@ def cooccurrence_match(inc: DataFrame, docs: DataFrame, pairs: DataFrame, budget
     best = score.withColumn("cosine", F.col("dot") / (F.col("nx") * F.col("ny"))).groupBy("donor", "recipient").agg(F.max_by(F.struct("draw", "cosine"), F.struct("cosine", -F.col("draw"))).alias("m")).select("donor", "recipient", "m.draw", "m.cosine")
     sets = kept.groupBy("donor", "recipient", "draw").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
     return best.join(sets, ["donor", "recipient", "draw"])
+
+
+def pair_sample(keywords: DataFrame, n: int, seed: int) -> DataFrame:
+    """n keyword pairs without replacement, by hash rank: i, j. The grid is K x K, of which only the first n are kept."""
+    a, b = keywords.select(F.col("kw").alias("i")), keywords.select(F.col("kw").alias("j"))
+    return a.join(b, F.col("i") < F.col("j")).orderBy(stable_score(seed, F.col("i"), F.col("j")), "i", "j").limit(n)

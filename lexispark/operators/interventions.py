@@ -59,3 +59,15 @@ def equalise(inc: DataFrame, docs: DataFrame, pairs: DataFrame, seed: int) -> Da
     drawn = r.select("doc", F.when(F.col("r") <= F.col("f"), F.col("donor")).otherwise(F.col("recipient")).alias("kw"))
     gone = pairs.select(F.explode(F.array("donor", "recipient")).alias("kw"))
     return inc.join(gone, "kw", "left_anti").select("doc", "kw").unionByName(drawn)
+
+
+def invariants(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What an intervention kept or made, for each pair: donor, recipient, identical, preserved_df, equal_df, disjoint."""
+    ends = F.explode(F.array(F.struct(F.col("donor").alias("kw"), F.lit(1).alias("d")), F.struct(F.col("recipient").alias("kw"), F.lit(0).alias("d")))).alias("e")
+    side = pairs.select("donor", "recipient", ends).select("donor", "recipient", "e.kw", "e.d")
+    per = lambda x: x.join(side, "kw").groupBy("donor", "recipient", "doc").agg(F.max("d").alias("d"), F.max(1 - F.col("d")).alias("r")).groupBy("donor", "recipient")
+    new = per(after).agg(F.sum("d").alias("x"), F.sum("r").alias("y"), F.sum(F.col("d") * F.col("r")).alias("n"))
+    old = per(before).agg(F.sum("r").alias("old"))
+    c = F.col
+    flags = [((c("n") == c("x")) & (c("n") == c("y"))).alias("identical"), (c("y") == c("old")).alias("preserved_df"), (c("x") == c("y")).alias("equal_df"), (c("n") == 0).alias("disjoint")]
+    return new.join(old, ["donor", "recipient"]).select("donor", "recipient", *flags)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import tokens
+
 STATUS = ("enabled", "disabled", "pending")
 PERMISSION = ("granted", "not_required", "pending", "denied")
 STORAGE = ("full_text", "metadata_only", "none")
@@ -55,3 +57,31 @@ def blockers(*frames: DataFrame) -> DataFrame:
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one of two results has: empty if the rebuilt one equals the stored one."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def set_errors(expected: DataFrame, given: DataFrame, keys: list[str], valid: Column) -> DataFrame:
+    """What is wrong with a returned set, one row a key and reason: missing, unexpected, repeated, or a row that is not ``valid``."""
+    per = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max((~F.coalesce(valid, F.lit(False))).cast("int")).alias("__bad"))
+    both = expected.select(*keys).distinct().withColumn("__e", F.lit(True)).join(per, keys, "full_outer")
+    why = [("missing", F.col("__n").isNull()), ("unexpected", F.col("__e").isNull()), ("repeated", F.col("__n") > 1), ("invalid", F.col("__bad") == 1)]
+    return both.select(*keys, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in why]))).alias("reason"))
+
+
+def import_decisions(issued: DataFrame, returned: DataFrame, keys: list[str], decision: str, allowed: list[str], pending: str = "pending") -> DataFrame:
+    """The issued keys with the decision that came back; one that is missing, repeated or not allowed leaves its key pending."""
+    ok = F.coalesce(F.col(decision).isin(*allowed), F.lit(False))
+    per = returned.groupBy(*keys).agg(F.when((F.count(F.lit(1)) == 1) & F.bool_and(ok), F.min(decision)).alias(decision))
+    return issued.select(*keys).join(per, keys, "left").withColumn(decision, F.coalesce(decision, F.lit(pending)))
+
+
+def export_errors(k: int, keywords: str = "keywords") -> Column:
+    """Checks of an exported keyword list: sorted and distinct, every number in range."""
+    return errors([("order", F.col(keywords) == F.array_sort(F.array_distinct(keywords))), ("range", F.forall(keywords, lambda x: (x >= 0) & (x < k)))])
+
+
+def stopword_errors(languages: list[str]) -> Column:
+    """Checks of a stopword entry. Columns: language, token, decision, reviewed_by, n (entries of the same language and token)."""
+    return errors([
+        ("language", F.col("language").isin(*languages)), ("reviewer", F.length(F.trim("reviewed_by")) > 0), ("repeated", F.col("n") == 1),
+        ("token", tokens(F.col("token")) == F.array("token")), ("pending", F.col("decision") != "pending"),
+    ])

@@ -99,3 +99,14 @@ def recovery_runs(pairs: DataFrame, tasks: DataFrame, k: int, steps: int, free:
 
 def remaining(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return tasks.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def expanded_tasks(families: DataFrame, cache: DataFrame) -> DataFrame:
+    """Every run of every family, and whether a cached run of the same data (equal digest) can be taken over.
+
+    ``families``: family, dataset, digest, distributions, seeds; ``cache``: dataset, distribution, seed, digest. Families share cached runs.
+    """
+    tasks = families.select("family", "dataset", "digest", F.explode("distributions").alias("distribution"), "seeds").select("family", "dataset", "digest", "distribution", F.explode("seeds").alias("seed"))
+    known = cache.select("dataset", "distribution", "seed", "digest").distinct().withColumn("__hit", F.lit(True))
+    met = tasks.join(known, ["dataset", "distribution", "seed", "digest"], "left")
+    return met.select("family", "dataset", "distribution", "seed", F.when(F.col("__hit"), "reuse").otherwise("run").alias("action"))

@@ -125,3 +125,17 @@ def within_tolerance(observed: DataFrame, expected: DataFrame, keys: list[str],
 def resolution(n: int) -> float:
     """The smallest two-sided p that n sign flips can give."""
     return 2.0 / 2**n
+
+
+def adjacent_contrasts(rows: DataFrame, by: list[str], key: str, level: str, value: str) -> DataFrame:
+    """Each level against the one before it, run by run: by, level, n, mean, sd of the differences."""
+    d = F.col(value) - F.lag(value).over(Window.partitionBy(*by, key).orderBy(level))
+    return rows.withColumn("__d", d).where("__d is not null").groupBy(*by, level).agg(F.count(F.lit(1)).alias("n"), F.avg("__d").alias("mean"), F.stddev_samp("__d").alias("sd"))
+
+
+def shared_keys(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """How many run keys two studies share, and how many only one has: by, both, left_only, right_only."""
+    both = left.select(*keys).distinct().withColumn("__l", F.lit(1)).join(right.select(*keys).distinct().withColumn("__r", F.lit(1)), keys, "full_outer")
+    n = lambda c, name: F.sum(c.cast("long")).alias(name)
+    l, r = F.col("__l").isNotNull(), F.col("__r").isNotNull()
+    return both.groupBy(*by).agg(n(l & r, "both"), n(l & ~r, "left_only"), n(r & ~l, "right_only"))

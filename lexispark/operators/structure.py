@@ -101,3 +101,10 @@ def partition_rmse(n_a: DataFrame, df_a: DataFrame, n_b: DataFrame, df_b: DataFr
     grid = kw.withColumnRenamed("rank", "i").join(kw.withColumnRenamed("rank", "j"), "lang").where("i < j").join(cooc_a.withColumnRenamed("n", "a"), ["lang", "i", "j"], "left").join(cooc_b.withColumnRenamed("n", "b"), ["lang", "i", "j"], "left").join(sizes, "lang")
     pair = grid.groupBy("lang").agg(F.sqrt(F.avg(F.pow(z("a") / F.col("na") - z("b") / F.col("nb"), 2))).alias("cooccurrence_rmse"))
     return marginal.join(pair, "lang").select("lang", r6("marginal_rmse").alias("marginal_rmse"), r6("cooccurrence_rmse").alias("cooccurrence_rmse"))
+
+
+def metric_differences(metrics: DataFrame, by: list[str], condition: str, baseline: str, names: list[str]) -> DataFrame:
+    """Each condition's metrics less the baseline's of the same group; null where either is."""
+    base = metrics.where(F.col(condition) == baseline).select(*by, *[F.col(n).alias(f"__{n}") for n in names])
+    rest = metrics.where(F.col(condition) != baseline).join(base, by, "left")
+    return rest.select(*by, condition, *[(F.col(n) - F.col(f"__{n}")).alias(n) for n in names])

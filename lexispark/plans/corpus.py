@@ -124,8 +124,9 @@ def guarded_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {oracle.FREQ}, s AS (SELECT lang, token, {_sql_rules()} AS a FROM freq), t AS (SELECT lang, token AS word, a, a AS token FROM s)
        SELECT lang, word AS token, a AS once, {_sql_rules()} AS twice FROM t WHERE {_sql_rules()} <> a""")
 def stemmer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = inc.document_frequency(_tok(spark, sf_dir)).select("lang", "token", st.suffix_stem(F.col("token"), RULES).alias("once"))
-    return df.withColumn("twice", st.suffix_stem(F.col("once"), RULES)).where("once <> twice")
+    df = inc.document_frequency(_tok(spark, sf_dir)).select("lang", "token", F.element_at(F.transform(F.array("token"), lambda x: st.suffix_stem(x, RULES)), 1).alias("once"))
+    # the word is bound, else each mention of it in the second chain would hold the whole first one
+    return df.withColumn("twice", F.element_at(F.transform(F.array("once"), lambda x: st.suffix_stem(x, RULES)), 1)).where("once <> twice")
 
 
 @query(f"""WITH {oracle.FREQ}, tf AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(t) AS token FROM tok) GROUP BY ALL),
