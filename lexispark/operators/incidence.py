@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import sequence_sha256, tokens
+from lexispark.operators.numbering import numbered
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str = "lang", **options) -> DataFrame:
@@ -33,7 +34,7 @@ def vocabulary(tok: DataFrame, minimum: int = 2, most: float = 0.5) -> DataFrame
     n = tok.agg(F.count(F.lit(1)).alias("n"))
     df = document_frequency(tok, [])
     kept = df.crossJoin(F.broadcast(n)).where((F.col("df") >= minimum) & (F.col("df") <= F.col("n") * most))  # n is one row
-    return kept.select((F.row_number().over(Window.orderBy("token")) - 1).cast("long").alias("idx"), "token", "df")
+    return numbered(kept.select("token", "df"), "idx", F.substring("token", 1, 2), "token").select("idx", "token", "df")
 
 
 def top_keywords(tok: DataFrame, k: int, support: Column | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.operators import dedup, matching
+from lexispark.operators.numbering import number_range, numbered
 from lexispark.plans.records import records
 from lexispark.registry import query, table
 
@@ -138,4 +139,4 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     both = d.where("lang = 'fr'").select("doc_id", F.lit(0).alias("list")).union(d.where("source = 'src1'").select("doc_id", F.lit(1).alias("list")))
     first = both.groupBy("doc_id").agg(F.min("list").alias("list"))
-    return first.select("doc_id", (F.row_number().over(Window.orderBy("list", "doc_id")) - 1).cast("long").alias("position"))
+    return numbered(first, "position", F.struct("list", number_range(F.col("doc_id"))), "list", "doc_id").select("doc_id", "position")

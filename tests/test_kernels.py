@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import dedup, interventions, matching, recovery, structure
+from lexispark.operators import controls, dedup, interventions, matching, numbering, policy, recovery, structure
 from lexispark.operators import statistics as stt
 from lexispark.sources import files
 
@@ -113,3 +113,44 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "bad").write_text("{]\n")
     with pytest.raises(Exception):
         files.read_jsonl(spark, f"file://{tmp_path}/bad", "x string").collect()
+
+
+def test_numbering_equals_one_sort(spark):
+    rnd = random.Random(5)
+    values = [rnd.randint(-300_000, 300_000) for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long").repartition(5)
+    got = {r["id"]: r["n"] for r in numbering.numbered(df, "n", numbering.number_range(F.col("v")), "v", "id").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(500), key=lambda i: (values[i], i)))}
+    assert numbering.numbered(df.where("false"), "n", numbering.number_range(F.col("v")), "v").count() == 0
+
+
+def test_returned_sets(spark):
+    issued = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "t string")
+    back = spark.createDataFrame([("a", "keep"), ("b", "maybe"), ("c", "keep"), ("c", "keep"), ("x", None)], "t string, decision string")
+    got = {tuple(r) for r in policy.set_errors(issued, back, ["t"], F.col("decision").isin("keep", "pending")).collect()}
+    assert got == {("d", "missing"), ("x", "unexpected"), ("c", "repeated"), ("b", "invalid"), ("x", "invalid")}
+    got = dict(map(tuple, policy.import_decisions(issued, back, ["t"], "decision", ["keep"]).collect()))
+    assert got == {"a": "keep", "b": "pending", "c": "pending", "d": "pending"}
+
+
+def test_cached_runs_are_taken_over(spark):
+    families = spark.createDataFrame([("f", "x:k9", "new", ["u"], [0, 1]), ("g", "x:k9", "new", ["u"], [0])], "family string, dataset string, digest string, distributions array<string>, seeds array<long>")
+    cache = spark.createDataFrame([("x:k9", "u", 0, "new"), ("x:k9", "u", 0, "new"), ("x:k9", "u", 1, "old")], "dataset string, distribution string, seed long, digest string")
+    got = sorted(tuple(r) for r in recovery.expanded_tasks(families, cache).collect())
+    assert got == [("f", "x:k9", "u", 0, "reuse"), ("f", "x:k9", "u", 1, "run"), ("g", "x:k9", "u", 0, "reuse")]
+
+
+def test_level_contrasts_and_shared_keys(spark):
+    rows = spark.createDataFrame([("a", 0, 1, 1.0), ("a", 0, 2, 3.0), ("a", 1, 1, 2.0), ("a", 1, 2, 6.0)], "c string, run long, level long, v double")
+    assert [tuple(r)[:4] for r in stt.adjacent_contrasts(rows, ["c"], "run", "level", "v").collect()] == [("a", 2, 2, 3.0)]
+    assert [tuple(r) for r in stt.shared_keys(rows, rows.where("run = 0"), ["c", "run", "level"], ["c"]).collect()] == [("a", 2, 2, 0)]
+    m = spark.createDataFrame([("a", "base", 1.0), ("a", "new", 3.0), ("b", "new", 3.0)], "g string, condition string, x double")
+    assert sorted(map(tuple, structure.metric_differences(m, ["g"], "condition", "base", ["x"]).collect())) == [("a", "new", 2.0), ("b", "new", None)]
+
+
+def test_intervention_flags(spark):
+    before = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc long, kw long")
+    pairs = spark.createDataFrame([(0, 1)], "donor long, recipient long")
+    got = interventions.invariants(before, interventions.collide(before, pairs), pairs).first()
+    assert tuple(got) == (0, 1, True, False, True, False)
+    assert controls.pair_sample(spark.range(5).select(F.col("id").alias("kw")), 4, 1).count() == 4
