@@ -157,3 +157,22 @@ def test_exchange_finds_the_classes():
     table[3:, :3] = 10
     own = exchange(table, 8, 2)
     assert len(set(own[:3])) == 1 and len(set(own[3:])) == 1 and own[0] != own[3]
+
+
+def test_words_beyond_the_exchanged_ones_get_the_class_of_their_neighbours(spark, monkeypatch):
+    from lexispark.llm import lm
+
+    monkeypatch.setattr(lm, "CLUSTERED", 21)
+    monkeypatch.setattr(lm, "CLASSES", 4)
+    rng = np.random.default_rng(7)
+    # ten frequent words of each kind alternate; the rare ones stand where their kind stands
+    word = lambda kind: f"{kind}{rng.integers(10)}" if rng.random() < 0.8 else f"{kind}rare{rng.integers(200)}"
+    rows = [(i, " ".join(word(k) for _ in range(20) for k in "nv")) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in enumerate(["n1 vrare5", "n1 nrare5"] * 40)]
+    docs = spark.createDataFrame([r for r in rows if r[0] < 1000 or zlib.crc32(str(r[0]).encode()) % 7 == 2], "doc_id long, text string")
+    text = dict(rows)
+    got = {text[r.doc_id]: r for r in lm_scores(docs).collect() if r.doc_id >= 1000}
+    right, wrong = got["n1 vrare5"], got["n1 nrare5"]
+    assert right.score - right.base_score > wrong.score - wrong.base_score + 0.5
+    few = {text[r.doc_id]: r for r in lm_scores(docs, head_words=5).collect() if r.doc_id >= 1000}
+    assert all(abs(few[t].score - got[t].score) < 1e-9 for t in got)
