@@ -41,3 +41,18 @@ def test_even_gapless_and_together(spark, hot):
 def test_fewer_rows_than_shards(spark, n):
     rows = [(i, "same", "x", 1, 2) for i in range(n)]
     check(rows, balanced_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect(), 8)
+
+
+def cut_rows(rows, got):
+    """Rows outside the main shard of their text."""
+    text, by = {r[0]: r[1] for r in rows}, defaultdict(Counter)
+    for r in got:
+        by[text[r.doc_id]][r.shard] += 1
+    return sum(sum(c.values()) - max(c.values()) for c in by.values())
+
+
+def test_every_row_has_a_copy(spark):
+    rows = [(3 * g + k, f"copy {g}", "x", 1, 2) for g in range(400) for k in range(3)]
+    got = balanced_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect()
+    check(rows, got, 8)
+    assert cut_rows(rows, got) <= 14  # a cut group for each border at most
