@@ -56,3 +56,11 @@ def test_every_row_has_a_copy(spark):
     got = balanced_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect()
     check(rows, got, 8)
     assert cut_rows(rows, got) <= 14  # a cut group for each border at most
+
+
+@pytest.mark.parametrize(("copies", "shards_of_it"), [(40, 1), (90, 1), (350, 4)])
+def test_large_groups_are_cut_no_more_than_needed(spark, copies, shards_of_it):
+    rows = [(k, "the hot text", "x", 1, 2) for k in range(copies)] + [(1000 + 2 * g + k, f"copy {g}", "x", 1, 2) for g in range((800 - copies) // 2) for k in range(2)]
+    got = balanced_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect()
+    check(rows, got, 8)
+    assert len({r.shard for r in got if r.doc_id < copies}) == shards_of_it
