@@ -2,8 +2,9 @@
 
 Base: the places of three fixed phrases. Method: templates of licence notices are indexed by their words of highest
 inverse document frequency over the whole corpus, with positions. Each text's occurrences of these rare words are
-met with the postings; occurrences that agree on the relative position of text and template add up to a coverage
-weighed by rarity; a template whose coverage reaches the threshold is named if its mandatory key phrases stand in the text.
+met with the postings; words that nearly agree on the relative position of text and template (inserted words shift it)
+add up to a coverage weighed by rarity; a template whose coverage reaches the threshold is named if its mandatory key phrases
+stand in the text, and none that it excludes (marked by a hyphen). Only texts with some mandatory phrase can be named, so only their words are met with the index.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from lexispark.llm.common import written
 
 # base phrases and their labels (fixed values)
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+_FREE = "free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version {} of the license or at your option any later version"
 # notices: label, mandatory phrases, text (fixed values; words as the scanner sees them)
 TEMPLATES = [
     ("mit", ["mit license"], "released under the mit license"),
@@ -24,10 +26,10 @@ TEMPLATES = [
     ("apache-2", ["apache license", "version 2"], "licensed under the apache license version 2 0"),
     ("gpl-3", ["gnu general public license", "version 3"], "this work is licensed under the gnu general public license version 3"),
     ("gpl-2", ["gnu general public license", "version 2"], "this program is licensed under the gnu general public license version 2"),
-    ("lgpl-3", ["gnu lesser general public license"], "this library is licensed under the gnu lesser general public license version 3"),
-    ("agpl-3", ["gnu affero general public license"], "licensed under the gnu affero general public license version 3"),
-    ("mpl-2", ["mozilla public license"], "subject to the terms of the mozilla public license v 2 0"),
-    ("bsd-3", ["redistribution and use in source and binary forms"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met neither the name"),
+    ("lgpl-3", ["gnu lesser general public license", "version 3"], "this library is licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", ["gnu affero general public license", "version 3"], "licensed under the gnu affero general public license version 3"),
+    ("mpl-2", ["mozilla public license", "2 0"], "subject to the terms of the mozilla public license v 2 0"),
+    ("bsd-3", ["redistribution and use in source and binary forms", "neither the name"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met neither the name"),
     ("isc", ["permission to use copy modify and or distribute this software"], "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by-nc", ["cc by nc"], "licensed under cc by nc 4 0"),
     ("cc-by-nc", ["creative commons", "noncommercial"], "licensed under a creative commons attribution noncommercial 4 0 international license"),
@@ -37,7 +39,30 @@ TEMPLATES = [
     ("cc0", ["cc0 1 0"], "dedicated to the public domain under cc0 1 0 universal"),
     ("unlicense", ["free and unencumbered software"], "this is free and unencumbered software released into the public domain"),
     ("proprietary", ["all rights reserved"], "copyright all rights reserved no part may be reproduced without written permission"),
+    # standard notices, and the headings of licence texts
+    ("mit", ["the mit license"], "the mit license mit copyright"),
+    ("apache-2", ["apache license version 2 0"], "apache license version 2 0"),
+    ("apache-2", ["apache license version 2 0"], "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl-3", ["gnu general public license version 3"], "gnu general public license version 3"),
+    ("gpl-2", ["gnu general public license version 2"], "gnu general public license version 2"),
+    ("gpl-3", ["gnu general public license", "version 3 of the license"], _FREE.format("general", "3")),
+    ("gpl-2", ["gnu general public license", "version 2 of the license"], _FREE.format("general", "2")),
+    ("lgpl-3", ["gnu lesser general public license version 3"], "gnu lesser general public license version 3"),
+    ("lgpl-2.1", ["gnu lesser general public license version 2 1"], "gnu lesser general public license version 2 1"),
+    ("lgpl-3", ["gnu lesser general public license", "version 3 of the license"], _FREE.format("lesser general", "3")),
+    ("lgpl-2.1", ["gnu lesser general public license", "version 2 1 of the license"], _FREE.format("lesser general", "2 1")),
+    ("agpl-3", ["gnu affero general public license version 3"], "gnu affero general public license version 3"),
+    ("agpl-3", ["gnu affero general public license", "version 3 of the license"], _FREE.format("affero general", "3")),
+    ("mpl-2", ["mozilla public license version 2 0"], "mozilla public license version 2 0"),
+    ("mpl-2", ["mozilla public license v 2 0"], "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("bsd-2", ["redistribution and use in source and binary forms", "-neither the name"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice"),
+    ("cc-by-nc", ["creative commons attribution noncommercial"], "creative commons attribution noncommercial 4 0 international"),
+    ("cc-by-sa", ["creative commons attribution sharealike"], "creative commons attribution sharealike 4 0 international"),
+    ("cc-by", ["creative commons attribution 4 0"], "creative commons attribution 4 0 international"),
+    ("cc0", ["cc0 1 0"], "cc0 1 0 universal"),
 ]
+#: places by which a word may be shifted
+SHIFT = 16
 RARE, COVER = 5, 0.75
 
 
@@ -91,32 +116,37 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lasts.append(F.col("n_words") - (_blanks(F.element_at(c, -1)) - 1) - len(phrase.split()))
         counts.append(F.coalesce(F.size(c) - 1, F.lit(0)).cast("long"))
         labels.append(F.when(c.isNotNull(), F.lit(label)))
-    rlike = " (" + "|".join(idf) + ") "
     places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda s: F.array_contains(rare, s["w"]))
-    phrases = sorted({p for _, must, _ in TEMPLATES for p in must})
+    phrases = sorted({p.removeprefix("-") for _, must, _ in TEMPLATES for p in must})
     there = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.col("padded"), F.concat(F.lit(" "), p, F.lit(" "))))
-    some = F.col("padded").rlike(rlike)
+    x = x.withColumn("there", there)
+    some = F.size("there") > 0
     rows = written(
         x.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
-            F.array_sort(F.array_compact(F.array_distinct(F.array(*labels)))).alias("base"), F.when(some, places).alias("places"), F.when(some, there).alias("there"),
+            F.array_sort(F.array_compact(F.array_distinct(F.array(*labels)))).alias("base"), F.when(some, places).alias("places"), F.when(some, F.col("there")).alias("there"),
         ),
         "scan",
     )
-    postings, wanted = [], []
+    postings, wanted, weights = [], [], []
     for t, (label, must, text) in enumerate(TEMPLATES):
         chosen = sorted(set(text.split()) & set(idf), key=lambda w: (-idf[w], w))[:RARE]
-        own = [(w, t, k, idf[w]) for k, w in enumerate(text.split()) if w in chosen]
-        postings += own
-        wanted.append((t, label, "|".join(must), sum(o[3] for o in own)))
-    index = _values(spark, postings, "w, template, place, weight")
-    names = _values(spark, wanted, "template, label, must, whole")
+        postings += [(w, t, k, 1 << chosen.index(w)) for k, w in enumerate(text.split()) if w in chosen]
+        wanted.append((t, label, "|".join(p for p in must if p[0] != "-"), "|".join(p[1:] for p in must if p[0] == "-")))
+        weights.append([idf[w] / sum(idf[c] for c in chosen) for w in chosen])
+    index = _values(spark, postings, "w, template, place, bit")
+    names = _values(spark, wanted, "template, label, must, never")
     hits = rows.where("places is not null").select("row", F.explode("places").alias("p")).select("row", "p.w", "p.i")
     met = hits.join(F.broadcast(index), "w")  # the index is a fixed list of templates
-    # one posting counts once for each relative position
-    line = met.groupBy("row", "template", (F.col("i") - F.col("place")).alias("shift")).agg(F.sum("weight").alias("weight"))
-    best = line.groupBy("row", "template").agg(F.max("weight").alias("weight")).join(F.broadcast(names), "template").withColumn("cover", F.least(F.lit(1.0), F.col("weight") / F.col("whole"))).where(F.col("cover") >= cover)
-    checked = best.join(rows.where("there is not null").select("row", "there"), "row").where(F.size(F.array_except(F.split("must", "\\|"), "there")) == 0)
+    # windows of shifts, two to each: two shifts at most SHIFT apart have one in common; a word counts once in it
+    shift = F.col("i") - F.col("place")
+    windows = F.array(*[F.floor((shift + k * SHIFT) / (2 * SHIFT)) * 2 + k for k in (0, 1)])
+    line = met.select("row", "template", F.explode(windows).alias("window"), "bit").groupBy("row", "template", "window").agg(F.bit_or("bit").alias("found"))
+    shares = F.array(*[F.array(*[F.lit(x) for x in (w + [0.0] * RARE)[:RARE]]) for w in weights])
+    share = sum((F.when(F.col("found").bitwiseAND(F.lit(1 << k)) != 0, F.element_at(F.element_at(shares, F.col("template") + 1), k + 1)).otherwise(0.0) for k in range(RARE)), F.lit(0.0))
+    best = line.withColumn("cover", F.least(F.lit(1.0), share)).groupBy("row", "template").agg(F.max("cover").alias("cover")).where(F.col("cover") >= cover).join(F.broadcast(names), "template")
+    must = F.size(F.array_except(F.split("must", "\\|"), "there")) == 0
+    checked = best.join(rows.where("there is not null").select("row", "there"), "row").where(must & ~F.arrays_overlap(F.split("never", "\\|"), "there"))
     named = checked.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
     out = rows.drop("places", "there").join(named, "row", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))

@@ -40,3 +40,18 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_standard_notices_and_headings(spark):
+    free = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice."
+    cases = [
+        (free.format("This program", "General", "3"), "gpl-3"), (free.format("This program", "General", "2"), "gpl-2"), (free.format("The Frob tool of the Frob project", "General", "3"), "gpl-3"),
+        (free.format("This library", "Lesser General", "2.1"), "lgpl-2.1"), (free.format("This program", "Affero General", "3"), "agpl-3"),
+        ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "gpl-2"), ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", "gpl-3"), ("Mozilla Public License Version 2.0", "mpl-2"),
+        ("This work, all of it and its parts, is licensed, as of today, under the GNU General Public License, or so it says in the file, version 3.", "gpl-3"),
+        (bsd, "bsd-2"), (bsd + " Neither the name of the holder may be used.", "bsd-3"), ("A general word on public licence and version 2 of gnu software", ""),
+    ]
+    rows = [(1, i, "filler words " * 50 + t, "r", 1) for i, (t, _) in enumerate(cases)] + [(1, 99, "word " * 200, "r", 1)]
+    got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(cases))] == [label for _, label in cases]
