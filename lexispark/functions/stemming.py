@@ -56,39 +56,86 @@ def suffix_stem(token: Column, rules: list[Rule]) -> Column:
     return token if out is None else out.otherwise(token)
 
 
-def repeated_suffix_stem(token: Column, rules: list[Rule], steps: int = 6) -> Column:
-    """``suffix_stem`` until nothing changes; every rule shortens, so a bounded number of steps reaches that."""
+def repeated_suffix_stem(token: Column, rules: list[Rule]) -> Column:
+    """``suffix_stem`` until nothing changes; every rule shortens, so as many steps as the word is long reach that."""
     if any(len(r.replacement) >= len(r.suffix) for r in rules):
         raise ValueError("every rule must shorten the word")
     # a fold, so that the chain of rules stands in the plan once
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), token, lambda now, _: suffix_stem(now, rules))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token))), token, lambda now, _: suffix_stem(now, rules))
 
 
-def guarded_stemmer(rules: list[Rule], guarded: frozenset[str], lexicon: frozenset[str], letters_only: bool = False):
-    """pandas UDF: repeat until nothing changes; a rule with a guarded suffix needs its candidate in ``lexicon``; exceptions
-    hold for the word as it came and as it is. ``letters_only``: marks do not count towards the minimum."""
+def _rests(rules: list[Rule], letters_only: bool):
+    """Function (word, now): the rules that fit, in order, with what each leaves."""
     chain = ordered(rules)
     kinds = ("L",) if letters_only else ("L", "M")
 
-    def one(word: str) -> str:
+    def rests(word: str, now: str):
+        for r in chain:
+            rest = now[: -len(r.suffix)] + r.replacement
+            blocked = now in r.exceptions or (not letters_only and word in r.exceptions)
+            if now.endswith(r.suffix) and not blocked and len(rest) < len(now) and sum(unicodedata.category(c)[0] in kinds for c in rest) >= r.minimum:
+                yield r, rest
+
+    return rests
+
+
+def guarded_stemmer(rules: list[Rule], guarded: frozenset[str], lexicon: frozenset[str] | None = None, letters_only: bool = False):
+    """pandas UDF: repeat until nothing changes; a rule with a guarded suffix needs its candidate in ``lexicon``; exceptions
+    hold for the word as it came and as it is. ``letters_only``: marks do not count towards the minimum. Without ``lexicon``
+    the UDF's second column lists which of the word's ``guarded_candidates`` are known."""
+    rests = _rests(rules, letters_only)
+
+    def one(word: str, known) -> str:
         now = unicodedata.normalize("NFC", word)
         while True:
-            for r in chain:
-                rest = now[: -len(r.suffix)] + r.replacement
-                blocked = now in r.exceptions or (not letters_only and word in r.exceptions)
-                if now.endswith(r.suffix) and not blocked and len(rest) < len(now) and sum(unicodedata.category(c)[0] in kinds for c in rest) >= r.minimum and (r.suffix not in guarded or rest in lexicon):
+            for r, rest in rests(word, now):
+                if r.suffix not in guarded or rest in known:
                     now = rest
                     break
             else:
                 return now
 
+    if lexicon is None:
+
+        @F.pandas_udf(T.StringType())
+        def stem_known(words: pd.Series, known: pd.Series) -> pd.Series:
+            return pd.Series([None if w is None else one(w, frozenset(() if k is None else k)) for w, k in zip(words, known, strict=True)], dtype=object)
+
+        return stem_known
+
     @F.pandas_udf(T.StringType())
     def stem(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else one(w))
+        return words.map(lambda w: None if w is None else one(w, lexicon))
 
     return stem
 
 
+def guarded_candidates(rules: list[Rule], guarded: frozenset[str], letters_only: bool = False):
+    """pandas UDF: every candidate of a guarded suffix that ``guarded_stemmer`` may look up for a word, whatever is known."""
+    rests = _rests(rules, letters_only)
+
+    def one(word: str) -> list[str]:
+        out: set[str] = set()
+        seen, todo = set(), [unicodedata.normalize("NFC", word)]
+        while todo:
+            now = todo.pop()
+            if now in seen:
+                continue
+            seen.add(now)
+            for r, rest in rests(word, now):
+                todo.append(rest)
+                if r.suffix not in guarded:
+                    break
+                out.add(rest)
+        return sorted(out)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def candidates(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: [] if w is None else one(w))
+
+    return candidates
+
+
 _VOWELS = frozenset("aeiouy")
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 # words with stems of their own in the published English stemmer (fixed values)

@@ -114,11 +114,13 @@ def english_stem_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def guarded_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guarded suffixes need a candidate among the frequent words (a bounded list)."""
-    df = inc.document_frequency(_tok(spark, sf_dir), [])
-    lexicon = frozenset(r["token"] for r in df.orderBy(F.desc("df"), "token").limit(5000).collect())
-    stem = st.guarded_stemmer(RULES, frozenset({"s", "e"}), lexicon, letters_only=True)
-    return df.select("token", stem(F.col("token")).alias("stem"))
+    """Guarded suffixes need a candidate among all words; candidates are joined with the vocabulary."""
+    words = inc.document_frequency(_tok(spark, sf_dir), []).select("token")
+    guarded = frozenset({"s", "e"})
+    asked = words.select("token", F.explode(st.guarded_candidates(RULES, guarded, letters_only=True)(F.col("token"))).alias("candidate"))
+    known = asked.join(words.withColumnRenamed("token", "candidate"), "candidate", "left_semi").groupBy("token").agg(F.collect_set("candidate").alias("known"))
+    stem = st.guarded_stemmer(RULES, guarded, letters_only=True)
+    return words.join(known, "token", "left").select("token", stem(F.col("token"), F.col("known")).alias("stem"))
 
 
 @query(f"""WITH {oracle.FREQ}, s AS (SELECT lang, token, {_sql_rules()} AS a FROM freq), t AS (SELECT lang, token AS word, a, a AS token FROM s)
