@@ -38,6 +38,9 @@ NEWER = (
     "\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4"
     "\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
 )
+# capitals that later Unicode versions paired with small letters: single ones, then runs (first, last, distance) (fixed values)
+NEWER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+NEWER_CAPITAL_RUNS = ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
 CACHE_WORDS = 400_000
 _END = 0x1000
 
@@ -61,6 +64,14 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def _lowering() -> tuple[dict[int, int], regex.Pattern]:
+    """The small letters of capitals that this Python may not know, and a pattern that finds such a capital."""
+    table = dict(NEWER_CAPITALS)
+    for first, last, off in NEWER_CAPITAL_RUNS:
+        table |= {c: c + off for c in range(first, last + 1)}
+    return table, regex.compile("[" + "".join(map(chr, table)) + "]")
+
+
 class BPE:
     """A tokenizer read from a JSON file of the tokenizers library, of the kind with word ends and byte letters."""
 
@@ -103,6 +114,7 @@ class BPE:
         self.words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![{NEWER}])\\p{{L}})+|(?![{NEWER}])\\p{{N}}|(?:[{NEWER}]|[^{SPACE}\\p{{L}}\\p{{N}}])+")
         self.plain_words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{SPACE}\\p{{L}}\\p{{N}}]+")
         self.newer = regex.compile(f"[{NEWER}]")
+        self.small, self.capital = _lowering()
         text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         size = max(text, default=-1) + 1
         # no decoder is named in the file, so decoding joins the tokens' own spellings by blanks: each carries one
@@ -194,6 +206,8 @@ class BPE:
                 part = unicodedata.normalize("NFC", part)
                 # letter by letter: a capital sigma has one small form, whatever follows
                 part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
+                if self.capital.search(part):
+                    part = part.translate(self.small)
                 known, make = self.known, self._word_bytes
                 out += [known.get(w) or make(w) for w in (self.words if self.newer.search(part) else self.plain_words).findall(part)]
         return b"".join(out)

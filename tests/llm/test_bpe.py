@@ -33,6 +33,15 @@ def test_same_as_the_library(library):
         assert mine.decode(got).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point(library):
+    mine = BPE(default_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 512):
+        # each one stands alone and between letters
+        text = " ".join(f"{c} a{c}b" for c in points[k : k + 512])
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(points[k]))
+
+
 def test_query_shape(spark, library):
     rows = [(9, i, t, "x") for i, t in enumerate(texts())] + [(9, 3, texts()[3], "x")]
     got = encode_decode(spark.createDataFrame(rows, SCHEMA), with_text=True).collect()
