@@ -23,19 +23,31 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of our own on a local master, an error on any other."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder, and the executors share none with the driver")
         place = "file://" + tempfile.mkdtemp(prefix="lexispark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """The files of this path, which exists, go when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The result may be read until the application ends; then the files go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexispark/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
