@@ -77,14 +77,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLE = {
     "op3_token_counts": """
         WITH t AS (
-            SELECT doc_id, source, lang, text,
+            SELECT source, lang,
                    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS blank,
-                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS BIGINT) AS runs,
-                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS BIGINT) AS runs
             FROM documents)
-        SELECT source, lang, 'blank-1' AS tokenizer, count(*) AS n_docs, CAST(sum(blank + 1) AS BIGINT) AS n_tokens FROM t WHERE doc_id = first GROUP BY ALL
+        SELECT source, lang, 'blank-1' AS tokenizer, count(*) AS n_docs, CAST(sum(blank + 1) AS BIGINT) AS n_tokens FROM t GROUP BY ALL
         UNION ALL
-        SELECT source, lang, 'runs-1', count(*), CAST(sum(runs) AS BIGINT) FROM t WHERE doc_id = first GROUP BY ALL
+        SELECT source, lang, 'runs-1', count(*), CAST(sum(runs) AS BIGINT) FROM t GROUP BY ALL
     """,
     "op5_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings

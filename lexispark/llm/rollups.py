@@ -2,8 +2,9 @@
 
 A batch is a table of signed rows: inserts (+), deletes (-) and revisions (the old count -, the new one +). Its rows
 are summed by key before anything is shuffled, added to the totals of the last commit, and written as a new state;
-then one commit record, named after the batch, makes that state the current one. A batch whose record exists changes nothing, and
-a batch that died before its record leaves no trace, so batches may be sent again at will.
+then one commit record, named by the commit's number alone, makes that state the current one. A batch with a record changes nothing, and
+a batch that died before its record leaves no trace, so batches may be sent again at will. A record is written aside and put in
+its place by a rename that never replaces: of two writers that make the same commit number one fails.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import shared_dir, small_batches, written
+from lexispark.llm.common import shared_dir, small_batches, temporary, written
 
 KEYS = ["source", "lang", "tokenizer"]
 _SHAPE = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -44,15 +46,40 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
     def _commits(self) -> list[tuple[int, str, str]]:
         """(number, batch, state) of every commit, oldest first."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        at = self._path("commits")
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(at):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted((int(n), batch, state) for n, batch, state in (x.split("~") for x in names if x.count("~") == 2))
+        out = []
+        for s in fs.listStatus(at):
+            name = s.getPath().getName()
+            if name.isdigit():
+                with_state = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream := fs.open(s.getPath()), "UTF-8")
+                stream.close()
+                out.append((int(name), *with_state.split("~")))
+        return sorted(out)
+
+    def _publish(self, number: int, batch: str, state: str) -> None:
+        """Put the record in its place; raises if another writer's stands there."""
+        conf = self.spark._jsc.hadoopConfiguration()
+        aside, place = self._path(f"states/{state}.record"), self._path(f"commits/{number:09d}")
+        fs = aside.getFileSystem(conf)
+        fs.mkdirs(self._path("commits"))
+        out = fs.create(aside, False)
+        out.write(bytearray(f"{batch}~{state}".encode()))
+        out.close()
+        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf).rename(aside, place, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            raise RuntimeError(f"another writer has made commit {number} meanwhile") from e
 
     def totals(self) -> DataFrame:
         """Keys with their documents and tokens; keys whose totals have come back to nothing are not kept."""
@@ -64,8 +91,8 @@ class TokenRollup:
     def apply(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of rows (source, lang, tokenizer, sign, n_tokens); False if it was committed before.
 
-        Null keys are keys of their own. ``sign`` is 1 or -1; rows with a null sign or count add nothing. One writer
-        at a time; a second one that races finds its commit number taken and raises.
+        Null keys are keys of their own. ``sign`` is 1 or -1; rows with a null sign or count add nothing, and a batch without
+        rows is committed too. One writer at a time; one that races finds its commit number taken and raises, having changed nothing.
         """
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"a batch is named by letters, digits, dots and hyphens: {batch!r}")
@@ -76,12 +103,7 @@ class TokenRollup:
         new = self.totals().unionByName(signed).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
         state = uuid.uuid4().hex
         new.write.parquet(f"{self.path}/states/{state}")
-        jvm = self.spark._jvm
-        record = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{len(done) + 1:09d}~{batch}~{state}")
-        fs = record.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        now = self._commits()
-        if len(now) != len(done) or not fs.createNewFile(record):
-            raise RuntimeError("another writer has committed meanwhile")
+        self._publish(len(done) + 1, batch, state)
         return True
 
 
@@ -90,18 +112,26 @@ def signed(rows: DataFrame, tokenizer: str, count: str, sign: int) -> DataFrame:
 
 
 def maintained(docs: DataFrame) -> DataFrame:
-    """A corpus's life in five batches, one of them sent twice: two tokenizer versions come in, later copies of a text go, the
-    first version's counts are revised to hold an end mark each. Returns the totals."""
+    """A corpus's life in six batches, one of them sent twice: two tokenizer versions come in, later copies of a text go, the
+    first version's counts are revised to hold an end mark each, and the copies come back with the counts then in force.
+    Returns the totals over all rows.
+
+    Null texts have no words; a null source or language is a key of its own; rows without an identifier and repeated rows count
+    as often as they occur (of a text without any identifier no row goes). An empty table gives no rows. Columns other than the four named are ignored.
+    """
     spark = docs.sparkSession
     rows = written(token_counts(docs), "counts")
     kept = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")  # written, so that the skew join may split a hot digest
     copies = written(rows.join(kept, "digest").where("doc_id <> first"), "copies")
-    left = rows.join(kept, "digest").where("doc_id = first or doc_id is null")
+    left = rows.join(kept, "digest").where("first is null or doc_id is null or doc_id = first")
+    more = lambda x: x.withColumn("more", F.col("blank_words") + 1)
     roll = TokenRollup(spark, f"{shared_dir(spark)}/lexispark/rollup-{uuid.uuid4().hex}")
     roll.apply("in-blank-1", signed(rows, "blank-1", "blank_words", 1))
+    temporary(spark, roll.path)
     roll.apply("in-runs-1", signed(rows, "runs-1", "run_words", 1))
     gone = signed(copies, "blank-1", "blank_words", -1).union(signed(copies, "runs-1", "run_words", -1))
     roll.apply("copies-out", gone)
     roll.apply("copies-out", gone)
-    roll.apply("blank-revised", signed(left, "blank-1", "blank_words", -1).union(signed(left.withColumn("more", F.col("blank_words") + 1), "blank-1", "more", 1)))
+    roll.apply("blank-revised", signed(left, "blank-1", "blank_words", -1).union(signed(more(left), "blank-1", "more", 1)))
+    roll.apply("copies-in", signed(more(copies), "blank-1", "more", 1).union(signed(copies, "runs-1", "run_words", 1)))
     return roll.totals()

@@ -7,7 +7,7 @@ import pytest
 
 from lexispark.llm.lm import exchange, lm_scores
 from lexispark.llm.mixing import flight, mix_sources
-from lexispark.llm.rollups import TokenRollup
+from lexispark.llm.rollups import TokenRollup, maintained
 from lexispark.llm.topk import exact_topk
 from lexispark.llm.toxicity import Lexicon, Trie, features, score, train
 
@@ -129,6 +129,36 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert [tuple(r) for r in roll.totals().collect()] == [("s", "en", "t1", 1, 8)]
 
 
+def test_of_two_writers_one_raises(spark, tmp_path):
+    df = lambda n: spark.createDataFrame([("s", "en", "t", 1, n)], "source string, lang string, tokenizer string, sign int, n_tokens long")
+    path = f"file://{tmp_path}/r"
+
+    class Slow(TokenRollup):
+        def _publish(self, number, batch, state):
+            TokenRollup(spark, path).apply("other", df(4))  # comes between this writer's look and its record
+            super()._publish(number, batch, state)
+
+    with pytest.raises(RuntimeError):
+        Slow(spark, path).apply("mine", df(9))
+    roll = TokenRollup(spark, path)
+    assert [tuple(r) for r in roll.totals().collect()] == [("s", "en", "t", 1, 4)]
+    assert roll.apply("mine", df(9)) and not roll.apply("other", df(4))
+    assert [tuple(r) for r in roll.totals().collect()] == [("s", "en", "t", 2, 13)]
+
+
+def test_maintained_totals_cover_all_rows(spark):
+    rows = [(1, "a b", "s", "en"), (2, "a b", "s", "en"), (2, "a b", None, "en"), (3, None, "s", None), (4, "", "t", "en"), (None, "a b", "s", "en"), (None, "only here", "t", "en"), (None, "only here", "t", "en"), (5, "x,y " * 30000, "t", "en")]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, lang string, n_tokens int, digest string")
+    want = defaultdict(lambda: [0, 0])
+    for _, t, s, g in rows:
+        words = (t or "").split()
+        for kind, n in (("blank-1", len(words) + 1), ("runs-1", sum(len(w.split(",")) for w in words))):
+            want[s, g, kind][0] += 1
+            want[s, g, kind][1] += n
+    assert {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in maintained(docs).collect()} == dict(want)
+    assert maintained(docs.limit(0)).collect() == []
+
+
 def test_language_model(spark):
     rng = np.random.default_rng(8)
     subj, verb = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
