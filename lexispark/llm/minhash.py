@@ -249,6 +249,20 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _near_rows(src: DataFrame) -> DataFrame:
+    """``near_dedup`` of a table in which an identifier stands for several texts: of the rows first, then of their identifiers."""
+    rows = written(src.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = written(near_dedup(rows, id_col="row").select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row-components")
+    of = rows.where("doc_id is not null").select("row", "doc_id").join(found, "row")
+    # identifiers of one component are linked through its smallest one, and one identifier links the components of its texts
+    low = of.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("low"))
+    links = of.where("n_shingles > 0").join(low, "component_id").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    final = connected_components(written(links.distinct(), "id-links"))
+    out = rows.select("row", "doc_id").join(found.select("row", "n_shingles"), "row").join(final, F.col("doc_id") == F.col("node"), "left")
+    whole = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles (size of its set), component_id, kept.
 
@@ -262,16 +276,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = written(src.mapInArrow(_sketched, "doc_id long, n long, digest binary, regs binary, keys array<long>"), "sketches")
     some = base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    twice = some.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where(F.col("d1") != F.col("d2"))
+    if twice.head(1):
+        return _near_rows(src)
     reps = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # an identifier that occurs with several texts ties their sets together
-    twice = some.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where(F.col("d1") != F.col("d2")).select("doc_id")
     keyed = some.join(reps, (some["digest"] == reps["digest"]) & (some["doc_id"] == reps["rep"]), "left_semi")
     rows = keyed.select("doc_id", "n", F.explode("keys").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hot = written(rows.join(buckets, "key"), "buckets")
     wanted = hot.select("doc_id").distinct()
     sketch = keyed.select("doc_id", "n", "regs", "digest").dropDuplicates(["doc_id"])
-    texts = written(wanted.join(src.where("text is not null").dropDuplicates(["doc_id"]) if twice.head(1) else src, "doc_id").join(sketch, "doc_id"), "texts")
+    texts = written(wanted.join(src.where("text is not null").dropDuplicates(["doc_id"]), "doc_id").join(sketch, "doc_id"), "texts")
     stars = hot.where("doc_id <> center").select(F.col("doc_id").alias("member"), "center").distinct()
     links = written(_verify(stars, texts), "stars")
     found = connected_components(links)
@@ -301,11 +316,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     filled = side.join(block, (side["of"] == block["block"]) & F.arrays_overlap("keys", "shared")).drop("keys", "shared", "of").join(texts.select("doc_id", "text"), "doc_id")
     rest = filled.groupBy("one", "two").applyInPandas(_block_links, "a long, b long")
 
-    every = links.union(more).union(rest)
-    if twice.head(1):
-        tied = some.join(reps, "digest").join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        every = every.union(tied)
-    final = connected_components(written(every, "all-links"))
+    final = connected_components(written(links.union(more).union(rest), "all-links"))
     named = reps.join(final, reps["rep"] == final["node"], "left").select("digest", F.least("rep", F.coalesce("component", "rep")).alias("component_id"))
     out = base.join(named, "digest", "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))

@@ -119,18 +119,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, source, size, source_size, target, copies, taken (size times copies).
 
     Null texts have size 0; a null source is a source of its own, the last one; a source without words has target 0
-    and gives nothing. Ties and repeated rows are drawn one by one, in the order of a hash of doc_id. An empty table gives
-    no rows. Columns other than the three named are ignored.
+    and gives nothing. Ties and repeated rows are drawn one by one, in the order of a hash of doc_id; where more rows than a quarter
+    of a block share one identifier, or have none, their places in the table deal them over the blocks. Very long texts are
+    counted whole. An empty table gives no rows. Columns other than the three named are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    sized = written(src.mapInArrow(_counted, "doc_id long, source string, size long"), "sizes")
+    sized = written(src.mapInArrow(_counted, "doc_id long, source string, size long").withColumn("row", F.monotonically_increasing_id()), "sizes")
     goal = targets(sized)
-    same = sized["source"].eqNullSafe(goal["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.join(goal, same).select("doc_id", sized["source"], "size", "source_size", "target", ratio.alias("ratio"), F.ceil(F.col("n") / block).cast("long").alias("parts"))
-    order = hash63(F.col("doc_id"), F.lit(seed))
+    crowded = sized.groupBy(F.col("doc_id").alias("of")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block // 4)
+    if crowded.head(1):
+        # equal identifiers have equal hashes, and would all fall into one block
+        hot = written(crowded, "crowded")
+        sized = sized.join(hot, sized["doc_id"].eqNullSafe(hot["of"]), "left").withColumn("salt", F.when(F.col("k").isNotNull(), F.col("row")))
+    else:
+        sized = sized.withColumn("salt", F.lit(None).cast("long"))
+    same = sized["source"].eqNullSafe(goal["source"])
+    rows = sized.join(goal, same).select("doc_id", sized["source"], "size", "salt", "source_size", "target", ratio.alias("ratio"), F.ceil(F.col("n") / block).cast("long").alias("parts"))
+    order = hash63(F.col("doc_id"), F.col("salt"), F.lit(seed))
     state = rows.select("doc_id", "source", "size", F.floor(F.col("ratio") + 1e-9).cast("int").alias("whole"), order.alias("order"), F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + 1e-9)).alias("pi"), "parts")
     shape = "doc_id long, source string, size long, whole int, order long, pi double"
     done, turn = [], 0

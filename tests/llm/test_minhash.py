@@ -76,3 +76,22 @@ def test_estimate_is_corrected_for_collisions():
             agree = (mh.registers(a) == mh.registers(b)).mean()
             off.append(float(mh.estimate(agree, len(a), len(b))[0]) - share)
         assert abs(np.mean(off)) < 0.03
+
+
+def test_one_identifier_with_several_texts(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    near = lambda t: t.replace("0 ", "zero ", 1)
+    rows = [(5, a), (5, b), (9, near(b)), (3, near(a)), (7, c), (8, d), (8, None), (8, ""), (6, None), (None, a), (4, "few words"), (4, near(d))]
+    texts = {}
+    for i, t in rows:
+        if i is not None:
+            texts.setdefault(i, []).append(t)
+    gram = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").split()] for k in range(max(1, len(w) - 4)) if w}
+    like = lambda x, y: bool(gram(x)) and 4 * len(gram(x) & gram(y)) >= 3 * len(gram(x) | gram(y))
+    low = {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            low[i] = min(low[j] for j in texts if i == j or any(like(x, y) for x in texts[i] for y in texts[j]))
+    got = mh.near_dedup(spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA)).collect()
+    want = sorted((i or 0, len(gram(t)), low.get(i) or 0, low.get(i) == i and i is not None) for i, t in rows)
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == want

@@ -64,6 +64,37 @@ def test_stages_against_brute_force(spark, data, tmp_path):
         assert list(r.ids) == np.frombuffer(bpe.encode(left[r.doc_id][1] or ""), "<u4").tolist() and r.n_tokens == len(r.ids)
 
 
+def test_repeated_and_missing_identifiers(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    near = one + " tail"
+    rows = [(5, one), (5, two), (9, two), (9, two.upper()), (None, two), (None, two), (3, near), (5, one), (7, three), (None, None), (8, ""), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5) for i, t in rows], SCHEMA + ", score double")
+    key = lambda r: (r.doc_id, (r.text or "").lower())
+    exact = cp.drop_exact_copies(spark, docs, "")
+    assert exact.columns == docs.columns
+    # 5's text "two" goes, its text "one" has no copy with a larger identifier; 9 stays once
+    want = Counter([(5, one), (9, two), (None, two), (None, two), (3, near), (7, three), (None, ""), (8, "")])
+    got = exact.collect()
+    assert Counter(map(key, got)) == want
+    left = cp.drop_near_copies(spark, exact, "")
+    assert left.columns == docs.columns
+    want -= Counter([(5, one)])  # near 3's text
+    assert Counter(map(key, left.collect())) == want
+    source = lambda i: "a" if i % 4 else "b"
+    many = [(i % 50 if i % 3 else None, " ".join(["w"] * (1 + i % 7)), "en", source(i), i, 0.5) for i in range(600)]
+    mixed = cp.mix(spark, spark.createDataFrame(many, SCHEMA + ", score double"), "")
+    taken, size = Counter(), Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+        assert source(r.n_chars) == r.source
+    for _, t, _, s, *_ in many:
+        size[s] += len(t.split())
+    share = sum(size.values()) / 3
+    want = {"b": min(2 * share, 3 * size["b"])}
+    want["a"] = sum(size.values()) - want["b"]
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in want)
+
+
 def test_empty_documents(spark, tmp_path):
     sf = f"file://{tmp_path}/sf"
     spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
