@@ -5,20 +5,22 @@ texts far more often than chance allows. Support is counted in distinct left nei
 word of a text that was copied a thousand times has one neighbour and so one vote.
 
 *Matching.* The lexicon is a trie. A word matches exactly, by a beginning (an inner node that is itself significant), or,
-if misspelled, by the intersection of the trie with the word's Levenshtein automaton: states are rows of clipped edit
-distances, and a branch of the trie is left as soon as no state below it can accept.
+if misspelled, by the intersection of the trie with the word's Levenshtein automaton: its states are sets of places in the word,
+one set for each number of edits, kept as bits; a branch of the trie is left as soon as no place can be reached.
 
-*Context.* A match is weighed by the window around it: inside quotation marks or beside words of reporting it counts
-less, beside words that address somebody it counts more.
+*Context.* A window of words around a match, and the quotation marks of the whole text, tell whether it is quoted, reported or
+addressed to somebody. Matches of each of these kinds are summed once more on their own.
 
-The sums of these weights are the features of a logistic regression, fitted on the same bounded sample.
+These sums are the features of a logistic regression, fitted on the same bounded sample; so it is the labels that say how much
+a quoted or an addressed match counts.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,17 +31,20 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import hash63, small_batches, written
 
-#: most labelled rows that are learned from, and most terms kept; both bound what reaches the driver
-SAMPLE_ROWS, MAX_TERMS, FUZZY_TERMS = 20_000, 4096, 512
+#: most labelled rows that are learned from: bounds the lexicon and what reaches the driver
+SAMPLE_ROWS = 20_000
 FOLDS = 5
 WINDOW = 6
+#: letters of a beginning
+HEAD_LETTERS = (4, 6)
+_MEMO = 400_000
 _WORD = re.compile(r"[^\W_]+")
 # stand-ins for letters (fixed values)
 _LEET = str.maketrans("013457", "oieast")
 # words of reporting and of address in the corpus's languages (fixed values)
 REPORT = frozenset("said says called calls word words term quote quoted quotes means dit mot terme citation sagte wort begriff zitat dijo palabra cita".split())
 ADDRESS = frozenset("you your youre u ur tu vous toi te du dich ihr dir usted vosotros ti".split())
-_QUOTES = "\"“”„«»‹›"
+_QUOTE = re.compile("[\"“”„«»‹›]")
 
 
 def crc_fold(column: str, folds: int):
@@ -63,27 +68,36 @@ class Trie:
                 at = to
             self.term[at] = w
 
-    def find(self, word: str, k: int) -> tuple[str, int] | None:
-        """The term with the fewest edits (then the first in order), or None."""
-        n, dead = len(word), k + 1
+    def find(self, word: str, k: int, allowed: Callable[[int], int] | None = None) -> tuple[str, int] | None:
+        """The term with the fewest edits (then the first in order), or None. ``allowed``: most edits of a term by its length."""
+        n = len(word)
+        at: dict[str, int] = {}
+        for i, ch in enumerate(word):
+            at[ch] = at.get(ch, 0) | 1 << i
+        full, end = (1 << (n + 1)) - 1, 1 << n
         best: tuple[int, str] | None = None
-        moves: dict[tuple[tuple[int, ...], str], tuple[int, ...]] = {}
-        stack = [(0, tuple(min(i, dead) for i in range(n + 1)))]
+        # a state is k + 1 sets of places in the word, those reached by 0, 1, ... k edits, each as bits of one number
+        stack = [(0, tuple((1 << (e + 1)) - 1 & full for e in range(k + 1)))]
         while stack:
             node, state = stack.pop()
-            if self.term[node] is not None and state[n] <= k:
-                got = (state[n], self.term[node])
-                if best is None or got < best:
-                    best = got
+            if self.term[node] is not None:
+                for e, places in enumerate(state):
+                    if places & end and (allowed is None or e <= allowed(len(self.term[node]))):
+                        got = (e, self.term[node])
+                        if best is None or got < best:
+                            best = got
+                        break
             for ch, child in self.next[node].items():
-                to = moves.get((state, ch))
-                if to is None:
-                    row = [min(state[0] + 1, dead)]
-                    for i in range(1, n + 1):
-                        row.append(min(state[i - 1] + (word[i - 1] != ch), state[i] + 1, row[i - 1] + 1, dead))
-                    to = moves[state, ch] = tuple(row)
-                if min(to) <= k:
-                    stack.append((child, to))
+                same = at.get(ch, 0)
+                before, now = 0, 0
+                to = []
+                for places in state:
+                    # the letter agrees; it is inserted, or put in another's place, or a letter of the word is left out after it
+                    now = ((places & same) << 1 | before | before << 1 | now << 1) & full
+                    to.append(now)
+                    before = places
+                if now:
+                    stack.append((child, tuple(to)))
         return (best[1], best[0]) if best else None
 
 
@@ -97,29 +111,45 @@ class Lexicon:
     heads: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        fuzzy = [t for t, _ in sorted(self.terms.items(), key=lambda x: (-x[1], x[0])) if edits(len(t))][:FUZZY_TERMS]
+        fuzzy = sorted(t for t in self.terms if edits(len(t)))
         self.trie = Trie(fuzzy)
-        # one of k + 1 pieces of a term survives k edits, moved by k places at most
-        self.pieces: dict[int, set[str]] = {}
+        # cut in k + 1 pieces, a term keeps one of them through k edits: the first one where it was, the last one at the same
+        # distance from the end, or (of two edits, one before it and one behind) the middle one, moved by one place at most
+        self.pieces: set[tuple[int, int, str]] = set()
         for t in fuzzy:
             k = edits(len(t))
             size = len(t) // (k + 1)
-            for i in range(k + 1):
-                p = t[i * size :] if i == k else t[i * size : (i + 1) * size]
-                self.pieces.setdefault(len(p), set()).add(p)
+            for n in range(len(t) - k, len(t) + k + 1):
+                self.pieces |= {(n, 0, t[:size]), (n, n - len(t) + k * size, t[k * size :])}
+                if k == 2:
+                    self.pieces |= {(n, size + move, t[size : 2 * size]) for move in (-1, 0, 1)}
+        self.spans: dict[int, list[tuple[int, int]]] = {}
+        for n, at, piece in self.pieces:
+            self.spans.setdefault(n, []).append((at, at + len(piece)))
+        self.spans = {n: sorted(set(x)) for n, x in self.spans.items()}
         self.head_sizes = sorted({len(h) for h in self.heads})
-        self.memo: dict[str, tuple[int, float]] = {}
-
-    def match(self, word: str) -> tuple[int, float]:
-        """(kind, weight): 0 none, 1 exact, 2 by its beginning, 3 misspelled."""
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) >= 400_000:
-                self.memo.clear()
-            got = self.memo[word] = self._match(word)
-        return got
-
-    def _match(self, word: str) -> tuple[int, float]:
+        self.clean: set[str] = set()
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def matches(self, words: list[str]) -> dict[str, tuple[int, float]]:
+        """The words that match, each with (kind, weight): 1 exact, 2 by its beginning, 3 misspelled."""
+        out = {}
+        for w in set(words).difference(self.clean):
+            got = self.known.get(w)
+            if got is None:
+                got = self._match(w)
+                if got is None:
+                    if len(self.clean) >= _MEMO:
+                        self.clean.clear()
+                    self.clean.add(w)
+                    continue
+                if len(self.known) >= _MEMO:
+                    self.known.clear()
+                self.known[w] = got
+            out[w] = got
+        return out
+
+    def _match(self, word: str) -> tuple[int, float] | None:
         if word in self.terms:
             return 1, self.terms[word]
         for n in self.head_sizes:
@@ -128,38 +158,46 @@ class Lexicon:
         plain = word.translate(_LEET) if not word.isalpha() else word
         if plain != word and plain in self.terms:
             return 3, self.terms[plain]
-        if 4 <= len(plain) <= 40 and any(plain[:n] in p or plain[-n:] in p or n > 2 and any(plain[i : i + n] in p for i in range(1, len(plain) - n)) for n, p in self.pieces.items()):
-            found = self.trie.find(plain, edits(len(plain) + 1))
-            if found and found[1] <= edits(len(found[0])):
+        n = len(plain)
+        if any((n, i, plain[i:j]) in self.pieces for i, j in self.spans.get(n, ())):
+            found = self.trie.find(plain, edits(n + 2), edits)
+            if found:
                 return 3, self.terms[found[0]]
-        return 0, 0.0
+        return None
+
+
+FEATURES = 8
 
 
 def features(text: str, lex: Lexicon) -> list[float]:
-    """Sums of context-weighed matches: exact, by beginning, misspelled; the largest; matches for each hundred words."""
+    """Logarithms of the sums of weights of exact matches, matches by beginning and misspelled ones, then of those quoted, reported
+    and addressed; the largest weight; matches for each hundred words."""
     low = text.lower()
     words = _WORD.findall(low)
-    hits = {w for w in set(words) if lex.match(w)[0]}
+    hits = lex.matches(words)
     if not hits:
-        return [0.0] * 5
-    sums, most, n = [0.0, 0.0, 0.0], 0.0, 0
-    spans = [m.span() for m in _WORD.finditer(low)]
-    inside = 0  # quotation marks passed
-    passed = 0
+        return [0.0] * FEATURES
+    sums, most, n = [0.0] * 6, 0.0, 0
+    marks = [m.start() for m in _QUOTE.finditer(low)]
+    starts = [m.start() for m in _WORD.finditer(low)] if marks else []
     for i, w in enumerate(words):
-        if w not in hits:
+        got = hits.get(w)
+        if got is None:
             continue
-        kind, weight = lex.match(w)
-        start, end = spans[i]
-        inside += sum(map(low.count, _QUOTES, [passed] * len(_QUOTES), [start] * len(_QUOTES)))
-        passed = start
+        kind, weight = got
+        sums[kind - 1] += weight
+        if marks:
+            passed = bisect(marks, starts[i])
+            if passed % 2 and passed < len(marks):
+                sums[3] += weight
         near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-        quoted = inside % 2 == 1 and any(q in low[end : end + 200] for q in _QUOTES)
-        factor = (0.3 if quoted else 1.0) * (0.6 if any(x in REPORT for x in near) else 1.0) * (1.3 if any(x in ADDRESS for x in near) else 1.0)
-        sums[kind - 1] += weight * factor
-        most = max(most, weight * factor)
+        if not REPORT.isdisjoint(near):
+            sums[4] += weight
+        if not ADDRESS.isdisjoint(near):
+            sums[5] += weight
+        most = max(most, weight)
         n += 1
-    return [math.log1p(sums[0]), math.log1p(sums[1]), math.log1p(sums[2]), most, min(10.0, 100.0 * n / len(words))]
+    return [*map(math.log1p, sums), most, min(10.0, 100.0 * n / len(words))]
 
 
 def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +206,7 @@ def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             words = _WORD.findall((text or "").lower())
             for before, w in zip(["", *words], words, strict=False):
-                if 3 <= len(w) <= 40:
-                    seen.add((w, before, y))
+                seen.add((w, before, y))
         rows = list(seen)
         near = np.array([xxhash.xxh32_intdigest(r[1]) for r in rows], np.uint32).view(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(near), pa.array([r[2] for r in rows], pa.int32())], names=["word", "near", "y"])
@@ -194,13 +231,14 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     least = 2 * math.log(kinds) + 8
     weight = F.least(F.lit(6.0), F.log((F.col("k") + 0.5) / (F.col("n") - F.col("k") + 0.5)) - math.log(p / (1 - p)))
     pick = lambda df, least, share: df.withColumn("g", _surprise(F.col("k"), F.col("n"), F.lit(p))).where((F.col("g") >= least) & (F.col("k") >= share * F.col("n"))).select("word", weight.alias("w"), "g")
-    terms = pick(words, least, 0.6).orderBy(F.desc("g"), "word").limit(MAX_TERMS).collect()
-    begin = words.where(F.length("word") > 4).select(F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(6), F.length("word") - 1)), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "k", "n")
+    terms = pick(words, least, 0.6).collect()
+    low, high = HEAD_LETTERS
+    begin = words.where(F.length("word") > low).select(F.explode(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length("word") - 1)), lambda i: F.substring("word", F.lit(1), i))).alias("word"), "k", "n")
     begin = begin.groupBy("word").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds >= 3")
-    heads = pick(begin, least + 6, 0.9).orderBy(F.desc("g"), "word").limit(MAX_TERMS).collect()
+    heads = pick(begin, least + 6, 0.9).collect()
     kept: dict[str, float] = {}
     for r in sorted(heads, key=lambda r: (len(r.word), r.word)):
-        if not any(r.word[:i] in kept for i in range(4, len(r.word))):
+        if not any(r.word[:i] in kept for i in range(low, len(r.word))):
             kept[r.word] = float(r.w)
     return Lexicon({r.word: float(r.w) for r in terms}, kept)
 
@@ -261,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
-        return Model(lex, np.zeros(5), np.ones(5), np.array([30.0 if p >= 0.5 else -30.0, 0, 0, 0, 0, 0]))
+        return Model(lex, np.zeros(FEATURES), np.ones(FEATURES), np.array([30.0 if p >= 0.5 else -30.0] + [0.0] * FEATURES))
     return Model(lex, *fit_logistic(np.array([r.f for r in rows]), y))
 
 
@@ -287,7 +325,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns, in one pass."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, in one pass.
+
+    Null and empty texts have no matches; repeated rows stay or go alike; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

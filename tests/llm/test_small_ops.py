@@ -9,7 +9,7 @@ from lexispark.llm.lm import exchange, lm_scores
 from lexispark.llm.mixing import flight, mix_sources
 from lexispark.llm.rollups import TokenRollup, maintained
 from lexispark.llm.topk import exact_topk
-from lexispark.llm.toxicity import Lexicon, Trie, features, score, train
+from lexispark.llm.toxicity import Lexicon, Model, Trie, features, reject, score, train
 
 
 def edit_distance(a, b):
@@ -34,11 +34,53 @@ def test_trie_and_automaton_agree_with_edit_distance():
             assert trie.find(w, k) == ((near[0][1], near[0][0]) if near else None)
 
 
+def test_misspellings_against_edit_distance():
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcd"), n))
+    terms = sorted({word(int(n)) for n in rng.integers(3, 13, 900)})
+    lex = Lexicon(dict.fromkeys(terms, 1.0))
+    allowed = lambda t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2
+    made = []
+    for t in terms:
+        x = list(t)
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(x))) if x else 0
+            kind = rng.integers(3)
+            x[at : at + (kind > 0)] = [] if kind == 1 else [str(rng.choice(list("abcdé")))]
+        made.append("".join(x))
+    for w in made:
+        if not w:
+            continue
+        want = 1 if w in terms else 3 if any(edit_distance(w, t) <= allowed(t) for t in terms) else 0
+        assert lex.matches([w]).get(w, (0, 0.0))[0] == want, w
+
+
 def test_context_windows():
     lex = Lexicon({"idiot": 5.0})
-    plain, quoted, fuzzy, told = (features(t, lex) for t in ("he is an idiot now", 'he wrote "an idiot" now', "he is an idoit idiott", "they said idiot here"))
-    assert plain[0] > quoted[0] > 0 and plain[0] > told[0] > 0 and fuzzy[2] > 0
-    assert features("", lex) == [0.0] * 5
+    one = math.log1p(5.0)
+    quoted, reported, addressed = 3, 4, 5
+    plain = features("he is an idiot now", lex)
+    assert plain[:3] == [one, 0, 0] and plain[3:6] == [0, 0, 0]
+    assert features('he wrote "an idiot" now', lex)[quoted] == one and features('"so" he is an idiot "then"', lex)[quoted] == 0
+    assert features('"an idiot without an end', lex)[quoted] == 0 and features('"' + "far " * 3000 + "idiot " + "far " * 3000 + '"', lex)[quoted] == one
+    assert features("they said idiot here", lex)[reported] == one and features("you idiot", lex)[addressed] == one
+    assert features("he is an idoit idiott", lex)[2] == one and features("", lex) == [0.0] * 8
+
+
+def test_scores_are_those_of_the_formula(spark):
+    lex = Lexicon({"scum": 3.0, "disgusting": 2.0}, {"loser": 1.0})
+    beta = np.array([-2.0, 1.5, 0.5, 0.25, -1.0, -0.5, 0.75, 0.1, 0.2])
+    model = Model(lex, np.full(8, 0.1), np.full(8, 2.0), beta)
+    texts = ["scum", "a disgusting losers thing", 'you said "scum" and disgsting', "clean words", None, "", "clean " * 60000 + "scum"]
+    sums = [[3, 0, 0, 0, 0, 0, 3, 10], [2, 1, 0, 0, 0, 0, 2, 10], [3, 0, 2, 3, 5, 5, 3, 10], [0] * 8, [0] * 8, [0] * 8, [3, 0, 0, 0, 0, 0, 3, 100 / 60001]]
+    x = (np.array([[*map(math.log1p, r[:6]), *r[6:]] for r in sums]) - 0.1) / 2.0
+    want = 1 / (1 + np.exp(-(beta[0] + x @ beta[1:])))
+    rows = [(i, t, 1.0, "k") for i, t in enumerate(texts)] + [(0, "scum", 1.0, "k")]
+    got = score(spark.createDataFrame(rows, "doc_id long, text string, score double, y string"), model).collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id]) for r in got)
+    kept = reject(spark.createDataFrame(rows, "doc_id long, text string, score double, y string"), model).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, *_ in rows if want[i] < 0.5)
+    assert score(spark.createDataFrame([], "doc_id long, text string"), model).collect() == []
 
 
 def test_toxicity_learns_and_holds_out(spark):
@@ -119,6 +161,41 @@ def test_topk_against_brute_force(spark):
     assert exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_topk_of_few_repeated_and_large_vectors(spark):
+    shape = "vec_id long, embedding array<double>, rank int"
+    run = lambda rows, **o: sorted(tuple(r) for r in exact_topk(spark.createDataFrame([(*r, 1) for r in rows], shape), **o).collect())
+    # fewer than k; one id twice is one query (its smaller vector) and two candidates
+    rows = [(100, [1.0, 0.0]), (100, [0.5, 0.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0]), (200, []), (3, [-1.0])]
+    s = 1024 * 1024
+    want = [(100, 1, 1, s), (100, 2, 2, s), (100, 3, 200, 0), (100, 4, 3, -s // 2), (200, 1, 1, 0), (200, 2, 2, 0), (200, 3, 3, 0), (200, 4, 100, 0), (200, 5, 100, 0)]
+    assert run(rows) == sorted(want)
+    assert run([(0, []), (1, [])]) == [(0, 1, 1, 0)]
+    # products beyond 2^53 are exact, beyond 2^63 held at a long's ends
+    big = [(0, [float(2**45 + 1), 3.0]), (1, [float(2**5 + 1), 1.0]), (2, [float(2**5 + 1), 2.0]), (3, [1e300, 0.0]), (4, [-1e300, 0.0]), (5, [1e307, 1.0])]
+    exact = lambda a, b: sum(int(1024 * x) * int(1024 * y) for x, y in zip(a, b, strict=True))
+    top = 2**63 - 1
+    got = run(big, k=5)
+    assert got[0][:3] == (0, 1, 3) and got[0][3] == top and got[-1][3] == -top - 1
+    assert [g[2:] for g in got[1:3]] == [(i, min(top, exact(big[0][1], big[i][1]))) for i in (2, 1)]
+    assert len(got) == 4  # 1024 times the last one is beyond a double
+
+
+def test_topk_bound_eliminates(spark):
+    from lexispark.llm import topk
+
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * rng.normal(size=(1500, 48)))
+    ids = np.arange(len(x))
+    p = topk.pivot_rows(x, topk.frame(x[:300], 40))
+    q = ids[::100]
+    assert (p[q] @ p.T - x[q] @ x.T > -1e-3).all()
+    *got, seen = topk._best(x[q], p[q], np.full(len(q), -1e300), q, x, p, ids, 10)
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    want = np.sort(score, axis=1)[:, -10:][:, ::-1].ravel()
+    assert got[2] == want.tolist() and seen < 0.5 * len(q) * len(x)
+
+
 def test_rollup_is_idempotent(spark, tmp_path):
     roll = TokenRollup(spark, f"file://{tmp_path}/r")
     df = lambda rows: spark.createDataFrame(rows, "source string, lang string, tokenizer string, sign int, n_tokens long, extra string")
