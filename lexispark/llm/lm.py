@@ -68,7 +68,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.concatenate([h, x])
         h, at = np.unique(both, return_inverse=True)
         c = np.bincount(at, np.concatenate([c, n]), len(h)).astype(np.int64)
-        if len(h) > 3_000_000:
+        if len(h) > 1_000_000:
             yield from out(h, c)
             h, c = h[:0], c[:0]
     yield from out(h, c)
@@ -105,11 +105,31 @@ def make_head(h: np.ndarray, c: np.ndarray, column: np.ndarray) -> Head:
     return Head(h[by], c[by], column[by])
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """A row of counts: its length, then all of them, or the places and counts of those that are not 0 if that is shorter."""
+    some = np.flatnonzero(row)
+    few = 12 * len(some) < 8 * len(row)
+    body = some.astype(np.int32).tobytes() + row[some].tobytes() if few else row.tobytes()
+    return np.array([len(row), len(some) if few else -1], np.int32).tobytes() + body
+
+
+def _add(total: np.ndarray | None, blob: bytes) -> np.ndarray:
+    """``total`` (a row of counts, or None) and a packed row."""
+    size, some = np.frombuffer(blob, np.int32, 2)
+    if total is None:
+        total = np.zeros(size, np.int64)
+    if some < 0:
+        total += np.frombuffer(blob, np.int64, size, 8)
+    else:
+        total[np.frombuffer(blob, np.int32, some, 8)] += np.frombuffer(blob, np.int64, some, 8 + 4 * some)
+    return total
+
+
 def _vectors(table: np.ndarray) -> Iterator[pa.RecordBatch]:
     some = np.flatnonzero(table.any(axis=1))
     for k in range(0, len(some), 64):
         r = some[k : k + 64]
-        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array([table[i].tobytes() for i in r], pa.binary())], names=["r", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array([_packed(table[i]) for i in r], pa.binary())], names=["r", "v"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -165,10 +185,10 @@ def _neighbours(seeds, total: int):
             j = np.concatenate([after[w], total + before[w]])
             parts.append((h, j, np.ones(len(h), np.int64)))
             held += len(h)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 parts = [merged()]
                 held = len(parts[0][0])
-                if held > 1_000_000:
+                if held > 500_000:
                     yield from out()
                     parts, held = [], 0
         if parts:
@@ -202,9 +222,11 @@ def _assigned(m: np.ndarray, k: int):
     """Rows (h, j, n) sorted by h and j: (h, c, cls)."""
     total = len(m)
 
-    def some(h: np.ndarray, j: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def summed(h: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (j[1:] != j[:-1])])
-        h, j, n = h[new], j[new], np.add.reduceat(n, new)
+        return h[new], j[new], np.add.reduceat(n, new)
+
+    def some(h: np.ndarray, j: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         c = np.add.reduceat(np.where(j < total, 0, n), start)
         return pa.RecordBatch.from_arrays([pa.array(h[start]), pa.array(c), pa.array(best_classes(m, k, start, j, n).astype(np.int32))], names=["h", "c", "cls"])
@@ -215,13 +237,14 @@ def _assigned(m: np.ndarray, k: int):
             left.append([b.column(i).to_numpy() for i in range(3)])
             held += b.num_rows
             if held >= 32_768:
-                h, j, n = (np.concatenate(x) for x in zip(*left, strict=True))
+                # a word has two rows a class at most once its rows are summed, however many tasks it came from
+                h, j, n = summed(*(np.concatenate(x) for x in zip(*left, strict=True)))
                 cut = int(np.searchsorted(h, h[-1]))  # the last word may go on
                 if cut:
                     yield some(h[:cut], j[:cut], n[:cut])
                 left, held = [[h[cut:], j[cut:], n[cut:]]], len(h) - cut
         if held:
-            yield some(*(np.concatenate(x) for x in zip(*left, strict=True)))
+            yield some(*summed(*(np.concatenate(x) for x in zip(*left, strict=True))))
 
     return run
 
@@ -229,17 +252,19 @@ def _assigned(m: np.ndarray, k: int):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by r: the sum of their vectors, one row a number; one vector in memory."""
     at, total = None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_packed(total)], pa.binary())], names=["r", "v"])
+
     for b in batches:
         for r, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            v = np.frombuffer(v, np.int64)
             if r != at:
                 if at is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["r", "v"])
-                at, total = r, v.copy()
-            else:
-                total += v
+                    yield out()
+                at, total = r, None
+            total = _add(total, v)
     if at is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["r", "v"])
+        yield out()
 
 
 def exchange(table: np.ndarray, words: int, classes: int, passes: int = PASSES) -> np.ndarray:
@@ -306,7 +331,7 @@ def _square(rows: DataFrame, size: int) -> np.ndarray:
     table = np.zeros((size, size), np.int64)
     spark = rows.sparkSession
     for r in rows.repartition(min(width(spark), 64), "r").sortWithinPartitions("r").mapInArrow(_summed, "r int, v binary").collect():
-        table[r.r] = np.frombuffer(r.v, np.int64)
+        _add(table[r.r], r.v)
     return table
 
 
