@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.operators.matching import assignment
@@ -16,16 +16,20 @@ def initial_cost(count: Column, n: Column, p: Column) -> Column:
 
 
 def _log_terms(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of p and 1 - p. In each column a zero counts as a hundredth of the column's smallest positive value, or 1e-10 if it has none."""
     if (p >= 1).any():
         raise ValueError("a probability of 1 has no finite cost")
-    some = p[p > 0]
-    p = np.where(p > 0, p, some.min() / 100 if len(some) else 1e-10)
+    least = np.where(p > 0, p, np.inf).min(axis=0, initial=np.inf)
+    p = np.where(p > 0, p, np.where(np.isfinite(least), least / 100, 1e-10))
     return np.log(p), np.log1p(-p)
 
 
 def cost_matrix(aux: np.ndarray, seen: np.ndarray, n: int, free_kw: np.ndarray, free_tok: np.ndarray, fixed_kw: np.ndarray, fixed_tok: np.ndarray) -> np.ndarray:
-    """Cost of each free token (rows) for each free keyword (columns): own term and one for each fixed pair, as two products."""
-    la, lb = _log_terms(aux[free_kw, free_kw])
+    """Cost of each free token (rows) for each free keyword (columns): own term and one for each fixed pair, as two products.
+
+    Zero probabilities are replaced among the free keywords, for their own frequencies and for each fixed keyword apart.
+    """
+    la, lb = _log_terms(aux[free_kw, free_kw][:, None])
     own = np.diag(seen)[free_tok]
     cost = -np.outer(own, la) - np.outer(n - own, lb)
     if len(fixed_kw):
@@ -35,17 +39,42 @@ def cost_matrix(aux: np.ndarray, seen: np.ndarray, n: int, free_kw: np.ndarray,
     return cost
 
 
+def pair_costs(pairs: DataFrame, fixed: DataFrame, by: list[str]) -> DataFrame:
+    """``cost_matrix`` as a plan: by, token, keyword, cost for all that is not fixed.
+
+    ``pairs``: by, i, j, aux, client, n_aux, n_client, both (i, j) and (j, i), the diagonal with all keywords; pairs that never meet may lack.
+    ``fixed``: by, keyword, token. K x K x fixed rows at most.
+    """
+    diag = pairs.where("i = j").select(*by, F.col("i").alias("kw"), "aux", "client", "n_aux", "n_client")
+    loose = lambda end, name: diag.join(fixed.select(*by, F.col(end).alias("kw")), [*by, "kw"], "left_anti").withColumnRenamed("kw", name)
+    # one term for the own frequency (of = null), one for each fixed keyword; zeros are replaced within a term
+    own_p = loose("keyword", "keyword").select(*by, "keyword", F.lit(None).cast("long").alias("of"), (F.col("aux") / F.col("n_aux")).alias("p"))
+    own_c = loose("token", "token").select(*by, "token", F.lit(None).cast("long").alias("of"), F.col("client").alias("c"), "n_client")
+    ends = fixed.select(*by, F.col("keyword").alias("of"), F.col("token").alias("at"))
+    met = pairs.select(*by, F.col("i").alias("x"), F.col("j").alias("y"), (F.col("aux") / F.col("n_aux")).alias("p"), "client")
+    fix_p = loose("keyword", "keyword").select(*by, "keyword").join(ends, by).join(met.select(*by, F.col("x").alias("keyword"), F.col("y").alias("of"), "p"), [*by, "keyword", "of"], "left").select(*by, "keyword", "of", F.coalesce("p", F.lit(0.0)).alias("p"))
+    fix_c = loose("token", "token").select(*by, "token", "n_client").join(ends, by).join(met.select(*by, F.col("x").alias("token"), F.col("y").alias("at"), "client"), [*by, "token", "at"], "left").select(*by, "token", "of", F.coalesce("client", F.lit(0)).alias("c"), "n_client")
+    p = own_p.unionByName(fix_p)
+    least = p.groupBy(*by, "of").agg(F.min(F.when(F.col("p") > 0, F.col("p"))).alias("least"))
+    same = lambda a, b: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in [*by, "of"]))
+    p = p.alias("p").join(least.alias("l"), same("p", "l")).select(*[f"p.{c}" for c in [*by, "of", "keyword"]], F.when(F.col("p") > 0, F.col("p")).otherwise(F.coalesce(F.col("least") / 100, F.lit(1e-10))).alias("p"))
+    p = p.withColumn("p", F.when(F.col("p") >= 1, F.raise_error(F.lit("a probability of 1 has no finite cost")).cast("double")).otherwise(F.col("p")))
+    c = own_c.unionByName(fix_c)
+    both = p.alias("p").join(c.alias("c"), same("p", "c")).select(*[F.col(f"p.{x}").alias(x) for x in by], "token", "keyword", initial_cost(F.col("c"), F.col("n_client"), F.col("p")).alias("cost"))
+    return both.groupBy(*by, "token", "keyword").agg(F.sum("cost").alias("cost"))
+
+
 def recover(aux: np.ndarray, seen: np.ndarray, n: int, steps: int, free: float, seed: int, checkpoints: list[int]) -> dict[int, np.ndarray]:
     """Keyword of each token at the checkpoints: all are assigned by frequency, then a share is freed and assigned anew in every step."""
     rng = np.random.RandomState(seed)
     k, t = len(aux), len(seen)
+    size = int(free * t)
+    if size <= 1:
+        raise ValueError("too few free tokens")
     every = np.arange(t)
     none = np.zeros(0, int)
     guess = assignment(cost_matrix(aux, seen, n, np.arange(k), every, none, none))
     out = {0: guess.copy()} if 0 in checkpoints else {}
-    size = int(free * t)
-    if steps and size <= 1:
-        raise ValueError("too few free tokens")
     for step in range(1, steps + 1):
         order = rng.permutation(t)
         loose, held = order[:size], order[size:]
@@ -97,12 +126,41 @@ def recovery_runs(pairs: DataFrame, tasks: DataFrame, k: int, steps: int, free:
     return tasks.join(pairs, "dataset").groupBy("dataset", "distribution", "seed").applyInPandas(run, RUN)
 
 
+def finished_runs(spark: SparkSession, path: str, schema: str = RUN) -> DataFrame:
+    """The runs kept at a path; none if nothing was kept there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema + ", digest string")
+    return spark.read.schema(schema + ", digest string").parquet(path)
+
+
+def resume_runs(path: str, digest: str, pairs: DataFrame, tasks: DataFrame, **options) -> DataFrame:
+    """``recovery_runs``, kept at a path: runs found there are not made again. Returns all runs of ``tasks``.
+
+    ``digest`` names the data and settings; runs of others at that path, or of tasks that are not asked for, are an error. Each call adds the
+    runs it made in one commit, so after a failure the next call makes only those that lack.
+    """
+    keys = ["dataset", "distribution", "seed"]
+    spark = tasks.sparkSession
+    done = finished_runs(spark, path)
+    if done.where(F.col("digest") != digest).head(1):
+        raise ValueError("the runs kept there are of other data or settings")
+    left = remaining(tasks, done, keys)
+    if left.head(1):
+        recovery_runs(pairs, left, **options).withColumn("digest", F.lit(digest)).write.mode("append").parquet(path)
+    return finished_runs(spark, path).drop("digest")
+
+
 def remaining(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Tasks that are not done. Something done that is no task is an error."""
+    extra = done.select(*keys).distinct().join(tasks, keys, "left_anti")
+    if first := extra.head(1):
+        raise ValueError(f"done, but no task: {first[0].asDict()}")
     return tasks.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def expanded_tasks(families: DataFrame, cache: DataFrame) -> DataFrame:
-    """Every run of every family, and whether a cached run of the same data (equal digest) can be taken over.
+    """Every run of every family, and whether a cached run of the same data (equal digest) can be taken over; one of other data is made anew.
 
     ``families``: family, dataset, digest, distributions, seeds; ``cache``: dataset, distribution, seed, digest. Families share cached runs.
     """
@@ -110,3 +168,19 @@ def expanded_tasks(families: DataFrame, cache: DataFrame) -> DataFrame:
     known = cache.select("dataset", "distribution", "seed", "digest").distinct().withColumn("__hit", F.lit(True))
     met = tasks.join(known, ["dataset", "distribution", "seed", "digest"], "left")
     return met.select("family", "dataset", "distribution", "seed", F.when(F.col("__hit"), "reuse").otherwise("run").alias("action"))
+
+
+def family_tasks(data: DataFrame, families: dict[str, dict], seeds: dict[str, list[int]]) -> DataFrame:
+    """Tasks of all families of a study: family, partition, language, condition, dataset, digest, distributions, seeds.
+
+    ``data``: one row a dataset with kind, partition, language, condition, dataset, digest, all of the same shape. ``families`` names for each the
+    kind of its datasets, its distributions and the name of its seeds in ``seeds``.
+    """
+    out = None
+    for name, f in families.items():
+        one = data.where(F.col("kind") == f["kind"]).select(
+            F.lit(name).alias("family"), "partition", "language", "condition", "dataset", "digest",
+            F.array(*map(F.lit, f["distributions"])).alias("distributions"), F.array(*[F.lit(s).cast("long") for s in seeds[f["seeds"]]]).alias("seeds"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
