@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import stable_score
+from lexispark.operators.interventions import checked
 from lexispark.operators.matching import disjoint_pairs, optimal_matching
+from lexispark.operators.numbering import hash_prefix, numbered
 
 
 def auxiliary_terms(df: DataFrame, n: int) -> DataFrame:
@@ -16,45 +18,65 @@ def auxiliary_terms(df: DataFrame, n: int) -> DataFrame:
     return df.where((F.col("df") > 0) & (F.col("df") < n))
 
 
-def restrict(inc: DataFrame, terms: DataFrame) -> DataFrame:
-    """An incidence (doc, kw) of the chosen terms only, renumbered: ``terms``: kw, rank."""
-    return inc.join(terms.select("kw", "rank"), "kw").select("doc", F.col("rank").alias("kw"))
+def shared_terms(df: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """The k terms most frequent over all sources, of those that every source has: token, df. Fewer than k are an error.
+
+    ``df``: source, token, df (a row a source and token); ``sources``: one row, n.
+    """
+    every = df.groupBy("token").agg(F.count(F.lit(1)).alias("in"), F.sum("df").alias("df")).crossJoin(F.broadcast(sources)).where("`in` = n")  # one row
+    top = every.orderBy(F.desc("df"), "token").limit(k).select("token", "df")
+    got = top.agg(F.count(F.lit(1)).alias("got"))
+    return top.crossJoin(F.broadcast(got)).select("token", checked(F.col("df"), F.col("got") == k, "too few terms that every source has").alias("df"))
+
+
+def restrict(inc: DataFrame, terms: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """An incidence (by, doc, kw) of the chosen terms only, renumbered: ``terms``: by, kw, rank."""
+    by = by or []
+    return inc.join(F.broadcast(terms.select(*by, "kw", "rank")), [*by, "kw"]).select(*by, "doc", F.col("rank").alias("kw"))
+
+
+def shuffled(terms: DataFrame, seed: int, by: list[str] | None = None) -> DataFrame:
+    """A seeded permutation of keyword numbers: by, kw, rank (from 0). K rows a group."""
+    by = by or []
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(stable_score(seed, F.col("kw")), "kw"))
+    return terms.select(*by, "kw", (place - 1).cast("long").alias("rank"))
 
 
-def shuffled(terms: DataFrame, seed: int) -> DataFrame:
-    """A seeded permutation of keyword numbers: kw, rank (from 0)."""
-    return terms.select("kw", (F.row_number().over(Window.orderBy(stable_score(seed, F.col("kw")), "kw")) - 1).cast("long").alias("rank"))
+def _grid(df: DataFrame, by: list[str], condition: str, score) -> DataFrame:
+    """by, left, right, score of the keyword pairs that fit; K x K a group."""
+    side = lambda end, p: df.select(*by, F.col("kw").alias(end), F.col("aux").alias(f"{p}a"), F.col("client").alias(f"{p}c"))
+    a, b = side("left", "x"), side("right", "y")
+    both = a.join(b, by) if by else a.crossJoin(b)
+    return both.where("left < right").where(condition).select(*by, "left", "right", F.bround(score, 9).alias("score"))
 
 
-def _grid(df: DataFrame, condition, score) -> DataFrame:
-    a = df.select(F.col("kw").alias("left"), F.col("aux").alias("xa"), F.col("client").alias("xc"))
-    b = df.select(F.col("kw").alias("right"), F.col("aux").alias("ya"), F.col("client").alias("yc"))
-    return a.crossJoin(b).where("left < right").where(condition).select("left", "right", F.bround(score, 9).alias("score"))  # K x K
+_UNEQUAL = "xa > 0 and ya > 0 and xc > 0 and yc > 0 and xa <> ya and xc <> yc"
 
 
-def similarity_pairs(df: DataFrame, count: int, target: float) -> DataFrame:
-    """Disjoint keyword pairs whose frequencies on both sides are unequal but near enough for the target similarity.
+def similarity_pairs(df: DataFrame, count: int, target: float, by: list[str] | None = None) -> DataFrame:
+    """Disjoint keyword pairs whose frequencies on both sides are unequal but near enough for the target similarity: by, left, right, score.
 
-    ``df``: kw, aux, client. Score: the absolute log ratios of both sides, smallest first. Too few pairs are an error.
+    ``df``: by, kw, aux, client. Score: the absolute log ratios of both sides, smallest first. Too few pairs are an error.
     """
-    ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)
-    ok = "xa > 0 and ya > 0 and xc > 0 and yc > 0 and xa <> ya and xc <> yc"
-    e = _grid(df, ok, F.abs(F.ln(F.col("xa") / F.col("ya"))) + F.abs(F.ln(F.col("xc") / F.col("yc")))).join(_grid(df, ok, F.least(ratio(F.col("xa"), F.col("ya")), ratio(F.col("xc"), F.col("yc")))).withColumnRenamed("score", "low"), ["left", "right"]).where(F.col("low") >= target)
-    return _enough(disjoint_pairs(e, [F.col("score"), F.col("left"), F.col("right")], count), count)
+    near = f"{_UNEQUAL} and least(xa, ya) / greatest(xa, ya) >= {target} and least(xc, yc) / greatest(xc, yc) >= {target}"
+    return _first(_grid(df, by or [], near, F.abs(F.ln(F.col("xa") / F.col("ya"))) + F.abs(F.ln(F.col("xc") / F.col("yc")))), df, count, by or [])
 
 
-def equalisation_pairs(df: DataFrame, count: int) -> DataFrame:
-    """Disjoint pairs with unequal frequencies of even sum on both sides, the smallest relative gaps first."""
+def equalisation_pairs(df: DataFrame, count: int, by: list[str] | None = None) -> DataFrame:
+    """Disjoint pairs with unequal frequencies of even sum on both sides, the smallest relative gaps first: by, left, right, score."""
     gap = lambda x, y: F.abs(F.col(x) - F.col(y)) / (F.col(x) + F.col(y))
-    e = _grid(df, "xa > 0 and ya > 0 and xc > 0 and yc > 0 and xa <> ya and xc <> yc and (xa + ya) % 2 = 0 and (xc + yc) % 2 = 0", gap("xa", "ya") + gap("xc", "yc"))
-    return _enough(disjoint_pairs(e, [F.col("score"), F.col("left"), F.col("right")], count), count)
+    return _first(_grid(df, by or [], f"{_UNEQUAL} and (xa + ya) % 2 = 0 and (xc + yc) % 2 = 0", gap("xa", "ya") + gap("xc", "yc")), df, count, by or [])
 
 
-def _enough(pairs: DataFrame, count: int) -> DataFrame:
-    got = pairs.count()
-    if got < count:
-        raise ValueError(f"{got} disjoint pairs, {count} wanted")
-    return pairs.select("left", "right", F.col("o0").alias("score"))
+def _first(edges: DataFrame, df: DataFrame, count: int, by: list[str]) -> DataFrame:
+    """The first ``count`` disjoint pairs of each group; a group with fewer is an error."""
+    got = disjoint_pairs(edges, [F.col("score"), F.col("left"), F.col("right")], by=by)
+    top = got.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("o0", "o1", "o2"))).where(F.col("__r") <= count)
+    n = top.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    short = df.select(*by).distinct().join(n, by, "left").where(F.coalesce("n", F.lit(0)) < count) if by else n.where(F.col("n") < count)
+    if short.head(1):
+        raise ValueError(f"fewer than {count} disjoint pairs")
+    return top.select(*by, "left", "right", F.col("o0").alias("score"))
 
 
 def length_matching(left: DataFrame, right: DataFrame, max_ratio: float) -> DataFrame:
@@ -70,28 +92,49 @@ def length_matching(left: DataFrame, right: DataFrame, max_ratio: float) -> Data
     return optimal_matching(edges)
 
 
-def cooccurrence_match(inc: DataFrame, docs: DataFrame, pairs: DataFrame, budget: int, seed: int) -> DataFrame:
+def cooccurrence_match(inc: DataFrame, docs: DataFrame, pairs: DataFrame, budget: int, seed: int, by: list[str] | None = None) -> DataFrame:
     """Redraw each recipient from documents without the donor, ``budget`` times, and keep the draw whose co-occurrence profile is nearest the donor's.
 
-    Profiles leave out donor and recipient; nearness is the cosine, ties go to the first draw; the frequency stays.
-    Returns donor, recipient, draw, cosine, and the documents drawn.
+    Profiles leave out donor and recipient; nearness is the cosine (0 where a profile is empty), ties go to the first draw; the frequency
+    stays. Returns by, donor, recipient, draw, cosine, df: ``drawn_incidence`` gives the documents of the draws that were kept.
     """
-    size = inc.groupBy("kw").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("kw", "recipient")
-    own = inc.select("doc", F.col("kw").alias("donor"))
-    grid = pairs.join(size, "recipient").crossJoin(docs.select("doc")).join(own, ["doc", "donor"], "left_anti")  # pairs are a bounded list
-    drawn = grid.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))))
-    place = F.row_number().over(Window.partitionBy("donor", "recipient", "draw").orderBy(stable_score(f"{seed}:profile", F.col("donor"), F.col("recipient"), F.col("draw"), F.col("doc")), "doc"))
-    kept = drawn.withColumn("r", place).where("r <= f").select("donor", "recipient", "draw", "doc")
-    profile = kept.join(inc, "doc").where("kw <> donor and kw <> recipient").groupBy("donor", "recipient", "draw", "kw").agg(F.count(F.lit(1)).alias("x"))
-    target = pairs.join(own, "donor").join(inc, "doc").where("kw <> donor and kw <> recipient").groupBy("donor", "recipient", "kw").agg(F.count(F.lit(1)).alias("y"))
-    norm = target.groupBy("donor", "recipient").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
-    score = profile.join(target, ["donor", "recipient", "kw"], "left").groupBy("donor", "recipient", "draw").agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx")).join(norm, ["donor", "recipient"])
-    best = score.withColumn("cosine", F.col("dot") / (F.col("nx") * F.col("ny"))).groupBy("donor", "recipient").agg(F.max_by(F.struct("draw", "cosine"), F.struct("cosine", -F.col("draw"))).alias("m")).select("donor", "recipient", "m.draw", "m.cosine")
-    sets = kept.groupBy("donor", "recipient", "draw").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
-    return best.join(sets, ["donor", "recipient", "draw"])
-
-
-def pair_sample(keywords: DataFrame, n: int, seed: int) -> DataFrame:
-    """n keyword pairs without replacement, by hash rank: i, j. The grid is K x K, of which only the first n are kept."""
-    a, b = keywords.select(F.col("kw").alias("i")), keywords.select(F.col("kw").alias("j"))
-    return a.join(b, F.col("i") < F.col("j")).orderBy(stable_score(seed, F.col("i"), F.col("j")), "i", "j").limit(n)
+    by = by or []
+    pair = [*by, "donor", "recipient"]
+    kept = _draws(inc, docs, pairs, budget, seed, by)
+    own = inc.select(*by, "doc", F.col("kw").alias("donor"))
+    other = "kw <> donor and kw <> recipient"
+    profile = kept.join(inc, [*by, "doc"]).where(other).groupBy(*pair, "draw", "kw").agg(F.count(F.lit(1)).alias("x"))
+    target = F.broadcast(pairs).join(own, [*by, "donor"]).join(inc, [*by, "doc"]).where(other).groupBy(*pair, "kw").agg(F.count(F.lit(1)).alias("y"))
+    norm = target.groupBy(*pair).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
+    score = profile.join(target, [*pair, "kw"], "left").groupBy(*pair, "draw").agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    every = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(budget - 1)))).join(score, [*pair, "draw"], "left").join(norm, pair, "left")
+    cosine = F.bround(F.coalesce(F.try_divide(F.col("dot"), F.col("nx") * F.col("ny")), F.lit(0.0)), 9)
+    best = every.withColumn("cosine", cosine).groupBy(*pair).agg(F.max_by(F.struct("draw", "cosine"), F.struct("cosine", -F.col("draw"))).alias("m")).select(*pair, "m.draw", "m.cosine")
+    df = kept.groupBy(*pair, "draw").agg(F.count(F.lit(1)).alias("df"))
+    return best.join(df, [*pair, "draw"]).select(*pair, "draw", "cosine", "df")
+
+
+def _draws(inc: DataFrame, docs: DataFrame, pairs: DataFrame, budget: int, seed: int, by: list[str]) -> DataFrame:
+    """by, donor, recipient, draw, doc: as many documents without the donor as the recipient has, for each draw; ranked bucket by bucket."""
+    size = inc.groupBy(*by, "kw").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("kw", "recipient")
+    p = pairs.join(size, [*by, "recipient"])
+    own = inc.select(*by, "doc", F.col("kw").alias("donor"))
+    grid = (docs.select(*by, "doc").join(F.broadcast(p), by) if by else docs.select("doc").crossJoin(F.broadcast(p))).join(own, [*by, "doc", "donor"], "left_anti")  # pairs are a bounded list
+    drawn = grid.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(budget - 1)))).withColumn("score", stable_score(f"{seed}:profile", F.col("donor"), F.col("recipient"), F.col("draw"), F.col("doc")))
+    return numbered(drawn, "r", hash_prefix(F.col("score")), "score", "doc", within=[*by, "donor", "recipient", "draw"]).where("r < f").select(*by, "donor", "recipient", "draw", "doc")
+
+
+def drawn_incidence(inc: DataFrame, docs: DataFrame, pairs: DataFrame, best: DataFrame, budget: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """The incidence with each recipient's documents replaced by the draw that ``cooccurrence_match`` kept."""
+    by = by or []
+    new = _draws(inc, docs, pairs, budget, seed, by).join(best.select(*by, "donor", "recipient", "draw"), [*by, "donor", "recipient", "draw"]).select(*by, "doc", F.col("recipient").alias("kw"))
+    return inc.join(pairs.select(*by, F.col("recipient").alias("kw")), [*by, "kw"], "left_anti").select(*by, "doc", "kw").unionByName(new)
+
+
+def pair_sample(keywords: DataFrame, n: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """n keyword pairs a group without replacement, by hash rank: by, i, j. The grid is K x K, of which only the first n are kept."""
+    by = by or []
+    a, b = keywords.select(*by, F.col("kw").alias("i")), keywords.select(*by, F.col("kw").alias("j"))
+    grid = (a.join(b, by) if by else a.crossJoin(b)).where("i < j")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(stable_score(seed, F.col("i"), F.col("j")), "i", "j"))
+    return grid.withColumn("__r", place).where(F.col("__r") <= n).select(*by, "i", "j")

@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import sequence_sha256, tokens
 from lexispark.operators.numbering import numbered
+from lexispark.session import spread, written
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str = "lang", **options) -> DataFrame:
-    """doc_id, lang, tokens."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(group_col).alias("lang"), tokens(F.coalesce(F.col(text_col), F.lit("")), **options).alias("tokens"))
+    """doc_id, lang, tokens. Null texts have none."""
+    return spread(docs.select(id_col, text_col, group_col), id_col).select(F.col(id_col).alias("doc_id"), F.col(group_col).alias("lang"), tokens(F.coalesce(F.col(text_col), F.lit("")), **options).alias("tokens"))
+
+
+def token_sets(docs: DataFrame, **columns) -> DataFrame:
+    """Distinct tokens of each document (doc_id, lang, tokens), found once and written: for all that counts or looks up tokens more than once."""
+    tok = tokenised(docs, **columns)
+    return written(tok.select("doc_id", "lang", F.array_distinct("tokens").alias("tokens")), "tokens")
 
 
 def document_summary(tok: DataFrame) -> DataFrame:
@@ -37,9 +44,21 @@ def vocabulary(tok: DataFrame, minimum: int = 2, most: float = 0.5) -> DataFrame
     return numbered(kept.select("token", "df"), "idx", F.substring("token", 1, 2), "token").select("idx", "token", "df")
 
 
-def top_keywords(tok: DataFrame, k: int, support: Column | None = None) -> DataFrame:
-    """The k tokens of each language with the highest df, ties by code point: lang, rank (from 0), token, df."""
-    df = document_frequency(tok)
+def top_keywords(tok: DataFrame, k: int, support: Column | None = None, auxiliary: Column | None = None) -> DataFrame:
+    """The k tokens of each language with the highest df, ties by code point: lang, rank (from 0), token, df.
+
+    ``support``: a condition on df. ``auxiliary``: a condition on the documents that divides them; a token must then be in some but not all
+    documents of either side.
+    """
+    if auxiliary is None:
+        df = document_frequency(tok)
+    else:
+        a = F.coalesce(auxiliary, F.lit(False)).cast("long")
+        sided = tok.select("doc_id", "lang", "tokens", a.alias("a"))
+        n = sided.groupBy(F.col("lang").alias("__l")).agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nc"))
+        per = sided.select("lang", "a", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("lang", "token").agg(F.sum("a").alias("xa"), F.sum(1 - F.col("a")).alias("xc"))
+        inner = (F.col("xa") > 0) & (F.col("xa") < F.col("na")) & (F.col("xc") > 0) & (F.col("xc") < F.col("nc"))
+        df = per.join(F.broadcast(n), F.col("lang").eqNullSafe(F.col("__l"))).where(inner).select("lang", "token", (F.col("xa") + F.col("xc")).alias("df"))  # a row a language
     if support is not None:
         df = df.where(support)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token"))
@@ -48,7 +67,8 @@ def top_keywords(tok: DataFrame, k: int, support: Column | None = None) -> DataF
 
 def incidence(tok: DataFrame, keywords: DataFrame) -> DataFrame:
     """lang, doc_id, rank: one row for each document and keyword that it holds."""
-    return occurrences(tok).join(keywords.select("lang", "token", "rank"), ["lang", "token"]).select("lang", "doc_id", "rank")
+    few = keywords.select(F.col("lang").alias("__l"), F.col("token").alias("__t"), "rank")
+    return occurrences(tok).join(F.broadcast(few), F.col("lang").eqNullSafe(F.col("__l")) & (F.col("token") == F.col("__t"))).select("lang", "doc_id", "rank")  # K rows a language
 
 
 def export_documents(tok: DataFrame, keywords: DataFrame) -> DataFrame:

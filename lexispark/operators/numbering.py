@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, name: str, bucket: Column, *order: Column | str) -> DataFrame:
-    """Adds ``name``: each row's place in the order of ``order``.
+def numbered(rows: DataFrame, name: str, bucket: Column, *order: Column | str, within: list[str] | None = None) -> DataFrame:
+    """Adds ``name``: each row's place in the order of ``order``, from 0, among all rows or ``within`` groups.
 
     ``bucket`` is not null and never falls as the order rises, such as a prefix of the first key: rows are numbered within their bucket
     and moved up by the sizes of the buckets before it. What is summed in one task is one row a bucket.
     """
+    within = within or []
     b = rows.withColumn("__b", bucket)
-    sizes = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__s"))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    return b.withColumn(name, place).join(starts, "__b").withColumn(name, (F.col(name) + F.col("__s")).cast("long")).drop("__b", "__s")
+    sizes = b.groupBy(*within, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(within)], F.col("__b").alias("__c"), (F.sum("__n").over(Window.partitionBy(*within).orderBy("__b")) - F.col("__n")).alias("__s"))
+    place = F.row_number().over(Window.partitionBy(*within, "__b").orderBy(*order)) - 1
+    same = F.col("__b") == F.col("__c")
+    for i, c in enumerate(within):
+        same &= F.col(c).eqNullSafe(F.col(f"__w{i}"))
+    return b.withColumn(name, place).join(starts, same).withColumn(name, (F.col(name) + F.col("__s")).cast("long")).select(*rows.columns, *([name] if name not in rows.columns else []))
 
 
 def hash_prefix(score: Column) -> Column:

@@ -119,17 +119,18 @@ def record_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.record_url(F.col("url"), F.lit("en"), split).alias("record_url"))
 
 
-@query(f"WITH {ex._EN}, k AS (SELECT DISTINCT kw FROM e) SELECT a.kw AS i, b.kw AS j FROM k a JOIN k b ON a.kw < b.kw ORDER BY sha256('9' || chr(10) || a.kw || chr(10) || b.kw), a.kw, b.kw LIMIT 100")
+@query(f"WITH {ex._ALL}, k AS (SELECT DISTINCT lang, kw FROM e) SELECT a.lang, a.kw AS i, b.kw AS j FROM k a JOIN k b ON a.lang = b.lang AND a.kw < b.kw QUALIFY row_number() OVER (PARTITION BY a.lang ORDER BY sha256('9' || chr(10) || a.kw || chr(10) || b.kw), a.kw, b.kw) <= 100")
 def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controls.pair_sample(ex._english(spark, sf_dir)[1].select("kw").distinct(), 100, 9)
+    return controls.pair_sample(ex.by_language(spark, sf_dir)[1].select("lang", "kw").distinct(), 100, 9, ex.BY)
 
 
-@query(f"""WITH {ex._EN}, r AS (SELECT doc, kw FROM e WHERE NOT (kw % 2 = 1 AND kw < 10) UNION ALL SELECT doc, kw + 1 FROM e WHERE kw % 2 = 0 AND kw < 10), p AS (SELECT 2 * i AS donor, 2 * i + 1 AS recipient FROM range(5) t(i)),
-       s AS (SELECT donor, recipient, (SELECT count(*) FROM r WHERE kw = donor) AS x, (SELECT count(*) FROM r WHERE kw = recipient) AS y, (SELECT count(*) FROM e WHERE kw = recipient) AS old, (SELECT count(*) FROM r a JOIN r b ON a.doc = b.doc WHERE a.kw = donor AND b.kw = recipient) AS n FROM p)
-       SELECT donor, recipient, n = x AND n = y AS identical, y = old AS preserved_df, x = y AS equal_df, n = 0 AS disjoint FROM s""")
+@query(f"""WITH {ex._ALL}, {ex._COLLIDED}, p AS (SELECT DISTINCT lang, 2 * i AS donor, 2 * i + 1 AS recipient FROM documents, range(5) t(i)),
+       s AS (SELECT lang, donor, recipient, (SELECT count(*) FROM r WHERE r.lang = p.lang AND kw = donor) AS x, (SELECT count(*) FROM r WHERE r.lang = p.lang AND kw = recipient) AS y, (SELECT count(*) FROM e WHERE e.lang = p.lang AND kw = recipient) AS old, (SELECT count(*) FROM r a JOIN r b ON a.lang = b.lang AND a.doc = b.doc WHERE a.lang = p.lang AND a.kw = donor AND b.kw = recipient) AS n FROM p)
+       SELECT lang, donor, recipient, n = x AND n = y AS identical, y = old AS preserved_df, x = y AS equal_df, n = 0 AS disjoint FROM s""")
 def intervention_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, pairs = ex._english(spark, sf_dir)[1], ex._pairs(spark, 5)
-    return iv.invariants(before, iv.collide(before, pairs), pairs)
+    docs, before = ex.by_language(spark, sf_dir)
+    pairs = ex.pairs_of(docs, 0, 5)
+    return iv.invariants(before, iv.collide(before, pairs, ex.BY), pairs, ex.BY)
 
 
 _SEED = "sha256(family || ':' || dataset || ':' || distribution || ':' || seed)"

@@ -2,7 +2,7 @@
 
 PATTERN = r"(?:[\p{L}\p{M}\p{Nd}]*[\p{L}\p{M}]['’](?:(?:[\p{L}\p{M}][\p{L}\p{M}\p{Nd}]*)?[\p{L}\p{M}]['’])*[\p{L}\p{M}][\p{L}\p{M}\p{Nd}]*)|[\p{L}\p{M}\p{Nd}]+".replace("'", "''")
 #: tok(doc_id, lang, t)
-TOK = rf"""tok AS (SELECT doc_id, lang, list_filter(list_transform(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '{PATTERN}'), lambda x: replace(x, '’', '''')),
+TOK = rf"""tok AS (SELECT doc_id, lang, list_filter(list_transform(regexp_extract_all(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '{PATTERN}'), lambda x: replace(x, '’', '''')),
     lambda x: length(regexp_replace(x, '[^\p{{L}}\p{{M}}]', '', 'g')) >= 2) AS t FROM documents)"""
 #: occ(doc_id, lang, token), freq(lang, token, df)
 FREQ = f"""{TOK}, occ AS (SELECT doc_id, lang, unnest(list_distinct(t)) AS token FROM tok), freq AS (SELECT lang, token, count(*) AS df FROM occ GROUP BY ALL)"""

@@ -9,15 +9,17 @@ from lexispark.operators import incidence as inc
 from lexispark.operators import structure as sx
 from lexispark.plans import oracle
 from lexispark.registry import query, table
+from lexispark.session import written
 
 K = 60
 
 
 def parts(spark: SparkSession, sf_dir: str, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, keywords and incidence."""
-    tok = inc.tokenised(table(spark, sf_dir, "documents"))
-    kw = inc.top_keywords(tok, k)
-    return tok.select("doc_id", "lang"), kw, inc.incidence(tok, kw)
+    """Documents, keywords and incidence. Texts are tokenised once: their tokens are written, and so are the K keywords a language."""
+    docs = table(spark, sf_dir, "documents")
+    tok = inc.token_sets(docs)
+    kw = written(inc.top_keywords(tok, k), "keywords")
+    return docs.select("doc_id", "lang"), kw, inc.incidence(tok, kw)
 
 
 @query(f"""WITH {oracle.keywords(K)}, l AS (SELECT d.lang, d.doc_id, count(rank) AS n FROM documents d LEFT JOIN inc USING (doc_id) GROUP BY ALL),
@@ -67,7 +69,7 @@ def jaccard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN d ON d.lang = x.lang AND d.i = x.rank AND d.j = y.rank LEFT JOIN m mx ON mx.lang = x.lang AND mx.i = x.rank LEFT JOIN m my ON my.lang = x.lang AND my.i = y.rank""")
 def cooccurrence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, kw, i = parts(spark, sf_dir)
-    return sx.cooccurrence_cosine(kw, sx.cooccurrence(i)).withColumn("cosine", F.round("cosine", 6))
+    return sx.cooccurrence_cosine(kw, written(sx.cooccurrence(i), "pairs")).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"""WITH {oracle.cooc(K)}, s AS (SELECT doc_id, lang, doc_id % 3 = 0 AS a FROM documents), n AS (SELECT lang, sum(CAST(a AS INT)) AS na, sum(CAST(NOT a AS INT)) AS nb FROM s GROUP BY lang),

@@ -1,16 +1,56 @@
-"""Session-level helper of the iterative operators."""
+"""Session-level helpers: the shared folder, cut lineages, tables spread over the cores."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+
+#: a table smaller than this for each core may stand in a single block of its file, which one task would read
+SMALL_SHARE = 8 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of our own on a local master, an error on any other."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder, and the executors share none with the driver")
+        place = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
+def temporary(spark: SparkSession, path: str) -> None:
+    """The files of this path, which exists, go when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The result may be read until the application ends; then the files go.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexispark/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    temporary(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir`` (one of our own where unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="lexispark-"))
-    return df.checkpoint()
+    """``written``, for the states of iterative operators."""
+    return written(df, "state")
+
+
+def spread(df: DataFrame, *by: Column | str) -> DataFrame:
+    """A small table dealt over all cores before heavy work on its rows; a table that is large for the cores stays as it is.
+
+    The decision is by the size of its files alone: what one core would read of a large table is many blocks of its files.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *by) if size < cores * SMALL_SHARE else df
