@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import tokens
-
-STATUS = ("enabled", "disabled", "pending")
-PERMISSION = ("granted", "not_required", "pending", "denied")
-STORAGE = ("full_text", "metadata_only", "none")
+from lexispark.functions.text import nfc, tokens
+
+# what fields of a source may hold (fixed values)
+STATUS = ("approved", "candidate", "excluded")
+PERMISSION = ("approved", "permission_required", "excluded")
+STORAGE = ("full_text", "derived_only", "none")
+KIND = ("publisher", "archive", "synthetic")
+REDISTRIBUTION = ("full_text", "metadata_only", "none")
+SOURCE_FIELDS = (
+    "source_id", "name", "source_kind", "base_url", "allowed_hosts", "languages", "status", "permission_status", "storage_mode", "redistribution_mode", "robots_url", "terms_url",
+    "robots_review", "project_authorisation", "permission_evidence", "parser_id", "review_note", "minimum_request_interval_seconds",
+)
+RECORD_FIELDS = (
+    "schema_version", "record_id", "source_id", "document_type", "language", "canonical_url", "retrieved_at", "title", "body", "content_sha256", "normalised_text_sha256", "provenance", "rights", "processing",
+)
+DUPLICATE_STATUS = ("unique", "exact", "near")
+_HEX = "^[a-f0-9]{64}$"
+
+
+def missing_fields(df: DataFrame, fields: tuple[str, ...]) -> list[str]:
+    """Fields that a table lacks, sorted."""
+    return sorted(set(fields) - set(df.columns))
 
 
 def errors(checks: list[tuple[str, Column]]) -> Column:
@@ -17,29 +34,56 @@ def errors(checks: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]))
 
 
-def source_errors(hosts: str = "allowed_hosts") -> Column:
+def _some(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))) > 0
+
+
+def source_errors() -> Column:
+    """Checks of a manifest entry with all ``SOURCE_FIELDS`` (robots_review: struct with collection_allowed, project_authorisation: struct with status)."""
+    approved = F.col("status") == "approved"
+    unless = lambda ok: ~approved | F.coalesce(ok, F.lit(False))
+    host = F.lower(F.parse_url("base_url", F.lit("HOST")))
+    authorised = F.col("project_authorisation")
     return errors([
-        ("source_id", F.length("source_id") > 0), ("status", F.col("status").isin(*STATUS)), ("permission", F.col("permission").isin(*PERMISSION)), ("storage", F.col("storage").isin(*STORAGE)),
-        ("unique_hosts", F.size(F.array_distinct(hosts)) == F.size(hosts)), ("base_host", F.array_contains(F.col(hosts), F.lower(F.parse_url(F.col("base_url"), F.lit("HOST"))))),
-        ("evidence", (F.col("permission") != "granted") | F.col("evidence").isNotNull()),
+        ("source_kind", F.col("source_kind").isin(*KIND)), ("status", F.col("status").isin(*STATUS)), ("permission_status", F.col("permission_status").isin(*PERMISSION)), ("storage_mode", F.col("storage_mode").isin(*STORAGE)),
+        ("redistribution_mode", F.col("redistribution_mode").isin(*REDISTRIBUTION)), ("allowed_hosts", (F.size("allowed_hosts") > 0) & (F.size(F.array_distinct("allowed_hosts")) == F.size("allowed_hosts"))),
+        ("base_host", F.array_contains("allowed_hosts", host)), ("interval", F.col("minimum_request_interval_seconds") >= 0), ("authorisation_status", authorised.isNull() | F.coalesce(authorised["status"] == "approved", F.lit(False))),
+        ("authorisation", unless(authorised.isNotNull())), ("permission", unless(F.col("permission_status") == "approved")), ("storage", unless(F.col("storage_mode") != "none")),
+        ("evidence", unless(_some(F.col("permission_evidence")))), ("parser", unless(_some(F.col("parser_id")))),
+        ("robots", ~approved | F.coalesce(F.col("source_kind") != "publisher", F.lit(True)) | F.coalesce(F.col("robots_review")["collection_allowed"], F.lit(False))),
     ])
 
 
-def gate(url: str, language: str) -> Column:
-    """The first reason against taking a page from its source, or null. Columns: status, permission, storage, languages, allowed_hosts, parser."""
+def gate(url: str, language: str, parsers: tuple[str, ...] | None = None) -> Column:
+    """The first reason against taking a page from its source, or null. Columns: those of ``source_errors`` and __known (null without a manifest entry)."""
+    from lexispark.functions.web import PARSERS
+
     host = F.lower(F.parse_url(F.col(url), F.lit("HOST")))
     return (
-        F.when(F.col("status").isNull(), "unknown_source").when(F.col("status") != "enabled", "source_not_enabled").when(~F.col("permission").isin("granted", "not_required"), "permission_missing")
-        .when(F.col("storage") == "none", "storage_forbidden").when(~F.array_contains(F.col("languages"), F.col(language)), "language_not_listed").when(host.isNull() | ~F.array_contains(F.col("allowed_hosts"), host), "host_not_allowed").when(F.col("parser").isNull(), "parser_missing")
+        F.when(F.col("__known").isNull(), "unknown_source").when(F.size(source_errors()) > 0, "invalid_source").when(F.col("status") != "approved", "source_disabled")
+        .when(F.col("permission_status") != "approved", "permission_missing").when(F.col("storage_mode") != "full_text", "storage_forbidden")
+        .when(~F.coalesce(F.array_contains("languages", F.col(language)), F.lit(False)), "language_not_listed").when(~F.coalesce(F.array_contains("allowed_hosts", host), F.lit(False)), "host_not_allowed")
+        .when(~F.coalesce(F.col("parser_id").isin(*(PARSERS if parsers is None else parsers)), F.lit(False)), "parser_missing")
     )
 
 
-def record_errors(body: str = "body", digest: str = "content_sha256") -> Column:
-    """Checks of a record: identifiers, hashes recomputed, address without a fragment, enumerations."""
-    return errors([
-        ("record_id", F.col("record_id").rlike("^[0-9a-f]{64}$")), ("language", F.col("language").isin("en", "fr", "de", "es")), ("title", F.length(F.trim("title")) > 0), ("body", F.length(F.trim(F.col(body))) > 0),
-        ("content_sha256", F.col(digest) == F.sha2(F.col(body), 256)), ("canonical_url", F.col("canonical_url").rlike("^https?://") & ~F.contains("canonical_url", F.lit("#"))), ("control", ~F.col(body).rlike("[\\x00-\\x08\\x0E-\\x1F]")),
-    ])
+def record_errors(df: DataFrame, languages: tuple[str, ...] = ("en", "lus"), require_duplicate: bool = False) -> Column:
+    """Checks of a normalised record: version, kind, language, digests and that of the body, normal forms, address, rights, duplicate annotation."""
+    if lacking := missing_fields(df, RECORD_FIELDS):
+        return F.array(*[F.lit(f"missing:{f}") for f in lacking])
+    hexed = [(f, F.col(f).rlike(_HEX)) for f in ("record_id", "content_sha256", "normalised_text_sha256")]
+    address = F.col("canonical_url").rlike("^https?://[^/?#]+") & ~F.contains("canonical_url", F.lit("#"))
+    checks = [
+        ("schema_version", F.col("schema_version") == "1.0.0"), ("document_type", F.col("document_type").isin("article", "parallel_text_block")), ("language", F.col("language").isin(*languages)), *hexed,
+        ("body_digest", F.col("content_sha256") == F.sha2(F.coalesce("body", F.lit("")), 256)), ("title_nfc", nfc(F.coalesce("title", F.lit(""))) == F.coalesce("title", F.lit(""))), ("body_nfc", nfc(F.coalesce("body", F.lit(""))) == F.coalesce("body", F.lit(""))),
+        ("canonical_url", address), ("rights", (F.col("rights")["permission_status"] == "approved") & (F.col("rights")["storage_mode"] == "full_text")),
+    ]
+    if "duplicate" in df.columns:
+        d = F.col("duplicate")
+        checks += [("duplicate", d.isNotNull() | F.lit(not require_duplicate)), ("duplicate_status", d.isNull() | d["status"].isin(*DUPLICATE_STATUS)), ("duplicate_canonical", d.isNull() | F.coalesce(d["canonical_record_id"].rlike(_HEX), F.lit(False)))]
+    elif require_duplicate:
+        checks.append(("duplicate", F.lit(False)))
+    return errors(checks)
 
 
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -79,6 +123,19 @@ def export_errors(k: int, keywords: str = "keywords") -> Column:
     return errors([("order", F.col(keywords) == F.array_sort(F.array_distinct(keywords))), ("range", F.forall(keywords, lambda x: (x >= 0) & (x < k)))])
 
 
+def split_errors(documents: DataFrame, split: DataFrame, key: str, disjoint: bool = True) -> DataFrame:
+    """What is wrong with an export's identifiers and split, one row a key and reason.
+
+    A key that occurs twice among the documents, a split entry without a document, one named twice on a side, or (if the split must be ``disjoint``)
+    on both. ``split``: key, side.
+    """
+    per = documents.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    sides = split.groupBy(key, "side").agg(F.count(F.lit(1)).alias("__k")).groupBy(key).agg(F.max("__k").alias("__most"), F.count(F.lit(1)).alias("__sides"))
+    both = per.join(sides, key, "full_outer")
+    why = [("repeated", F.col("__n") > 1), ("unknown", F.col("__n").isNull()), ("named_twice", F.col("__most") > 1), ("overlap", (F.col("__sides") > 1) & F.lit(disjoint))]
+    return both.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in why]))).alias("reason"))
+
+
 def stopword_errors(languages: list[str]) -> Column:
     """Checks of a stopword entry. Columns: language, token, decision, reviewed_by, n (entries of the same language and token)."""
     return errors([
