@@ -28,6 +28,23 @@ def ordered(rules: list[Rule]) -> list[Rule]:
     return sorted(rules, key=lambda r: (r.priority, -len(r.suffix), r.suffix))
 
 
+# the one algorithm that a specification of each language may name (fixed values)
+ALGORITHMS = {"en": "snowball_english", "lus": "suffix_strip_v1"}
+
+
+def validate_specification(spec: dict, language: str, scope: str) -> list[str]:
+    """What is wrong with a stemmer's specification: language, scope, status, review, algorithm, and its rules."""
+    checks = [
+        ("language", spec.get("language") == language), ("scope", spec.get("scope") == scope), ("status", spec.get("status") == "approved"), ("review", bool(spec.get("reviewed_by") and spec.get("reviewed_at"))),
+        ("algorithm", language not in ALGORITHMS or spec.get("algorithm") == ALGORITHMS[language]),
+    ]
+    return [name for name, ok in checks if not ok] + validate_rules(rules_of(spec))
+
+
+def rules_of(spec: dict) -> list[Rule]:
+    return [Rule(r["suffix"], r.get("replacement", ""), int(r["minimum_stem_letter_count"]), int(r["priority"]), tuple(r.get("exceptions", ()))) for r in spec.get("rules", [])]
+
+
 def validate_rules(rules: list[Rule]) -> list[str]:
     """What is wrong with a rule list; empty if nothing is."""
     wrong = []
@@ -43,8 +60,8 @@ def validate_rules(rules: list[Rule]) -> list[str]:
     return wrong
 
 
-def suffix_stem(token: Column, rules: list[Rule]) -> Column:
-    """The first rule that fits, once: a chain of WHENs built from the rules."""
+def suffix_stem(token: Column, rules: list[Rule], original: Column | None = None) -> Column:
+    """The first rule that fits, once: a chain of WHENs built from the rules. A word is excepted as it is and, if given, as it came."""
     letters = lambda x: F.length(F.regexp_replace(x, "[^\\p{L}\\p{M}]", ""))
     out = None
     for r in ordered(rules):
@@ -52,16 +69,19 @@ def suffix_stem(token: Column, rules: list[Rule]) -> Column:
         fits = token.endswith(r.suffix) & (letters(rest) >= r.minimum)
         if r.exceptions:
             fits &= ~token.isin(*r.exceptions)
+            if original is not None:
+                fits &= ~original.isin(*r.exceptions)
         out = F.when(fits, rest) if out is None else out.when(fits, rest)
     return token if out is None else out.otherwise(token)
 
 
 def repeated_suffix_stem(token: Column, rules: list[Rule]) -> Column:
-    """``suffix_stem`` until nothing changes; every rule shortens, so as many steps as the word is long reach that."""
-    if any(len(r.replacement) >= len(r.suffix) for r in rules):
+    """``suffix_stem`` until nothing changes; every rule shortens, so as many steps as the word is long reach that. Exceptions hold
+    for the word as it came and as it is."""
+    if any(not r.suffix or len(r.replacement) >= len(r.suffix) for r in rules):
         raise ValueError("every rule must shorten the word")
     # a fold, so that the chain of rules stands in the plan once
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token))), token, lambda now, _: suffix_stem(now, rules))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token))), token, lambda now, _: suffix_stem(now, rules, token))
 
 
 def _rests(rules: list[Rule], letters_only: bool):

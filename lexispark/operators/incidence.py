@@ -91,10 +91,16 @@ def remove_stopwords(tok: DataFrame, stopwords: dict[str, list[str]]) -> DataFra
 
 def apply_stems(tok: DataFrame, stem) -> DataFrame:
     """Stem the distinct vocabulary, join back, keep the order: doc_id, lang, tokens, changed. An empty stem is an error."""
+    words = tok.select("lang", F.explode("tokens").alias("token")).distinct()
+    return apply_stem_table(tok, words.withColumn("stem", stem(F.col("token"))))
+
+
+def apply_stem_table(tok: DataFrame, stems: DataFrame) -> DataFrame:
+    """``apply_stems`` by a table (lang, token, stem) of the whole vocabulary."""
     flat = tok.select("doc_id", "lang", F.posexplode("tokens").alias("pos", "token"))
-    stems = flat.select("lang", "token").distinct().withColumn("stem", stem(F.col("token")))
-    stems = stems.withColumn("stem", F.when(F.col("stem") == "", F.raise_error(F.lit("empty stem")).cast("string")).otherwise(F.col("stem")))
-    done = flat.join(stems, ["lang", "token"]).groupBy("doc_id", "lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stem"))), lambda s: s["stem"]).alias("tokens"), F.sum((F.col("stem") != F.col("token")).cast("long")).alias("changed"))
+    stems = stems.select(F.col("lang").alias("__l"), F.col("token").alias("__t"), F.when(F.col("stem") == "", F.raise_error(F.lit("empty stem")).cast("string")).otherwise(F.col("stem")).alias("stem"))
+    met = flat.join(stems, F.col("lang").eqNullSafe(F.col("__l")) & (F.col("token") == F.col("__t")))
+    done = met.groupBy("doc_id", "lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stem"))), lambda s: s["stem"]).alias("tokens"), F.sum((F.col("stem") != F.col("token")).cast("long")).alias("changed"))
     empty = tok.where(F.size("tokens") == 0).select("doc_id", "lang", "tokens", F.lit(0).cast("long").alias("changed"))
     return done.unionByName(empty)
 

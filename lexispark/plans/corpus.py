@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import stemming as st
 from lexispark.functions import text as tx
+from lexispark.functions import udtf
+from lexispark.operators import conditions, controls
 from lexispark.operators import incidence as inc
+from lexispark.operators.numbering import numbered
 from lexispark.plans import oracle
 from lexispark.registry import query, table
+from lexispark.session import spread, written
 
 STOP = {"en": ["the", "of", "and", "to", "in", "is", "that"], "fr": ["le", "la", "de", "un", "une", "et"], "de": ["der", "die", "das", "und", "ist"], "es": ["el", "la", "de", "que", "los"]}
 MARKERS = ["the", "un", "der", "los"]
@@ -20,11 +24,17 @@ def _tok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.tokenised(table(spark, sf_dir, "documents"))
 
 
-def _sql_rules() -> str:
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tokens, written: for queries that use them more than once."""
+    return inc.token_sets(table(spark, sf_dir, "documents"))
+
+
+def _sql_rules(also: str | None = None) -> str:
     whens = []
     for r in st.ordered(RULES):
         rest = f"substr(token, 1, length(token) - {len(r.suffix)}) || '{r.replacement}'"
-        no = " AND token NOT IN (" + ", ".join(f"'{x}'" for x in r.exceptions) + ")" if r.exceptions else ""
+        names = ", ".join(f"'{x}'" for x in r.exceptions)
+        no = "".join(f" AND {c} NOT IN ({names})" for c in ("token", also) if c) if r.exceptions else ""
         whens.append(f"WHEN ends_with(token, '{r.suffix}') AND length(regexp_replace({rest}, '[^\\p{{L}}\\p{{M}}]', '', 'g')) >= {r.minimum}{no} THEN {rest}")
     return "CASE " + " ".join(whens) + " ELSE token END"
 
@@ -52,7 +62,7 @@ def vocabulary_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {oracle.keywords(100)}, l AS (SELECT doc_id, list_sort(list(rank)) AS r FROM inc GROUP BY doc_id)
        SELECT doc_id, lang, CAST(coalesce(len(r), 0) AS BIGINT) AS n, coalesce(array_to_string(r, ','), '') AS keywords FROM tok LEFT JOIN l USING (doc_id)""")
 def export_keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = _tok(spark, sf_dir)
+    tok = _sets(spark, sf_dir)
     out = inc.export_documents(tok, inc.top_keywords(tok, 100))
     return out.select("doc_id", "lang", F.size("keywords").cast("long").alias("n"), F.array_join("keywords", ",").alias("keywords"))
 
@@ -61,8 +71,8 @@ def export_keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT lang, docs, tokens, count(*) AS types, CAST(sum(df) AS BIGINT) AS incidences, CAST(sum(CASE WHEN df = 1 THEN 1 ELSE 0 END) AS BIGINT) AS single, round(sum(df) / (docs * count(*)), 9) AS density
        FROM freq JOIN t USING (lang) GROUP BY lang, docs, tokens""")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = _tok(spark, sf_dir)
-    per = tok.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("tokens").cast("long")).alias("tokens"))
+    tok = written(_tok(spark, sf_dir).select("doc_id", "lang", F.size("tokens").cast("long").alias("n"), F.array_distinct("tokens").alias("tokens")), "tokens")
+    per = tok.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
     df = inc.document_frequency(tok).groupBy("lang").agg(F.count(F.lit(1)).alias("types"), F.sum("df").alias("incidences"), F.sum((F.col("df") == 1).cast("long")).alias("single"))
     return per.join(df, "lang").withColumn("density", F.round(F.col("incidences") / (F.col("docs") * F.col("types")), 9))
 
@@ -84,7 +94,7 @@ def stopword_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY df DESC, token) AS place, token, df, round(df / docs, 9) AS ratio FROM freq JOIN n USING (lang) QUALIFY place <= 200""")
 def stopword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = _tok(spark, sf_dir)
-    n = tok.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    n = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     top = inc.top_keywords(tok, 200)
     return top.join(n, "lang").select("lang", (F.col("rank") + 1).alias("place"), "token", "df", F.round(F.col("df") / F.col("docs"), 9).alias("ratio"))
 
@@ -94,8 +104,8 @@ def suffix_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.document_frequency(_tok(spark, sf_dir)).select("lang", "token", st.suffix_stem(F.col("token"), RULES).alias("stem"))
 
 
-@query(f"""WITH RECURSIVE {oracle.FREQ}, s AS (SELECT lang, token AS first, token, 0 AS step FROM freq UNION ALL SELECT lang, first, {_sql_rules()} AS token, step + 1 FROM s WHERE step < 6)
-       SELECT lang, first AS token, token AS stem FROM s WHERE step = 6""")
+@query(f"""WITH RECURSIVE {oracle.FREQ}, s AS (SELECT lang, token AS first, token, '' AS was, 0 AS step FROM freq UNION ALL SELECT lang, first, {_sql_rules("first")} AS token, token AS was, step + 1 FROM s WHERE token <> was)
+       SELECT lang, first AS token, token AS stem FROM s QUALIFY row_number() OVER (PARTITION BY lang, first ORDER BY step DESC) = 1""")
 def repeated_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.document_frequency(_tok(spark, sf_dir)).select("lang", "token", st.repeated_suffix_stem(F.col("token"), RULES).alias("stem"))
 
@@ -106,29 +116,66 @@ def stem_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.stem_groups(inc.document_frequency(_tok(spark, sf_dir)), st.suffix_stem(F.col("token"), RULES))
 
 
+TOKENISER = {"config_version": "1.0.0", "unicode_form": "NFC", "indexed_fields": ["title", "body"], "casefold": True, "minimum_letter_count": 2, "minimum_document_frequency": 3, "maximum_document_frequency_ratio": 0.4}
+
+
 @query()
 def english_stem_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inc.apply_stems(_tok(spark, sf_dir).where("lang = 'en'"), st.english_stems)
-    return out.select("doc_id", "changed", F.size("tokens").cast("long").alias("token_count"), tx.sequence_sha256(F.col("tokens")).alias("token_sequence_sha256"))
+    """Documents with English stopwords removed and English words stemmed; those of other languages stay as they are."""
+    c = conditions.Condition(TOKENISER | {"indexed_fields": ["body"]}, {"en": set(STOP["en"])}, {"en": lambda word, known: st.english_stems(word)})
+    out = c.documents(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("body")), "doc_id"))
+    return out.select("doc_id", "lang", "removed", "changed", F.size("tokens").cast("long").alias("token_count"), tx.sequence_sha256(F.col("tokens")).alias("token_sequence_sha256"))
 
 
-@query()
+_STEM_ANY = f"CASE lang WHEN 'en' THEN ({_sql_rules()}) WHEN 'de' THEN ({_sql_rules()}) ELSE token END"
+
+
+@query(f"""WITH {oracle.TOK}, k AS (SELECT doc_id, lang, unnest(list_filter(t, lambda x: NOT list_contains({_STOP_SQL}, x))) AS token FROM tok), s AS (SELECT DISTINCT doc_id, {_STEM_ANY} AS stem FROM k), v AS (SELECT stem AS token, count(*) AS df FROM s GROUP BY stem)
+       SELECT row_number() OVER (ORDER BY token) - 1 AS idx, token, df FROM v WHERE df >= 3 AND df <= 0.4 * (SELECT count(*) FROM documents)""")
+def condition_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of a whole condition: tokens, less stopwords, stemmed by rules in two languages, within bounds of frequency."""
+    rule = lambda word, known: st.suffix_stem(word, RULES)
+    c = conditions.Condition(TOKENISER | {"indexed_fields": ["body"]}, {k: set(v) for k, v in STOP.items()}, {"en": rule, "de": rule})
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("body")), "doc_id")
+    return c.vocabulary(written(c.documents(docs), "condition"))
+
+
+_GUARDED = ("s", "e")
+
+
+def _sql_guarded() -> str:
+    whens = []
+    for r in st.ordered(RULES):
+        rest = f"substr(token, 1, length(token) - {len(r.suffix)})"
+        no = " AND token NOT IN (" + ", ".join(f"'{x}'" for x in r.exceptions) + ")" if r.exceptions else ""
+        known = " AND w IS NOT NULL" if r.suffix in _GUARDED else ""
+        whens.append(f"WHEN ends_with(token, '{r.suffix}') AND length(regexp_replace({rest}, '[^\\p{{L}}]', '', 'g')) >= {r.minimum}{no}{known} THEN {rest}")
+    return "CASE " + " ".join(whens) + " ELSE token END"
+
+
+@query(f"""WITH RECURSIVE {oracle.TOK}, words AS (SELECT DISTINCT unnest(t) AS token FROM tok), s AS (SELECT token AS first, token, '' AS was, 0 AS step FROM words
+       UNION ALL SELECT first, {_sql_guarded()} AS token, token AS was, step + 1 FROM (SELECT s.*, x.token AS w FROM s LEFT JOIN words x ON x.token = substr(s.token, 1, length(s.token) - 1) WHERE s.token <> was))
+       SELECT first AS token, token AS stem FROM s QUALIFY row_number() OVER (PARTITION BY first ORDER BY step DESC) = 1""")
 def guarded_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guarded suffixes need a candidate among all words; candidates are joined with the vocabulary."""
-    words = inc.document_frequency(_tok(spark, sf_dir), []).select("token")
-    guarded = frozenset({"s", "e"})
+    words = written(inc.document_frequency(_tok(spark, sf_dir), []).select("token"), "words")
+    guarded = frozenset(_GUARDED)
     asked = words.select("token", F.explode(st.guarded_candidates(RULES, guarded, letters_only=True)(F.col("token"))).alias("candidate"))
-    known = asked.join(words.withColumnRenamed("token", "candidate"), "candidate", "left_semi").groupBy("token").agg(F.collect_set("candidate").alias("known"))
+    known = asked.join(words.withColumnRenamed("token", "candidate"), "candidate", "left_semi").groupBy("token").agg(F.collect_set("candidate").alias("known"))  # a word's length at most
     stem = st.guarded_stemmer(RULES, guarded, letters_only=True)
     return words.join(known, "token", "left").select("token", stem(F.col("token"), F.col("known")).alias("stem"))
 
 
-@query(f"""WITH {oracle.FREQ}, s AS (SELECT lang, token, {_sql_rules()} AS a FROM freq), t AS (SELECT lang, token AS word, a, a AS token FROM s)
-       SELECT lang, word AS token, a AS once, {_sql_rules()} AS twice FROM t WHERE {_sql_rules()} <> a""")
+@query(f"""WITH RECURSIVE {oracle.FREQ}, s AS (SELECT lang, token AS first, token, '' AS was, 0 AS step FROM freq UNION ALL SELECT lang, first, {_sql_rules("first")} AS token, token AS was, step + 1 FROM s WHERE token <> was),
+       r AS (SELECT lang, first, token AS repeated FROM s QUALIFY row_number() OVER (PARTITION BY lang, first ORDER BY step DESC) = 1), o AS (SELECT lang, token, {_sql_rules()} AS once FROM freq), t AS (SELECT lang, token AS word, once, once AS token FROM o), w AS (SELECT lang, word, once, {_sql_rules()} AS twice FROM t)
+       SELECT w.lang, word AS token, once, twice, repeated FROM w JOIN r ON r.lang = w.lang AND r.first = w.word WHERE once <> twice OR once <> repeated OR twice <> repeated""")
 def stemmer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = inc.document_frequency(_tok(spark, sf_dir)).select("lang", "token", F.element_at(F.transform(F.array("token"), lambda x: st.suffix_stem(x, RULES)), 1).alias("once"))
+    """Types that three variants stem differently: the rules once, twice, and until nothing changes."""
+    df = inc.document_frequency(_tok(spark, sf_dir)).select("lang", "token")
+    df = df.withColumn("once", tx.bound(F.col("token"), lambda x: st.suffix_stem(x, RULES)))
     # the word is bound, else each mention of it in the second chain would hold the whole first one
-    return df.withColumn("twice", F.element_at(F.transform(F.array("once"), lambda x: st.suffix_stem(x, RULES)), 1)).where("once <> twice")
+    df = df.withColumn("twice", tx.bound(F.col("once"), lambda x: st.suffix_stem(x, RULES))).withColumn("repeated", st.repeated_suffix_stem(F.col("token"), RULES))
+    return df.where("once <> twice or once <> repeated or twice <> repeated")
 
 
 @query(f"""WITH {oracle.FREQ}, tf AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(t) AS token FROM tok) GROUP BY ALL),
@@ -136,25 +183,33 @@ def stemmer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
        g AS (SELECT lang, k AS size, suffix, count(*) AS types, CAST(sum(n) AS BIGINT) AS occurrences, array_to_string(list_sort(list(token))[1:6], ' ') AS examples FROM s GROUP BY ALL HAVING count(*) >= 8)
        SELECT lang, size, suffix, types, occurrences, examples FROM g QUALIFY row_number() OVER (PARTITION BY lang, size ORDER BY types DESC, occurrences DESC, suffix) <= 10""")
 def suffix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most common suffixes of each length, with six of their words. The words are looked up for these suffixes alone, and ranks stop at six."""
     tf = _tok(spark, sf_dir).select("lang", F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
-    long = tf.where((F.length("token") >= 6) & ~F.col("token").rlike("[^\\p{L}]"))
+    long = written(tf.where((F.length("token") >= 6) & ~F.col("token").rlike("[^\\p{L}]")), "long-words")
     cut = long.select("lang", "token", "n", F.explode(F.sequence(F.lit(2), F.lit(5))).alias("k")).where("length(token) - k >= 3").select("lang", F.col("k").cast("long").alias("size"), F.expr("right(token, k)").alias("suffix"), "token", "n")
-    g = cut.groupBy("lang", "size", "suffix").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("occurrences"), F.array_join(F.slice(F.sort_array(F.collect_list("token")), 1, 6), " ").alias("examples")).where("types >= 8")
+    g = cut.groupBy("lang", "size", "suffix").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("occurrences")).where("types >= 8")
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("types"), F.desc("occurrences"), "suffix"))
-    return g.withColumn("r", rank).where("r <= 10").drop("r")
+    top = written(g.withColumn("r", rank).where("r <= 10").drop("r"), "suffixes")
+    place = F.row_number().over(Window.partitionBy("lang", "size", "suffix").orderBy("token"))
+    few = cut.join(F.broadcast(top.select("lang", "size", "suffix")), ["lang", "size", "suffix"]).withColumn("r", place).where("r <= 6")  # forty suffixes a language
+    named = few.groupBy("lang", "size", "suffix").agg(F.array_join(F.sort_array(F.collect_list("token")), " ").alias("examples"))
+    return top.join(named, ["lang", "size", "suffix"])
 
 
 @query(f"""WITH {oracle.FREQ}, r AS (SELECT lang, token, df, row_number() OVER (PARTITION BY lang ORDER BY df DESC, token) AS p, count(*) OVER (PARTITION BY lang) AS n FROM freq)
        SELECT lang, token, df, CASE WHEN p <= 15 THEN 'head' ELSE 'middle' END AS band FROM r WHERE p <= 15 OR p BETWEEN n // 2 + 1 AND n // 2 + 15
        UNION ALL SELECT lang, token, df, 'infrequent' FROM (SELECT lang, token, df FROM r WHERE df BETWEEN 2 AND 10 AND p > 15 AND NOT p BETWEEN n // 2 + 1 AND n // 2 + 15 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY df, token) <= 15)""")
 def stratified_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("lang")
-    r = inc.document_frequency(_tok(spark, sf_dir)).withColumn("p", F.row_number().over(by.orderBy(F.desc("df"), "token"))).withColumn("n", F.count(F.lit(1)).over(by))
+    df = written(inc.document_frequency(_tok(spark, sf_dir)), "frequencies")
+    n = df.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    # no task holds a language's whole vocabulary: words are numbered within their frequency and first letters
+    r = numbered(df, "p", F.struct(-F.col("df"), F.substring("token", 1, 2)), F.desc("df"), "token", within=["lang"]).withColumn("p", F.col("p") + 1)
+    r = r.join(F.broadcast(n), F.col("lang").eqNullSafe(F.col("of")))  # a row a language
     mid = F.col("p").between(F.floor(F.col("n") / 2) + 1, F.floor(F.col("n") / 2) + 15)
     band = F.when(F.col("p") <= 15, "head").when(mid, "middle").when(F.col("df").between(2, 10), "infrequent")
     r = r.withColumn("band", band).where("band is not null")
     place = F.row_number().over(Window.partitionBy("lang", "band").orderBy("df", "token"))
-    return r.withColumn("q", place).where("band <> 'infrequent' or q <= 15").select("lang", "token", "df", "band")
+    return r.withColumn("q", place).where("q <= 15").select("lang", "token", "df", "band")
 
 
 @query(f"""WITH {oracle.FREQ}, c AS (SELECT lang, token, {_sql_rules()} <> token AS changed FROM freq)
@@ -168,15 +223,15 @@ def heldout_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
        c AS (SELECT doc_id, pos, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM l), t AS (SELECT unnest(['shall', 'moron', 'license', 'mit', 'idiot', 'version']) AS token),
        h AS (SELECT token, doc_id, pos, line FROM c JOIN t ON list_contains(regexp_extract_all(lower(line), '[\\p{L}\\p{M}\\p{Nd}]+'), token)),
-       f AS (SELECT token, line, min(doc_id * 100000 + pos) AS loc FROM h GROUP BY ALL)
-       SELECT token, loc // 100000 AS doc_id, CASE WHEN length(line) <= 180 THEN line ELSE rtrim(substr(line, 1, 179)) || '…' END AS line FROM f QUALIFY row_number() OVER (PARTITION BY token ORDER BY loc) <= 2""")
+       f AS (SELECT token, line, min({'d': doc_id, 'p': pos}) AS loc FROM h GROUP BY ALL)
+       SELECT token, loc.d AS doc_id, CASE WHEN length(line) <= 180 THEN line ELSE rtrim(substr(line, 1, 179)) || '…' END AS line FROM f QUALIFY row_number() OVER (PARTITION BY token ORDER BY loc) <= 2""")
 def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "\\s+", " ")))
     wanted = F.array(*[F.lit(x) for x in ("shall", "moron", "license", "mit", "idiot", "version")])
     hit = lines.select("doc_id", "pos", "line", F.explode(F.array_intersect(F.regexp_extract_all(F.lower("line"), F.lit(f"{tx.WORDLIKE}+"), F.lit(0)), wanted)).alias("token"))
-    first = hit.groupBy("token", "line").agg(F.min(F.col("doc_id") * 100000 + F.col("pos")).alias("at"))
+    first = hit.groupBy("token", "line").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     rank = F.row_number().over(Window.partitionBy("token").orderBy("at"))
-    return first.withColumn("r", rank).where("r <= 2").select("token", F.floor(F.col("at") / 100000).alias("doc_id"), tx.concordance_line(F.col("line")).alias("line"))
+    return first.withColumn("r", rank).where("r <= 2").select("token", "at.doc_id", tx.concordance_line(F.col("line")).alias("line"))
 
 
 @query(f"""WITH {oracle.TOK}, m AS (SELECT lang, unnest({MARKERS}) AS marker, t FROM tok), d AS (SELECT lang, count(*) AS docs, CAST(sum(CASE WHEN list_has_any(t, {MARKERS}) THEN 1 ELSE 0 END) AS BIGINT) AS any_docs FROM tok GROUP BY lang)
@@ -197,14 +252,22 @@ def annotation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.rollup("lang").agg(F.count(F.lit(1)).alias("items"), F.sum(F.col("correct").cast("long")).alias("correct"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy")).withColumn("lang", F.coalesce("lang", F.lit("all")))
 
 
-@query(f"""WITH {oracle.FREQ}, k AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY df DESC, token) AS rank, token FROM freq), s AS (SELECT lang, rank, token, {_sql_rules()} AS stem FROM k),
-       v AS (SELECT DISTINCT lang, stem FROM s), u AS (SELECT lang, rank, token, stem FROM s QUALIFY row_number() OVER (PARTITION BY lang, stem ORDER BY rank) = 1)
-       SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY rank) AS place, token, stem FROM u JOIN v USING (lang, stem) QUALIFY place <= 250""")
+_STEMMED = f"""st AS (SELECT DISTINCT lang, doc_id, {_sql_rules()} AS stem FROM occ), nn AS (SELECT lang, sum(CAST(doc_id % 3 = 0 AS INT)) AS na, sum(CAST(doc_id % 3 <> 0 AS INT)) AS nc FROM documents GROUP BY lang),
+    v AS (SELECT lang, stem FROM (SELECT lang, stem, sum(CAST(doc_id % 3 = 0 AS INT)) AS a, sum(CAST(doc_id % 3 <> 0 AS INT)) AS c FROM st GROUP BY ALL) JOIN nn USING (lang) WHERE a > 0 AND a < na AND c > 0 AND c < nc)"""
+
+
+@query(f"""WITH {oracle.FREQ}, {_STEMMED}, s AS (SELECT lang, df, token, {_sql_rules()} AS stem FROM freq WHERE NOT list_contains({_STOP_SQL}, token)), u AS (SELECT lang, df, token, stem FROM s QUALIFY row_number() OVER (PARTITION BY lang, stem ORDER BY df DESC, token) = 1)
+       SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY df DESC, token) AS place, token, stem FROM u JOIN v USING (lang, stem) QUALIFY place <= 250""")
 def controlled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords in rank order whose stem is new and in the stemmed vocabulary: the first 250."""
-    k = inc.document_frequency(_tok(spark, sf_dir)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token"))).withColumn("stem", st.suffix_stem(F.col("token"), RULES))
-    u = k.groupBy("lang", "stem").agg(F.min_by("token", "rank").alias("token"), F.min("rank").alias("rank"))
-    return u.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where("place <= 250").select("lang", F.col("place").cast("long").alias("place"), "token", "stem")
+    """Keywords without stopwords in rank order whose stem is new and among the supported stems: the first 250."""
+    tok = _sets(spark, sf_dir)
+    stems = inc.occurrences(tok).select("doc_id", "lang", st.suffix_stem(F.col("token"), RULES).alias("token")).distinct()
+    stems = stems.groupBy("doc_id", "lang").agg(F.collect_list("token").alias("tokens"))  # a document's own
+    vocabulary = inc.top_keywords(stems, 2**31 - 1, auxiliary=F.col("doc_id") % 3 == 0).select("lang", F.col("token").alias("stem"))
+    left = inc.remove_stopwords(tok, STOP)
+    k = inc.document_frequency(left).withColumn("stem", st.suffix_stem(F.col("token"), RULES))
+    u = k.groupBy("lang", "stem").agg(F.min(F.struct((-F.col("df")).alias("down"), "token")).alias("m")).select("lang", "stem", "m.down", "m.token").join(vocabulary, ["lang", "stem"], "left_semi")
+    return u.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("down", "token"))).where("place <= 250").select("lang", F.col("place").cast("long").alias("place"), "token", "stem")
 
 
 @query(f"""WITH {oracle.TOK}, f AS (SELECT source, token, count(*) AS df FROM (SELECT source, unnest(list_distinct(t)) AS token FROM tok JOIN documents USING (doc_id)) GROUP BY ALL)
@@ -212,6 +275,14 @@ def controlled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that every source has, the most frequent 50."""
     docs = table(spark, sf_dir, "documents")
-    f = inc.document_frequency(inc.tokenised(docs, group_col="source")).groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("df").alias("df"))
-    n = docs.agg(F.countDistinct("source").alias("n"))
-    return f.crossJoin(F.broadcast(n)).where("k = n").orderBy(F.desc("df"), "token").limit(50).select("token", "df")  # n is one row
+    f = inc.document_frequency(inc.tokenised(docs, group_col="source")).select(F.col("lang").alias("source"), "token", "df")
+    return controls.shared_terms(f, docs.agg(F.countDistinct("source").alias("n")), 50)
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM w WHERE len(t) >= 3), g AS (SELECT doc_id, x || ' ' || lead(x) OVER v || ' ' || lead(x, 2) OVER v AS x FROM u WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+       f AS (SELECT DISTINCT doc_id, x FROM g WHERE x IS NOT NULL UNION ALL SELECT doc_id, array_to_string(t, ' ') FROM w WHERE len(t) IN (1, 2)) SELECT doc_id, count(*) AS n, min(x) AS least, max(x) AS most FROM f GROUP BY doc_id""")
+def shingle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of each document by the table function, in SQL."""
+    udtf.register(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return spark.sql("SELECT doc_id, count(*) AS n, min(s.shingle) AS least, max(s.shingle) AS most FROM {docs} d, LATERAL word_shingles(d.text, 3) s GROUP BY doc_id", docs=docs)

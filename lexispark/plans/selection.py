@@ -8,47 +8,69 @@ from pyspark.sql import functions as F
 from lexispark.functions import text as tx
 from lexispark.operators import dedup, matching
 from lexispark.operators.numbering import number_range, numbered
-from lexispark.plans.records import records
+from lexispark.operators import records as rec
+from lexispark.plans.records import _LANGS, _RECORDS, approved, raw_articles, records
 from lexispark.registry import query, table
+from lexispark.session import spread, written
 
 _DAY = "epoch(o_orderdate) / 86400.0"
 
 
 @query("SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS hash FROM documents QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1")
 def exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.casefold(F.col("text")), 256).alias("hash"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.sha2(tx.casefold(F.col("text")), 256).alias("hash"))
     return d.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "hash")
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
+    r = spread(records(spark, sf_dir), "doc_id")
     return r.select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("record_id"), "lang", tx.text_sha256(F.col("title"), F.col("body")).alias("hash"), tx.word_shingles(F.col("title"), F.col("body")).alias("s"))
 
 
-_SHINGLES = """w AS (SELECT doc_id AS pos, lang, regexp_extract_all(replace(lower(regexp_replace(text, '\\n', ' ')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM documents),
-    u AS (SELECT pos, lang, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM w WHERE len(t) >= 3), g AS (SELECT pos, lang, x || ' ' || lead(x) OVER v || ' ' || lead(x, 2) OVER v AS x FROM u WINDOW v AS (PARTITION BY pos ORDER BY i)),
+_GRAMS = """u AS (SELECT pos, lang, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM w WHERE len(t) >= 3), g AS (SELECT pos, lang, x || ' ' || lead(x) OVER v || ' ' || lead(x, 2) OVER v AS x FROM u WINDOW v AS (PARTITION BY pos ORDER BY i)),
     f AS (SELECT DISTINCT pos, lang, x FROM g WHERE x IS NOT NULL UNION ALL SELECT pos, lang, array_to_string(t, ' ') FROM w WHERE len(t) IN (1, 2)), s AS (SELECT pos, count(*) AS n FROM f GROUP BY pos),
     c AS (SELECT a.lang, a.pos AS a, b.pos AS b, count(*) AS n FROM f a JOIN f b ON a.x = b.x AND a.lang = b.lang AND a.pos < b.pos GROUP BY ALL),
     near AS (SELECT c.lang, a, b, c.n / (p.n + q.n - c.n) AS similarity FROM c JOIN s p ON p.pos = a JOIN s q ON q.pos = b WHERE c.n / (p.n + q.n - c.n) >= 0.85)"""
+_SHINGLES = "w AS (SELECT doc_id AS pos, lang, regexp_extract_all(replace(lower(regexp_replace(text, '\\n', ' ')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS t FROM documents), " + _GRAMS
 
 
-@query(f"WITH {_SHINGLES} SELECT lang, a, b, round(similarity, 6) AS similarity FROM near")
+@query(f"""WITH {_SHINGLES}, d AS (SELECT lang, pos, list_sort(list(x)) AS d FROM f GROUP BY lang, pos), r AS (SELECT min(pos) AS pos, count(*) AS n FROM d GROUP BY lang, d)
+       SELECT lang, a, b, x.n AS copies_a, y.n AS copies_b, round(similarity, 6) AS similarity FROM near JOIN r x ON x.pos = a JOIN r y ON y.pos = b""")
 def shingle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sets(spark, sf_dir).where(F.size("s") > 0).select("lang", "pos", "s")
-    return dedup.similar_pairs(s, 0.85).withColumn("similarity", F.round("similarity", 6))
+    """Pairs of different sets of shingles at the threshold, each by its first record and with the number of records that have it."""
+    s = _sets(spark, sf_dir).where(F.size("s") > 0).select("lang", "pos", "s", F.sha2(F.array_join(F.array_sort("s"), "\n"), 256).alias("digest"))
+    s = written(s, "shingles")
+    first = s.groupBy("lang", "digest").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n")).select("pos", "n")
+    apart = dedup.similar_pairs(s.join(first.select("pos"), "pos", "left_semi").select("lang", "pos", "s"), 0.85)
+    side = lambda end: first.select(F.col("pos").alias(end), F.col("n").alias(f"copies_{end}"))
+    return apart.join(side("a"), "a").join(side("b"), "b").select("lang", "a", "b", "copies_a", "copies_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH RECURSIVE {_RECORDS}, o AS (SELECT record_id, lang, normalised_text_sha256 AS h, title, body, row_number() OVER (ORDER BY coalesce(published_at, retrieved_at), record_id) - 1 AS pos FROM rec),
+       w AS (SELECT pos, lang, regexp_extract_all(replace(lower(title || ' ' || body), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+') AS t FROM o), {_GRAMS},
+       links AS (SELECT a, b, similarity, 0 AS exact FROM near UNION ALL SELECT a.pos, b.pos, 1.0, 1 FROM o a JOIN o b ON a.h = b.h AND a.lang = b.lang AND a.pos < b.pos), k AS (SELECT b AS pos, list(DISTINCT a) AS before FROM links GROUP BY b),
+       z AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([0] AS BIGINT[]) AS reps UNION ALL SELECT z.pos + 1, CASE WHEN list_has_any(z.reps, coalesce(k.before, CAST([] AS BIGINT[]))) THEN z.reps ELSE list_append(z.reps, z.pos + 1) END FROM z LEFT JOIN k ON k.pos = z.pos + 1 WHERE z.pos + 1 < (SELECT count(*) FROM o)),
+       r AS (SELECT unnest(reps) AS a FROM z WHERE pos = (SELECT count(*) FROM o) - 1), m AS (SELECT b AS pos, links.a, similarity, exact FROM links JOIN r ON r.a = links.a QUALIFY row_number() OVER (PARTITION BY b ORDER BY exact DESC, similarity DESC, links.a) = 1)
+       SELECT o.record_id, CASE WHEN r.a IS NOT NULL THEN 'unique' WHEN exact = 1 THEN 'exact' ELSE 'near' END AS status, coalesce(c.record_id, o.record_id) AS canonical_record_id, sha256(coalesce(c.record_id, o.record_id)) AS group_id, CASE WHEN r.a IS NOT NULL THEN 1.0 ELSE round_even(similarity, 6) END AS similarity
+       FROM o LEFT JOIN r ON r.a = o.pos LEFT JOIN m ON m.pos = o.pos AND r.a IS NULL LEFT JOIN o c ON c.pos = m.a""")
+def sequential_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised records scanned by their time as text, then record_id."""
+    n = written(rec.normalise_records(raw_articles(spark, sf_dir), approved(spark, sf_dir), _LANGS), "records")
+    return rec.with_duplicates(n, 0.85).select("record_id", "duplicate.*")
 
 
-@query()
-def sequential_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.deduplicate(_sets(spark, sf_dir), 0.85)
+_TURNS = "b0 AS (SELECT u.conv_id, u.turn, u.text AS l, a.text AS r, row_number() OVER (ORDER BY u.conv_id, u.turn) - 1 AS pos FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TURNS}, z AS (SELECT CAST(-1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS ls, CAST([] AS VARCHAR[]) AS rs, false AS kept
+       UNION ALL SELECT b0.pos, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END, NOT (list_contains(ls, l) OR list_contains(rs, r)) FROM z JOIN b0 ON b0.pos = z.pos + 1)
+       SELECT conv_id, turn, sha256(l) AS left_sha256, sha256(r) AS right_sha256 FROM b0 JOIN z USING (pos) WHERE kept""")
 def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("l"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
-    return dedup.drop_repeated_blocks(u.join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "l", "r"), "l", "r").select("pos", F.sha2("l", 256).alias("left_sha256"), F.sha2("r", 256).alias("right_sha256"))
+    blocks = written(u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.struct("conv_id", "turn").alias("pos"), "l", "r"), "blocks")
+    return dedup.drop_repeated_blocks(blocks, "l", "r").select("conv_id", "turn", F.sha2("l", 256).alias("left_sha256"), F.sha2("r", 256).alias("right_sha256"))
 
 
 _UNI = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
@@ -57,7 +79,7 @@ _UNI = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 @query(f"""WITH a AS (SELECT item_id AS a, {_UNI} AS s FROM benchmark), b AS (SELECT doc_id AS b, {_UNI} AS s FROM documents), p AS (SELECT a, b, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS x, len(b.s) AS y FROM a, b)
        SELECT a, b, round(n / (x + y - n), 6) AS similarity FROM p WHERE n > 0 AND n / (x + y - n) >= 0.3""")
 def cross_partition_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = lambda t, i: table(spark, sf_dir, t).select(F.col(i).alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(tx.WORD), F.lit(0))).alias("s")).where(F.size("s") > 0)
+    s = lambda t, i: spread(table(spark, sf_dir, t).select(i, "text"), i).select(F.col(i).alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(tx.WORD), F.lit(0))).alias("s")).where(F.size("s") > 0)
     return dedup.cross_screen(s("benchmark", "item_id"), s("documents", "doc_id"), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -71,12 +93,18 @@ _EDGES = f"""o AS (SELECT o_orderkey AS id, {_DAY} AS day, o_totalprice AS size,
     e AS (SELECT a.id AS left, b.id AS right, abs(a.day - b.day) AS days, greatest(a.size, b.size) / least(a.size, b.size) AS ratio FROM o a JOIN o b ON a.p = '1' AND b.p = '5' AND abs(a.day - b.day) <= 1 AND greatest(a.size, b.size) / least(a.size, b.size) <= 1.05)"""
 
 
-@query(f'WITH {_EDGES.replace("AS left", "AS l").replace("AS right", "AS r")} SELECT l AS "left", r AS "right", round_even(days, 6) AS days, round_even(ratio, 6) AS ratio FROM e')
+@query(f'WITH {_EDGES.replace("AS left", "AS l").replace("AS right", "AS r")} SELECT l AS "left", r AS "right", round_even(days, 6) AS days, round_even(ratio, 6) AS ratio, round_even(days + ln(ratio) / ln(1.05), 6) AS cost FROM e')
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.range_edges(*_orders(spark, sf_dir), 1.0, 1.05).drop("cost")
+    return matching.range_edges(*_orders(spark, sf_dir), 1.0, 1.05)
 
 
-@query()
+_GREEDY = _EDGES.replace("AS left", "AS l").replace("AS right", "AS r")
+
+
+@query(f"""WITH RECURSIVE {_GREEDY}, k AS (SELECT l, r, round_even(days + ln(ratio) / ln(1.05), 6) AS cost FROM e), q AS (SELECT *, row_number() OVER (ORDER BY cost, sha256('7' || chr(10) || l || chr(10) || r)) AS n FROM k),
+       z AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS rs, false AS taken
+       UNION ALL SELECT q.n, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END, NOT (list_contains(ls, l) OR list_contains(rs, r)) FROM z JOIN q ON q.n = z.n + 1)
+       SELECT l AS "left", r AS "right", cost FROM q JOIN z USING (n) WHERE taken""")
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = matching.range_edges(*_orders(spark, sf_dir), 1.0, 1.05)
     return matching.greedy_matching(e, [F.col("cost"), tx.stable_score(7, F.col("left"), F.col("right"))]).select("left", "right", F.col("o0").alias("cost"))
@@ -88,27 +116,57 @@ def optimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.optimal_matching(e.select("left", "right", "cost"))
 
 
-@query("""WITH p AS (SELECT doc_id AS pair_index FROM documents WHERE lang = 'fr'), r AS (SELECT pair_index, row_number() OVER (ORDER BY sha256('5' || chr(10) || pair_index), pair_index) AS r, count(*) OVER () AS n FROM p)
+@query("""WITH r AS (SELECT doc_id AS pair_index, row_number() OVER (ORDER BY sha256('5' || chr(10) || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)
        SELECT pair_index, CASE WHEN r <= greatest(1, least(n - 1, floor(n / 3.0 + 0.5))) THEN 'auxiliary' ELSE 'client' END AS side FROM r""")
 def disjoint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.rank_split(table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("pair_index")), 1 / 3, 5)
+    return matching.rank_split(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_index")), 1 / 3, 5)
 
 
-@query("SELECT doc_id AS pair_index, unnest(['auxiliary', 'client']) AS side FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id AS pair_index, unnest(['auxiliary', 'client']) AS side FROM documents")
 def shared_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.shared_split(table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("pair_index")))
+    return matching.shared_split(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_index")))
 
 
-@query("SELECT doc_id, sha256('9' || chr(10) || doc_id) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM documents WHERE lang = 'en' QUALIFY rank <= 100")
+@query("SELECT doc_id, sha256('9' || chr(10) || doc_id) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM documents QUALIFY rank <= 100")
 def matched_size_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.hash_sample(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), 100, 9, "doc_id")
+    return matching.hash_sample(table(spark, sf_dir, "documents").select("doc_id"), 100, 9, "doc_id")
+
+
+_LINKED = """m AS (SELECT conv_id AS "left", conv_id + 1 AS "right", sha256('c' || conv_id || chr(10) || 'd' || conv_id || chr(10) || 'c' || (conv_id + 1) || chr(10) || 'd' || (conv_id + 1)) AS match_id FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0 AND conv_id + 1 IN (SELECT conv_id FROM conversations)),
+    i AS (SELECT *, row_number() OVER (ORDER BY match_id) - 1 AS match_index, row_number() OVER (ORDER BY sha256('11' || chr(10) || match_id), match_id) AS k, count(*) OVER () AS n FROM m)"""
+
+
+@query(f"""WITH {_LINKED} SELECT match_index, match_id, "left", "right", CASE WHEN k <= greatest(1, least(n - 1, floor(n / 3.0 + 0.5))) THEN 'auxiliary' ELSE 'client' END AS side FROM i""")
+def linked_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of two corpora (conversations of even and odd numbers): one index and one side for both."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    both = c.where("conv_id % 2 = 0").select(F.col("conv_id").alias("left"), (F.col("conv_id") + 1).alias("right")).join(c.select(F.col("conv_id").alias("right")), "right", "left_semi")
+    ids = lambda end: F.array(F.concat(F.lit("c"), end), F.concat(F.lit("d"), end)).alias(f"{end}_ids")
+    return matching.linked_split(both.select("left", "right", ids("left"), ids("right")), 1 / 3, 11)
+
+
+@query(f"""WITH RECURSIVE {_GREEDY}, elig AS (SELECT id FROM o WHERE p IN ('1', '5')), t AS (SELECT l, r FROM e QUALIFY row_number() OVER (ORDER BY round_even(days + ln(ratio) / ln(1.05), 6), sha256('7' || chr(10) || l || chr(10) || r)) = 1)
+       SELECT id, CASE WHEN id IN (SELECT l FROM e UNION SELECT r FROM e) THEN 'unselected' ELSE 'no_admissible_counterpart' END AS reason FROM elig WHERE id NOT IN (SELECT l FROM t UNION ALL SELECT r FROM t)""")
+def left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why eligible orders are in no pair, when only the first pair is taken."""
+    a, b = _orders(spark, sf_dir)
+    e = written(matching.range_edges(a, b, 1.0, 1.05), "edges")
+    first = e.orderBy("cost", tx.stable_score(7, F.col("left"), F.col("right"))).limit(1)
+    return matching.left_out(a.select("id").union(b.select("id")), e, first.select("left", "right"))
+
+
+@query("SELECT l.doc_id, quality, lang, n_chars FROM labels l JOIN documents d USING (doc_id)")
+def looked_up_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of every label; a label without one would be an error."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return matching.looked_up(table(spark, sf_dir, "labels").select("doc_id", "quality"), d, "doc_id").select("doc_id", "quality", "lang", "n_chars")
 
 
 @query("""WITH v AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations WHERE role = 'user'), b AS (SELECT n // 10 AS block, count(*) AS k, sum(length(text)) AS chars FROM v GROUP BY 1)
        SELECT CAST(block AS BIGINT) AS block, k AS rows, CAST(chars AS BIGINT) AS chars, CASE WHEN k < 10 THEN 'incomplete_block' END AS reason FROM b""")
 def sentence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "text")
-    return matching.fixed_blocks(v, 10, "at").groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text").cast("long")).alias("chars"), F.max("reason").alias("reason"))
+    v = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return matching.fixed_blocks(v, 10, "conv_id", "turn").groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text").cast("long")).alias("chars"), F.max("reason").alias("reason"))
 
 
 _PAIRS = "p AS (SELECT u.conv_id, u.turn, len(regexp_extract_all(u.text, '[\\p{L}\\p{N}_]+')) AS x, len(regexp_extract_all(a.text, '[\\p{L}\\p{N}_]+')) AS y FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
@@ -132,11 +190,11 @@ def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(first, "h").groupBy(r.alias("reason"), "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents WHERE lang = 'fr'), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 + (SELECT count(*) FROM a) AS p FROM documents WHERE source = 'src1')
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents WHERE n_chars % 2 = 0), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 + (SELECT count(*) FROM a) AS p FROM documents)
        SELECT doc_id, row_number() OVER (ORDER BY min(p)) - 1 AS position FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""")
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct identifiers of two lists, in the order of their first occurrence."""
+    """Distinct identifiers of two lists (texts of even length, then all), in the order of their first occurrence."""
     d = table(spark, sf_dir, "documents")
-    both = d.where("lang = 'fr'").select("doc_id", F.lit(0).alias("list")).union(d.where("source = 'src1'").select("doc_id", F.lit(1).alias("list")))
+    both = d.where("n_chars % 2 = 0").select("doc_id", F.lit(0).alias("list")).union(d.select("doc_id", F.lit(1).alias("list")))
     first = both.groupBy("doc_id").agg(F.min("list").alias("list"))
     return numbered(first, "position", F.struct("list", number_range(F.col("doc_id"))), "list", "doc_id").select("doc_id", "position")
