@@ -67,8 +67,44 @@ def paired(rows: DataFrame, by: list[str], key: str, condition: str, baseline: s
     return rows.where(F.col(condition) != baseline).join(base, [*by, key]).select(*by, condition, key, (F.col(value) - F.col("__b")).alias("difference"))
 
 
+def paired_summary(rows: DataFrame, by: list[str], key: str, condition: str, baseline: str, value: str) -> DataFrame:
+    """Each condition against the baseline: by, condition, n, left_mean, right_mean, mean, sd, low, high, standardised (mean / sd), p (sign flips).
+
+    Fewer than two pairs are an error.
+    """
+    base = rows.where(F.col(condition) == baseline).select(*by, key, F.col(value).alias("__b"))
+    both = rows.where(F.col(condition) != baseline).join(base, [*by, key])
+    d = both.select(*by, condition, key, (F.col(value) - F.col("__b")).alias("difference"))
+    group = [*by, condition]
+    means = both.groupBy(*group).agg(F.avg(value).alias("left_mean"), F.avg("__b").alias("right_mean"))
+    s = summary(d, group, "difference").withColumn("n", F.when(F.col("n") < 2, F.raise_error(F.lit("fewer than two pairs")).cast("long")).otherwise(F.col("n")))
+    p = sign_flip(d, group, key, "difference").select(*group, "p")
+    return means.join(s, group).join(p, group).select(*group, "n", "left_mean", "right_mean", "mean", "sd", "low", "high", F.when(F.col("sd") != 0, F.col("mean") / F.col("sd")).alias("standardised"), "p")
+
+
+def by_checkpoint(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs with arrays ``checkpoints`` and ``scores`` (structs) as one row a checkpoint: keys, checkpoint and the scores. Unequal lengths are an error."""
+    same = F.when(F.size("checkpoints") == F.size("scores"), F.arrays_zip("checkpoints", "scores")).otherwise(F.array(F.raise_error(F.lit("checkpoints and scores differ in number")).cast(runs.select(F.arrays_zip("checkpoints", "scores").alias("z")).schema["z"].dataType.elementType)))
+    return runs.select(*keys, F.explode(same).alias("z")).select(*keys, F.col("z.checkpoints").alias("checkpoint"), "z.scores.*")
+
+
+def family_summaries(rows: DataFrame, by: list[str], seed: str, metrics: list[str], expected: list[int]) -> DataFrame:
+    """by, seeds (sorted), and for each metric its mean and SD. A group whose seeds are not the expected ones is an error."""
+    s = rows.groupBy(*by).agg(F.sort_array(F.collect_list(seed)).alias("seeds"), *[f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))])  # a study's seeds
+    want = F.array(*[F.lit(x).cast("long") for x in sorted(expected)])
+    whole = F.when(F.col("seeds").cast("array<long>") == want, F.col("seeds")).otherwise(F.array(F.raise_error(F.lit("a summary has other seeds")).cast("long")))
+    return s.withColumn("seeds", whole)
+
+
+def array_tolerance(observed: DataFrame, expected: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Arrays ``observed`` and ``expected`` place by place: keys, place, observed, expected, within; a missing side is not within."""
+    flat = lambda d, c: d.select(*keys, F.posexplode(c).alias("place", c))
+    both = flat(observed, "observed").join(flat(expected, "expected"), [*keys, "place"], "full_outer")
+    return both.select(*keys, "place", "observed", "expected", F.coalesce(F.abs(F.col("observed") - F.col("expected")) <= tolerance, F.lit(False)).alias("within"))
+
+
 def sign_flip(diffs: DataFrame, by: list[str], key: str, value: str, most: int = 20) -> DataFrame:
-    """Exact sign-flip p: the share of all 2^n sign vectors whose mean is at least as far from 0. by, n, mean, p.
+    """Exact sign-flip p: the share of all 2^n sign vectors whose mean is at least as far from 0. by, n, mean, p, resolution.
 
     The vectors are a range joined to each group of at most ``most`` runs, signs are bits; nothing is enumerated on the driver.
     """
@@ -79,7 +115,7 @@ def sign_flip(diffs: DataFrame, by: list[str], key: str, value: str, most: int =
     total = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda acc, k: acc + F.element_at("d", k + 1) * F.when(F.getbit(F.col("m"), k) == 1, 1).otherwise(-1))
     seen = F.aggregate("d", F.lit(0.0), lambda acc, x: acc + x)
     hit = (F.abs(total / F.col("n")) >= F.abs(seen / F.col("n")) - 1e-15).cast("double")
-    return wide.select(*by, "n", seen.alias("s"), hit.alias("hit")).groupBy(*by, "n").agg((F.max("s") / F.max("n")).alias("mean"), F.avg("hit").alias("p"))
+    return wide.select(*by, "n", seen.alias("s"), hit.alias("hit")).groupBy(*by, "n").agg((F.max("s") / F.max("n")).alias("mean"), F.avg("hit").alias("p")).withColumn("resolution", resolution(F.col("n")))
 
 
 def holm(rows: DataFrame, family: list[str], p: str, order: list[str]) -> DataFrame:
@@ -96,14 +132,31 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 
 def correlations(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """n, pearson and spearman (Pearson of average ranks) by group."""
+    """n, pearson and spearman (Pearson of average ranks) by group, each with its two-sided p. Without variation all are null."""
     r = rows.withColumn("__x", average_rank(x, by)).withColumn("__y", average_rank(y, by))
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__x", "__y").alias("spearman"))
+    c = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__x", "__y").alias("spearman"))
+    return c.select(*by, "n", "pearson", correlation_p(F.col("pearson"), F.col("n")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("spearman_p"))
+
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs by Student's t of n - 2 degrees of freedom: its finite series, in column expressions.
 
-def correlation_p(r: float, n: int) -> float:
-    """Two-sided p of a correlation of n pairs, by Student's t."""
-    return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+    With cos a = sqrt(1 - r^2): 1 - |r| (1 + 1/2 cos^2 a + 1 3 / (2 4) cos^4 a ...) for even degrees, and 1 - 2/pi (a + |r| (cos a + 2/3 cos^3 a ...)) for
+    odd ones; the series have as many terms as there are pairs of degrees.
+    """
+    df, own = n - 2, F.least(F.abs(r), F.lit(1.0))
+    cos2 = 1 - own * own
+    even = df % 2 == 0
+    count = F.when(even, F.floor(df / 2)).otherwise(F.floor((df - 1) / 2)).cast("int")
+    # term and sum so far; k from 1: (2k - 1) / 2k for even, 2k / (2k + 1) for odd degrees
+    ratio = lambda k: F.when(even, (2 * k - 1) / (2 * k)).otherwise((2 * k) / (2 * k + 1))
+    first = F.when(even, F.lit(1.0)).otherwise(F.sqrt(cos2))
+    start = F.struct(first.alias("t"), first.alias("s"))
+    step = lambda acc, k: F.struct((acc["t"] * ratio(k) * cos2).alias("t"), (acc["s"] + acc["t"] * ratio(k) * cos2).alias("s"))
+    steps = F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(F.array().cast("array<int>"))
+    total = F.when(count > 0, F.aggregate(steps, start, step, lambda acc: acc["s"])).otherwise(F.lit(0.0))
+    inside = F.when(even, own * total).otherwise(2 / math.pi * (F.asin(own) + own * total))
+    return F.when(df >= 1, F.greatest(F.lit(0.0), 1 - inside))
 
 
 def endpoint_contrasts(rows: DataFrame, by: list[str], key: str, level: str, value: str) -> DataFrame:
@@ -122,9 +175,9 @@ def within_tolerance(observed: DataFrame, expected: DataFrame, keys: list[str],
     return both.select(*keys, "observed", "expected", F.coalesce(F.abs(F.col("observed") - F.col("expected")) <= tolerance, F.lit(False)).alias("within"))
 
 
-def resolution(n: int) -> float:
+def resolution(n: Column) -> Column:
     """The smallest two-sided p that n sign flips can give."""
-    return 2.0 / 2**n
+    return F.lit(2.0) / F.pow(F.lit(2.0), n)
 
 
 def adjacent_contrasts(rows: DataFrame, by: list[str], key: str, level: str, value: str) -> DataFrame:

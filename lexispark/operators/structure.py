@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.operators.numbering import number_range
+from lexispark.session import written
+
 
 def r6(c):
     return F.round(c, 6)
@@ -35,12 +38,12 @@ def profile(docs: DataFrame, keywords: DataFrame, inc: DataFrame) -> DataFrame:
         F.when(F.max("k") > 1, F.sum(-p * F.ln(p)) / F.ln(F.max("k").cast("double"))).otherwise(F.lit(0.0)).alias("entropy"),
         (F.sum(F.when(F.col("rank") < F.greatest(F.lit(1), F.ceil(F.col("k") * 0.01)), F.col("df")).otherwise(0)) / F.max("all")).alias("top1_share"),
         (F.sum(F.when(F.col("rank") < F.greatest(F.lit(1), F.ceil(F.col("k") * 0.1)), F.col("df")).otherwise(0)) / F.max("all")).alias("top10_share"),
-        F.avg((F.col("same") > 1).cast("double")).alias("alternative_share"), F.max("same").alias("largest_group"),
+        F.avg((F.col("same") > 1).cast("double")).alias("alternative_share"), F.max("same").alias("largest_group"), F.percentile("df", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("fq"),
         F.countDistinct(F.when(F.col("same") > 1, F.col("df"))).alias("frequency_groups"),
     )
     return size.join(freq, "lang").select(
         "lang", "docs", "keywords", "incidences", "empty_docs", r6(F.col("incidences") / (F.col("docs") * F.col("keywords"))).alias("density"), r6("len_mean").alias("len_mean"), r6("len_sd").alias("len_sd"),
-        *[r6(F.col("q")[i]).alias(f"len_{q}") for i, q in enumerate(("q25", "q50", "q75"))], *[r6(c).alias(c) for c in ("df_mean", "df_sd", "df_cv", "gini", "entropy", "top1_share", "top10_share", "alternative_share")], "largest_group", "frequency_groups",
+        *[r6(F.col("q")[i]).alias(f"len_{q}") for i, q in enumerate(("q25", "q50", "q75"))], *[r6(F.col("fq")[i]).alias(f"df_{q}") for i, q in enumerate(("q25", "q50", "q75"))], *[r6(c).alias(c) for c in ("df_mean", "df_sd", "df_cv", "gini", "entropy", "top1_share", "top10_share", "alternative_share")], "largest_group", "frequency_groups",
     )
 
 
@@ -103,6 +106,46 @@ def partition_rmse(n_a: DataFrame, df_a: DataFrame, n_b: DataFrame, df_b: DataFr
     return marginal.join(pair, "lang").select("lang", r6("marginal_rmse").alias("marginal_rmse"), r6("cooccurrence_rmse").alias("cooccurrence_rmse"))
 
 
+FEATURES = ("matrix_density", "mean_document_length", "frequency_cv", "exact_alternative_share", "five_alternative_share", "median_nearest_jaccard", "similar_pair_share", "median_cosine")
+
+
+def features(docs: DataFrame, keywords: DataFrame, inc: DataFrame) -> DataFrame:
+    """One row a language with the scalars by which sweeps and conditions are compared (``FEATURES``), and selected and incidence counts.
+
+    Shares of alternatives: keywords with another one of equal frequency, or within five documents of theirs. Similar pairs: Jaccard 0.5 or more.
+    """
+    cooc = written(cooccurrence(inc), "pairs")
+    jac = written(access_jaccard(keywords, cooc), "jaccard")
+    size = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    count = inc.groupBy("lang").agg(F.count(F.lit(1)).alias("incidence_count"))
+    kw = keywords.groupBy("lang").agg(F.count(F.lit(1)).alias("selected_count"), (F.stddev_pop("df") / F.avg("df")).alias("frequency_cv"))
+    near = frequency_ambiguity(keywords, [0, 5]).groupBy("lang").agg(F.max(F.when(F.col("tolerance") == 0, F.col("touched"))).alias("t0"), F.max(F.when(F.col("tolerance") == 5, F.col("touched"))).alias("t5"))
+    both = jac.select("lang", F.explode(F.array("i", "j")).alias("i"), "jaccard").groupBy("lang", "i").agg(F.max("jaccard").alias("m")).groupBy("lang").agg(F.percentile("m", F.lit(0.5)).alias("median_nearest_jaccard"))
+    pair = jac.groupBy("lang").agg(F.avg((F.col("jaccard") >= 0.5).cast("double")).alias("similar_pair_share"))
+    cos = cooccurrence_cosine(keywords, cooc).groupBy("lang").agg(F.percentile("cosine", F.lit(0.5)).alias("median_cosine"))
+    out = size.join(kw, "lang", "left").join(count, "lang", "left")
+    for other in (near, both, pair, cos):
+        out = out.join(other, "lang", "left")
+    n = F.coalesce("incidence_count", F.lit(0))
+    made = {"matrix_density": n / (F.col("docs") * F.col("selected_count")), "mean_document_length": n / F.col("docs"), "exact_alternative_share": F.col("t0") / F.col("selected_count"), "five_alternative_share": F.col("t5") / F.col("selected_count")}
+    return out.select("lang", "selected_count", n.alias("incidence_count"), *[made.get(f, F.col(f)).alias(f) for f in FEATURES])
+
+
+def group_differences(metrics: DataFrame, by: list[str], group: str, left: str, right: str, names: list[str]) -> DataFrame:
+    """One group's metrics less another's under the same condition (``by``); null where either is."""
+    side = lambda g, p: metrics.where(F.col(group) == g).select(*by, *[F.col(n).alias(f"{p}{n}") for n in names])
+    return side(left, "l_").join(side(right, "r_"), by, "full_outer").select(*by, *[(F.col(f"l_{n}") - F.col(f"r_{n}")).alias(n) for n in names])
+
+
+def incidence_digest(inc: DataFrame) -> DataFrame:
+    """A digest of each language's incidence, whatever the order of its rows: of its documents' lists in ranges, then of the ranges. lang, incidences, sha256."""
+    lists = inc.groupBy("lang", "doc_id").agg(F.array_join(F.sort_array(F.collect_list("rank")), ",").alias("k"), F.count(F.lit(1)).alias("n"))  # K a document
+    line = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), "k").alias("t"))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda s: s["t"]), "\n")
+    parts = lists.withColumn("b", number_range(F.col("doc_id"))).groupBy("lang", "b").agg(F.sha2(joined(line), 256).alias("h"), F.sum("n").alias("n"))  # a bounded range
+    return parts.groupBy("lang").agg(F.sum("n").alias("incidences"), F.sha2(joined(F.struct("b", F.col("h").alias("t"))), 256).alias("sha256"))
+
+
 def metric_differences(metrics: DataFrame, by: list[str], condition: str, baseline: str, names: list[str]) -> DataFrame:
     """Each condition's metrics less the baseline's of the same group; null where either is."""
     base = metrics.where(F.col(condition) == baseline).select(*by, *[F.col(n).alias(f"__{n}") for n in names])

@@ -17,6 +17,7 @@ from lexispark.plans import oracle
 from lexispark.plans.corpus import _STOP_SQL, RULES, STOP, _sql_rules
 from lexispark.plans.structure import parts
 from lexispark.registry import query, table
+from lexispark.session import written
 
 _ALLOWED = ["exclude", "keep", "pending"]
 _RETURNED = """ret AS (SELECT lang, CASE WHEN rank = 7 THEN token || 'x' ELSE token END AS token, CASE rank % 4 WHEN 0 THEN 'exclude' WHEN 1 THEN 'keep' WHEN 2 THEN 'pending' ELSE 'maybe' END AS decision FROM kw WHERE rank % 10 <> 9
@@ -75,20 +76,60 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(i.groupBy("lang", "rank").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("keywords"), F.sum("n").alias("incidences")), "lang")
 
 
-@query(f"""WITH {oracle.FREQ}, c AS (SELECT lang, doc_id, 'token' AS condition, token AS term FROM occ UNION ALL SELECT lang, doc_id, 'stopword', token FROM occ WHERE NOT list_contains({_STOP_SQL}, token) UNION ALL SELECT DISTINCT lang, doc_id, 'stemming', {_sql_rules()} FROM occ),
-       n AS (SELECT lang, count(*) AS docs FROM documents GROUP BY lang), m AS (SELECT lang, condition, count(DISTINCT term) AS types, count(*) AS incidences, count(*) / (docs * count(DISTINCT term)) AS density FROM c JOIN n USING (lang) GROUP BY lang, condition, docs)
-       SELECT m.lang, m.condition, m.types - b.types AS types, m.incidences - b.incidences AS incidences, round(m.density - b.density, 9) AS density FROM m LEFT JOIN m b ON b.lang = m.lang AND b.condition = 'token' WHERE m.condition <> 'token'""")
+METRICS = ["available_count", "selected_count", "incidence_count", "matrix_density", "mean_document_length", "frequency_cv", "exact_alternative_share", "median_nearest_jaccard", "median_cosine"]
+_CONDITIONS = f"""{oracle.TOK}, o AS (SELECT doc_id, lang, unnest(list_distinct(t)) AS token FROM tok), occ AS (SELECT doc_id, lang || ':token' AS lang, token FROM o UNION ALL SELECT doc_id, lang || ':stopword', token FROM o WHERE NOT list_contains({_STOP_SQL}, token)
+    UNION ALL SELECT DISTINCT doc_id, lang || ':stemming', {_sql_rules()} FROM o), docs AS (SELECT doc_id, lang || ':' || unnest(['token', 'stopword', 'stemming']) AS lang FROM documents), {oracle.features(40)},
+    m AS (SELECT split_part(lang, ':', 1) AS lang, split_part(lang, ':', 2) AS condition, a.n AS available_count, feat.* EXCLUDE (lang) FROM feat JOIN (SELECT lang, count(*) AS n FROM freq GROUP BY lang) a USING (lang))"""
+_LESS = lambda a, b: ", ".join(f"round({a}.{n} - {b}.{n}, 6) AS {n}" for n in METRICS)
+
+
+def condition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, condition and the nine metrics, under plain tokens, without stopwords, and stemmed. One pass measures all: each condition of a language is a group."""
+    docs = table(spark, sf_dir, "documents")
+    tok = inc.token_sets(docs)
+    stem = F.array_distinct(F.transform("tokens", lambda t: st.suffix_stem(t, RULES)))
+    made = {"token": tok, "stopword": inc.remove_stopwords(tok, STOP), "stemming": tok.withColumn("tokens", stem)}
+    every = None
+    for name, t in made.items():
+        one = t.select("doc_id", F.concat("lang", F.lit(f":{name}")).alias("lang"), "tokens")
+        every = one if every is None else every.unionByName(one)
+    every = written(every, "conditions")
+    df = written(inc.document_frequency(every), "frequencies")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token"))
+    kw = written(df.withColumn("rank", rank).where("rank <= 40").select("lang", (F.col("rank") - 1).cast("long").alias("rank"), "token", "df"), "keywords")
+    f = sx.features(every.select("doc_id", "lang"), kw, inc.incidence(every, kw)).join(df.groupBy("lang").agg(F.count(F.lit(1)).alias("available_count")), "lang")
+    return written(f.select(F.split_part("lang", F.lit(":"), F.lit(1)).alias("lang"), F.split_part("lang", F.lit(":"), F.lit(2)).alias("condition"), *METRICS), "metrics")
+
+
+@query(f"WITH {_CONDITIONS} SELECT m.lang, m.condition, {_LESS('m', 'b')} FROM m JOIN m b ON b.lang = m.lang AND b.condition = 'token' WHERE m.condition <> 'token'")
 def condition_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure under stopword removal and stemming, less that of plain tokens."""
-    tok = inc.tokenised(table(spark, sf_dir, "documents"))
-    stops = F.create_map(*[x for lang, words in STOP.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))])
-    stop = F.coalesce(F.array_contains(F.try_element_at(stops, F.col("lang")), F.col("token")), F.lit(False))
-    way = lambda name, term: F.struct(F.lit(name).alias("condition"), term.alias("term"))
-    ways = F.array_compact(F.array(way("token", F.col("token")), F.when(~stop, way("stopword", F.col("token"))), way("stemming", st.suffix_stem(F.col("token"), RULES))))
-    c = inc.occurrences(tok).select("lang", "doc_id", F.explode(ways).alias("w")).select("lang", "doc_id", "w.condition", "w.term").distinct()
-    m = c.groupBy("lang", "condition", "term").agg(F.count(F.lit(1)).alias("df")).groupBy("lang", "condition").agg(F.count(F.lit(1)).alias("types"), F.sum("df").alias("incidences"))
-    m = m.join(tok.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")), "lang").withColumn("density", F.col("incidences") / (F.col("docs") * F.col("types")))
-    return sx.metric_differences(m, ["lang"], "condition", "token", ["types", "incidences", "density"]).withColumn("density", F.round("density", 9))
+    d = sx.metric_differences(condition_metrics(spark, sf_dir), ["lang"], "condition", "token", METRICS)
+    return d.select("lang", "condition", *[F.round(n, 6).alias(n) for n in METRICS])
+
+
+@query(f"WITH {_CONDITIONS} SELECT x.condition, {_LESS('x', 'y')} FROM m x JOIN m y ON x.condition = y.condition AND x.lang = 'fr' AND y.lang = 'en'")
+def language_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure of one language less that of another, under each condition."""
+    d = sx.group_differences(condition_metrics(spark, sf_dir), ["condition"], "lang", "fr", "en", METRICS)
+    return d.select("condition", *[F.round(n, 6).alias(n) for n in METRICS])
+
+
+_SPLITS = "CASE doc_id % 50 WHEN 0 THEN ['auxiliary', 'client'] WHEN 1 THEN ['auxiliary', 'auxiliary'] WHEN 2 THEN ['client'] ELSE [CASE WHEN doc_id % 3 = 0 THEN 'auxiliary' ELSE 'client' END] END"
+
+
+@query(f"""WITH d AS (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 70 = 5), s AS (SELECT CASE WHEN doc_id % 90 = 7 THEN -doc_id ELSE doc_id END AS doc_id, unnest({_SPLITS}) AS side FROM documents), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL),
+       k AS (SELECT doc_id, max(k) AS most, count(*) AS sides FROM (SELECT doc_id, side, count(*) AS k FROM s GROUP BY ALL) GROUP BY ALL), b AS (SELECT coalesce(n.doc_id, k.doc_id) AS doc_id, n, most, sides FROM n FULL JOIN k ON n.doc_id = k.doc_id)
+       SELECT doc_id, unnest(list_filter([CASE WHEN n > 1 THEN 'repeated' END, CASE WHEN n IS NULL THEN 'unknown' END, CASE WHEN most > 1 THEN 'named_twice' END, CASE WHEN sides > 1 THEN 'overlap' END], lambda x: x IS NOT NULL)) AS reason FROM b""")
+def split_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and split of an export, with faults of every kind."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    at = F.col("doc_id") % 50
+    one = F.when(F.col("doc_id") % 3 == 0, "auxiliary").otherwise("client")
+    lit = lambda *x: F.array(*map(F.lit, x))
+    sides = F.when(at == 0, lit("auxiliary", "client")).when(at == 1, lit("auxiliary", "auxiliary")).when(at == 2, lit("client")).otherwise(F.array(one))
+    split = d.select(F.when(F.col("doc_id") % 90 == 7, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.explode(sides).alias("side"))
+    return policy.split_errors(d.union(d.where("doc_id % 70 = 5")), split, "doc_id")
 
 
 @query("""WITH d AS (SELECT unnest([source, lang, source || '/' || lang]) AS domain, n_chars FROM documents) SELECT domain, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, contains(domain, 'en') AS english, round(100.0 * count(*) / (SELECT count(*) FROM documents), 3) AS percent FROM d GROUP BY domain""")
@@ -136,18 +177,30 @@ def intervention_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEED = "sha256(family || ':' || dataset || ':' || distribution || ':' || seed)"
 
 
-@query(f"""WITH d AS (SELECT lang, sha256(lang || ':' || count(*)) AS digest FROM documents GROUP BY lang), f AS (SELECT unnest(['partition', 'controlled', 'shuffled']) AS family), s AS (SELECT unnest(range(5)) AS seed), q AS (SELECT unnest(['uniform_iid', 'zipf_iid']) AS distribution),
-       t AS (SELECT family, lang || ':k40' AS dataset, distribution, seed, CASE WHEN seed < 3 AND lang < 'es' THEN 'reuse' ELSE 'run' END AS action, {_SEED.replace('dataset', "lang || ':k40'")} AS h FROM d, f, s, q)
-       SELECT family, dataset, 40 AS k, distribution, seed, action, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS local_seed FROM t""")
+# the families of a study: what data each works on, its distributions and seeds (fixed values: the names)
+FAMILIES = {
+    "partition": {"kind": "export", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "attack"}, "controlled": {"kind": "restricted", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "attack"},
+    "shuffled": {"kind": "shuffled", "distributions": ["zipf_iid"], "seeds": "attack"}, "balanced": {"kind": "balanced", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "attack"},
+    "original_extended": {"kind": "export", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "extended"}, "independent": {"kind": "export", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "attack"},
+    "independent_trajectory": {"kind": "export", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "one"}, "auxiliary_only": {"kind": "auxiliary", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "attack"}, "auxiliary_shift": {"kind": "auxiliary", "distributions": ["uniform_iid", "zipf_iid"], "seeds": "attack"},
+}
+SEEDS = {"attack": [0, 1, 2, 3], "extended": list(range(8)), "one": [0]}
+_FAMILY_ROWS = ", ".join(f"('{n}', '{f['kind']}', {f['distributions']!r}, {SEEDS[f['seeds']]!r})" for n, f in FAMILIES.items())
+
+
+@query(f"""WITH f(family, kind, ds, ss) AS (VALUES {_FAMILY_ROWS}), k AS (SELECT unnest(['export', 'restricted', 'shuffled', 'balanced', 'auxiliary']) AS kind), d AS (SELECT kind, lang, count(*) AS n FROM documents, k GROUP BY ALL),
+       x AS (SELECT family, kind || ':' || lang || ':k40' AS dataset, lang, ds, ss, kind FROM f JOIN d USING (kind)), y AS (SELECT family, dataset, lang, unnest(ds) AS distribution, ss, kind FROM x), t AS (SELECT family, dataset, lang, distribution, CAST(unnest(ss) AS BIGINT) AS seed, kind FROM y)
+       SELECT family, dataset, 40 AS k, distribution, seed, CASE WHEN seed < 3 AND lang < 'es' AND kind <> 'auxiliary' THEN 'reuse' ELSE 'run' END AS action,
+         CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS local_seed FROM (SELECT *, {_SEED} AS h FROM t)""")
 def expanded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs of three families over each language's data; runs of unchanged data are taken from the cache."""
+    """The runs of nine families over their data; runs of unchanged data are taken from the cache."""
     d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    ids = d.select("lang", F.concat("lang", F.lit(":k40")).alias("dataset"), F.sha2(F.concat("lang", F.lit(":"), "n"), 256).alias("digest"))
-    dist = F.array(F.lit("uniform_iid"), F.lit("zipf_iid"))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))
-    families = ids.select(F.explode(F.array(F.lit("partition"), F.lit("controlled"), F.lit("shuffled"))).alias("family"), "dataset", "digest", dist.alias("distributions"), upto(4).alias("seeds"))
-    cache = ids.select("dataset", F.when(F.col("lang") < "es", F.col("digest")).otherwise(F.lit("stale")).alias("digest"), F.explode(dist).alias("distribution")).withColumn("seed", F.explode(upto(2)))
-    t = recovery.expanded_tasks(families, cache)
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("export", "restricted", "shuffled", "balanced", "auxiliary")])).alias("kind")
+    data = d.select("lang", "n", kinds).select("kind", F.lit(0).alias("partition"), F.col("lang").alias("language"), F.lit("token").alias("condition"), F.concat("kind", F.lit(":"), "lang", F.lit(":k40")).alias("dataset"), F.sha2(F.concat_ws(":", "kind", "lang", "n"), 256).alias("digest"))
+    tasks = recovery.family_tasks(data, FAMILIES, SEEDS)
+    kept = data.where("kind <> 'auxiliary'").select("dataset", F.when(F.col("language") < "es", F.col("digest")).otherwise("stale").alias("digest"), F.explode(F.array(F.lit("uniform_iid"), F.lit("zipf_iid"))).alias("distribution"))
+    cache = kept.withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    t = recovery.expanded_tasks(tasks, cache)
     return t.select("family", "dataset", tx.keyword_size(F.col("dataset")).alias("k"), "distribution", "seed", "action", tx.local_seed(F.concat_ws(":", "family", "dataset", "distribution", "seed")).alias("local_seed"))
 
 
@@ -198,3 +251,47 @@ def adjacent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ex.runs(spark, sf_dir)
     return stt.shared_keys(r.where("seed <> 5"), r.where("seed <> 7"), ["condition", "seed"], ["condition"])
+
+
+_SUMMARY = "SELECT event_type AS condition, user_id % 4 AS part, user_id % 12 // 4 AS seed, avg(value) AS a, avg(CAST(value > 50 AS DOUBLE)) AS b FROM events GROUP BY ALL"
+
+
+@query(f"""WITH r AS ({_SUMMARY}) SELECT condition, part, array_to_string(list_sort(list(seed)), ',') AS seeds, round(avg(a), 6) AS a_mean, round(stddev_samp(a), 6) AS a_sd, round(avg(b), 6) AS b_mean, round(stddev_samp(b), 6) AS b_sd FROM r GROUP BY ALL""")
+def family_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores of each family and partition over its seeds, which must be complete."""
+    e = table(spark, sf_dir, "events")
+    r = e.groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 4).alias("part"), F.floor(F.col("user_id") % 12 / 4).alias("seed")).agg(F.avg("value").alias("a"), F.avg((F.col("value") > 50).cast("double")).alias("b"))
+    s = stt.family_summaries(r, ["condition", "part"], "seed", ["a", "b"], [0, 1, 2])
+    return s.select("condition", "part", F.array_join("seeds", ",").alias("seeds"), *[F.round(c, 6).alias(c) for c in ("a_mean", "a_sd", "b_mean", "b_sd")])
+
+
+@query("""WITH r AS (SELECT event_type AS condition, user_id % 6 AS seed, user_id % 12 // 6 * 10 AS checkpoint, avg(value) AS a, avg(CAST(value > 50 AS DOUBLE)) AS b FROM events GROUP BY ALL)
+       SELECT condition, checkpoint, count(*) AS n, round(avg(a), 6) AS a_mean, round(stddev_samp(a), 6) AS a_sd, round(avg(b), 6) AS b_mean, round(stddev_samp(b), 6) AS b_sd FROM r GROUP BY ALL""")
+def checkpoint_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that hold arrays of checkpoints and scores, summarised by checkpoint."""
+    e = table(spark, sf_dir, "events")
+    r = e.groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 6).alias("seed"), (F.floor(F.col("user_id") % 12 / 6) * 10).alias("c")).agg(F.avg("value").alias("a"), F.avg((F.col("value") > 50).cast("double")).alias("b"))
+    kept = r.groupBy("condition", "seed").agg(F.sort_array(F.collect_list(F.struct("c", "a", "b"))).alias("s"))  # two checkpoints a run
+    runs = kept.select("condition", "seed", F.col("s.c").alias("checkpoints"), F.transform("s", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("scores"))
+    long = stt.by_checkpoint(runs, ["condition", "seed"])
+    a, b = (stt.summary(long, ["condition", "checkpoint"], m).select("condition", "checkpoint", "n", F.round("mean", 6).alias(f"{m}_mean"), F.round("sd", 6).alias(f"{m}_sd")) for m in "ab")
+    return a.join(b.drop("n"), ["condition", "checkpoint"])
+
+
+@query("""WITH r AS (SELECT event_type AS condition, user_id % 12 // 4 AS checkpoint, avg(value) AS v FROM events GROUP BY ALL), w AS (SELECT event_type AS condition, avg(value) AS e FROM events GROUP BY ALL)
+       SELECT condition, CAST(checkpoint AS INTEGER) AS place, round(v, 6) AS observed, round(e, 6) AS expected, abs(v - e) <= 1.0 AS within FROM r JOIN w USING (condition)""")
+def checkpoint_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of observed and expected values, compared place by place."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "condition")
+    o = e.groupBy("condition", F.floor(F.col("user_id") % 12 / 4).alias("c")).agg(F.avg("value").alias("v")).groupBy("condition").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("observed"))  # three
+    x = e.groupBy("condition").agg(F.avg("value").alias("v")).select("condition", F.array("v", "v", "v").alias("expected"))
+    return stt.array_tolerance(o, x, ["condition"], 1.0).select("condition", "place", F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), "within")
+
+
+@query(f"""WITH {ex._FLIP}, t(df, t) AS (VALUES {ex._T}), s AS (SELECT condition, count(*) AS k, stddev_samp(difference) AS sd FROM d GROUP BY condition), l AS (SELECT condition, avg(score) AS own FROM runs GROUP BY condition), b0 AS (SELECT avg(score) AS other FROM runs JOIN base ON condition = b)
+       SELECT condition, n, round(own, 6) AS left_mean, round(other, 6) AS right_mean, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - t * sd / sqrt(n), 6) AS low, round(mean + t * sd / sqrt(n), 6) AS high, round(CASE WHEN sd <> 0 THEN mean / sd END, 6) AS standardised, round(p, 9) AS p FROM p JOIN s USING (condition) JOIN l USING (condition), b0 JOIN t ON df = n - 1""")
+def paired_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each condition against the baseline, run by run: both means, the difference with its interval, in units of its deviation, and its exact p."""
+    r = ex.runs(spark, sf_dir)
+    s = stt.paired_summary(r, [], "seed", "condition", r.agg(F.min("condition")).first()[0], "score")
+    return s.select("condition", "n", *[F.round(c, 6).alias(c) for c in ("left_mean", "right_mean", "mean", "sd", "low", "high", "standardised")], F.round("p", 9).alias("p"))

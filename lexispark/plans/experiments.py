@@ -209,17 +209,25 @@ _FLIP = f"""{_DIFF}, k AS (SELECT condition, difference AS x, row_number() OVER
 
 
 @query(f"""WITH {_FLIP}, r AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS k, count(*) OVER () AS m FROM p)
-       SELECT condition, n, round(mean, 6) AS mean, round(p, 9) AS p, round(max(least(1.0, p * (m - k + 1))) OVER (ORDER BY k), 9) AS adjusted FROM r""")
+       SELECT condition, n, round(mean, 6) AS mean, round(p, 9) AS p, round(2 / pow(2, n), 9) AS resolution, round(max(least(1.0, p * (m - k + 1))) OVER (ORDER BY k), 9) AS adjusted FROM r""")
 def sign_flip_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = stt.sign_flip(_paired(spark, sf_dir), ["condition"], "seed", "difference").withColumn("family", F.lit("all"))
-    return stt.holm(p, ["family"], "p", ["condition"]).select("condition", "n", F.round("mean", 6).alias("mean"), F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
+    return stt.holm(p, ["family"], "p", ["condition"]).select("condition", "n", F.round("mean", 6).alias("mean"), F.round("p", 9).alias("p"), F.round("resolution", 9).alias("resolution"), F.round("adjusted", 9).alias("adjusted"))
 
 
-@query("""WITH f AS (SELECT event_type AS condition, user_id, avg(value) AS x, count(*) AS y FROM events GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY x) + (count(*) OVER (PARTITION BY condition, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY condition ORDER BY y) + (count(*) OVER (PARTITION BY condition, y) - 1) / 2 AS ry FROM f)
-       SELECT condition, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY condition""")
+def _p_sql(r: str) -> str:
+    """Student's p of a correlation in closed form; a term of the series by gamma functions."""
+    even = f"1 - abs({r}) * (SELECT sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0)) * pow(1 - {r} * {r}, k)) FROM range((n - 2) // 2) t(k))"
+    odd = f"1 - 2 / pi() * (asin(abs({r})) + abs({r}) * coalesce((SELECT sum(exp(lgamma(k + 1.0) + lgamma(0.5) - lgamma(k + 1.5)) / 2 * pow(1 - {r} * {r}, k + 0.5)) FROM range((n - 3) // 2) t(k)), 0))"
+    return f"CASE WHEN n % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+@query(f"""WITH f AS (SELECT event_type AS condition, user_id, avg(value) AS x, count(*) AS y FROM events GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY x) + (count(*) OVER (PARTITION BY condition, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY condition ORDER BY y) + (count(*) OVER (PARTITION BY condition, y) - 1) / 2 AS ry FROM f),
+       c AS (SELECT condition, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM r GROUP BY condition) SELECT condition, n, round(pearson, 6) AS pearson, round({_p_sql('pearson')}, 6) AS pearson_p, round(spearman, 6) AS spearman, round({_p_sql('spearman')}, 6) AS spearman_p FROM c""")
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("condition"), "user_id").agg(F.avg("value").alias("x"), F.count(F.lit(1)).cast("double").alias("y"))
-    return stt.correlations(f, ["condition"], "x", "y").select("condition", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+    e = table(spark, sf_dir, "events")
+    f = e.groupBy(F.col("event_type").alias("condition"), "user_id").agg(F.avg("value").alias("x"), F.count(F.lit(1)).cast("double").alias("y"))
+    return stt.correlations(f, ["condition"], "x", "y").select("condition", "n", *[F.round(c, 6).alias(c) for c in ("pearson", "pearson_p", "spearman", "spearman_p")])
 
 
 @query(f"""WITH {_RUNS}, c AS (SELECT DISTINCT condition FROM runs), s AS (SELECT unnest(range(14)) AS seed)

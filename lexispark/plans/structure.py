@@ -25,11 +25,11 @@ def parts(spark: SparkSession, sf_dir: str, k: int = K) -> tuple[DataFrame, Data
 @query(f"""WITH {oracle.keywords(K)}, l AS (SELECT d.lang, d.doc_id, count(rank) AS n FROM documents d LEFT JOIN inc USING (doc_id) GROUP BY ALL),
     s AS (SELECT lang, count(*) AS docs, CAST(sum(n) AS BIGINT) AS incidences, CAST(sum(CAST(n = 0 AS INT)) AS BIGINT) AS empty_docs, avg(n) AS len_mean, stddev_samp(n) AS len_sd, quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.5) AS b, quantile_cont(n, 0.75) AS c FROM l GROUP BY lang),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df, token DESC) AS up, count(*) OVER (PARTITION BY lang) AS k, sum(df) OVER (PARTITION BY lang) AS total, count(*) OVER (PARTITION BY lang, df) AS same FROM kw),
-    f AS (SELECT lang, count(*) AS keywords, avg(df) AS df_mean, stddev_samp(df) AS df_sd, stddev_pop(df) / avg(df) AS df_cv, 2 * sum(up * df) / (max(k) * max(total)) - (max(k) + 1) / max(k) AS gini,
+    f AS (SELECT lang, count(*) AS keywords, quantile_cont(df, 0.25) AS fa, quantile_cont(df, 0.5) AS fb, quantile_cont(df, 0.75) AS fc, avg(df) AS df_mean, stddev_samp(df) AS df_sd, stddev_pop(df) / avg(df) AS df_cv, 2 * sum(up * df) / (max(k) * max(total)) - (max(k) + 1) / max(k) AS gini,
         CASE WHEN max(k) > 1 THEN sum(-df / total * ln(df / total)) / ln(max(k)) ELSE 0.0 END AS entropy, sum(CASE WHEN rank < greatest(1, ceil(k * 0.01)) THEN df ELSE 0 END) / max(total) AS top1_share, sum(CASE WHEN rank < greatest(1, ceil(k * 0.1)) THEN df ELSE 0 END) / max(total) AS top10_share,
         avg(CAST(same > 1 AS DOUBLE)) AS alternative_share, max(same) AS largest_group, count(DISTINCT CASE WHEN same > 1 THEN df END) AS frequency_groups FROM r GROUP BY lang)
     SELECT lang, docs, keywords, incidences, empty_docs, round(incidences / (docs * keywords), 6) AS density, round(len_mean, 6) AS len_mean, round(len_sd, 6) AS len_sd, round(a, 6) AS len_q25, round(b, 6) AS len_q50, round(c, 6) AS len_q75,
-        round(df_mean, 6) AS df_mean, round(df_sd, 6) AS df_sd, round(df_cv, 6) AS df_cv, round(gini, 6) AS gini, round(entropy, 6) AS entropy, round(top1_share, 6) AS top1_share, round(top10_share, 6) AS top10_share, round(alternative_share, 6) AS alternative_share, largest_group, frequency_groups FROM s JOIN f USING (lang)""")
+        round(fa, 6) AS df_q25, round(fb, 6) AS df_q50, round(fc, 6) AS df_q75, round(df_mean, 6) AS df_mean, round(df_sd, 6) AS df_sd, round(df_cv, 6) AS df_cv, round(gini, 6) AS gini, round(entropy, 6) AS entropy, round(top1_share, 6) AS top1_share, round(top10_share, 6) AS top10_share, round(alternative_share, 6) AS alternative_share, largest_group, frequency_groups FROM s JOIN f USING (lang)""")
 def structure_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sx.profile(*parts(spark, sf_dir))
 
@@ -84,3 +84,17 @@ def partition_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda a: side(docs, a).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     df = lambda a: side(i, a).groupBy("lang", "rank").agg(F.count(F.lit(1)).alias("df"))
     return sx.partition_rmse(n(True), df(True), n(False), df(False), sx.cooccurrence(side(i, True)), sx.cooccurrence(side(i, False)), kw)
+
+
+_ROUNDED = ", ".join(f"round({f}, 6) AS {f}" for f in sx.FEATURES)
+
+
+@query(f"WITH {oracle.TOK}, occ AS (SELECT doc_id, lang, unnest(list_distinct(t)) AS token FROM tok), docs AS (SELECT doc_id, lang FROM documents), {oracle.features(K)} SELECT lang, {_ROUNDED} FROM feat")
+def primary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalars that sweeps relate to recovery, by language."""
+    return sx.features(*parts(spark, sf_dir)).select("lang", *[F.round(f, 6).alias(f) for f in sx.FEATURES])
+
+
+@query(f"WITH {oracle.keywords(K)}, l AS (SELECT lang, doc_id, doc_id || ':' || string_agg(rank, ',' ORDER BY rank) AS t, count(*) AS n FROM inc GROUP BY lang, doc_id), p AS (SELECT lang, doc_id // 65536 AS b, sha256(string_agg(t, chr(10) ORDER BY doc_id)) AS h, sum(n) AS n FROM l GROUP BY lang, doc_id // 65536) SELECT lang, CAST(sum(n) AS BIGINT) AS incidences, sha256(string_agg(h, chr(10) ORDER BY b)) AS sha256 FROM p GROUP BY lang")
+def incidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sx.incidence_digest(parts(spark, sf_dir)[2])

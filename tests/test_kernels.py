@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from lexispark.operators import controls, dedup, interventions, matching, numbering, policy, recovery, structure
 from lexispark.operators import statistics as stt
-from lexispark.sources import files
 
 
 def test_assignment_is_optimal():
@@ -22,13 +21,106 @@ def test_assignment_is_optimal():
 
 
 def test_planted_keywords_are_recovered():
-    rng = np.random.RandomState(417)
-    p = np.array([0.1, 0.2, 0.35, 0.5, 0.65, 0.8])
-    a, c = (rng.rand(400, 6) < p).astype(float), (rng.rand(400, 6) < p).astype(float)
-    labels = np.array([3, 1, 5, 0, 2, 4])
-    got = recovery.recover(a.T @ a / 400, (c.T @ c)[np.ix_(labels, labels)], 400, 20, 0.5, 1, [0, 20])
+    rng = np.random.RandomState(90210)
+    p = np.array([0.12, 0.22, 0.33, 0.47, 0.6, 0.72, 0.85])
+    a, c = (rng.rand(600, 7) < p).astype(float), (rng.rand(600, 7) < p).astype(float)
+    labels = np.array([6, 3, 1, 5, 0, 2, 4])
+    got = recovery.recover(a.T @ a / 600, (c.T @ c)[np.ix_(labels, labels)], 600, 20, 0.5, 1, [0, 20])
     assert (got[20] == labels).all()
     assert recovery.metrics(np.array([0, 1, 0, 2]), np.array([0, 1, 2, 2])) == (0.75, pytest.approx(5 / 6))
+    with pytest.raises(ValueError):
+        recovery.recover(a.T @ a / 600, c.T @ c, 600, 0, 0.1, 1, [0])
+
+
+def _direct_cost(aux, seen, n, free_kw, free_tok, fixed_kw, fixed_tok):
+    """Sums pair by pair, zeros replaced within each fixed keyword's own column."""
+    out = np.zeros((len(free_tok), len(free_kw)))
+    for column, counts in [(np.diag(aux)[free_kw], np.diag(seen)[free_tok])] + [(aux[free_kw, k], seen[free_tok, t]) for k, t in zip(fixed_kw, fixed_tok, strict=True)]:
+        some = [x for x in column if x > 0]
+        for j, x in enumerate(column):
+            x = x if x > 0 else min(some) / 100 if some else 1e-10
+            for i, c in enumerate(counts):
+                out[i, j] -= c * math.log(x) + (n - c) * math.log1p(-x)
+    return out
+
+
+def test_costs_with_zeros_equal_the_direct_sum(monkeypatch):
+    rng = np.random.RandomState(4)
+    for _ in range(20):
+        a, c = (rng.rand(90, 9) < 0.2).astype(float), (rng.rand(80, 9) < 0.2).astype(float)
+        a[:, 8] = 0
+        aux, seen = a.T @ a / 90, c.T @ c
+        order, names = rng.permutation(9), rng.permutation(9)
+        args = aux, seen, 80, order[:5], names[:5], order[5:], names[5:]
+        assert np.abs(recovery.cost_matrix(*args) - _direct_cost(*args)).max() < 1e-10 * 1e3
+        assert np.allclose(recovery.cost_matrix(*args), _direct_cost(*args), rtol=1e-12)
+    # every update of a whole run, and its assignment against the best one
+    updates = []
+
+    def audited(*args):
+        mine, theirs = cost(*args), _direct_cost(*args)
+        assert np.abs(mine - theirs).max() <= 1e-10 * max(1.0, np.abs(mine).max())
+        updates.append(mine)
+        return mine
+
+    cost = recovery.cost_matrix
+    monkeypatch.setattr(recovery, "cost_matrix", audited)
+    aux[8, 8] = 0.01
+    recovery.recover(aux, seen, 80, 12, 0.5, 3, [12])
+    assert len(updates) == 13
+    for m in updates[1:]:
+        got = matching.assignment(m)
+        assert m[np.arange(len(m)), got].sum() <= min(sum(m[i, p[i]] for i in range(len(m))) for p in itertools.permutations(range(m.shape[1]), len(m))) + 1e-9
+
+
+def test_runs_are_kept_and_resumed(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/runs"
+    pairs = spark.createDataFrame([("d", i, j, 3 + i if i == j else 1, 4 + i if i == j else 1, 20, 30) for i in range(5) for j in range(i, 5)], "dataset string, i long, j long, aux long, client long, n_aux long, n_client long")
+    tasks = lambda seeds: spark.createDataFrame([("d", "uniform_iid", s) for s in seeds], "dataset string, distribution string, seed long")
+    options = {"k": 5, "steps": 3, "free": 0.5, "checkpoints": [0, 3], "multiplier": 4}
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    first = rows(recovery.resume_runs(path, "x", pairs, tasks([1, 2]), **options))
+    made = []
+    real = recovery.recovery_runs
+    monkeypatch.setattr(recovery, "recovery_runs", lambda p, t, **o: made.append(sorted(r.seed for r in t.collect())) or real(p, t, **o))
+    every = rows(recovery.resume_runs(path, "x", pairs, tasks([1, 2, 3]), **options))
+    assert made == [[3]] and set(first) < set(every) and every == rows(real(pairs, tasks([1, 2, 3]), **options))
+    assert rows(recovery.resume_runs(path, "x", pairs, tasks([1, 2, 3]), **options)) == every and made == [[3]]
+    with pytest.raises(ValueError):
+        recovery.resume_runs(path, "other data", pairs, tasks([1, 2, 3]), **options)
+    with pytest.raises(ValueError):
+        recovery.resume_runs(path, "x", pairs, tasks([1]), **options)
+
+
+def test_sparse_matching_is_the_best():
+    rnd = random.Random(11)
+    for _ in range(400):
+        n, m = rnd.randint(1, 5), rnd.randint(1, 5)
+        edges = [[(j, float(rnd.randint(0, 9))) for j in range(m) if rnd.random() < 0.5] for _ in range(n)]
+        cost = {(i, j): c for i, e in enumerate(edges) for j, c in e}
+        got = matching.sparse_matching(m, edges)
+        value = lambda p: (-sum(j >= 0 for j in p), sum(cost[i, j] for i, j in enumerate(p) if j >= 0))
+        alone = [p for p in itertools.product(*[[-1, *[j for j, _ in e]] for e in edges]) if len({j for j in p if j >= 0}) == sum(j >= 0 for j in p)]
+        assert tuple(got) in alone and value(got) == min(map(value, alone))
+
+
+def test_lengths_are_matched_best(spark):
+    rnd = random.Random(3)
+    rows = lambda n, o: [(o + i, rnd.randint(0, 40), rnd.randint(1, 40)) for i in range(n)]
+    left, right = rows(6, 0), rows(6, 100)
+    got = controls.length_matching(*[spark.createDataFrame(x, "id long, a long, b long") for x in (left, right)], 2.0).collect()
+    gap = lambda x, y: (abs(math.log(x[1] / y[1])), abs(math.log(x[2] / y[2])))
+    fits = {(x[0], y[0]): sum(gap(x, y)) for x in left for y in right if x[1] and y[1] and max(gap(x, y)) <= math.log(2.0) + 1e-12}
+    best = (0, 0.0)
+    for p in itertools.permutations([y[0] for y in right]):
+        taken = [(x[0], y) for x, y in zip(left, p, strict=True) if (x[0], y) in fits]
+        # any subset of what fits may be taken, and more pairs are always better
+        best = min(best, (-len(taken), sum(fits[t] for t in taken)))
+    assert all((r["left"], r["right"]) in fits for r in got)
+    assert (-len(got), round(sum(r["cost"] for r in got), 9)) == (best[0], round(best[1], 9))
+    edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5)], "left long, right long, cost double")
+    with pytest.raises(ValueError):
+        matching.optimal_matching(edges, most=1)
 
 
 def test_greedy_matching_equals_the_scan(spark):
@@ -79,7 +171,7 @@ def test_statistics(spark):
     assert stt.t_critical(9) == pytest.approx(2.2621571628, abs=1e-9) and stt.t_critical(1) == pytest.approx(12.7062047364, abs=1e-8)
     d = spark.createDataFrame([("a", i, 0.1) for i in range(10)], "c string, seed long, d double")
     r = stt.sign_flip(d, ["c"], "seed", "d").first()
-    assert r.p == pytest.approx(2 / 2**10) and r["mean"] == pytest.approx(0.1)
+    assert r.resolution == 2 / 2**10 and r.p == pytest.approx(2 / 2**10) and r["mean"] == pytest.approx(0.1)
     p = spark.createDataFrame([("f", "x", 0.01), ("f", "y", 0.02), ("f", "z", 0.9)], "f string, k string, p double")
     assert [round(r.adjusted, 9) for r in stt.holm(p, ["f"], "p", ["k"]).orderBy("p").collect()] == [0.03, 0.04, 0.9]
     one = stt.summary(spark.createDataFrame([("a", 1.0)], "c string, v double"), ["c"], "v").first()
@@ -88,11 +180,12 @@ def test_statistics(spark):
 
 
 def test_structure_of_a_small_matrix(spark):
-    inc = spark.createDataFrame([("x", d, k) for d, row in enumerate([[1, 1, 0], [0, 0, 1], [1, 1, 1]]) for k, v in enumerate(row) if v], "lang string, doc_id long, rank long")
-    docs = spark.createDataFrame([("x", d) for d in range(3)], "lang string, doc_id long")
-    kw = spark.createDataFrame([("x", k, f"k{k}", 2) for k in range(3)], "lang string, rank long, token string, df long")
+    sets = [{0, 1, 3}, {2}, {0, 1, 2, 3}, set(), {3}]
+    inc = spark.createDataFrame([("x", d, k) for d, row in enumerate(sets) for k in row], "lang string, doc_id long, rank long")
+    docs = spark.createDataFrame([("x", d) for d in range(5)], "lang string, doc_id long")
+    kw = spark.createDataFrame([("x", k, f"k{k}", n) for k, n in enumerate([2, 2, 2, 3])], "lang string, rank long, token string, df long")
     p = structure.profile(docs, kw, inc).first()
-    assert p.density == round(6 / 9, 6) and p.alternative_share == 1.0
+    assert p.density == round(9 / 20, 6) and p.alternative_share == 0.75 and p.empty_docs == 1 and p.df_q50 == 2.0
     assert structure.jaccard_summary(structure.access_jaccard(kw, structure.cooccurrence(inc))).first().identical_pairs == 1
 
 
@@ -102,20 +195,6 @@ def test_thinning_nests(spark):
     assert small < large and len([1 for d, k in large if k == 3]) == 20
 
 
-def test_files_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("b", None), ("a", "é")], "y string, x string")
-    files.write_jsonl(df, f"file://{tmp_path}/j")
-    back = files.read_jsonl(spark, f"file://{tmp_path}/j", "x string, y string")
-    assert sorted((r.y, r.x) for r in back.collect()) == [("a", "é"), ("b", None)]
-    (tmp_path / "l").write_text("﻿one\ntwo\n")
-    (tmp_path / "r").write_text("eins\nzwei\n")
-    got = files.read_aligned(spark, f"file://{tmp_path}/l", f"file://{tmp_path}/r").orderBy("row").collect()
-    assert [tuple(r) for r in got] == [(0, "one", "eins"), (1, "two", "zwei")]
-    (tmp_path / "bad").write_text("{]\n")
-    with pytest.raises(Exception):
-        files.read_jsonl(spark, f"file://{tmp_path}/bad", "x string").collect()
-
-
 def test_numbering_equals_one_sort(spark):
     rnd = random.Random(5)
     values = [rnd.randint(-300_000, 300_000) for _ in range(500)]
@@ -155,3 +234,86 @@ def test_intervention_flags(spark):
     got = interventions.invariants(before, interventions.collide(before, pairs), pairs).first()
     assert tuple(got) == (0, 1, True, False, True, False)
     assert controls.pair_sample(spark.range(5).select(F.col("id").alias("kw")), 4, 1).count() == 4
+
+
+def test_p_of_correlations(spark):
+    pairs = [(r, n) for r in (0.0, 0.1, -0.55, 0.93, 1.0) for n in (3, 4, 5, 6, 11, 40, 101)]
+    df = spark.createDataFrame(pairs, "r double, n long")
+    got = [x[0] for x in df.select(stt.correlation_p(F.col("r"), F.col("n"))).collect()]
+    for (r, n), p in zip(pairs, got, strict=True):
+        want = 0.0 if abs(r) == 1 else stt.t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+        assert p == pytest.approx(want, abs=1e-9), (r, n)
+    assert spark.createDataFrame([(0.5, 2)], "r double, n long").select(stt.correlation_p(F.col("r"), F.col("n"))).first()[0] is None
+
+
+def test_numbering_within_groups(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.randint(0, 500_000)) for i in range(300)]
+    got = numbering.numbered(spark.createDataFrame(rows, "id long, g string, v long"), "n", numbering.number_range(F.col("v")), "v", "id", within=["g"]).collect()
+    want = {}
+    for g in ("a", "b", None):
+        want |= {r[0]: n for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])))}
+    assert {r["id"]: r["n"] for r in got} == want
+
+
+def test_copies_make_no_pairs(spark, monkeypatch):
+    seen = []
+    real = dedup.similar_pairs
+    monkeypatch.setattr(dedup, "similar_pairs", lambda s, t: seen.append(s.count()) or real(s, t))
+    rows = [(i, f"r{i}", "en", "same" if i % 4 else "same!", ["a", "b"]) for i in range(400)] + [(500, "r500", "en", "other", ["c"])]
+    got = dedup.deduplicate(spark.createDataFrame(rows, "pos long, record_id string, lang string, hash string, s array<string>"), 0.85).collect()
+    assert seen == [2]
+    status = {r.pos: (r.status, r.canonical_record_id, r.similarity) for r in got}
+    assert status[0] == ("unique", "r0", 1.0) and status[4] == ("exact", "r0", 1.0) and status[1] == ("near", "r0", 1.0) and status[500] == ("unique", "r500", 1.0)
+
+
+def test_repeated_blocks_equal_the_loop(spark):
+    rnd = random.Random(4)
+    for size in (3, 12):
+        rows = [(i, f"l{rnd.randint(0, size)}", f"r{rnd.randint(0, size)}") for i in range(60)] + [(60, None, "x"), (61, "", "y"), (62, "z", None)]
+        left, right, want = set(), set(), set()
+        for i, a, b in rows:
+            if (a or "") not in left and (b or "") not in right:
+                left.add(a or ""), right.add(b or ""), want.add(i)
+        got = dedup.drop_repeated_blocks(spark.createDataFrame(rows, "pos long, a string, b string"), "a", "b")
+        assert {r.pos for r in got.collect()} == want
+
+
+def test_too_few_is_an_error(spark):
+    inc = spark.createDataFrame([(d, 0) for d in range(8)] + [(d, 1) for d in range(2, 10)], "doc long, kw long")
+    docs, pairs = spark.createDataFrame([(d,) for d in range(10)], "doc long"), spark.createDataFrame([(0, 1)], "donor long, recipient long")
+    for change in (lambda: interventions.similar_access(inc, docs, pairs, 0.1, 1), lambda: interventions.equalise(inc, docs, pairs, 1)):
+        with pytest.raises(Exception):
+            change().collect()
+    drawn = interventions.similar_access(inc, docs, pairs, 0.9, 1)
+    assert drawn.where("kw = 1").count() == 8
+    with pytest.raises(Exception):
+        controls.shared_terms(spark.createDataFrame([("s", "t", 1)], "source string, token string, df long"), spark.createDataFrame([(1,)], "n long"), 2).collect()
+    with pytest.raises(Exception):
+        matching.looked_up(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "x")], "id long, v string"), "id").collect()
+    with pytest.raises(ValueError):
+        controls.similarity_pairs(spark.createDataFrame([(0, 1, 1), (1, 5, 9)], "kw long, aux long, client long"), 1, 0.9)
+
+
+def test_drawn_recipients_keep_their_frequency(spark):
+    rnd = random.Random(2)
+    rows = [(d, k) for d in range(60) for k in range(5) if rnd.random() < 0.3]
+    inc, docs = spark.createDataFrame(rows, "doc long, kw long"), spark.createDataFrame([(d,) for d in range(60)], "doc long")
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "donor long, recipient long")
+    best = controls.cooccurrence_match(inc, docs, pairs, 3, 5)
+    after = controls.drawn_incidence(inc, docs, pairs, best, 3, 5).collect()
+    count = lambda rows, k: sum(r[1] == k for r in rows)
+    for donor, recipient in ((0, 1), (2, 3)):
+        assert count(after, recipient) == count(rows, recipient)
+        assert not {d for d, k in after if k == recipient} & {d for d, k in rows if k == donor}
+    assert {tuple(r) for r in after if r[1] in (0, 2, 4)} == {r for r in rows if r[1] in (0, 2, 4)}
+
+
+def test_screen_equals_all_pairs(spark):
+    rnd = random.Random(6)
+    made = lambda n, o: [(o + i, sorted(rnd.sample("abcdefghij", rnd.randint(1, 8)))) for i in range(n)]
+    a, b = made(15, 0), made(60, 100)
+    frames = [spark.createDataFrame(x, "id long, s array<string>") for x in (a, b)]
+    for threshold in (0.3, 0.6, 1.0):
+        want = {(i, j) for i, s in a for j, t in b if len(set(s) & set(t)) / len(set(s) | set(t)) >= threshold}
+        assert {(r.a, r.b) for r in dedup.cross_screen(*frames, threshold).collect()} == want
