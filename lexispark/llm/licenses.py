@@ -1,10 +1,10 @@
 """Licence scans by a positional index of rare words, in DataFrame operations only.
 
 Base: the places of three fixed phrases. Method: templates of licence notices are indexed by their words of highest
-inverse document frequency over the whole corpus, with positions. Each text's occurrences of these rare words are
-met with the postings; words that nearly agree on the relative position of text and template (inserted words shift it)
-add up to a coverage weighed by rarity; a template whose coverage reaches the threshold is named if its mandatory key phrases
-stand in the text, and none that it excludes (marked by a hyphen). Only texts with some mandatory phrase can be named, so only their words are met with the index.
+inverse document frequency over the whole corpus, with positions, and by their mandatory key phrases. The licence words of each file are met
+with the postings; of those that a file shares with a template its few of highest frequency weight must agree, but for a tolerance
+(inserted words shift places), on one relative position of file and template, they must make up half of the template's weight, and the key
+phrases must stand at that position too (or anywhere, or nowhere, if marked so). Only files with some key phrase can be named, so only their words are met with the index.
 """
 
 from __future__ import annotations
@@ -19,22 +19,22 @@ from lexispark.llm.common import written
 # base phrases and their labels (fixed values)
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 _FREE = "free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version {} of the license or at your option any later version"
-# notices: label, mandatory phrases, text (fixed values; words as the scanner sees them)
+# notices: label, key phrases (at the position of the notice; marked +: anywhere; marked -: nowhere), text (fixed values; words as the scanner sees them)
 TEMPLATES = [
     ("mit", ["mit license"], "released under the mit license"),
-    ("mit", ["permission is hereby granted free of charge"], "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", ["hereby granted free of charge"], "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", ["apache license", "version 2"], "licensed under the apache license version 2 0"),
     ("gpl-3", ["gnu general public license", "version 3"], "this work is licensed under the gnu general public license version 3"),
     ("gpl-2", ["gnu general public license", "version 2"], "this program is licensed under the gnu general public license version 2"),
     ("lgpl-3", ["gnu lesser general public license", "version 3"], "this library is licensed under the gnu lesser general public license version 3"),
     ("agpl-3", ["gnu affero general public license", "version 3"], "licensed under the gnu affero general public license version 3"),
     ("mpl-2", ["mozilla public license", "2 0"], "subject to the terms of the mozilla public license v 2 0"),
-    ("bsd-3", ["redistribution and use in source and binary forms", "neither the name"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met neither the name"),
-    ("isc", ["permission to use copy modify and or distribute this software"], "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-3", ["redistribution and use in source and binary forms", "+neither the name"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met neither the name"),
+    ("isc", ["use copy modify and or distribute this software"], "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by-nc", ["cc by nc"], "licensed under cc by nc 4 0"),
-    ("cc-by-nc", ["creative commons", "noncommercial"], "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc", ["creative commons attribution noncommercial"], "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", ["cc by sa"], "licensed under cc by sa 4 0"),
-    ("cc-by-sa", ["creative commons", "sharealike"], "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-sa", ["creative commons attribution sharealike"], "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", ["creative commons attribution 4 0"], "licensed under a creative commons attribution 4 0 international license"),
     ("cc0", ["cc0 1 0"], "dedicated to the public domain under cc0 1 0 universal"),
     ("unlicense", ["free and unencumbered software"], "this is free and unencumbered software released into the public domain"),
@@ -61,9 +61,17 @@ TEMPLATES = [
     ("cc-by", ["creative commons attribution 4 0"], "creative commons attribution 4 0 international"),
     ("cc0", ["cc0 1 0"], "cc0 1 0 universal"),
 ]
-#: places by which a word may be shifted
+# grants under one of the GNU licences, whatever stands between its name and its version (fixed values)
+TEMPLATES += [
+    (label, [f"gnu {name} license", f"version {version}"], f"under the terms of the gnu {name} license version {version}")
+    for label, name, version in [("gpl-2", "general public", "2"), ("gpl-3", "general public", "3"), ("lgpl-2.1", "lesser general public", "2 1"), ("lgpl-3", "lesser general public", "3"), ("agpl-3", "affero general public", "3")]
+]
+#: places by which words of one notice may be shifted against each other
 SHIFT = 16
-RARE, COVER = 5, 0.75
+#: words of a template in the index, and of these the file's own that must agree; shares of weight that must agree and be there
+INDEXED, RARE, COVER, LEAST = 12, 5, 0.75, 0.5
+#: words of less than this part of the weight of their template's rarest word are not indexed
+WEIGHTY = 0.3
 
 
 def _normal(text: Column) -> Column:
@@ -75,35 +83,66 @@ def _blanks(x: Column) -> Column:
     return (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
 
 
+def _cell(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, list):
+        return f"array({', '.join(map(_cell, v))})" if v else "cast(array() as array<string>)"
+    return repr(v) + ("D" if isinstance(v, float) else "L" if isinstance(v, int) and v >= 1 << 31 else "")
+
+
 def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) + ("D" if isinstance(v, float) else "")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({names})")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(_cell, r)) + ')' for r in rows)} AS t({names})")
 
 
-def rare_words(docs: DataFrame, per_template: int = RARE) -> dict[str, float]:
-    """Inverse document frequency, over all texts, of the words by which templates are found. ``docs``: column padded."""
+def weights(docs: DataFrame) -> dict[str, float]:
+    """Inverse document frequency, over all texts, of the templates' words. ``docs``: column padded."""
     vocabulary = sorted({w for _, _, t in TEMPLATES for w in t.split()})
     known = F.array(*[F.lit(w) for w in vocabulary])
     seen = docs.select(F.explode(F.array_append(F.array_intersect(F.split("padded", " ", -1), known), F.lit(" "))).alias("w")).groupBy("w").count()
     df = {r["w"]: int(r["count"]) for r in seen.collect()}  # one row a word of the templates
     n = df.pop(" ", 0)  # every text has this one
-    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
-    kept = {w for _, _, t in TEMPLATES for w in sorted(set(t.split()), key=lambda w: (-idf[w], w))[:per_template]}
-    return {w: idf[w] for w in sorted(kept)}
+    return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
+
+
+def _find(words: list[str], phrase: list[str]) -> int:
+    """Place of a phrase in a template; -1 if it stands beside it."""
+    return next((i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase), -1)
+
+
+def index(idf: dict[str, float]) -> tuple[list[tuple], list[tuple]]:
+    """Postings (token, template, place, bit) and templates (template, label, weights by bit, mask of phrases, phrases anywhere, phrases nowhere).
+
+    Words take the bits from 0 on in the order of falling weight, so a file's words of highest weight are its lowest bits; phrases take those from INDEXED on.
+    """
+    postings, templates = [], []
+    for t, (label, must, text) in enumerate(TEMPLATES):
+        words = text.split()
+        best = sorted(set(words), key=lambda w: (-idf[w], w))
+        chosen = [w for w in best if idf[w] >= WEIGHTY * idf[best[0]]][:INDEXED]
+        postings += [(w, t, k, 1 << chosen.index(w)) for k, w in enumerate(words) if w in chosen]
+        mask = 0
+        for p in must:
+            at = _find(words, p.split()) if p[0] not in "+-" else -1
+            if at >= 0:
+                bit = 1 << (INDEXED + bin(mask).count("1"))
+                mask |= bit
+                postings.append((f" {p}", t, at, bit))
+        anywhere = [p.lstrip("+") for p in must if p[0] != "-"]
+        templates.append((t, label, [idf[w] for w in chosen] + [0.0] * (INDEXED - len(chosen)), mask, anywhere, [p[1:] for p in must if p[0] == "-"]))
+    return postings, templates
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words: counts 0, places null, labels empty, score 0. ``score`` is 1 with a base
-    phrase, else the largest coverage of a verified template, else 0. Repeated rows are scanned one by one, very
+    phrase, else the largest share of a named template's weight, else 0. Repeated rows are scanned one by one, very
     long texts whole. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     padded = src.select("doc_id", _normal(F.col("text")).alias("padded"))
-    idf = rare_words(padded)
-    rare = F.array(*[F.lit(w) for w in idf])
     words = F.split(F.substring("padded", 2, 2**31 - 1), " ", -1)  # the last one, after the closing blank, is empty
     x = padded.withColumn("n_words", F.when(F.col("padded") == "  ", F.lit(0).cast("long")).otherwise(_blanks(F.col("padded")) - 1))
     for i, phrase in enumerate(BASE):
@@ -116,38 +155,46 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lasts.append(F.col("n_words") - (_blanks(F.element_at(c, -1)) - 1) - len(phrase.split()))
         counts.append(F.coalesce(F.size(c) - 1, F.lit(0)).cast("long"))
         labels.append(F.when(c.isNotNull(), F.lit(label)))
-    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda s: F.array_contains(rare, s["w"]))
-    phrases = sorted({p.removeprefix("-") for _, must, _ in TEMPLATES for p in must})
+    phrases = sorted({p.lstrip("+-") for _, must, _ in TEMPLATES for p in must})
     there = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.col("padded"), F.concat(F.lit(" "), p, F.lit(" "))))
     x = x.withColumn("there", there)
+    postings, templates = index(weights(padded))
+    rare = F.array(*[F.lit(w) for w in sorted({p[0] for p in postings if p[0][0] != " "})])
+
+    def tokens(t: Column) -> Column:
+        """The index's words of a file, and its key phrases, with their places. ``t``: its words, bound once."""
+        placed = F.transform(t, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i")))
+        own = F.filter(placed, lambda s: F.array_contains(rare, s["w"]))
+        starts = lambda p: F.filter(placed, lambda s: (s["w"] == F.substring_index(p, " ", 1)) & (F.array_join(F.slice(t, s["i"].cast("int") + 1, F.size(F.split(p, " "))), " ") == p))
+        found = F.transform("there", lambda p: F.transform(starts(p), lambda s: F.struct(F.concat(F.lit(" "), p).alias("w"), s["i"].alias("i"))))
+        return F.concat(own, F.flatten(found))
+
     some = F.size("there") > 0
     rows = written(
         x.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
-            F.array_sort(F.array_compact(F.array_distinct(F.array(*labels)))).alias("base"), F.when(some, places).alias("places"), F.when(some, F.col("there")).alias("there"),
+            F.array_sort(F.array_compact(F.array_distinct(F.array(*labels)))).alias("base"), F.when(some, F.element_at(F.transform(F.array(words), tokens), 1)).alias("places"), F.when(some, F.col("there")).alias("there"),
         ),
         "scan",
     )
-    postings, wanted, weights = [], [], []
-    for t, (label, must, text) in enumerate(TEMPLATES):
-        chosen = sorted(set(text.split()) & set(idf), key=lambda w: (-idf[w], w))[:RARE]
-        postings += [(w, t, k, 1 << chosen.index(w)) for k, w in enumerate(text.split()) if w in chosen]
-        wanted.append((t, label, "|".join(p for p in must if p[0] != "-"), "|".join(p[1:] for p in must if p[0] == "-")))
-        weights.append([idf[w] / sum(idf[c] for c in chosen) for w in chosen])
-    index = _values(spark, postings, "w, template, place, bit")
-    names = _values(spark, wanted, "template, label, must, never")
     hits = rows.where("places is not null").select("row", F.explode("places").alias("p")).select("row", "p.w", "p.i")
-    met = hits.join(F.broadcast(index), "w")  # the index is a fixed list of templates
+    met = hits.join(F.broadcast(_values(spark, postings, "w, template, place, bit")), "w")  # a fixed list of templates
     # windows of shifts, two to each: two shifts at most SHIFT apart have one in common; a word counts once in it
     shift = F.col("i") - F.col("place")
     windows = F.array(*[F.floor((shift + k * SHIFT) / (2 * SHIFT)) * 2 + k for k in (0, 1)])
-    line = met.select("row", "template", F.explode(windows).alias("window"), "bit").groupBy("row", "template", "window").agg(F.bit_or("bit").alias("found"))
-    shares = F.array(*[F.array(*[F.lit(x) for x in (w + [0.0] * RARE)[:RARE]]) for w in weights])
-    share = sum((F.when(F.col("found").bitwiseAND(F.lit(1 << k)) != 0, F.element_at(F.element_at(shares, F.col("template") + 1), k + 1)).otherwise(0.0) for k in range(RARE)), F.lit(0.0))
-    best = line.withColumn("cover", F.least(F.lit(1.0), share)).groupBy("row", "template").agg(F.max("cover").alias("cover")).where(F.col("cover") >= cover).join(F.broadcast(names), "template")
-    must = F.size(F.array_except(F.split("must", "\\|"), "there")) == 0
-    checked = best.join(rows.where("there is not null").select("row", "there"), "row").where(must & ~F.arrays_overlap(F.split("never", "\\|"), "there"))
-    named = checked.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
+    line = met.select("row", "template", F.explode(windows).alias("window"), F.col("bit").cast("long").alias("bit")).groupBy("row", "template", "window").agg(F.bit_or("bit").alias("found"))
+    names = _values(spark, templates, "template, label, weight, mask, must, never")
+    near = line.join(F.broadcast(names), "template").where(F.col("found").bitwiseAND(F.col("mask")) == F.col("mask"))  # a fixed list of templates
+    whole = line.groupBy("row", "template").agg(F.bit_or("found").alias("own"))
+    bits = F.sequence(F.lit(0), F.lit(INDEXED - 1))
+    has = lambda mask, k: F.getbit(mask, k) == 1
+    total = lambda ks: F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.element_at("weight", k + 1))
+    best = near.join(whole, ["row", "template"]).withColumn("rarest", F.slice(F.filter(bits, lambda k: has(F.col("own"), k)), 1, RARE))
+    agreed = total(F.filter("rarest", lambda k: has(F.col("found"), k))) / total(F.col("rarest"))
+    best = best.withColumn("agreed", agreed).withColumn("cover", F.least(F.lit(1.0), total(F.filter(bits, lambda k: has(F.col("found"), k))) / total(bits)))
+    best = best.where((F.col("agreed") >= cover) & (F.col("cover") >= LEAST)).groupBy("row", "template").agg(F.max("cover").alias("cover"), F.first("label").alias("label"), F.first("must").alias("must"), F.first("never").alias("never"))
+    checked = best.join(rows.where("there is not null").select("row", "there"), "row").where((F.size(F.array_except("must", "there")) == 0) & ~F.arrays_overlap("never", "there"))
+    named = checked.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))  # a label a template at most
     out = rows.drop("places", "there").join(named, "row", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("cover", F.lit(0.0)))

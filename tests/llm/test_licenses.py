@@ -55,3 +55,39 @@ def test_standard_notices_and_headings(spark):
     rows = [(1, i, "filler words " * 50 + t, "r", 1) for i, (t, _) in enumerate(cases)] + [(1, 99, "word " * 200, "r", 1)]
     got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[i] for i in range(len(cases))] == [label for _, label in cases]
+
+
+def test_planted_notices(spark):
+    import random
+
+    rnd = random.Random(7)
+    gnu = "licensed under the terms of the GNU {} Public License as published by the Free Software Foundation, version {}"
+    planted = [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)", {"mit"}),
+        ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", {"apache-2"}),
+        (f"This program is {gnu.format('General', '3')}.", {"gpl-3"}), (f"This file is {gnu.format('General', '2')}.", {"gpl-2"}), (f"The library is {gnu.format('Lesser General', '2.1')}.", {"lgpl-2.1"}),
+        (f"It is {gnu.format('Affero General', '3')}.", {"agpl-3"}), ("under the terms of the GNU General Public License, either version 2 or version 3", {"gpl-2", "gpl-3"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2"}), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"cc-by-sa"}),
+        ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", {"cc-by-nc"}), ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", {"isc"}),
+        ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+    ]
+    filler = lambda n: " ".join("".join(rnd.choice("aeinorst") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    rows, want = [], {}
+    for text, labels in planted:
+        for k in range(8):
+            words = text.split()
+            if k >= 4:  # a word comes in between, or the lines are broken in comments
+                words.insert(1, filler(1))
+            made = ("\n * " if k % 2 else " ").join(words)
+            rows.append((0, len(rows), filler(rnd.randint(0, 200)) + " " + (made.upper() if k == 3 else made) + " " + filler(30), "r", 1))
+            want[len(rows) - 1] = labels
+    for text, _ in planted:  # the same words out of order, and parts of notices
+        for k in range(4):
+            words = text.split()
+            rnd.shuffle(words)
+            rows.append((0, len(rows), filler(50) + " " + " ".join(words), "r", 1))
+            want[len(rows) - 1] = set()
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    hit = sum(len(got[i] & w) for i, w in want.items())
+    assert hit >= 0.9 * sum(map(len, want.values())), [(rows[i][2][-160:], w, got[i]) for i, w in want.items() if w - got[i]][:5]
+    assert hit >= 0.9 * sum(map(len, got.values())), [(rows[i][2][-160:], w, got[i]) for i, w in want.items() if got[i] - w][:5]
