@@ -59,18 +59,22 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     ``size`` is the text's UTF-8 bytes plus 16; a null text has none, its checksum is that of no bytes, and it is
     linked with empty texts. Shards hold equal counts, at most one apart; slots are gapless from 0 in each shard, in
     the order of a hash. Repeated rows are placed one by one. An empty table gives no rows. Other columns are ignored.
+    Where a row goes hangs on doc_id and text alone (for repeated rows: on how many there are), not on the files or partitions it comes from.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    base = written(
-        src.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("digest"), F.monotonically_increasing_id().alias("row")),
-        "texts",
-    )
+    digested = src.select("doc_id", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    base = written(digested, "texts")
     n = base.count()
+    again = base.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").head(1)
+    if again:
+        # rows alike in text and identifier are told apart by a number; which of them has which does not show
+        base = written(with_rank(base, "nth", hash63("row"), ["row"], within=["digest", "doc_id"], per_bucket=1000, total=n), "numbered")
+    base = base.withColumn("key", hash63("doc_id", "digest", "nth") if again else hash63("doc_id", "digest")).drop("row", "nth")
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     least = max(1, n // shards)
-    first = F.pmod(hash63("row"), F.lit(shards)).cast("int")
+    first = F.pmod(F.col("key"), F.lit(shards)).cast("int")
     cohorts = written(base.groupBy("digest", first.alias("first")).agg(F.count(F.lit(1)).alias("k")), "cohorts")
     groups = written(cohorts.groupBy("digest").agg(F.sum("k").alias("copies"), F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), F.xxhash64("digest", "first").alias("h"), "first"))).alias("labels")), "groups")  # a label a shard at most
     bound = groups.where("copies > 1")
@@ -134,12 +138,13 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     for r in room:
         total += r
         ends.append(total)
-    cols = ["row", "doc_id", "size", "text_crc32", "copies"]
+    cols = ["key", "doc_id", "size", "text_crc32", "copies"]
+    order = ["doc_id", "text_crc32", "size"]
     # few groups, but perhaps most rows: they are found by a broadcast and numbered in buckets
     parts = written(spark.createDataFrame([(bytearray(d), lo, hi, s) for d, lo, hi, s in fixed], "digest binary, lo long, hi long, shard int"), "parts")
     heads = parts.groupBy("digest").agg(F.max("hi").alias("copies"))
     own = written(base.join(F.broadcast(heads), "digest"), "fixed")
-    numbered = with_rank(own, "rank", hash63("row"), ["row"], within=["digest"], per_bucket=1000)
+    numbered = with_rank(own, "rank", F.col("key"), order, within=["digest"], per_bucket=1000)
     where = parts.groupBy("digest").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("parts"))
     mine = F.filter("parts", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"]))
     big = numbered.join(F.broadcast(where), "digest").select(*cols, F.element_at(mine, 1)["shard"].alias("shard"))
@@ -148,11 +153,11 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     for p in placed[1:]:
         kept = kept.unionByName(p)
     small = others.where("copies > 1").join(kept, "digest").select(*cols, "shard") if kept is not None else None
-    free = with_rank(others.where("copies = 1"), "rank", hash63("row"), ["row"], total=n - many)
+    free = with_rank(others.where("copies = 1"), "rank", F.col("key"), order, total=n - many)
     passed = F.filter(F.array(*[F.lit(int(e)).cast("long") for e in ends]), lambda e: e <= F.col("rank"))
     all_ = free.select(*cols, F.size(passed).alias("shard")).unionByName(big)
     if small is not None:
         all_ = all_.unionByName(small)
     placed_rows = written(all_, "placed").repartition(width(spark))
-    out = with_rank(placed_rows, "slot", hash63("row"), ["row"], within=["shard"], per_bucket=200_000, total=n)
+    out = with_rank(placed_rows, "slot", F.xxhash64("key", F.lit(1)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)), order, within=["shard"], per_bucket=200_000, total=n)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "copies")

@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, shard string, copies long, row int"
 
 def check(rows, got, shards):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
-    text = {r[0]: r[1] for r in rows}
+    text = {r[0]: r[1] for r in rows}  # one text an identifier
     counts = Counter(r.shard for r in got)
     sizes = [counts.get(s, 0) for s in range(shards)]
     assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
@@ -33,8 +33,17 @@ def test_even_gapless_and_together(spark, hot):
     where = {r.doc_id: r.shard for r in got}
     cut = sum(len({where[1000 + 3 * g + k] for k in range(3)}) > 1 for g in range(60))
     assert cut <= 6
-    again = balanced_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect()
-    assert len(again) == len(got)
+    # other partitions and another order of the rows give the same places
+    again = balanced_shards(spark.createDataFrame(rows[::-1], SCHEMA).repartition(5), shards=8).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
+def test_alike_rows_and_long_texts(spark):
+    rows = [(7, "alike", "x", 1, 2)] * 300 + [(None, "alike", "x", 1, 2)] * 200 + [(i, "long " * 40000 + str(i % 2), "x", 1, 2) for i in range(10, 14)]
+    got = balanced_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), shards=8).collect()
+    check(rows, got, 8)
+    again = balanced_shards(spark.createDataFrame(rows, SCHEMA).repartition(4), shards=8).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
 @pytest.mark.parametrize("n", [0, 1, 5])
