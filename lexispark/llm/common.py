@@ -1,19 +1,22 @@
-"""Helpers that the corpus operators share: the shared folder, written intermediate tables, gapless ranks."""
+"""Helpers that the corpus operators share: tables, batches, gapless ranks; written tables in the shared folder come from the session's module."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexispark.session import shared_dir, spread, temporary, written
+
+__all__ = ["hash63", "load", "shared_dir", "small_batches", "temporary", "width", "with_rank", "written"]
+
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one so small that a single task may read all of it is dealt over the cores by its first column, the identifier."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df, df.columns[0])
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -22,35 +25,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of our own on a local master, an error on any other."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder, and the executors share none with the driver")
-        place = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def temporary(spark: SparkSession, path: str) -> None:
-    """The files of this path, which exists, go when the application ends."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The result may be read until the application ends; then the files go.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexispark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    temporary(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

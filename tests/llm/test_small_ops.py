@@ -137,6 +137,19 @@ def test_mixing_hits_targets(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
 
 
+def test_mixing_of_rows_without_identifiers(spark):
+    rows = [(None if i % 2 else 5, "ab"[i % 2], "w " * (1 + i % 9)) for i in range(900)] + [(1, "a", "long " * 50000), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix_sources(df, block=64).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= max(9, 0.02 * target[s]) or s == "a" for s in target)
+
+
 def test_flight_keeps_the_constraints():
     rng = np.random.default_rng(3)
     pi, size = rng.random(500), rng.integers(1, 900, 500).astype(float)
@@ -258,6 +271,19 @@ def test_language_model(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_language_model_of_nothing_and_of_long_texts(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert lm_scores(empty).collect() == []
+    rows = [(None, "held out only"), (4, "B a " * 120000), (5, "a " * 10), (5, "a " * 10)]
+    got = {(r.doc_id, r.n_tokens): r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[None, 4].held_out and got[None, 4].n_known == 1 and got[4, 240001].train_tokens == 240001 + 22
+    n, v = 240023, 3
+    count = {b"a": 120020, b"b": 120000, b"\n": 3}
+    assert got[4, 240001].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [b"a", b"b"] * 120000 + [b"\n"]))
+    alone = lm_scores(spark.createDataFrame([(None, "x y")], "doc_id long, text string")).first()
+    assert alone.train_tokens == 0 and alone.n_known == 0 and math.isfinite(alone.score) and alone.base_score == 0.0
+
+
 def test_exchange_finds_the_classes():
     table = np.zeros((8, 8), np.int64)
     table[:3, 3:] = 10
