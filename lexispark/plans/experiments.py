@@ -132,10 +132,10 @@ def supported_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.top_keywords(inc.token_sets(table(spark, sf_dir, "documents")), K, auxiliary=F.col("doc_id") % 3 == 0)
 
 
-def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_counts(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """lang, i, j (i <= j), aux, client, n_aux, n_client: documents of each side with both of two supported keywords."""
     tok = inc.token_sets(table(spark, sf_dir, "documents"))
-    kw = written(inc.top_keywords(tok, K, auxiliary=F.col("doc_id") % 3 == 0), "keywords")
+    kw = written(inc.top_keywords(tok, k, auxiliary=F.col("doc_id") % 3 == 0), "keywords")
     docs = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("doc"))
     i = inc.incidence(tok, kw).select("lang", F.col("doc_id").alias("doc"), F.col("rank").alias("kw"))
     a = (F.col("doc") % 3 == 0).cast("long")
