@@ -92,6 +92,19 @@ ORACLE = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
     """,
+    "op9_minhash": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+             u AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM w WHERE len(t) >= 5),
+             g AS (SELECT doc_id, concat_ws(' ', x, lead(x, 1) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v, lead(x, 4) OVER v) AS x, lead(x, 4) OVER v AS last FROM u WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+             f AS (SELECT DISTINCT doc_id, x FROM g WHERE last IS NOT NULL UNION ALL SELECT doc_id, array_to_string(t, ' ') FROM w WHERE len(t) BETWEEN 1 AND 4),
+             n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id),
+             c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+             r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             m AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
