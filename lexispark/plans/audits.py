@@ -141,12 +141,12 @@ def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("domain", "docs", "chars", F.contains("domain", F.lit("en")).alias("english"), F.round(F.lit(100.0) * F.col("docs") / F.col("n"), 3).alias("percent"))
 
 
-@query(f"WITH {oracle.FREQ} SELECT DISTINCT token FROM occ WHERE lang = 'en' AND doc_id % 3 = 0")
+@query(f"WITH {oracle.FREQ} SELECT DISTINCT lang, token FROM occ WHERE doc_id % 3 = 0")
 def auxiliary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The word list of the auxiliary side alone."""
+    """The word list of the auxiliary side alone, by language."""
     docs = table(spark, sf_dir, "documents")
-    side = docs.where("lang = 'en' and doc_id % 3 = 0").select("doc_id")
-    return inc.occurrences(inc.tokenised(docs.join(side, "doc_id", "left_semi"))).select("token").distinct()
+    side = docs.where("doc_id % 3 = 0").select("doc_id")
+    return inc.occurrences(inc.tokenised(docs.join(side, "doc_id", "left_semi"))).select("lang", "token").distinct()
 
 
 @query("SELECT conv_id, min(turn) AS first, count(*) AS lines, sha256(string_agg(text, ' ' ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id")
