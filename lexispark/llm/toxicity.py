@@ -36,7 +36,7 @@ SAMPLE_ROWS = 20_000
 FOLDS = 5
 WINDOW = 6
 #: letters of a beginning
-HEAD_LETTERS = (4, 6)
+HEAD_LETTERS = (4, 8)
 _MEMO = 400_000
 _WORD = re.compile(r"[^\W_]+")
 # stand-ins for letters (fixed values)
@@ -171,7 +171,7 @@ FEATURES = 8
 
 def features(text: str, lex: Lexicon) -> list[float]:
     """Logarithms of the sums of weights of exact matches, matches by beginning and misspelled ones, then of those quoted, reported
-    and addressed; the largest weight; matches for each hundred words."""
+    and addressed; of matches spelled right the largest weight, and how many there are for each hundred words."""
     low = text.lower()
     words = _WORD.findall(low)
     hits = lex.matches(words)
@@ -195,8 +195,9 @@ def features(text: str, lex: Lexicon) -> list[float]:
             sums[4] += weight
         if not ADDRESS.isdisjoint(near):
             sums[5] += weight
-        most = max(most, weight)
-        n += 1
+        if kind != 3:  # what a misspelling is worth is told by its own sum alone
+            most = max(most, weight)
+            n += 1
     return [*map(math.log1p, sums), most, min(10.0, 100.0 * n / len(words))]
 
 
