@@ -10,6 +10,7 @@ from lexispark.functions import web
 from lexispark.operators import policy
 from lexispark.operators import records as rec
 from lexispark.registry import query, table
+from lexispark.session import spread
 
 _SPLIT = "CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body"
 _URL = "'https://' || source || '.example.org/doc/' || doc_id"
@@ -17,7 +18,7 @@ _URL = "'https://' || source || '.example.org/doc/' || doc_id"
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: the first line is the title."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     at = F.locate("\n", F.col("text"))
     return d.select("doc_id", "source", "lang", F.when(at > 0, F.substring_index("text", "\n", 1)).otherwise(F.col("text")).alias("title"), F.when(at > 0, F.substring("text", at + 1, 2**31 - 1)).otherwise(F.lit("")).alias("body"), F.concat(F.lit("https://"), "source", F.lit(".example.org/doc/"), "doc_id").alias("url"))
 
@@ -26,7 +27,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
        lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[\\t \\f\\x0B]+', ' ', 'g'), ' *\\n *', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)
        SELECT doc_id, CAST(len(p) AS BIGINT) AS paragraphs, sha256(array_to_string(p, chr(10) || chr(10))) AS text_sha256 FROM p""")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.normalise_text(F.col("text")).alias("t"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", tx.normalise_text(F.col("text")).alias("t"))
     return d.select("doc_id", F.when(F.col("t") == "", F.lit(0)).otherwise(F.size(F.split("t", "\n\n", -1))).cast("long").alias("paragraphs"), F.sha2("t", 256).alias("text_sha256"))
 
 
@@ -153,7 +154,8 @@ _CHUNKS = "list_filter(list_transform(regexp_split_to_array({0}, '<[^>]*>'), lam
        UNION ALL SELECT page_id, sha256(html), NULL, NULL, NULL, 'unknown_source' FROM pages WHERE page_id % 9 = 0""")
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages of one source (every ninth is of none): refused, or parsed with where they are from."""
-    p = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 9 == 0, "nobody").otherwise("pages").alias("source_id"), "url", F.lit("en").alias("language"), "html", F.col("page_id").cast("string").alias("raw_reference"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+    p = pages.select(F.when(F.col("page_id") % 9 == 0, "nobody").otherwise("pages").alias("source_id"), "url", F.lit("en").alias("language"), "html", F.col("page_id").cast("string").alias("raw_reference"))
     hosts = F.collect_set(F.lower(F.parse_url("url", F.lit("HOST"))))  # a manifest lists its hosts
     m = p.where("source_id = 'pages'").agg(hosts.alias("allowed_hosts")).select(
         F.lit("pages").alias("source_id"), F.lit("archive").alias("source_kind"), F.lit("approved").alias("status"), F.lit("approved").alias("permission_status"), F.lit("full_text").alias("storage_mode"), F.lit("none").alias("redistribution_mode"), "allowed_hosts",

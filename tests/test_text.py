@@ -89,6 +89,21 @@ def test_english_stemmer(word, stem):
     assert st.english_stem(word) == stem
 
 
+# the sample vocabulary published with the stemmer, by stem (fixed values)
+SAMPLE = {
+    "consign": "consign consigned consigning consignment", "consist": "consist consisted consistency consistent consistently consisting consists", "consol": "consolation consolations console consoled consoles consoling consolingly consols", "consolatori": "consolatory",
+    "consolid": "consolidate consolidated consolidating", "conson": "consonant", "consort": "consort consorted consorting", "conspicu": "conspicuous conspicuously", "conspiraci": "conspiracy", "conspir": "conspirator conspirators conspire conspired conspiring",
+    "constabl": "constable constables", "constanc": "constance constancy", "constant": "constant", "knack": "knack knacks", "knackeri": "knackeries", "knag": "knag", "knave": "knave knaves", "knavish": "knavish", "knead": "kneaded kneading", "knee": "knee knees",
+    "kneel": "kneel kneeled kneeling kneels", "knell": "knell", "knelt": "knelt", "knew": "knew", "knick": "knick", "knif": "knif", "knife": "knife", "knight": "knight knightly knights", "knit": "knit knits knitted knitting", "knive": "knives", "knob": "knob knobs",
+    "knock": "knock knocked knocking knocks", "knocker": "knocker knockers", "knopp": "knopp", "knot": "knot knots",
+}
+
+
+def test_english_stemmer_on_its_sample():
+    for stem, words in SAMPLE.items():
+        assert {st.english_stem(w) for w in words.split()} == {stem}
+
+
 def test_two_kinds_of_pages():
     meta = '<meta name="author" content="Ann, Bob ,"><meta name="published_at" content="2021-01-01"><meta property="article:section" content="City"><meta property="og:title" content=" Shared ">'
     page = f"{meta}<p>no</p><article><h1>A <i>title</i></h1><p>One</p><li>no</li><p>two <b>bold</b> three</p></article><p>out</p>"
