@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexispark.plans import audits, corpus, experiments, records, selection, structure  # noqa: F401  they register themselves
+from lexispark.plans import audits, corpus, experiments, files, records, selection, structure  # noqa: F401  they register themselves
 from lexispark.registry import ORACLE, QUERIES, Query
 
 
