@@ -70,8 +70,26 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
+def op11_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.centroids import clustered
+
+    return clustered(load(spark, sf_dir, "embeddings"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.infill import digests, fill_in_middle
+
+    return digests(fill_in_middle(load(spark, sf_dir, "documents")))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispark.llm.secrets import digests, secret_scan
+
+    return digests(secret_scan(load(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_bpe, op5_topk, op6_mixing, op7_exact_dedup, op8_licenses, op9_minhash, op10_brown_lm)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_counts, op4_bpe, op5_topk, op6_mixing, op7_exact_dedup, op8_licenses, op9_minhash, op10_brown_lm, op11_balls, op12_infill, op13_secrets)}
 
 
 ORACLE = {
@@ -113,6 +131,41 @@ ORACLE = {
     """,
 }
 
+ORACLE["op12_infill"] = """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+         u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t, [CAST('0x' || substr(h, 8 * i - 7, 8) AS BIGINT) for i in [1, 2, 3, 4]] AS d FROM t),
+         f AS (SELECT doc_id, text, t, CAST(len(t) AS BIGINT) AS n, least(d[1] % (len(t) + 1), d[2] % (len(t) + 1)) AS lo, greatest(d[1] % (len(t) + 1), d[2] % (len(t) + 1)) AS hi,
+                      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] IS NULL OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+         p AS (SELECT doc_id, text, n, form, array_to_string(t[1:lo], '') AS a, array_to_string(t[lo + 1:hi], '') AS m, array_to_string(t[hi + 1:], '') AS z FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+    FROM p
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Centroid clustering as a chain of common tables: cN the centroids, aN the assignment of round N."""
+    nearest = "SELECT id, vec_id, e, c, d FROM (SELECT v.*, c, list_sum(list_transform(list_zip(e, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, {0}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS ({nearest.format(f'c{i}')})")
+        steps.append(
+            f"c{i + 1} AS (SELECT c{i}.c, coalesce(n.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM "
+            f"(SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) n ON n.c = c{i}.c)"
+        )
+    return f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         c0 AS (SELECT CAST(row_number() OVER o - 1 AS INTEGER) AS c, e AS m FROM v WINDOW o AS (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) QUALIFY row_number() OVER o <= 16),
+         {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in steps[:-1])}
+    SELECT vec_id, a{rounds}.c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(m, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
+    """
+
+
+ORACLE["op11_balls"] = _lloyd(3)
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
