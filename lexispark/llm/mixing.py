@@ -2,10 +2,13 @@
 
 A document of a source with target t and size s (words) is wanted t / s times: the whole part of that ratio as whole
 copies, its fraction as an inclusion probability. The flight phase moves these probabilities through the null space
-of the two balancing constraints (the number of documents and of words drawn) until all but at most two in a block
-are 0 or 1; what is left of the blocks of a source meets in new blocks, and so on, until one block remains. There the
-last two probabilities and those of twelve documents kept back, spread over all sizes, are the landing problem: the best
-of their roundings is taken. Blocks have a bounded size, whatever
+of the balancing constraints until all but a few in a block are 0 or 1. Documents much larger than most of their block go first: one
+such is drawn, and all smaller ones move against it, so that the number of words stays (steps of three documents would leave it
+open to the end, when nothing could make up for it); where probabilities alone cannot, the smaller ones gain or lose a whole copy. The others move by threes
+and keep both the number of documents and of words. What is left of the blocks of a source, and twelve documents that each
+keeps back, of sizes that halve step by step, meets in new blocks, and so on, until one block remains. There these are the landing problem: the best
+of their roundings is taken. Where a source has several blocks, documents too large for the others of one block to make up for are drawn
+before all others, and the rest of the target goes to the rest of the source. Blocks have a bounded size, whatever
 the size of a source, and all draws come from a seeded hash, so reruns agree.
 """
 
@@ -23,6 +26,10 @@ from lexispark.llm.common import hash63, small_batches, written
 
 BLOCK = 4096
 RESERVED = 12
+#: a document more than so many times the median of its block is drawn first
+LARGE = 8
+#: in a source of several blocks, a document of more than this share of a block's words is drawn before the blocks are made
+WHOLE_SOURCE = 1 / 16
 MOST = 3.0
 _EPS = 1e-9
 
@@ -63,9 +70,58 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.array(pi)
 
 
+def _open(pi: np.ndarray) -> np.ndarray:
+    return (pi > _EPS) & (pi < 1 - _EPS)
+
+
+def settle_large(pi: np.ndarray, whole: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
+    """Draw the documents much larger than most, the largest first, while all smaller ones keep the number of words. Sizes fall.
+
+    A draw that the smaller ones can make up for by their probabilities is preferred to one that takes whole copies of them (none below 0, none
+    above MOST in all), and that to one that misses; between equals the probability decides.
+    """
+    at = np.flatnonzero(_open(pi) & (size > 0))
+    if len(at) < 2:
+        return
+    p, s = pi[at], size[at]
+    large = LARGE * float(np.median(s))
+    for k in range(len(at) - 1):
+        if s[k] <= large:
+            break
+        rest = at[k + 1 :]
+        every = float(s[k + 1 :].sum())
+        want = float(p[k:] @ s[k:])
+        low, high = -float(whole[rest].min()) * every, (MOST - float(whole[rest].max())) * every
+        off = [(max(low - left, left - high, 0.0), max(-left, left - every, 0.0)) for left in (want, want - s[k])]
+        take = rng.random() < p[k] if off[0] == off[1] else off[1] < off[0]
+        left = min(max(want - take * s[k], low), high)
+        lift = int(np.floor(left / every)) if not 0 <= left <= every else 0
+        lift = min(lift, int(MOST) - 1 - int(whole[rest].max()))
+        whole[rest] += lift
+        left -= lift * every
+        now = float(p[k + 1 :] @ s[k + 1 :])
+        p[k] = float(take)
+        if left <= now:
+            p[k + 1 :] *= left / now if now > 0 else 0.0
+        else:
+            p[k + 1 :] = 1 - (1 - p[k + 1 :]) * max(0.0, (every - left) / (every - now))
+    pi[at] = p
+
+
+def kept_back(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of RESERVED open documents at most, the first about as large as the largest, each next one about half as large."""
+    free = np.flatnonzero(_open(pi) & (size > 0)).tolist()
+    held: list[int] = []
+    want = float(size[free[0]]) if free else 0.0
+    while free and len(held) < RESERVED:
+        held.append(free.pop(int(np.abs(size[free] - want).argmin())))
+        want = max(1.0, want / 2)
+    return np.array(held, int)
+
+
 def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Round the last probabilities (RESERVED + 2 at most) so that the words drawn stay nearest to what was asked, then the documents."""
-    open_ = np.flatnonzero((pi > _EPS) & (pi < 1 - _EPS))
+    open_ = np.flatnonzero(_open(pi))
     out = np.round(pi)
     if not len(open_):
         return out
@@ -78,22 +134,19 @@ def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # large documents first: what is left for the landing is small
         pdf = pdf.assign(minus=-pdf["size"]).sort_values(["minus", "order", "doc_id"], kind="stable", ignore_index=True)
         size = pdf["size"].to_numpy(float)
-        pi = pdf["pi"].to_numpy(float)
+        pi, whole = pdf["pi"].to_numpy(float, copy=True), pdf["whole"].to_numpy(np.int64, copy=True)
         rng = np.random.default_rng([seed, int(pdf["order"].min()) & 0x7FFFFFFF, len(pdf)])
-        if pdf["parts"].iat[0] == 1:  # the last block of its source: keep a few documents, spread over all sizes, for the landing
-            free = np.flatnonzero((pi > _EPS) & (pi < 1 - _EPS))
-            held = free[np.unique(np.linspace(0, len(free) - 1, RESERVED).astype(int))] if len(free) else free
-            aside = pi[held].copy()
-            pi[held] = 0.0
-            pi = flight(pi, size, rng)
-            pi[held] = aside
+        settle_large(pi, whole, size, rng)
+        held = kept_back(pi, size)
+        aside = pi[held].copy()
+        pi[held] = 0.0
+        pi = flight(pi, size, rng)
+        pi[held] = aside
+        if pdf["parts"].iat[0] == 1:
             pi = landing(pi, size)
-        else:
-            pi = flight(pi, size, rng)
-        return pdf.assign(pi=pi)[["doc_id", "source", "size", "whole", "order", "pi"]]
+        return pdf.assign(pi=pi, whole=whole.astype("int32"))[["doc_id", "source", "size", "whole", "order", "pi"]]
 
     return run
 
@@ -115,6 +168,33 @@ def targets(sized: DataFrame, most: float = MOST, weights: tuple[int, ...] = (1,
     return per.select("source", "source_size", "n", target.cast("double").alias("target"))
 
 
+def _copies():
+    return F.col("whole") + F.round("pi").cast("int")
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    """Rows with a ratio as whole copies and probabilities."""
+    whole = F.floor(F.col("ratio") + 1e-9)
+    return rows.select("doc_id", "source", "size", whole.cast("int").alias("whole"), "order", F.greatest(F.lit(0.0), F.col("ratio") - whole).alias("pi"), "parts")
+
+
+def _drawn(state: DataFrame, seed: int, block: int) -> DataFrame:
+    """Flights in blocks of each source, then of what is left of them, until every probability is 0 or 1."""
+    shape = "doc_id long, source string, size long, whole int, order long, pi double"
+    done, turn = None, 0
+    while True:
+        cut = F.pmod(F.xxhash64("order", F.lit(turn)), F.col("parts"))
+        flown = written(state.withColumn("cut", cut).groupBy("source", "cut").applyInPandas(_fly(seed + turn), shape), "flight")
+        settled = (F.col("pi") <= _EPS) | (F.col("pi") >= 1 - _EPS)
+        done = flown.where(settled) if done is None else done.union(flown.where(settled))
+        left = flown.where(~settled)
+        if left.head(1) == []:
+            return done
+        count = left.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
+        state = left.join(count, left["source"].eqNullSafe(count["of"])).select("doc_id", "source", "size", "whole", "order", "pi", "parts")
+        turn += 1
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken (size times copies).
 
@@ -138,25 +218,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sized = sized.withColumn("salt", F.lit(None).cast("long"))
     same = sized["source"].eqNullSafe(goal["source"])
     rows = sized.join(goal, same).select("doc_id", sized["source"], "size", "salt", "source_size", "target", ratio.alias("ratio"), F.ceil(F.col("n") / block).cast("long").alias("parts"))
-    order = hash63(F.col("doc_id"), F.col("salt"), F.lit(seed))
-    state = rows.select("doc_id", "source", "size", F.floor(F.col("ratio") + 1e-9).cast("int").alias("whole"), order.alias("order"), F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + 1e-9)).alias("pi"), "parts")
-    shape = "doc_id long, source string, size long, whole int, order long, pi double"
-    done, turn = [], 0
-    while True:
-        cut = F.pmod(F.xxhash64("order", F.lit(turn)), F.col("parts"))
-        flown = written(state.withColumn("cut", cut).groupBy("source", "cut").applyInPandas(_fly(seed + turn), shape), "flight")
-        settled = (F.col("pi") <= _EPS) | (F.col("pi") >= 1 - _EPS)
-        done.append(flown.where(settled))
-        left = flown.where(~settled)
-        if left.head(1) == []:
-            break
-        count = left.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
-        count = count.withColumnRenamed("source", "of")
-        state = left.join(count, left["source"].eqNullSafe(count["of"])).select("doc_id", "source", "size", "whole", "order", "pi", "parts")
-        turn += 1
-    drawn = done[0]
-    for d in done[1:]:
-        drawn = drawn.union(d)
-    copies = (F.col("whole") + F.round("pi").cast("int")).alias("copies")
-    out = drawn.join(goal, drawn["source"].eqNullSafe(goal["source"])).select("doc_id", drawn["source"], "size", "source_size", "target", copies)
+    rows = rows.withColumn("order", hash63(F.col("doc_id"), F.col("salt"), F.lit(seed)))
+    vast = (F.col("parts") > 1) & (F.col("size") * F.col("parts") > F.col("source_size") * WHOLE_SOURCE)
+    if rows.where(vast).head(1):
+        own = rows.where(vast).withColumn("parts", F.lit(1).cast("long")) if rows.where(vast).count() <= block else rows.where(vast)
+        first = written(_drawn(_state(own), seed, block), "vast")
+        # what is left of each source's target, for what is left of its words
+        gone = first.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("had"), F.sum(F.col("size") * _copies()).alias("got"))
+        met = rows.where(~vast).join(F.broadcast(gone), rows["source"].eqNullSafe(gone["of"]), "left")  # a row a source
+        words, want = F.col("source_size") - F.coalesce("had", F.lit(0)), F.greatest(F.lit(0.0), F.col("target") - F.coalesce("got", F.lit(0)))
+        rest = met.withColumn("ratio", F.when(words > 0, F.least(F.lit(MOST), want / words)).otherwise(F.lit(0.0)))
+        drawn = first.union(_drawn(_state(rest), seed, block))
+    else:
+        drawn = _drawn(_state(rows), seed, block)
+    out = drawn.join(goal, drawn["source"].eqNullSafe(goal["source"])).select("doc_id", drawn["source"], "size", "source_size", "target", _copies().alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
