@@ -88,8 +88,8 @@ def length_matching(left: DataFrame, right: DataFrame, max_ratio: float) -> Data
     x = left.where("a > 0 and b > 0").select(F.col("id").alias("left"), F.ln("a").alias("la"), F.ln("b").alias("lb"), F.explode(F.array(*[F.floor(F.ln("a") / bound) + i for i in (-1, 0, 1)])).alias("k"))
     y = right.where("a > 0 and b > 0").select(F.col("id").alias("right"), F.ln("a").alias("ra"), F.ln("b").alias("rb"), F.floor(F.ln("a") / bound).alias("k"))
     da, db = F.abs(F.col("la") - F.col("ra")), F.abs(F.col("lb") - F.col("rb"))
-    edges = x.join(y, "k").where((da <= bound) & (db <= bound)).select("left", "right", (da + db).alias("cost"))
-    return optimal_matching(edges)
+    edges = x.join(y, "k").where((da <= bound) & (db <= bound)).select("left", "right", (da + db).alias("cost"), F.col("la").alias("at"))
+    return optimal_matching(edges, at="at")
 
 
 def cooccurrence_match(inc: DataFrame, docs: DataFrame, pairs: DataFrame, budget: int, seed: int, by: list[str] | None = None) -> DataFrame:

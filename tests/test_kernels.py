@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators import controls, dedup, interventions, matching, numbering, policy, recovery, structure
 from lexispark.operators import statistics as stt
+from lexispark.operators.auction import Region, auction_matching
 
 
 def test_assignment_is_optimal():
@@ -118,9 +119,50 @@ def test_lengths_are_matched_best(spark):
         best = min(best, (-len(taken), sum(fits[t] for t in taken)))
     assert all((r["left"], r["right"]) in fits for r in got)
     assert (-len(got), round(sum(r["cost"] for r in got), 9)) == (best[0], round(best[1], 9))
-    edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5)], "left long, right long, cost double")
-    with pytest.raises(ValueError):
-        matching.optimal_matching(edges, most=1)
+    edges = spark.createDataFrame([("x", 2, 0.5), ("x", 3, 0.25), ("z", 9, 1.0)], "left string, right long, cost double")
+    assert sorted(tuple(r) for r in matching.optimal_matching(edges, most=1).collect()) == [("x", 3, 0.25), ("z", 9, 1.0)]
+
+
+def region_value(edges, m, price, held, step, start):
+    """A region whose nodes all come in at once, at given prices: what each right node and each single left node is paid."""
+    region = Region([sorted(e) for e in edges], list(price), [-1] * m, list(held), step)
+    for b in start:
+        region.place(b)
+    return region
+
+
+def test_a_region_finds_the_best_at_its_prices():
+    rnd = random.Random(8)
+    for _ in range(300):
+        n, m = rnd.randint(1, 5), rnd.randint(1, 5)
+        edges = [[(j, float(rnd.randint(1, 12))) for j in range(m) if rnd.random() < 0.6] for _ in range(n)]
+        price, held = [float(rnd.randint(0, 6)) for _ in range(m)], [rnd.random() < 0.5 for _ in range(m)]
+        r = region_value(edges, m, price, held, 0.0, range(n))
+        worth = [dict(e) for e in edges]
+        got = sum(worth[i][j] - price[j] for i, j in enumerate(r.partner) if j >= 0)
+        options = itertools.product(*[[-1, *w] for w in worth])
+        best = max(sum(worth[i][j] - price[j] for i, j in enumerate(p) if j >= 0) for p in options if len({j for j in p if j >= 0}) == sum(j >= 0 for j in p))
+        assert got == best
+        # nobody would gain by another partner at the new prices, or by staying single
+        for i, w in enumerate(worth):
+            own = w[r.partner[i]] - r.price[r.partner[i]] if r.partner[i] >= 0 else 0.0
+            assert own >= -1e-9 and all(own >= v - r.price[j] - 1e-9 for j, v in w.items())
+
+
+@pytest.mark.parametrize(("n", "m", "most"), [(60, 50, 200), (40, 70, 60)])
+def test_large_components_are_matched_over_regions(spark, n, m, most):
+    rnd = random.Random(n)
+    left, right = [(i, rnd.random() * 6) for i in range(n)], [(500 + j, rnd.random() * 6) for j in range(m)]
+    edges = [(i, j, round(abs(x - y), 6), x) for i, x in left for j, y in right if abs(x - y) < 0.45]
+    df = spark.createDataFrame(edges, "left long, right long, cost double, at double")
+    got = auction_matching(df, slack=1e-4, at="at", most=most).collect()
+    cost = {(i, j): c for i, j, c, _ in edges}
+    assert all(cost[r["left"], r["right"]] == r["cost"] for r in got) and len({r["left"] for r in got}) == len(got) == len({r["right"] for r in got})
+    best = matching.sparse_matching(m, [[(j - 500, c) for a, j, c, _ in edges if a == i] for i in range(n)])
+    total = sum(cost[i, 500 + j] for i, j in enumerate(best) if j >= 0)
+    assert len(got) == sum(j >= 0 for j in best) and total - 1e-9 <= sum(r["cost"] for r in got) <= total + n * 1e-4
+    again = matching.optimal_matching(df.drop("at"), most=10**6).collect()
+    assert len(again) == len(got) and sum(r["cost"] for r in again) == pytest.approx(total)
 
 
 def test_greedy_matching_equals_the_scan(spark):
