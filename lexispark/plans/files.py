@@ -13,7 +13,7 @@ from lexispark.operators.numbering import number_range, numbered
 from lexispark.plans import oracle
 from lexispark.registry import query, table
 from lexispark.session import shared_dir, temporary
-from lexispark.sources import files
+from lexispark.sources import archive, files
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
@@ -79,3 +79,15 @@ def artefact_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = files.write_artifacts(path, documents=tok.select("doc_id", "lang", F.size("tokens").alias("n")), vocabulary=inc.document_frequency(tok), incidence=inc.occurrences(tok))
     wrong = files.verify_artifacts(spark, path)
     return meta.select("name", "rows", "columns", (~F.col("name").isin(*wrong) if wrong else F.lit(True)).alias("whole"))
+
+
+@query("SELECT doc_id, lang, octet_length(encode(text)) AS size, sha256(text) AS text_sha256, true AS whole FROM documents WHERE text IS NOT NULL")
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of ZIP files, one folder a language, put in place with their manifest; then read by ranges, each checked by size and CRC-32."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    path = f"{_folder(spark, 'archive')}/documents"
+    archive.write_archive(d.select(F.format_string("%s/%d.txt", "lang", "doc_id").alias("entry"), F.encode("text", "UTF-8").alias("content")), path)
+    wrong = archive.verify_archive(path)
+    back = archive.read_archive(spark, path, partition_bytes=1 << 20)
+    name = F.split("entry", "[/.]")
+    return back.select(name[1].cast("long").alias("doc_id"), name[0].alias("lang"), "size", F.sha2("content", 256).alias("text_sha256"), F.lit(not wrong).alias("whole"))
