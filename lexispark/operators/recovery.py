@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.operators.matching import assignment
+from lexispark.operators.numbering import hash_prefix, numbered
+from lexispark.session import settled
 
 
 def initial_cost(count: Column, n: Column, p: Column) -> Column:
@@ -65,7 +69,10 @@ def pair_costs(pairs: DataFrame, fixed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def recover(aux: np.ndarray, seen: np.ndarray, n: int, steps: int, free: float, seed: int, checkpoints: list[int]) -> dict[int, np.ndarray]:
-    """Keyword of each token at the checkpoints: all are assigned by frequency, then a share is freed and assigned anew in every step."""
+    """Keyword of each token at the checkpoints: all are assigned by frequency, then a share is freed and assigned anew in every step.
+
+    The keywords' prices go from step to step: where as many keywords as tokens are free, most tokens find theirs again without a search.
+    """
     rng = np.random.RandomState(seed)
     k, t = len(aux), len(seen)
     size = int(free * t)
@@ -75,22 +82,53 @@ def recover(aux: np.ndarray, seen: np.ndarray, n: int, steps: int, free: float,
     none = np.zeros(0, int)
     guess = assignment(cost_matrix(aux, seen, n, np.arange(k), every, none, none))
     out = {0: guess.copy()} if 0 in checkpoints else {}
+    price = np.zeros(k)
     for step in range(1, steps + 1):
         order = rng.permutation(t)
         loose, held = order[:size], order[size:]
         kws = np.setdiff1d(np.arange(k), guess[held])
-        guess[loose] = kws[assignment(cost_matrix(aux, seen, n, kws, loose, guess[held], held))]
+        own = price[kws]
+        guess[loose] = kws[assignment(cost_matrix(aux, seen, n, kws, loose, guess[held], held), own)]
+        price[kws] = own
         if step in checkpoints:
             out[step] = guess.copy()
     return out
 
 
-def queries_of(kind: str, k: int, multiplier: int, seed: int) -> np.ndarray:
-    rng = np.random.RandomState(seed)
-    if kind == "each":
-        return rng.permutation(k)
-    p = np.ones(k) if kind == "uniform_iid" else 1 / np.arange(1, k + 1)
-    return rng.choice(k, k * multiplier, p=p / p.sum())
+#: cells of the unit interval in which draws meet the keywords whose shares lie there
+_CELLS = 64
+
+
+def uniform(*key: Column) -> Column:
+    """A number from 0 to below 1 that its key decides, with 52 bits: the first 13 digits of a SHA-256."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("\n", *key), 256), 1, 13), 16, 10).cast("double") / float(2**52)
+
+
+def drawn_queries(tasks: DataFrame, sizes: DataFrame, multiplier: int = 2) -> DataFrame:
+    """dataset, distribution, seed, position, keyword: the queries of each task. ``sizes``: dataset, k (its keywords are 0 to k - 1).
+
+    ``each`` asks once for every keyword, in an order that hashes decide. ``uniform_iid`` and ``zipf_iid`` (probability of a keyword in proportion to
+    1 / (its number + 1)) ask k * multiplier times, with replacement: a hash of seed and position as a number from 0 to 1 meets the keyword whose
+    cumulated share it falls into. Another distribution is an error.
+    """
+    known = F.when(F.col("distribution").isin("each", "uniform_iid", "zipf_iid"), F.col("distribution")).otherwise(F.raise_error(F.concat(F.lit("no such distribution: "), "distribution")).cast("string"))
+    t = tasks.join(sizes, "dataset").withColumn("distribution", known)
+    task = ["dataset", "distribution", "seed"]
+    key = [F.col("seed").cast("string"), F.col("distribution")]
+    count = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>")))
+    each = t.where("distribution = 'each'").withColumn("keyword", count(F.col("k"))).withColumn("u", F.sha2(F.concat_ws("\n", *key, F.col("keyword").cast("string")), 256))
+    each = each.select(*task, (F.row_number().over(Window.partitionBy(*task).orderBy("u", "keyword")) - 1).cast("long").alias("position"), "keyword")  # k rows a task
+    d = t.where("distribution <> 'each'").withColumn("position", count(F.col("k") * multiplier)).withColumn("u", uniform(*key, F.col("position").cast("string")))
+    weight = F.when(F.col("distribution") == "zipf_iid", 1 / (F.col("keyword") + 1)).otherwise(F.lit(1.0))
+    w = t.where("distribution <> 'each'").select("dataset", "distribution", "k").distinct().withColumn("keyword", count(F.col("k"))).withColumn("w", weight)
+    upto = Window.partitionBy("dataset", "distribution").orderBy("keyword")  # k rows
+    w = w.withColumn("high", F.sum("w").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy("dataset", "distribution")))
+    # the last share ends at 1, whatever the rounding of the sums
+    w = w.withColumn("high", F.when(F.col("keyword") == F.col("k") - 1, F.lit(1.0)).otherwise(F.col("high") / F.col("all")))
+    w = w.withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0.0)))
+    w = w.select("dataset", "distribution", "keyword", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * _CELLS), F.floor(F.col("high") * _CELLS))).alias("cell"))
+    met = d.withColumn("cell", F.floor(F.col("u") * _CELLS)).join(w, ["dataset", "distribution", "cell"]).where("low <= u and u < high")
+    return each.unionByName(met.select(*task, "position", "keyword"))
 
 
 def metrics(truth: np.ndarray, guess: np.ndarray) -> tuple[float, float]:
@@ -102,28 +140,43 @@ def metrics(truth: np.ndarray, guess: np.ndarray) -> tuple[float, float]:
 RUN = "dataset string, distribution string, seed long, iteration long, query_weighted_recovery double, distinct_keyword_macro_recovery double, observed_keywords long"
 
 
-def recovery_runs(pairs: DataFrame, tasks: DataFrame, k: int, steps: int, free: float, checkpoints: list[int], multiplier: int = 2) -> DataFrame:
-    """One group of Python for each task (dataset, distribution, seed), over the pair counts of its dataset.
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One dataset's pair counts as two square matrices."""
+    i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
+    k = int(max(i.max(), j.max())) + 1
+    out = []
+    for c in ("aux", "client"):
+        m = np.zeros((k, k))
+        m[i, j] = m[j, i] = pdf[c].to_numpy()
+        out.append(m.tobytes())
+    return pd.DataFrame({"dataset": [pdf["dataset"].iat[0]], "k": [k], "am": [out[0]], "cm": [out[1]], "n_aux": [int(pdf["n_aux"].iat[0])], "n_client": [int(pdf["n_client"].iat[0])]})
 
-    ``pairs``: dataset, i, j, aux, client (counts of documents with both, i <= j), n_aux, n_client; K^2 / 2 rows at most.
+
+def recovery_runs(pairs: DataFrame, tasks: DataFrame, steps: int, free: float, checkpoints: list[int], multiplier: int = 2) -> DataFrame:
+    """The runs of all tasks (dataset, distribution, seed), each over the pair counts of its dataset, which has as many keywords as they name.
+
+    ``pairs``: dataset, i, j, aux, client (counts of documents with both, i <= j), n_aux, n_client; K^2 / 2 rows at most a dataset, made into matrices once. A task
+    has these and its queries, and runs alone; a dataset that has no pairs has no runs.
     """
+    data = settled(pairs.groupBy("dataset").applyInPandas(_packed, "dataset string, k long, am binary, cm binary, n_aux long, n_client long"))
+    asked = drawn_queries(tasks, data.select("dataset", "k"), multiplier)
+    keys = ["dataset", "distribution", "seed"]
+    per = asked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "keyword"))), lambda x: x["keyword"]).alias("q"))  # k * multiplier numbers
+    each = settled(per.repartition(max(1, tasks.count()), *keys))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        aux, cli = np.zeros((k, k)), np.zeros((k, k))
-        i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
-        for m, c in ((aux, "aux"), (cli, "client")):
-            m[i, j] = m[j, i] = pdf[c].to_numpy()
-        seed = int(first["seed"])
-        q = queries_of(first["distribution"], k, multiplier, seed)
-        _, at = np.unique(q, return_index=True)
-        labels = q[np.sort(at)]  # tokens in the order in which they are first seen
-        place = {x: n for n, x in enumerate(labels)}
-        got = recover(aux / first["n_aux"], cli[np.ix_(labels, labels)], int(first["n_client"]), steps, free, seed, checkpoints)
-        rows = [(first["dataset"], first["distribution"], seed, it, *metrics(q, g[[place[x] for x in q]]), len(labels)) for it, g in sorted(got.items())]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                aux, cli = (np.frombuffer(m).reshape(r.k, r.k) for m in (r.am, r.cm))
+                q = np.array(r.q)
+                _, at = np.unique(q, return_index=True)
+                labels = q[np.sort(at)]  # tokens in the order in which they are first seen
+                place = {x: n for n, x in enumerate(labels)}
+                got = recover(aux / r.n_aux, cli[np.ix_(labels, labels)], r.n_client, steps, free, int(r.seed), checkpoints)
+                rows = [(r.dataset, r.distribution, r.seed, it, *metrics(q, g[[place[x] for x in q]]), len(labels)) for it, g in sorted(got.items())]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
 
-    return tasks.join(pairs, "dataset").groupBy("dataset", "distribution", "seed").applyInPandas(run, RUN)
+    return each.join(data, "dataset").repartition(max(1, tasks.count()), *keys).mapInPandas(run, RUN)
 
 
 def finished_runs(spark: SparkSession, path: str, schema: str = RUN) -> DataFrame:
@@ -134,20 +187,23 @@ def finished_runs(spark: SparkSession, path: str, schema: str = RUN) -> DataFram
     return spark.read.schema(schema + ", digest string").parquet(path)
 
 
-def resume_runs(path: str, digest: str, pairs: DataFrame, tasks: DataFrame, **options) -> DataFrame:
+def resume_runs(path: str, digest: str, pairs: DataFrame, tasks: DataFrame, at_once: int | None = None, **options) -> DataFrame:
     """``recovery_runs``, kept at a path: runs found there are not made again. Returns all runs of ``tasks``.
 
-    ``digest`` names the data and settings; runs of others at that path, or of tasks that are not asked for, are an error. Each call adds the
-    runs it made in one commit, so after a failure the next call makes only those that lack.
+    ``digest`` names the data and settings; runs of others at that path, or of tasks that are not asked for, are an error. Runs are committed ``at_once`` by
+    ``at_once`` (as many as there are cores, if not given): a job that is lost loses those it was at, and the next call makes only those that lack.
     """
     keys = ["dataset", "distribution", "seed"]
     spark = tasks.sparkSession
     done = finished_runs(spark, path)
     if done.where(F.col("digest") != digest).head(1):
         raise ValueError("the runs kept there are of other data or settings")
-    left = remaining(tasks, done, keys)
-    if left.head(1):
-        recovery_runs(pairs, left, **options).withColumn("digest", F.lit(digest)).write.mode("append").parquet(path)
+    size = at_once or spark.sparkContext.defaultParallelism
+    left = remaining(tasks, done, keys).distinct()
+    left = settled(numbered(left.withColumn("__h", F.sha2(F.concat_ws("\n", *keys), 256)), "__n", hash_prefix(F.col("__h")), "__h", *keys).drop("__h"))
+    for first in range(0, left.count(), size):
+        some = left.where((F.col("__n") >= first) & (F.col("__n") < first + size)).drop("__n")
+        recovery_runs(pairs, some, **options).withColumn("digest", F.lit(digest)).write.mode("append").parquet(path)
     return finished_runs(spark, path).drop("digest")
 
 

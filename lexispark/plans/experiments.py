@@ -164,12 +164,32 @@ def pair_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.pair_costs(written(half.unionByName(swapped), "pair-counts"), fixed, BY).select("lang", "token", "keyword", F.round("cost", 3).alias("cost"))
 
 
+def _tasks(pairs: DataFrame) -> DataFrame:
+    """Three distributions and four seeds for every dataset."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(d).alias("distribution"), F.lit(s).cast("long").alias("seed")) for d in ("each", "uniform_iid", "zipf_iid") for s in range(4)])).alias("t")
+    return pairs.select("dataset").distinct().select("dataset", kinds).select("dataset", "t.distribution", "t.seed")
+
+
 @query()
 def recovery_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over every language, each with as many keywords as its documents support, forty at most."""
     pairs = pair_counts(spark, sf_dir).withColumnRenamed("lang", "dataset")
-    kinds = F.explode(F.array(*[F.struct(F.lit(d).alias("distribution"), F.lit(s).cast("long").alias("seed")) for d in ("each", "uniform_iid", "zipf_iid") for s in range(4)])).alias("t")
-    tasks = pairs.groupBy("dataset").agg(F.max("j").alias("top")).where(F.col("top") == K - 1).select("dataset", kinds).select("dataset", "t.distribution", "t.seed")
-    return recovery.recovery_runs(pairs, tasks, K, 60, 0.25, [0, 10, 60])
+    return recovery.recovery_runs(pairs, _tasks(pairs), 60, 0.25, [0, 10, 60])
+
+
+@query(f"""WITH {_SUPPORTED}, n AS (SELECT lang AS dataset, count(*) AS k FROM kw GROUP BY lang), s AS (SELECT unnest([0, 1, 2, 3]) AS seed),
+       each AS (SELECT dataset, 'each' AS distribution, seed, row_number() OVER (PARTITION BY dataset, seed ORDER BY sha256(seed || chr(10) || 'each' || chr(10) || keyword), keyword) - 1 AS position, keyword
+                FROM (SELECT dataset, seed, unnest(range(k)) AS keyword FROM n, s)),
+       p AS (SELECT dataset, distribution, k, unnest(range(k)) AS keyword FROM n, (SELECT unnest(['uniform_iid', 'zipf_iid']) AS distribution)),
+       w AS (SELECT *, CASE distribution WHEN 'zipf_iid' THEN 1.0::DOUBLE / (keyword + 1) ELSE 1.0::DOUBLE END AS w FROM p),
+       c AS (SELECT dataset, distribution, keyword, CASE WHEN keyword = k - 1 THEN 1.0 ELSE sum(w) OVER (PARTITION BY dataset, distribution ORDER BY keyword) / sum(w) OVER (PARTITION BY dataset, distribution) END AS high FROM w),
+       dr AS (SELECT dataset, distribution, seed, position, CAST('0x' || substr(sha256(seed || chr(10) || distribution || chr(10) || position), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+             FROM (SELECT dataset, distribution, seed, unnest(range(2 * k)) AS position FROM n, s, (SELECT unnest(['uniform_iid', 'zipf_iid']) AS distribution)))
+       SELECT * FROM each UNION ALL SELECT dr.dataset, dr.distribution, dr.seed, dr.position, min(c.keyword) AS keyword FROM dr JOIN c ON c.dataset = dr.dataset AND c.distribution = dr.distribution AND dr.u < c.high GROUP BY ALL""")
+def drawn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of every run of ``recovery_runs``, in the three distributions."""
+    pairs = pair_counts(spark, sf_dir).withColumnRenamed("lang", "dataset")
+    return recovery.drawn_queries(_tasks(pairs), pairs.groupBy("dataset").agg((F.max("j") + 1).alias("k")))
 
 
 _RUNS = "runs AS (SELECT event_type AS condition, user_id % 12 AS seed, avg(value) AS score FROM events GROUP BY ALL)"

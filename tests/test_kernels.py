@@ -78,7 +78,7 @@ def test_runs_are_kept_and_resumed(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/runs"
     pairs = spark.createDataFrame([("d", i, j, 3 + i if i == j else 1, 4 + i if i == j else 1, 20, 30) for i in range(5) for j in range(i, 5)], "dataset string, i long, j long, aux long, client long, n_aux long, n_client long")
     tasks = lambda seeds: spark.createDataFrame([("d", "uniform_iid", s) for s in seeds], "dataset string, distribution string, seed long")
-    options = {"k": 5, "steps": 3, "free": 0.5, "checkpoints": [0, 3], "multiplier": 4}
+    options = {"steps": 3, "free": 0.5, "checkpoints": [0, 3], "multiplier": 4}
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     first = rows(recovery.resume_runs(path, "x", pairs, tasks([1, 2]), **options))
     made = []
@@ -93,6 +93,56 @@ def test_runs_are_kept_and_resumed(spark, tmp_path, monkeypatch):
         recovery.resume_runs(path, "x", pairs, tasks([1]), **options)
 
 
+def test_a_lost_job_keeps_what_it_had_committed(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/runs"
+    pairs = spark.createDataFrame([(d, i, j, 3 + i if i == j else 1, 4 + i if i == j else 1, 20, 30) for d in "de" for i in range(5) for j in range(i, 5)], "dataset string, i long, j long, aux long, client long, n_aux long, n_client long")
+    tasks = spark.createDataFrame([(d, k, s) for d in "de" for k in ("each", "zipf_iid") for s in range(2)], "dataset string, distribution string, seed long")
+    options = {"steps": 3, "free": 0.5, "checkpoints": [3], "multiplier": 4}
+    real, calls = recovery.recovery_runs, []
+
+    def dies(p, t, **o):
+        calls.append(t.count())
+        if len(calls) == 3:
+            t = t.withColumn("seed", F.when(F.col("seed") >= 0, F.raise_error(F.lit("executor lost")).cast("long")))
+        return real(p, t, **o)
+
+    monkeypatch.setattr(recovery, "recovery_runs", dies)
+    with pytest.raises(Exception, match="executor lost"):
+        recovery.resume_runs(path, "x", pairs, tasks, at_once=2, **options)
+    kept = {tuple(r) for r in recovery.finished_runs(spark, path).drop("digest").collect()}
+    assert len(kept) == 4 and calls == [2, 2, 2]
+    calls[:] = [0] * 3
+    every = {tuple(r) for r in recovery.resume_runs(path, "x", pairs, tasks, at_once=3, **options).collect()}
+    assert calls[3:] == [3, 1] and kept < every and every == {tuple(r) for r in real(pairs, tasks, **options).collect()}
+
+
+def test_draws_follow_their_distributions(spark):
+    tasks = spark.createDataFrame([("a", k, s) for k in ("each", "uniform_iid", "zipf_iid") for s in range(3)] + [("b", "each", 1), ("b", "zipf_iid", 1)], "dataset string, distribution string, seed long")
+    sizes = spark.createDataFrame([("a", 20), ("b", 1)], "dataset string, k long")
+    got = recovery.drawn_queries(tasks, sizes, 400).collect()
+    of = lambda d, k, s: [r["keyword"] for r in sorted((r for r in got if (r["dataset"], r["distribution"], r["seed"]) == (d, k, s)), key=lambda r: r["position"])]
+    assert [sorted(of("a", "each", s)) for s in range(3)] == [list(range(20))] * 3 and of("a", "each", 0) != of("a", "each", 1)
+    harmonic = sum(1 / (i + 1) for i in range(20))
+    for s in range(3):
+        for kind, share in (("uniform_iid", lambda i: 1 / 20), ("zipf_iid", lambda i: 1 / (i + 1) / harmonic)):
+            q = of("a", kind, s)
+            assert len(q) == 8000 and all(abs(q.count(i) / 8000 - share(i)) < 5 * math.sqrt(share(i) / 8000) for i in range(20))
+    assert of("b", "each", 1) == [0] and of("b", "zipf_iid", 1) == [0] * 400
+    with pytest.raises(Exception, match="no such distribution"):
+        recovery.drawn_queries(tasks.withColumn("distribution", F.lit("other")), sizes).collect()
+
+
+def test_prices_of_the_last_step_change_nothing_but_work():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 6):
+        for _ in range(40):
+            c, price = rng.integers(0, 9, (n, n)).astype(float), rng.normal(size=n) * 20
+            best = min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+            for _ in range(2):
+                got = matching.assignment(c, price)
+                assert sorted(got) == list(range(n)) and c[np.arange(n), got].sum() == best
+
+
 def test_sparse_matching_is_the_best():
     rnd = random.Random(11)
     for _ in range(400):
