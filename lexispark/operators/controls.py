@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import stable_score
 from lexispark.operators.interventions import checked
 from lexispark.operators.matching import disjoint_pairs, optimal_matching
-from lexispark.operators.numbering import hash_prefix, numbered
+from lexispark.operators.numbering import smallest
 
 
 def auxiliary_terms(df: DataFrame, n: int) -> DataFrame:
@@ -115,13 +115,13 @@ def cooccurrence_match(inc: DataFrame, docs: DataFrame, pairs: DataFrame, budget
 
 
 def _draws(inc: DataFrame, docs: DataFrame, pairs: DataFrame, budget: int, seed: int, by: list[str]) -> DataFrame:
-    """by, donor, recipient, draw, doc: as many documents without the donor as the recipient has, for each draw; ranked bucket by bucket."""
+    """by, donor, recipient, draw, doc: as many documents without the donor as the recipient has, for each draw, cut by a histogram of hashes."""
     size = inc.groupBy(*by, "kw").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("kw", "recipient")
     p = pairs.join(size, [*by, "recipient"])
     own = inc.select(*by, "doc", F.col("kw").alias("donor"))
     grid = (docs.select(*by, "doc").join(F.broadcast(p), by) if by else docs.select("doc").crossJoin(F.broadcast(p))).join(own, [*by, "doc", "donor"], "left_anti")  # pairs are a bounded list
     drawn = grid.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(budget - 1)))).withColumn("score", stable_score(f"{seed}:profile", F.col("donor"), F.col("recipient"), F.col("draw"), F.col("doc")))
-    return numbered(drawn, "r", hash_prefix(F.col("score")), "score", "doc", within=[*by, "donor", "recipient", "draw"]).where("r < f").select(*by, "donor", "recipient", "draw", "doc")
+    return smallest(drawn, "score", F.col("f"), "doc", within=[*by, "donor", "recipient", "draw"]).select(*by, "donor", "recipient", "draw", "doc")
 
 
 def drawn_incidence(inc: DataFrame, docs: DataFrame, pairs: DataFrame, best: DataFrame, budget: int, seed: int, by: list[str] | None = None) -> DataFrame:

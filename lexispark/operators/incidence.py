@@ -44,21 +44,22 @@ def vocabulary(tok: DataFrame, minimum: int = 2, most: float = 0.5) -> DataFrame
     return numbered(kept.select("token", "df"), "idx", F.substring("token", 1, 2), "token").select("idx", "token", "df")
 
 
+def supported_tokens(tok: DataFrame, auxiliary: Column) -> DataFrame:
+    """lang, token, df of the tokens that some but not all documents of either side hold; ``auxiliary``: a condition on the documents that divides them."""
+    a = F.coalesce(auxiliary, F.lit(False)).cast("long")
+    sided = tok.select("doc_id", "lang", "tokens", a.alias("a"))
+    n = sided.groupBy(F.col("lang").alias("__l")).agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nc"))
+    per = sided.select("lang", "a", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("lang", "token").agg(F.sum("a").alias("xa"), F.sum(1 - F.col("a")).alias("xc"))
+    inner = (F.col("xa") > 0) & (F.col("xa") < F.col("na")) & (F.col("xc") > 0) & (F.col("xc") < F.col("nc"))
+    return per.join(F.broadcast(n), F.col("lang").eqNullSafe(F.col("__l"))).where(inner).select("lang", "token", (F.col("xa") + F.col("xc")).alias("df"))  # a row a language
+
+
 def top_keywords(tok: DataFrame, k: int, support: Column | None = None, auxiliary: Column | None = None) -> DataFrame:
     """The k tokens of each language with the highest df, ties by code point: lang, rank (from 0), token, df.
 
-    ``support``: a condition on df. ``auxiliary``: a condition on the documents that divides them; a token must then be in some but not all
-    documents of either side.
+    ``support``: a condition on df. ``auxiliary``: as in ``supported_tokens``, which are the only ones then.
     """
-    if auxiliary is None:
-        df = document_frequency(tok)
-    else:
-        a = F.coalesce(auxiliary, F.lit(False)).cast("long")
-        sided = tok.select("doc_id", "lang", "tokens", a.alias("a"))
-        n = sided.groupBy(F.col("lang").alias("__l")).agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nc"))
-        per = sided.select("lang", "a", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("lang", "token").agg(F.sum("a").alias("xa"), F.sum(1 - F.col("a")).alias("xc"))
-        inner = (F.col("xa") > 0) & (F.col("xa") < F.col("na")) & (F.col("xc") > 0) & (F.col("xc") < F.col("nc"))
-        df = per.join(F.broadcast(n), F.col("lang").eqNullSafe(F.col("__l"))).where(inner).select("lang", "token", (F.col("xa") + F.col("xc")).alias("df"))  # a row a language
+    df = document_frequency(tok) if auxiliary is None else supported_tokens(tok, auxiliary)
     if support is not None:
         df = df.where(support)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token"))

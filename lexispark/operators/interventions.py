@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import stable_score
-from lexispark.operators.numbering import hash_prefix, numbered
+from lexispark.operators.numbering import hash_prefix, numbered, smallest
 
 
 def _ranked(rows: DataFrame, score: Column, within: list[str]) -> DataFrame:
@@ -80,8 +80,8 @@ def similar_access(inc: DataFrame, docs: DataFrame, pairs: DataFrame, target: fl
     p = p.withColumn("k", k).withColumn("k", checked(F.col("k"), F.col("n") - F.col("a") >= F.col("b") - F.col("k"), "too few documents without the donor"))
     own = inc.select(*by, "doc", F.col("kw").alias("donor"), F.lit(True).alias("in"))
     g = _grid(docs, p, by).join(own, [*by, "doc", "donor"], "left").withColumn("in", F.coalesce("in", F.lit(False)))
-    r = _ranked(g, stable_score(f"{seed}:similar", F.col("donor"), F.col("recipient"), F.col("doc")), [*by, "donor", "recipient", "in"])
-    drawn = r.where((F.col("in") & (F.col("r") <= F.col("k"))) | (~F.col("in") & (F.col("r") <= F.col("b") - F.col("k")))).select(*by, "doc", F.col("recipient").alias("kw"))
+    scored = g.withColumn("__score", stable_score(f"{seed}:similar", F.col("donor"), F.col("recipient"), F.col("doc")))
+    drawn = smallest(scored, "__score", F.when(F.col("in"), F.col("k")).otherwise(F.col("b") - F.col("k")), "doc", within=[*by, "donor", "recipient", "in"]).select(*by, "doc", F.col("recipient").alias("kw"))
     return _without(inc, pairs.select(*by, F.col("recipient").alias("kw")), by).unionByName(drawn)
 
 
@@ -92,7 +92,8 @@ def equalise(inc: DataFrame, docs: DataFrame, pairs: DataFrame, seed: int, by: l
     p = _sized(inc, pairs, by).withColumn("f", F.floor((F.col("a") + F.col("b")) / 2))
     p = p.join(n, by) if by else p.crossJoin(n)  # n is one row a group
     p = p.withColumn("f", checked(F.col("f"), 2 * F.col("f") <= F.col("n"), "too few documents for two disjoint sets"))
-    r = _ranked(_grid(docs, p, by), stable_score(f"{seed}:equal", F.col("donor"), F.col("recipient"), F.col("doc")), [*by, "donor", "recipient"]).where("r <= 2 * f")
+    score, pair = stable_score(f"{seed}:equal", F.col("donor"), F.col("recipient"), F.col("doc")), [*by, "donor", "recipient"]
+    r = _ranked(smallest(_grid(docs, p, by).withColumn("__score", score), "__score", 2 * F.col("f"), "doc", within=pair), score, pair)
     drawn = r.select(*by, "doc", F.when(F.col("r") <= F.col("f"), F.col("donor")).otherwise(F.col("recipient")).alias("kw"))
     return _without(inc, pairs.select(*by, F.explode(F.array("donor", "recipient")).alias("kw")), by).unionByName(drawn)
 

@@ -31,3 +31,23 @@ def hash_prefix(score: Column) -> Column:
 def number_range(value: Column, size: int = 1 << 16) -> Column:
     """Bucket of a number: ranges of ``size``."""
     return F.floor(value / size)
+
+
+def smallest(rows: DataFrame, score: str, count: Column, *order: Column | str, within: list[str]) -> DataFrame:
+    """The rows of each group ``within`` that come first by a hexadecimal digest and ``order``: ``count`` of them (a column that is one for the group).
+
+    A histogram of the digests' beginnings says where each group is cut; rows before the cut stay by a filter, and only those at the cut, one in 4,096,
+    are put in order. ``rows`` is read twice, so it should be cheap to make or written. One row a group is broadcast: groups are a bounded list.
+    """
+    r = rows.withColumn("__p", hash_prefix(F.col(score)))
+    per = r.withColumn("__c", count).groupBy(*within, "__p").agg(F.count(F.lit(1)).alias("__n"), F.max("__c").alias("__c"))
+    upto = F.sum("__n").over(Window.partitionBy(*within).orderBy("__p"))  # 4,096 rows a group
+    cuts = per.withColumn("__s", upto - F.col("__n")).where(F.col("__s") < F.col("__c")).groupBy(*within).agg(F.max(F.struct("__p", "__s", "__c")).alias("__m"))
+    cuts = cuts.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(within)], F.col("__m.__p").alias("__cut"), (F.col("__m.__c") - F.col("__m.__s")).alias("__left"))
+    same = F.lit(True)
+    for i, c in enumerate(within):
+        same &= F.col(c).eqNullSafe(F.col(f"__w{i}"))
+    met = r.join(F.broadcast(cuts), same).where(F.col("__p") <= F.col("__cut"))
+    place = F.row_number().over(Window.partitionBy(*within, "__p").orderBy(score, *order))
+    edge = met.where(F.col("__p") == F.col("__cut")).withColumn("__r", place).where(F.col("__r") <= F.col("__left"))
+    return met.where(F.col("__p") < F.col("__cut")).select(*rows.columns).unionByName(edge.select(*rows.columns))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -48,17 +50,17 @@ def t_critical(df: int, level: float = 0.95) -> float:
     return (lo + hi) / 2
 
 
-def critical_table(spark: SparkSession, most: int = 200) -> DataFrame:
-    """df, t: critical values for the degrees of freedom that runs have."""
-    return spark.createDataFrame([(i, t_critical(i)) for i in range(1, most + 1)], "df long, t double")
+@F.pandas_udf(T.DoubleType())
+def critical_value(df: pd.Series) -> pd.Series:
+    """Two-sided critical values for the degrees of freedom that occur; null below 1."""
+    return df.map(lambda d: t_critical(int(d)) if d >= 1 else None).astype(float)
 
 
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, sd (null for one run), low and high of the 95 % interval, min, max by condition."""
     s = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
-    t = critical_table(rows.sparkSession)
-    half = F.col("t") * F.col("sd") / F.sqrt("n")
-    return s.join(F.broadcast(t), s["n"] - 1 == t["df"], "left").select(*by, "n", "mean", "sd", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), "min", "max")  # 200 rows
+    half = critical_value(F.col("n") - 1) * F.col("sd") / F.sqrt("n")
+    return s.select(*by, "n", "mean", "sd", half.alias("half"), "min", "max").select(*by, "n", "mean", "sd", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"), "min", "max")
 
 
 def paired(rows: DataFrame, by: list[str], key: str, condition: str, baseline: str, value: str) -> DataFrame:
@@ -103,19 +105,31 @@ def array_tolerance(observed: DataFrame, expected: DataFrame, keys: list[str], t
     return both.select(*keys, "place", "observed", "expected", F.coalesce(F.abs(F.col("observed") - F.col("expected")) <= tolerance, F.lit(False)).alias("within"))
 
 
-def sign_flip(diffs: DataFrame, by: list[str], key: str, value: str, most: int = 20) -> DataFrame:
+def sign_flip(diffs: DataFrame, by: list[str], key: str, value: str, most: int = 24) -> DataFrame:
     """Exact sign-flip p: the share of all 2^n sign vectors whose mean is at least as far from 0. by, n, mean, p, resolution.
 
-    The vectors are a range joined to each group of at most ``most`` runs, signs are bits; nothing is enumerated on the driver.
+    The runs of a group (``most`` at most, more are an error) are cut in two; each half has 2^(n / 2) signed sums. In one order of the sums of the second half and of
+    what each sum of the first half needs to reach the observed mean, a running count says how many pairs do: 2^(n / 2 + 1) rows a group, not 2^n.
+    The other tail has as many. Sums within the rounding of n additions count as equal.
     """
-    numbered = diffs.select(*by, F.col(value).alias("d"), (F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1).alias("k"))
+    numbered = diffs.select(*by, F.col(value).alias("d"), (F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1).alias("k"))  # a study's runs
     group = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]).alias("d"))
     group = group.withColumn("n", F.when(F.col("n") > most, F.raise_error(F.lit("too many runs for an exact test")).cast("long")).otherwise(F.col("n")))
-    wide = group.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int)) - 1"))))
-    total = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda acc, k: acc + F.element_at("d", k + 1) * F.when(F.getbit(F.col("m"), k) == 1, 1).otherwise(-1))
-    seen = F.aggregate("d", F.lit(0.0), lambda acc, x: acc + x)
-    hit = (F.abs(total / F.col("n")) >= F.abs(seen / F.col("n")) - 1e-15).cast("double")
-    return wide.select(*by, "n", seen.alias("s"), hit.alias("hit")).groupBy(*by, "n").agg((F.max("s") / F.max("n")).alias("mean"), F.avg("hit").alias("p")).withColumn("resolution", resolution(F.col("n")))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    cut = F.floor(F.col("n") / 2).cast("int")
+    group = group.select(*by, "n", add(F.col("d")).alias("s"), add(F.transform("d", lambda x: F.abs(x))).alias("all"), F.slice("d", 1, cut).alias("one"), F.slice("d", cut + 1, F.col("n").cast("int")).alias("two"))
+    group = group.withColumn("need", F.abs("s") - F.col("n") * 1e-15 - F.col("all") * 4e-15)
+
+    def sums(half: str) -> DataFrame:
+        wide = group.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, size({half})) - 1"))))
+        return wide.withColumn("t", F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(0.0), lambda acc, k: acc + F.coalesce(F.get(half, k), F.lit(0.0)) * F.when(F.getbit(F.col("m"), k) == 1, 1).otherwise(-1)))
+
+    have = sums("two").select(*by, "n", "s", "need", F.col("t").alias("at"), F.lit(1).cast("long").alias("has"))
+    want = sums("one").select(*by, "n", "s", "need", (F.col("need") - F.col("t")).alias("at"), F.lit(0).cast("long").alias("has"))
+    so_far = F.sum("has").over(Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("has")).rowsBetween(Window.unboundedPreceding, 0))
+    met = have.unionByName(want).withColumn("reach", so_far).where("has = 0").groupBy(*by).agg(F.max("n").alias("n"), F.max("s").alias("s"), F.max("need").alias("need"), F.sum("reach").alias("hits"))
+    p = F.when(F.col("need") <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.col("hits") / F.pow(F.lit(2.0), F.col("n"))))
+    return met.select(*by, "n", (F.col("s") / F.col("n")).alias("mean"), p.alias("p"), resolution(F.col("n")).alias("resolution"))
 
 
 def holm(rows: DataFrame, family: list[str], p: str, order: list[str]) -> DataFrame:
@@ -126,14 +140,32 @@ def holm(rows: DataFrame, family: list[str], p: str, order: list[str]) -> DataFr
     return ranked.withColumn("adjusted", F.max(step).over(by.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0))).drop("__r", "__m")
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
+def _octave(value: Column) -> Column:
+    """Bucket of a number, which never falls as the number rises: 64 to each doubling of its size."""
+    v = value.cast("double")
+    far = F.lit(1 << 20) + F.floor(F.log2(F.abs(v)) * 64)
+    return F.when(v > 0, far).when(v < 0, -far).otherwise(F.lit(0)).cast("long")
+
+
+def with_average_rank(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds each value's rank in its group from 1, equal values sharing their mean; distinct values are ranked, bucket by bucket."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__k")).withColumn("__o", _octave(F.col("__v")))
+    sizes = each.groupBy(*by, "__o").agg(F.sum("__k").alias("__n"))
+    starts = sizes.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(by)], F.col("__o").alias("__q"), (F.sum("__n").over(Window.partitionBy(*by).orderBy("__o")) - F.col("__n")).alias("__s"))
+    same = F.col("__o") == F.col("__q")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__w{i}"))
+    inside = F.sum("__k").over(Window.partitionBy(*by, "__o").orderBy("__v")) - F.col("__k")
+    ranked = each.withColumn("__i", inside).join(starts, same).select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], "__v", (F.col("__s") + F.col("__i") + (F.col("__k") + 1) / 2).alias(name))
+    on = F.col(value) == F.col("__v")
+    for i, c in enumerate(by):
+        on &= F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    return rows.join(ranked, on, "left").select(*rows.columns, name)
 
 
 def correlations(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """n, pearson and spearman (Pearson of average ranks) by group, each with its two-sided p. Without variation all are null."""
-    r = rows.withColumn("__x", average_rank(x, by)).withColumn("__y", average_rank(y, by))
+    r = with_average_rank(with_average_rank(rows, by, x, "__x"), by, y, "__y")
     c = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"), F.corr("__x", "__y").alias("spearman"))
     return c.select(*by, "n", "pearson", correlation_p(F.col("pearson"), F.col("n")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("spearman_p"))
 

@@ -48,13 +48,16 @@ def profile(docs: DataFrame, keywords: DataFrame, inc: DataFrame) -> DataFrame:
 
 
 def frequency_ambiguity(keywords: DataFrame, tolerances: list[int]) -> DataFrame:
-    """Pairs of keywords whose frequencies differ by a tolerance at most, and the keywords in such pairs."""
+    """Pairs of keywords whose frequencies differ by a tolerance at most, and the keywords in such pairs.
+
+    Keywords are counted by frequency; a range frame of the tolerance sums those counts around each frequency, so nothing is joined in pairs.
+    """
+    df = keywords.groupBy("lang", "df").agg(F.count(F.lit(1)).alias("c"))
+    k = keywords.groupBy("lang").agg(F.count(F.lit(1)).alias("k"))
     out = None
     for t in tolerances:
-        a, b = keywords.select("lang", F.col("rank").alias("i"), F.col("df").alias("x")), keywords.select(F.col("lang").alias("l"), F.col("rank").alias("j"), F.col("df").alias("y"))
-        pairs = a.join(b, (F.col("lang") == F.col("l")) & (F.col("i") < F.col("j"))).where(F.abs(F.col("x") - F.col("y")) <= t)
-        hit = pairs.select("lang", F.explode(F.array("i", "j")).alias("i")).groupBy("lang").agg(F.countDistinct("i").alias("touched"), (F.count(F.lit(1)) / 2).cast("long").alias("pairs"))
-        k = keywords.groupBy("lang").agg(F.count(F.lit(1)).alias("k"))
+        near = F.sum("c").over(Window.partitionBy("lang").orderBy("df").rangeBetween(-t, t))  # distinct frequencies of a language's top keywords
+        hit = df.withColumn("others", near - 1).groupBy("lang").agg(F.sum(F.when(F.col("others") > 0, F.col("c"))).alias("touched"), (F.sum(F.col("c") * F.col("others")) / 2).cast("long").alias("pairs"))
         one = k.join(hit, "lang", "left").select("lang", F.lit(t).cast("long").alias("tolerance"), F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"), r6(F.coalesce("pairs", F.lit(0)) / (F.col("k") * (F.col("k") - 1) / 2)).alias("pair_share"), F.coalesce("touched", F.lit(0)).cast("long").alias("touched"), r6(F.coalesce("touched", F.lit(0)) / F.col("k")).alias("touched_share"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -263,7 +263,7 @@ def controlled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = _sets(spark, sf_dir)
     stems = inc.occurrences(tok).select("doc_id", "lang", st.suffix_stem(F.col("token"), RULES).alias("token")).distinct()
     stems = stems.groupBy("doc_id", "lang").agg(F.collect_list("token").alias("tokens"))  # a document's own
-    vocabulary = inc.top_keywords(stems, 2**31 - 1, auxiliary=F.col("doc_id") % 3 == 0).select("lang", F.col("token").alias("stem"))
+    vocabulary = inc.supported_tokens(stems, F.col("doc_id") % 3 == 0).select("lang", F.col("token").alias("stem"))
     left = inc.remove_stopwords(tok, STOP)
     k = inc.document_frequency(left).withColumn("stem", st.suffix_stem(F.col("token"), RULES))
     u = k.groupBy("lang", "stem").agg(F.min(F.struct((-F.col("df")).alias("down"), "token")).alias("m")).select("lang", "stem", "m.down", "m.token").join(vocabulary, ["lang", "stem"], "left_semi")

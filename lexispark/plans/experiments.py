@@ -235,6 +235,21 @@ def sign_flip_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stt.holm(p, ["family"], "p", ["condition"]).select("condition", "n", F.round("mean", 6).alias("mean"), F.round("p", 9).alias("p"), F.round("resolution", 9).alias("resolution"), F.round("adjusted", 9).alias("adjusted"))
 
 
+_SIGNED = " + ".join(f"((r.m >> {i}) & 1) * d[{i + 1}]" for i in range(24))
+
+
+@query(f"""WITH e AS (SELECT event_type AS condition, user_id % 24 AS seed, avg(value) AS v FROM events GROUP BY ALL), b AS (SELECT seed, avg(v) AS v FROM e GROUP BY seed),
+       g AS (SELECT condition, list(e.v - b.v ORDER BY seed) AS d, sum(e.v - b.v) AS s, count(*) AS n FROM e JOIN b USING (seed) GROUP BY condition),
+       x AS (SELECT condition, n, s, count(*) FILTER (abs(2 * ({_SIGNED}) - s) >= abs(s) - 1e-12) AS hits FROM g, range(16777216) r(m) GROUP BY condition, n, s)
+       SELECT condition, n, round(s / n, 6) AS mean, round(hits / 16777216.0, 12) AS p FROM x""")
+def sign_flip_24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact sign flips of 24 runs: each condition against the mean of all, seed by seed."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 24).alias("seed")).agg(F.avg("value").alias("v"))
+    b = e.groupBy("seed").agg(F.avg("v").alias("b"))
+    p = stt.sign_flip(e.join(b, "seed").withColumn("difference", F.col("v") - F.col("b")), ["condition"], "seed", "difference")
+    return p.select("condition", "n", F.round("mean", 6).alias("mean"), F.round("p", 12).alias("p"))
+
+
 def _p_sql(r: str) -> str:
     """Student's p of a correlation in closed form; a term of the series by gamma functions."""
     even = f"1 - abs({r}) * (SELECT sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0)) * pow(1 - {r} * {r}, k)) FROM range((n - 2) // 2) t(k))"

@@ -271,6 +271,36 @@ def test_statistics(spark):
     assert math.isclose(stt.t_two_sided(2.2621571628, 9), 0.05, abs_tol=1e-9)
 
 
+def test_sign_flips_equal_enumeration(spark):
+    rnd = random.Random(4)
+    groups = {f"g{n}{i}": [rnd.choice([rnd.gauss(0.3, 1), 1.0, -1.0, 0.0]) for _ in range(n)] for n in (1, 2, 3, 7, 10, 12) for i in range(2)}
+    groups |= {"same": [0.1] * 11, "zero": [0.0] * 5}
+    df = spark.createDataFrame([(g, i, x) for g, d in groups.items() for i, x in enumerate(d)], "c string, seed long, d double")
+    got = {r.c: r.p for r in stt.sign_flip(df, ["c"], "seed", "d").collect()}
+    for g, d in groups.items():
+        seen = abs(sum(d)) - 1e-12
+        hits = sum(abs(sum(x * s for x, s in zip(d, signs, strict=True))) >= seen for signs in itertools.product((1, -1), repeat=len(d)))
+        assert got[g] == hits / 2 ** len(d), g
+    with pytest.raises(Exception, match="too many runs"):
+        stt.sign_flip(df.withColumn("c", F.lit("all")).withColumn("seed", F.monotonically_increasing_id()), ["c"], "seed", "d").collect()
+
+
+def test_average_ranks_and_cuts_by_hash(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice("ab"), rnd.choice([rnd.gauss(0, 100), 0.0, 1.5, -1.5, 1e-9, 3e300]), i) for i in range(600)] + [(None, 2.0, 1), ("a", None, 2)]
+    df = spark.createDataFrame(rows, "g string, v double, i long")
+    got = stt.with_average_rank(df, ["g"], "v", "r").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = [v for g, v, _ in rows if g == r.g and v is not None]
+        assert r.r == (None if r.v is None else sum(v < r.v for v in own) + (sum(v == r.v for v in own) + 1) / 2)
+    scored = df.withColumn("s", F.sha2(F.col("i").cast("string"), 256)).withColumn("n", F.when(F.col("g") == "a", 37).when(F.col("g") == "b", 10_000).otherwise(0))
+    for hot in (scored, scored.withColumn("s", F.when(F.col("i") % 2 == 0, F.concat(F.lit("0ab"), "s")).otherwise(F.col("s")))):
+        kept = sorted((r.g, r.i) for r in numbering.smallest(hot, "s", F.col("n"), "i", within=["g"]).collect())
+        every = {g: sorted((r.s, r.i) for r in hot.collect() if r.g == g) for g in "ab"}
+        assert kept == sorted([("a", i) for _, i in every["a"][:37]] + [("b", i) for _, i in every["b"]])
+
+
 def test_structure_of_a_small_matrix(spark):
     sets = [{0, 1, 3}, {2}, {0, 1, 2, 3}, set(), {3}]
     inc = spark.createDataFrame([("x", d, k) for d, row in enumerate(sets) for k in row], "lang string, doc_id long, rank long")
