@@ -95,6 +95,17 @@ class Condition:
             out = out.unionByName(own.select("lang", "token", stem(F.col("token"), F.col("known")).alias("stem")))
         return out
 
+    def evaluate(self, annotations: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+        """language (null: all), items, correct, accuracy of the stems of annotated tokens. ``annotations``: language, token, expected_stem.
+
+        Each item counts, repeated ones too; a language without a stemmer predicts the token itself.
+        """
+        words = annotations.select(F.col("language").alias("lang"), "token").distinct()
+        stems = self._stems(words, lexicon).select(F.col("lang").alias("__l"), F.col("token").alias("__t"), "stem")
+        met = annotations.join(stems, F.col("language").eqNullSafe(F.col("__l")) & (F.col("token") == F.col("__t")))
+        right = (F.col("stem") == F.col("expected_stem")).cast("long")
+        return met.select("language", right.alias("right")).rollup("language").agg(F.count(F.lit(1)).alias("items"), F.sum("right").alias("correct"), F.avg("right").alias("accuracy"))
+
     def vocabulary(self, documents: DataFrame) -> DataFrame:
         c = self.tokeniser
         return inc.vocabulary(documents, int(c["minimum_document_frequency"]), float(c["maximum_document_frequency_ratio"]))

@@ -51,3 +51,34 @@ def smallest(rows: DataFrame, score: str, count: Column, *order: Column | str, w
     place = F.row_number().over(Window.partitionBy(*within, "__p").orderBy(score, *order))
     edge = met.where(F.col("__p") == F.col("__cut")).withColumn("__r", place).where(F.col("__r") <= F.col("__left"))
     return met.where(F.col("__p") < F.col("__cut")).select(*rows.columns).unionByName(edge.select(*rows.columns))
+
+
+#: rows of one bucket that are put in order together
+CROWD = 1 << 16
+
+
+def numbered_in_time(rows: DataFrame, name: str, at: str, key: str, crowd: int = CROWD) -> DataFrame:
+    """Adds ``name``: each row's place from 0 in the order of ``at`` (a time as text, or null) and ``key`` (a hexadecimal digest).
+
+    Buckets are hours; an hour of more than ``crowd`` rows is cut by seconds, such a second by its exact times, such a time by beginnings of the key as long as
+    its rows ask for. So no task puts more than about that many rows in order, be all of one time or none.
+    """
+    time = F.coalesce(F.col(at), F.lit(""))
+    finer = [F.substring(time, 1, 13), F.substring(time, 1, 19), time]
+    b = rows.withColumn("__t0", finer[0])
+    cut = F.struct("__t0")
+    names = ["__t0"]
+    for level in range(3):
+        full = b.groupBy(*names).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > crowd)
+        if not full.head(1):
+            break
+        full = full.select(*[F.col(n).alias(f"__f{n}") for n in names], "__k")
+        same = F.lit(True)
+        for n in names:
+            same &= F.col(n).eqNullSafe(F.col(f"__f{n}"))
+        digits = F.ceil(F.log(16.0, F.col("__k") / crowd)).cast("int")
+        next_ = finer[level + 1] if level < 2 else F.substring(F.col(key), F.lit(1), digits)
+        b = b.join(full, same, "left").withColumn(f"__t{level + 1}", F.when(F.col("__k").isNotNull(), next_)).drop("__k", *[f"__f{n}" for n in names])
+        names.append(f"__t{level + 1}")
+        cut = F.struct(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names])
+    return numbered(b.withColumn("__time", time), name, cut, "__time", key).select(*rows.columns, name)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from lexispark.operators import incidence as inc
 from lexispark.operators.numbering import numbered
 from lexispark.plans import oracle
 from lexispark.registry import query, table
-from lexispark.session import spread, written
+from lexispark.session import shared_dir, spread, temporary, written
 
 STOP = {"en": ["the", "of", "and", "to", "in", "is", "that"], "fr": ["le", "la", "de", "un", "une", "et"], "de": ["der", "die", "das", "und", "ist"], "es": ["el", "la", "de", "que", "los"]}
 MARKERS = ["the", "un", "der", "los"]
@@ -140,6 +143,58 @@ def condition_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.vocabulary(written(c.documents(docs), "condition"))
 
 
+_RULED = ("de", "es", "fr")
+
+
+def _written_condition(spark: SparkSession, tok: DataFrame) -> str:
+    """The files of a stemming condition: its lists have the fifteen most frequent tokens of each language, its specifications the rules. Returns the place of the first file."""
+    root = f"{shared_dir(spark)}/lexispark/condition-{uuid.uuid4().hex}"
+    review = {"status": "approved", "scope": "all", "reviewed_by": "r", "reviewed_at": "2024-01-01"}
+    words: dict[str, list[str]] = {}
+    for r in inc.top_keywords(tok, 15).where("lang is not null").orderBy("lang", "rank").collect():  # fifteen words a language
+        words.setdefault(r.lang, []).append(r.token)
+    rules = [{"suffix": r.suffix, "replacement": r.replacement, "minimum_stem_letter_count": r.minimum, "priority": r.priority, "exceptions": list(r.exceptions)} for r in RULES]
+    payloads = {
+        "configs/tokens.json": TOKENISER | {"indexed_fields": ["body"]},
+        "configs/stop.json": {"config_version": "1.0.0", "tokenisation_config": "configs/tokens.json", "required_scope": "all", "stopword_lists": {k: f"lists/{k}_stop.json" for k in words}},
+        "configs/stem.json": {"config_version": "1.0.0", "stopword_condition": "configs/stop.json", "required_scope": "all", "stemmer_specifications": {k: f"lists/{k}_stem.json" for k in _RULED}},
+    }
+    payloads |= {f"lists/{k}_stop.json": review | {"language": k, "entries": [{"token": w, "decision": "exclude_from_index"} for w in v]} for k, v in words.items()}
+    payloads |= {f"lists/{k}_stem.json": review | {"language": k, "algorithm": "suffix_strip_v1", "rules": rules} for k in _RULED}
+    for name, payload in payloads.items():
+        spark.createDataFrame([(json.dumps(payload),)], "value string").coalesce(1).write.text(f"{root}/{name}")
+    temporary(spark, root)
+    return f"{root}/configs/stem.json"
+
+
+_STEM_RULED = f"CASE WHEN lang IN ('de', 'es', 'fr') THEN ({_sql_rules()}) ELSE token END"
+
+
+@query(f"""WITH {oracle.keywords(15)}, stop AS (SELECT lang, list(token) AS s FROM kw GROUP BY lang), k AS (SELECT doc_id, tok.lang, t, list_filter(t, lambda x: NOT list_contains(coalesce(s, []), x)) AS kept FROM tok LEFT JOIN stop ON stop.lang = tok.lang),
+       o AS (SELECT doc_id, lang, len(t) - len(kept) AS removed, kept, list_transform(kept, lambda token: {_STEM_RULED}) AS stems FROM k)
+       SELECT doc_id, lang, removed, CAST(len(list_filter(list_zip(kept, stems), lambda z: z[1] <> z[2])) AS BIGINT) AS changed, CAST(len(stems) AS BIGINT) AS token_count, sha256(array_to_string(stems, chr(10))) AS token_sequence_sha256 FROM o""")
+def loaded_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole condition from its files (settings, lists and specifications, each checked), run over all documents."""
+    condition, _ = conditions.load_condition(spark, _written_condition(spark, _sets(spark, sf_dir)))
+    out = condition.documents(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("body")), "doc_id"))
+    return out.select("doc_id", "lang", "removed", "changed", F.size("tokens").cast("long").alias("token_count"), tx.sequence_sha256(F.col("tokens")).alias("token_sequence_sha256"))
+
+
+@query(f"""WITH {oracle.FREQ}, p AS (SELECT lang, token, unnest(range(3, length(token))) AS n FROM freq), a AS (SELECT p.lang, p.token, max_by(f.token, p.n) AS expected FROM p JOIN freq f ON f.lang = p.lang AND f.token = substr(p.token, 1, p.n) GROUP BY ALL),
+       e AS (SELECT freq.lang, ({_STEM_RULED.replace('lang IN', 'freq.lang IN').replace('token', 'freq.token')}) = coalesce(expected, freq.token) AS correct FROM freq LEFT JOIN a ON a.lang = freq.lang AND a.token = freq.token)
+       SELECT coalesce(lang, 'all') AS language, count(*) AS items, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM e GROUP BY ROLLUP (lang)""")
+def attested_stem_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition's stems against annotations from the table: the longest beginning of a word, of three letters or more, that is a word of its language itself, else the word."""
+    tok = _sets(spark, sf_dir)
+    words = written(inc.document_frequency(tok).select("lang", "token"), "words")
+    begin = words.select("lang", "token", F.explode(F.when(F.length("token") > 3, F.sequence(F.lit(3), F.length("token") - 1)).otherwise(F.array().cast("array<int>"))).alias("n"))
+    begin = begin.withColumn("beginning", F.substring("token", F.lit(1), F.col("n"))).join(words.withColumnRenamed("token", "beginning"), ["lang", "beginning"], "left_semi")
+    longest = begin.groupBy("lang", "token").agg(F.max_by("beginning", "n").alias("e"))
+    annotations = words.join(longest, ["lang", "token"], "left").select(F.col("lang").alias("language"), "token", F.coalesce("e", "token").alias("expected_stem"))
+    condition, _ = conditions.load_condition(spark, _written_condition(spark, tok))
+    return condition.evaluate(annotations).select(F.coalesce("language", F.lit("all")).alias("language"), "items", "correct", F.round("accuracy", 6).alias("accuracy"))
+
+
 _GUARDED = ("s", "e")
 
 

@@ -91,3 +91,12 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archive.read_archive(spark, path, partition_bytes=1 << 20)
     name = F.split("entry", "[/.]")
     return back.select(name[1].cast("long").alias("doc_id"), name[0].alias("lang"), "size", F.sha2("content", 256).alias("text_sha256"), F.lit(not wrong).alias("whole"))
+
+
+@query("SELECT source AS source_id, count(*) AS documents, list_sort(list(DISTINCT lang)) AS languages, min(doc_id) AS first FROM documents WHERE source IS NOT NULL GROUP BY source")
+def manifest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as one manifest file, an entry each, read under its schema and held against repeated keys."""
+    d = table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("documents"), F.sort_array(F.collect_set("lang")).alias("languages"), F.min("doc_id").alias("first"))
+    path = f"{_folder(spark, 'manifest')}/sources"
+    d.agg(F.collect_list(F.struct("source_id", "documents", "languages", "first")).alias("sources")).coalesce(1).write.json(path)  # an entry a source
+    return files.read_manifest(spark, path, schema="source_id string, documents long, languages array<string>, first long")

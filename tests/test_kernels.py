@@ -285,6 +285,19 @@ def test_sign_flips_equal_enumeration(spark):
         stt.sign_flip(df.withColumn("c", F.lit("all")).withColumn("seed", F.monotonically_increasing_id()), ["c"], "seed", "d").collect()
 
 
+def test_numbers_in_time_however_crowded(spark):
+    import hashlib
+
+    rnd = random.Random(5)
+    times = ["2024-01-01T10:00:00Z"] * 150 + [f"2024-01-01T10:00:00.{rnd.randint(0, 3)}Z" for _ in range(100)] + [f"2024-01-0{rnd.randint(1, 3)}T10:{rnd.randint(10, 59)}:00Z" for _ in range(150)] + [None] * 60
+    rows = [(t, hashlib.sha256(str(i).encode()).hexdigest()) for i, t in enumerate(times)]
+    want = {k: n for n, (_, k) in enumerate(sorted(rows, key=lambda r: (r[0] or "", r[1])))}
+    df = spark.createDataFrame(rows, "at string, id string")
+    for crowd in (4, 50, 10_000):
+        got = {r.id: r.pos for r in numbering.numbered_in_time(df, "pos", "at", "id", crowd).collect()}
+        assert got == want, crowd
+
+
 def test_average_ranks_and_cuts_by_hash(spark):
     rnd = random.Random(1)
     rows = [(rnd.choice("ab"), rnd.choice([rnd.gauss(0, 100), 0.0, 1.5, -1.5, 1e-9, 3e300]), i) for i in range(600)] + [(None, 2.0, 1), ("a", None, 2)]
