@@ -4,7 +4,8 @@ Base: the places of three fixed phrases. Method: templates of licence notices ar
 inverse document frequency over the whole corpus, with positions, and by their mandatory key phrases. The licence words of each file are met
 with the postings; of those that a file shares with a template its few of highest frequency weight must agree, but for a tolerance
 (inserted words shift places), on one relative position of file and template, they must make up half of the template's weight, and the key
-phrases must stand at that position too (or anywhere, or nowhere, if marked so). Only files with some key phrase can be named, so only their words are met with the index.
+phrases must stand at that position too (or anywhere, nowhere, or as a line's beginning or end, if marked so): the mere name of a licence is none, it takes a grant or a
+heading, and of kindred licences the more specific one. Only files with some key phrase can be named, so only their words are met with the index.
 """
 
 from __future__ import annotations
@@ -19,53 +20,64 @@ from lexispark.llm.common import written
 # base phrases and their labels (fixed values)
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 _FREE = "free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version {} of the license or at your option any later version"
-# notices: label, key phrases (at the position of the notice; marked +: anywhere; marked -: nowhere), text (fixed values; words as the scanner sees them)
+_GRANT, _DENIED = "+licensed", "-not licensed"
+_CC = "licensed under a creative commons {} international license"
+_BINARY = "redistribution and use in source and binary forms"
+# notices: label, key phrases (at the position of the notice; marked +: anywhere; -: nowhere; ^: as a line's beginning, or its end but for a date), text (fixed values; words as the scanner sees them)
 TEMPLATES = [
-    ("mit", ["mit license"], "released under the mit license"),
+    ("mit", ["mit license", _DENIED], "released under the mit license"),
     ("mit", ["hereby granted free of charge"], "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", ["apache license", "version 2"], "licensed under the apache license version 2 0"),
-    ("gpl-3", ["gnu general public license", "version 3"], "this work is licensed under the gnu general public license version 3"),
-    ("gpl-2", ["gnu general public license", "version 2"], "this program is licensed under the gnu general public license version 2"),
-    ("lgpl-3", ["gnu lesser general public license", "version 3"], "this library is licensed under the gnu lesser general public license version 3"),
-    ("agpl-3", ["gnu affero general public license", "version 3"], "licensed under the gnu affero general public license version 3"),
-    ("mpl-2", ["mozilla public license", "2 0"], "subject to the terms of the mozilla public license v 2 0"),
-    ("bsd-3", ["redistribution and use in source and binary forms", "+neither the name"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met neither the name"),
+    ("mit", ["the mit license", "^the mit license", _DENIED], "the mit license mit copyright"),
+    ("apache-2", ["apache license", "version 2", _GRANT, _DENIED], "licensed under the apache license version 2 0"),
+    ("apache-2", ["apache license version 2 0", "^apache license version 2 0", _DENIED], "apache license version 2 0"),
+    ("apache-2", ["apache license version 2 0", _GRANT, _DENIED], "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-1.1", ["apache software license version 1 1"], "the apache software license version 1 1"),
+    ("gpl-3", ["gnu general public license", "version 3", _GRANT, _DENIED], "this work is licensed under the gnu general public license version 3"),
+    ("gpl-2", ["gnu general public license", "version 2", _GRANT, _DENIED], "this program is licensed under the gnu general public license version 2"),
+    ("lgpl-3", ["gnu lesser general public license", "version 3", _GRANT, _DENIED], "this library is licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", ["gnu affero general public license", "version 3", _GRANT, _DENIED], "licensed under the gnu affero general public license version 3"),
+    ("mpl-2", ["mozilla public license", "2 0", "+terms of the mozilla"], "subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", ["mozilla public license version 2 0", "^mozilla public license version 2 0", _DENIED], "mozilla public license version 2 0"),
+    ("mpl-2", ["mozilla public license v 2 0", "+terms of the mozilla"], "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", ["mozilla public license version 1 1"], "the contents of this file are subject to the mozilla public license version 1 1 the license"),
+    ("epl-2", ["eclipse public license", "2 0", "+terms of the eclipse"], "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("epl-2", ["eclipse public license", "2 0", "+terms of the eclipse"], "under the terms of the eclipse public license 2 0"),
+    ("epl-2", ["eclipse public license v 2 0", "^eclipse public license v 2 0", _DENIED], "eclipse public license v 2 0"),
+    ("bsl-1", ["boost software license", "version 1 0", "+distributed under the boost"], "distributed under the boost software license version 1 0"),
+    ("bsl-1", ["boost software license version 1 0", "^boost software license version 1 0", _DENIED], "boost software license version 1 0"),
+    ("zlib", ["provided as is without any express or implied warranty", "+altered source versions must be plainly marked"], "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("bsd-4", [_BINARY, "+all advertising materials mentioning features"], f"{_BINARY} with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3", [_BINARY, "+neither the name", "-all advertising materials mentioning features"], f"{_BINARY} with or without modification are permitted provided that the following conditions are met neither the name"),
+    ("bsd-2", [_BINARY, "-neither the name", "-all advertising materials mentioning features"], f"{_BINARY} with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice"),
     ("isc", ["use copy modify and or distribute this software"], "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc", ["cc by nc"], "licensed under cc by nc 4 0"),
-    ("cc-by-nc", ["creative commons attribution noncommercial"], "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", ["cc by sa"], "licensed under cc by sa 4 0"),
-    ("cc-by-sa", ["creative commons attribution sharealike"], "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", ["creative commons attribution 4 0"], "licensed under a creative commons attribution 4 0 international license"),
-    ("cc0", ["cc0 1 0"], "dedicated to the public domain under cc0 1 0 universal"),
+    ("cc-by-nc", ["cc by nc", "-cc by nc sa", "-cc by nc nd", _DENIED], "licensed under cc by nc 4 0"),
+    ("cc-by-nc-sa", ["cc by nc sa", _DENIED], "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd", ["cc by nc nd", _DENIED], "licensed under cc by nc nd 4 0"),
+    ("cc-by-sa", ["cc by sa", _DENIED], "licensed under cc by sa 4 0"),
+    ("cc-by-nd", ["cc by nd", _DENIED], "licensed under cc by nd 4 0"),
+    ("cc0", ["cc0 1 0", "+public domain"], "dedicated to the public domain under cc0 1 0 universal"),
+    ("cc0", ["cc0 1 0 universal", "^cc0 1 0 universal", _DENIED], "cc0 1 0 universal"),
     ("unlicense", ["free and unencumbered software"], "this is free and unencumbered software released into the public domain"),
     ("proprietary", ["all rights reserved"], "copyright all rights reserved no part may be reproduced without written permission"),
-    # standard notices, and the headings of licence texts
-    ("mit", ["the mit license"], "the mit license mit copyright"),
-    ("apache-2", ["apache license version 2 0"], "apache license version 2 0"),
-    ("apache-2", ["apache license version 2 0"], "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", ["gnu general public license version 3"], "gnu general public license version 3"),
-    ("gpl-2", ["gnu general public license version 2"], "gnu general public license version 2"),
-    ("gpl-3", ["gnu general public license", "version 3 of the license"], _FREE.format("general", "3")),
-    ("gpl-2", ["gnu general public license", "version 2 of the license"], _FREE.format("general", "2")),
-    ("lgpl-3", ["gnu lesser general public license version 3"], "gnu lesser general public license version 3"),
-    ("lgpl-2.1", ["gnu lesser general public license version 2 1"], "gnu lesser general public license version 2 1"),
-    ("lgpl-3", ["gnu lesser general public license", "version 3 of the license"], _FREE.format("lesser general", "3")),
-    ("lgpl-2.1", ["gnu lesser general public license", "version 2 1 of the license"], _FREE.format("lesser general", "2 1")),
-    ("agpl-3", ["gnu affero general public license version 3"], "gnu affero general public license version 3"),
-    ("agpl-3", ["gnu affero general public license", "version 3 of the license"], _FREE.format("affero general", "3")),
-    ("mpl-2", ["mozilla public license version 2 0"], "mozilla public license version 2 0"),
-    ("mpl-2", ["mozilla public license v 2 0"], "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("bsd-2", ["redistribution and use in source and binary forms", "-neither the name"], "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice"),
-    ("cc-by-nc", ["creative commons attribution noncommercial"], "creative commons attribution noncommercial 4 0 international"),
-    ("cc-by-sa", ["creative commons attribution sharealike"], "creative commons attribution sharealike 4 0 international"),
-    ("cc-by", ["creative commons attribution 4 0"], "creative commons attribution 4 0 international"),
-    ("cc0", ["cc0 1 0"], "cc0 1 0 universal"),
-]
-# grants under one of the GNU licences, whatever stands between its name and its version (fixed values)
-TEMPLATES += [
-    (label, [f"gnu {name} license", f"version {version}"], f"under the terms of the gnu {name} license version {version}")
-    for label, name, version in [("gpl-2", "general public", "2"), ("gpl-3", "general public", "3"), ("lgpl-2.1", "lesser general public", "2 1"), ("lgpl-3", "lesser general public", "3"), ("agpl-3", "affero general public", "3")]
+    ("proprietary", ["all rights reserved", "+copyright", f"-{_BINARY}", "-hereby granted", _GRANT.replace("+", "-")], "copyright all rights reserved"),
 ]
+# grants and headings of the GNU licences, whatever stands between name and version (fixed values)
+for _label, _name, _version in [("gpl-2", "general", "2"), ("gpl-3", "general", "3"), ("lgpl-2.1", "lesser general", "2 1"), ("lgpl-3", "lesser general", "3"), ("agpl-3", "affero general", "3")]:
+    _full = f"gnu {_name} public license"
+    TEMPLATES += [
+        (_label, [_full, f"version {_version} of the license"], _FREE.format(_name, _version)),
+        (_label, [_full, f"version {_version}", "+terms of the gnu", _DENIED], f"under the terms of the {_full} version {_version}"),
+        (_label, [f"{_full} version {_version}", f"^{_full} version {_version}", _DENIED], f"{_full} version {_version}"),
+    ]
+# licences of the commons by their names, with a grant or as a heading; where a longer name begins like a shorter one the longer one counts (fixed values)
+for _label, _name in [("cc-by-nc-sa", "attribution noncommercial sharealike 4 0"), ("cc-by-nc-nd", "attribution noncommercial noderivatives 4 0"), ("cc-by-nc", "attribution noncommercial 4 0"), ("cc-by-sa", "attribution sharealike 4 0"), ("cc-by-nd", "attribution noderivatives 4 0"), ("cc-by", "attribution 4 0"), ("cc-by-3", "attribution 3 0")]:
+    TEMPLATES += [
+        (_label, [f"creative commons {_name}", _GRANT, _DENIED], _CC.format(_name)),
+        (_label, [f"creative commons {_name}", f"^creative commons {_name}", _DENIED], f"creative commons {_name} international"),
+    ]
+# identifiers of the software package data exchange, as words (fixed values)
+for _label, _name in [("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-3", "gpl 3 0"), ("gpl-2", "gpl 2 0"), ("lgpl-3", "lgpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("isc", "isc"), ("epl-2", "epl 2 0"), ("bsl-1", "bsl 1 0"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("cc0", "cc0 1 0")]:
+    TEMPLATES.append((_label, [f"spdx license identifier {_name}"], f"spdx license identifier {_name}"))
 #: places by which words of one notice may be shifted against each other
 SHIFT = 16
 #: words of a template in the index, and of these the file's own that must agree; shares of weight that must agree and be there
@@ -123,7 +135,7 @@ def index(idf: dict[str, float]) -> tuple[list[tuple], list[tuple]]:
         postings += [(w, t, k, 1 << chosen.index(w)) for k, w in enumerate(words) if w in chosen]
         mask = 0
         for p in must:
-            at = _find(words, p.split()) if p[0] not in "+-" else -1
+            at = _find(words, p.split()) if p[0] not in "+-^" else -1
             if at >= 0:
                 bit = 1 << (INDEXED + bin(mask).count("1"))
                 mask |= bit
@@ -142,7 +154,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    padded = src.select("doc_id", _normal(F.col("text")).alias("padded"))
+    padded = src.select("doc_id", "text", _normal(F.col("text")).alias("padded"))
     words = F.split(F.substring("padded", 2, 2**31 - 1), " ", -1)  # the last one, after the closing blank, is empty
     x = padded.withColumn("n_words", F.when(F.col("padded") == "  ", F.lit(0).cast("long")).otherwise(_blanks(F.col("padded")) - 1))
     for i, phrase in enumerate(BASE):
@@ -155,9 +167,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lasts.append(F.col("n_words") - (_blanks(F.element_at(c, -1)) - 1) - len(phrase.split()))
         counts.append(F.coalesce(F.size(c) - 1, F.lit(0)).cast("long"))
         labels.append(F.when(c.isNotNull(), F.lit(label)))
-    phrases = sorted({p.lstrip("+-") for _, must, _ in TEMPLATES for p in must})
-    there = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.col("padded"), F.concat(F.lit(" "), p, F.lit(" "))))
+    listed = lambda marks: sorted({p.lstrip("+-^") for _, must, _ in TEMPLATES for p in must if (p[0] if p[0] in "+-^" else "") in marks})
+    there = F.filter(F.array(*[F.lit(p) for p in listed(["", "+", "-"])]), lambda p: F.contains(F.col("padded"), F.concat(F.lit(" "), p, F.lit(" "))))
+    keys = F.array(*[F.lit(p) for p in listed([""])])
+    apart = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"  # of a text in small letters
+    words_of = lambda p: f"{apart}+".join(p.split())
+    first = lambda p: f"(?m)^{apart}*{words_of(p)}(?={apart}|$)|(?<![a-z0-9]){words_of(p)}(?:, (?:[0-9]+ )?[a-z]+ [0-9]+)?[ \\t]*$"
+    heads = F.array_compact(F.array(*[F.when(F.array_contains("there", p) & F.lower("text").rlike(first(p)), F.lit(f"^{p}")) for p in listed(["^"])]))
     x = x.withColumn("there", there)
+    x = x.withColumn("there", F.when(F.arrays_overlap("there", keys), F.concat("there", heads)).otherwise(F.array().cast("array<string>"))).drop("text")
     postings, templates = index(weights(padded))
     rare = F.array(*[F.lit(w) for w in sorted({p[0] for p in postings if p[0][0] != " "})])
 
@@ -166,7 +184,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         placed = F.transform(t, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i")))
         own = F.filter(placed, lambda s: F.array_contains(rare, s["w"]))
         starts = lambda p: F.filter(placed, lambda s: (s["w"] == F.substring_index(p, " ", 1)) & (F.array_join(F.slice(t, s["i"].cast("int") + 1, F.size(F.split(p, " "))), " ") == p))
-        found = F.transform("there", lambda p: F.transform(starts(p), lambda s: F.struct(F.concat(F.lit(" "), p).alias("w"), s["i"].alias("i"))))
+        found = F.transform(F.filter("there", lambda p: F.array_contains(keys, p)), lambda p: F.transform(starts(p), lambda s: F.struct(F.concat(F.lit(" "), p).alias("w"), s["i"].alias("i"))))
         return F.concat(own, F.flatten(found))
 
     some = F.size("there") > 0

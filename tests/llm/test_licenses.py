@@ -91,3 +91,24 @@ def test_planted_notices(spark):
     hit = sum(len(got[i] & w) for i, w in want.items())
     assert hit >= 0.9 * sum(map(len, want.values())), [(rows[i][2][-160:], w, got[i]) for i, w in want.items() if w - got[i]][:5]
     assert hit >= 0.9 * sum(map(len, got.values())), [(rows[i][2][-160:], w, got[i]) for i, w in want.items() if got[i] - w][:5]
+
+
+def test_other_wordings_and_mere_mentions(spark):
+    bsd = "Copyright (c) 2020 Foo. All rights reserved.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice."
+    cases = [
+        (bsd + " 3. All advertising materials mentioning features or use of this software must display this. 4. Neither the name of Foo may be used.", "bsd-4"), (bsd + " 3. Neither the name of Foo may be used.", "bsd-3"), (bsd, "bsd-2"),
+        ("This work is licensed under CC BY-NC-SA 4.0.", "cc-by-nc,cc-by-nc-sa"), ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+        ("All photographs are licensed under a Creative Commons Attribution-NoDerivatives 4.0 licence", "cc-by-nd"), ("The figures are licensed under Creative Commons Attribution 3.0", "cc-by-3"),
+        ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: GPL-3.0-only", "gpl-3"), ("/* SPDX-License-Identifier: BSD-3-Clause */", "bsd-3"),
+        ("available under the terms of the Eclipse Public License 2.0 which is available at", "epl-2"), ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "bsl-1"),
+        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable. 2. Altered source versions must be plainly marked as such.", "zlib"),
+        ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")", "mpl-1.1"), ("Copyright 2024 Foo. All rights reserved.", "proprietary"),
+        ("Foo may be licensed and copied under the terms of the GNU Lesser General Public License, version 3", "lgpl-3"), ("  GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "agpl-3"),
+        # prose that grants nothing
+        ("We compared the GNU General Public License, version 3, with others; our code is not licensed under it.", ""), ("She wrote about the history of the GNU General Public License version 2 at length", ""),
+        ("The talk was on how the Mozilla Public License version 2.0 came about", ""), ("They prefer the Apache License, and version 2 of the program is due", ""), ("he spoke on Creative Commons Attribution 4.0 and what it means", ""),
+        ("The code is not licensed under the GNU General Public License version 3", ""), ("A boost to software and licence fees in version 1.0", ""), ("the right to copy is reserved", ""),
+    ]
+    rows = [(1, i, "some words before\n" + t + "\nand after", "r", 1) for i, (t, _) in enumerate(cases)] + [(1, 900 + i, "many other words " * 40, "r", 1) for i in range(30)]
+    got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: got[i] for i in range(len(cases))} == {i: label for i, (_, label) in enumerate(cases)}, [(t[:70], want, got[i]) for i, (t, want) in enumerate(cases) if got[i] != want]
