@@ -2,7 +2,7 @@
 
 Vectors become integers once and are kept in blocks: each block, made from the rows of one partition, holds its vectors in the order
 of a ball tree, and for each ball its range, its radius, its count and the integer sum of its vectors. A round takes all balls of a block
-level by level: a centroid is struck out for a ball if another one is nearer to every vector within it by the triangle inequality; a ball that
+level by level: a centroid is struck out for a ball if another one is nearer to every vector within it, by the triangle inequality or its sharper form for squared distances; a ball that
 has one centroid left is assigned whole, with its count and sum; the rest go down to the leaves, where exact integer distances to
 the centroids left decide. Each task adds up its blocks and sends k x d sums, as digits of a large base, so that sums are exact whatever the
 number of vectors; the driver sees those k x d figures and nothing else. A table's blocks are written once and read by every round.
@@ -96,6 +96,7 @@ class Block:
             leaves.append((0, len(self.x), np.ones(k, bool)))
         else:
             m = np.array(centroids, float)
+            apart = np.sqrt(np.maximum(0.0, ((m[:, None] - m[None]) ** 2).sum(axis=2)))
             level, open_ = np.array([0]), np.ones((1, k), bool)
             while len(level):
                 b = self.balls[level]
@@ -105,7 +106,10 @@ class Block:
                 far[~open_] = np.inf
                 # the farthest that a vector of the ball is from the nearest centroid, against the nearest it can be to another; a margin for rounding
                 near = far.min(axis=1)
-                open_ &= far - b["radius"][:, None] <= ((near + b["radius"]) * (1 + 1e-9) + 1e-3)[:, None]
+                keep = far - b["radius"][:, None] <= ((near + b["radius"]) * (1 + 1e-9) + 1e-3)[:, None]
+                # and the sharper one for two centroids: their squared distances differ over the ball by twice its radius times their own distance at most
+                keep &= far**2 - (near**2)[:, None] <= 2 * b["radius"][:, None] * apart[far.argmin(axis=1)] * (1 + 1e-9) + 1e-3
+                open_ &= keep
                 decided = open_.sum(axis=1) == 1
                 for i in np.flatnonzero(decided):
                     c = int(open_[i].argmax())
