@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.functions import web
-from lexispark.operators import policy
+from lexispark.operators import digests, policy
 from lexispark.operators import records as rec
 from lexispark.registry import query, table
-from lexispark.session import spread
+from lexispark.session import shared_dir, spread, temporary
 
 _SPLIT = "CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body"
 _URL = "'https://' || source || '.example.org/doc/' || doc_id"
@@ -208,3 +210,32 @@ def rebuild_and_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = d.where("not (doc_id % 97 = 0 and source < 'src2')")
     rebuilt = left.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("c")).groupBy("source").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     return policy.differences(stored, rebuilt)
+
+
+_LEAF = "sha256(n || ':' || a || ':' || b)"
+
+
+@query(f"""WITH r AS (SELECT sha256('{{"doc_id":' || doc_id || '}}') AS k, sha256('{{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}}') AS h FROM documents),
+    l AS (SELECT substr(k, 1, 2) AS node, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) AS b FROM r GROUP BY ALL),
+    t2 AS (SELECT 2 AS level, node, n, {_LEAF} AS digest FROM l),
+    t1 AS (SELECT 1 AS level, substr(node, 1, 1) AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM t2 GROUP BY substr(node, 1, 1)),
+    t0 AS (SELECT 0 AS level, '' AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM t1 HAVING count(*) > 0)
+    SELECT * FROM t2 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t0""")
+def digest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of digests of the documents' facts: 256 ranges of doc_id's digest, sixteen nodes, one root."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source")
+    return digests.digest_tree(d, ["doc_id"], 2)
+
+
+@query("""WITH a AS (SELECT doc_id, source, lang, n_chars FROM documents), b AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 401 = 7 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 509 <> 11)
+       SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def tree_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' facts, kept with their tree, and a rebuilt table in which some rows are changed and some lost: only ranges with such rows are read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    changed = F.when(F.col("doc_id") % 401 == 7, F.col("n_chars") + 1).otherwise(F.col("n_chars")).cast(d.schema["n_chars"].dataType)
+    rebuilt = d.where("doc_id % 509 <> 11").withColumn("n_chars", changed)
+    at = f"{shared_dir(spark)}/lexispark/trees-{uuid.uuid4().hex}"
+    for name, rows in (("stored", d), ("rebuilt", rebuilt)):
+        digests.write_with_tree(rows, f"{at}/{name}", ["doc_id"])
+    temporary(spark, at)
+    return digests.tree_differences(spark, f"{at}/stored", f"{at}/rebuilt", d.schema)[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.operators import incidence as inc
+from lexispark.operators import products
 from lexispark.operators import structure as sx
 from lexispark.plans import oracle
 from lexispark.registry import query, table
@@ -98,3 +99,45 @@ def primary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {oracle.keywords(K)}, l AS (SELECT lang, doc_id, doc_id || ':' || string_agg(rank, ',' ORDER BY rank) AS t, count(*) AS n FROM inc GROUP BY lang, doc_id), p AS (SELECT lang, doc_id // 65536 AS b, sha256(string_agg(t, chr(10) ORDER BY doc_id)) AS h, sum(n) AS n FROM l GROUP BY lang, doc_id // 65536) SELECT lang, CAST(sum(n) AS BIGINT) AS incidences, sha256(string_agg(h, chr(10) ORDER BY b)) AS sha256 FROM p GROUP BY lang")
 def incidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sx.incidence_digest(parts(spark, sf_dir)[2])
+
+
+#: keywords a language where products go by blocks
+MANY = 2000
+
+
+def _blocks(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return written(products.cooccurrence_blocks(parts(spark, sf_dir, k)[2]), "blocks")
+
+
+@query(f"""WITH {oracle.cooc(MANY)}, f AS (SELECT lang, i, n FROM cooc UNION ALL SELECT lang, j, n FROM cooc)
+    SELECT lang, i, count(*) AS partners, CAST(sum(n) AS BIGINT) AS together, max(n) AS most FROM f GROUP BY ALL""")
+def keyword_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of two thousand keywords a language that meets any other: how many it meets, how often, and the most with one."""
+    pairs = products.pairs_of_blocks(_blocks(spark, sf_dir, MANY))
+    both = pairs.select("lang", F.explode(F.array("i", "j")).alias("i"), "n")
+    return both.groupBy("lang", "i").agg(F.count(F.lit(1)).alias("partners"), F.sum("n").alias("together"), F.max("n").alias("most"))
+
+
+#: keywords a language where the SQL beside it can still join all profiles
+SOME = 400
+
+
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    cos = products.profile_cosine(written(products.profile_products(_blocks(spark, sf_dir, k)), "products"))
+    both = cos.select("lang", F.explode(F.array("i", "j")).alias("i"), "cosine")
+    return both.groupBy("lang", "i").agg(F.count(F.lit(1)).alias("related"), F.round(F.max("cosine"), 6).alias("nearest"), F.round(F.sum("cosine") / (k - 1), 6).alias("mean_cosine"))
+
+
+@query(f"""WITH {oracle.cooc(SOME)}, f AS (SELECT lang, i, j, n FROM cooc UNION ALL SELECT lang, j, i, n FROM cooc), m AS (SELECT lang, i, sqrt(sum(n * n)) AS norm FROM f GROUP BY ALL),
+    d AS (SELECT a.lang, a.i, b.i AS j, sum(a.n * b.n) AS dot FROM f a JOIN f b ON a.lang = b.lang AND a.j = b.j AND a.i < b.i GROUP BY ALL),
+    c AS (SELECT d.lang, d.i, d.j, dot / (mx.norm * my.norm) AS cosine FROM d JOIN m mx ON mx.lang = d.lang AND mx.i = d.i JOIN m my ON my.lang = d.lang AND my.i = d.j), b AS (SELECT lang, i, cosine FROM c UNION ALL SELECT lang, j, cosine FROM c)
+    SELECT lang, i, count(*) AS related, round(max(cosine), 6) AS nearest, round(sum(cosine) / {SOME - 1}, 6) AS mean_cosine FROM b GROUP BY ALL""")
+def nearest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of the top keywords: others whose profile of co-occurrence meets its own, the nearest one's cosine, and the mean over all others."""
+    return _nearest(spark, sf_dir, SOME)
+
+
+@query()
+def nearest_profiles_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nearest_profiles`` of two thousand keywords a language; the SQL's join of profiles does not fit its memory there. Tests hold the products against dense ones."""
+    return _nearest(spark, sf_dir, MANY)
