@@ -452,3 +452,12 @@ def test_screen_equals_all_pairs(spark):
     for threshold in (0.3, 0.6, 1.0):
         want = {(i, j) for i, s in a for j, t in b if len(set(s) & set(t)) / len(set(s) | set(t)) >= threshold}
         assert {(r.a, r.b) for r in dedup.cross_screen(*frames, threshold).collect()} == want
+
+
+def test_a_screen_sends_no_elements_of_the_larger_side(spark):
+    """However well they compress: only those of the smaller side travel whole."""
+    a, b = [(i, ["x", f"y{i % 3}"]) for i in range(4)], [(100 + i, ["x", f"y{i % 5}", "z"]) for i in range(300)]
+    got = dedup.cross_screen(*[spark.createDataFrame(r, "id long, s array<string>") for r in (a, b)], 0.5)
+    assert got.count() == sum(f"y{i % 3}" == f"y{j % 5}" for i in range(4) for j in range(300))
+    joins = [x for x in got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "Join" in x]
+    assert any("SortMergeJoin [b#" in x for x in joins) and not any("BroadcastHashJoin [b#" in x or "BroadcastHashJoin [a#" in x and "x#" in x for x in joins)
