@@ -461,3 +461,22 @@ def test_a_screen_sends_no_elements_of_the_larger_side(spark):
     assert got.count() == sum(f"y{i % 3}" == f"y{j % 5}" for i in range(4) for j in range(300))
     joins = [x for x in got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "Join" in x]
     assert any("SortMergeJoin [b#" in x for x in joins) and not any("BroadcastHashJoin [b#" in x or "BroadcastHashJoin [a#" in x and "x#" in x for x in joins)
+
+
+@pytest.mark.parametrize("often", [2, 8])
+def test_similar_pairs_equal_all_pairs_and_few_are_compared(spark, monkeypatch, often):
+    """Whatever is known of frequencies, no pair is lost; sets that share less than they might are dropped before they travel."""
+    monkeypatch.setattr(dedup, "OFTEN", often)
+    monkeypatch.setattr(dedup, "FREQUENT", 6)
+    seen = []
+    real = dedup.settled
+    monkeypatch.setattr(dedup, "settled", lambda df: seen.append(df.columns) or (seen.append(df.count()) if df.columns == ["a", "b"] else None) or real(df))
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["en", "fr", None]), sorted(rnd.sample("abcdefghijklmnopqrst", rnd.randint(1, 20)))) for i in range(90)]
+    df = spark.createDataFrame(rows, "pos long, lang string, s array<string>")
+    for threshold in (0.3, 0.6, 0.85, 1.0):
+        want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if x[1] and x[1] == y[1] and len(set(x[2]) & set(y[2])) / len(set(x[2]) | set(y[2])) >= threshold}
+        assert {(r.a, r.b) for r in dedup.similar_pairs(df, threshold).collect()} == want
+    # 90 sets have 4,005 pairs; of those of one language, few reach the last step at a high threshold
+    compared = [n for n in seen if isinstance(n, int)]
+    assert len(compared) == 4 and compared[2] < 150 and compared[3] < 60
