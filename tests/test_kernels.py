@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import stable_score
 from lexispark.operators import controls, dedup, interventions, matching, numbering, policy, recovery, structure
 from lexispark.operators import statistics as stt
 from lexispark.operators.auction import Region, auction_matching
@@ -480,3 +481,25 @@ def test_similar_pairs_equal_all_pairs_and_few_are_compared(spark, monkeypatch,
     # 90 sets have 4,005 pairs; of those of one language, few reach the last step at a high threshold
     compared = [n for n in seen if isinstance(n, int)]
     assert len(compared) == 4 and compared[2] < 150 and compared[3] < 60
+
+
+def test_ranges_are_matched_without_all_their_pairs(spark, monkeypatch):
+    """Bands of rising cost, the first pair and the ends, against all admissible pairs: with copies, and rows that have no partner."""
+    rnd = random.Random(12)
+    made = lambda n, o: [(o + i, float(rnd.randint(0, 4)), rnd.choice([100.0, 101.5, 103.0, 120.0, 0.0, 900.0 + o])) for i in range(n)]
+    a, b = [spark.createDataFrame(made(n, o), "id long, day double, size double") for n, o in ((60, 0), (50, 1000))]
+    tie = lambda x, y: stable_score(7, x, y)
+    every = matching.range_edges(a, b, 1.0, 1.05)
+    edges = {(r.left, r.right) for r in every.collect()}
+    want = {tuple(r) for r in matching.greedy_matching(every, [F.col("cost"), tie(F.col("left"), F.col("right"))]).select("left", "right", "o0").collect()}
+    seen = []
+    real = matching.greedy_matching
+    monkeypatch.setattr(matching, "greedy_matching", lambda e, *o: seen.append(e.count()) or real(e, *o))
+    assert {tuple(r) for r in matching.greedy_range_matching(a, b, 1.0, 1.05, tie).collect()} == want
+    assert sum(seen) < len(edges)
+    first = every.orderBy("cost", tie(F.col("left"), F.col("right"))).select("left", "right").first()
+    assert matching.cheapest_range_edge(a, b, 1.0, 1.05, tie).collect() == [first]
+    ends = matching.range_ends(a, b, 1.0, 1.05).collect()
+    assert {r.left for r in ends} - {None} == {x for x, _ in edges} and {r.right for r in ends} - {None} == {y for _, y in edges}
+    far = b.withColumn("day", F.lit(99.0))
+    assert not matching.cheapest_range_edge(a, far, 1.0, 1.05, tie).head(1) and not matching.range_ends(a, far, 1.0, 1.05).head(1)
