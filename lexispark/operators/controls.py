@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from lexispark.functions.text import stable_score
 from lexispark.operators.interventions import checked
 from lexispark.operators.matching import disjoint_pairs, optimal_matching
 from lexispark.operators.numbering import smallest
+from lexispark.operators.places import transport
+from lexispark.session import settled
 
 
 def auxiliary_terms(df: DataFrame, n: int) -> DataFrame:
@@ -79,14 +83,73 @@ def _first(edges: DataFrame, df: DataFrame, count: int, by: list[str]) -> DataFr
     return top.select(*by, "left", "right", F.col("o0").alias("score"))
 
 
-def length_matching(left: DataFrame, right: DataFrame, max_ratio: float) -> DataFrame:
+#: most places of the smaller side that one task matches: what searches hold grows with them, not with their pairs
+PLACES = 20_000
+
+
+def length_matching(left: DataFrame, right: DataFrame, max_ratio: float, most: int = PLACES) -> DataFrame:
     """Optimal matching of pairs by length in both languages: the most pairs whose larger log ratio is within bounds, the least distance.
 
-    Inputs: id, a, b (lengths in two languages). The log length of the first is cut into buckets of the bound, so three buckets meet.
+    Inputs: id, a, b (lengths in two languages). Lengths are whole numbers, so many rows share a place (a, b): places are matched with their numbers of rows, in runs of
+    first lengths that no pair can leave, and rows are dealt to what goes from place to place by their ids. A run of more than ``most`` places is matched row by row.
     """
     bound = math.log(max_ratio) + 1e-12
-    x = left.where("a > 0 and b > 0").select(F.col("id").alias("left"), F.ln("a").alias("la"), F.ln("b").alias("lb"), F.explode(F.array(*[F.floor(F.ln("a") / bound) + i for i in (-1, 0, 1)])).alias("k"))
-    y = right.where("a > 0 and b > 0").select(F.col("id").alias("right"), F.ln("a").alias("ra"), F.ln("b").alias("rb"), F.floor(F.ln("a") / bound).alias("k"))
+    own = lambda rows, side: rows.where("a > 0 and b > 0").select(F.lit(side).alias("side"), "id", "a", "b")
+    rows = settled(own(left, 0).unionByName(own(right, 1)))
+    lengths = rows.select("a").distinct()
+    gap = F.ln("a") - F.lag(F.ln("a")).over(Window.orderBy("a")) > bound
+    runs = lengths.withColumn("g", gap.cast("long")).select("a", F.coalesce(F.sum("g").over(Window.orderBy("a")), F.lit(0)).alias("run"))  # one row a length
+    places = settled(rows.groupBy("side", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(runs, "a").withColumns({"la": F.ln("a"), "lb": F.ln("b")}))
+    sizes = places.groupBy("run").agg(*[F.sum((F.col("side") == s).cast("long")).alias(f"n{s}") for s in (0, 1)])
+    vast = settled(sizes.where(F.least("n0", "n1") > most).select("run"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in "ab"}
+    schema = ", ".join(f"{end}_{c} {kinds[c]}" for end in ("left", "right") for c in "ab") + ", left_from long, right_from long, n long"
+    ways = settled(places.join(vast, "run", "left_anti").groupBy("run").applyInPandas(lambda pdf: _place_pairs(pdf, bound), schema))
+    unit = F.row_number().over(Window.partitionBy("side", "a", "b").orderBy("id")) - 1
+    seats = rows.withColumn("unit", unit.cast("long"))
+    dealt = ways.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    for s, end in enumerate(("left", "right")):
+        seat = seats.where(F.col("side") == s).select(F.col("id").alias(end), F.col("a").alias(f"{end}_a"), F.col("b").alias(f"{end}_b"), F.col("unit").alias(f"{end}_unit"))
+        dealt = dealt.withColumn(f"{end}_unit", F.col(f"{end}_from") + F.col("i")).join(seat, [f"{end}_a", f"{end}_b", f"{end}_unit"])
+    apart = lambda c: F.abs(F.ln(f"left_{c}") - F.ln(f"right_{c}"))
+    pairs = dealt.select("left", "right", (apart("a") + apart("b")).alias("cost"))
+    if not vast.head(1):
+        return pairs
+    far = [rows.where(F.col("side") == s).join(runs, "a").join(vast, "run", "left_semi") for s in (0, 1)]
+    return pairs.unionByName(_length_edges_matched(*far, bound))
+
+
+def _place_pairs(pdf: pd.DataFrame, bound: float) -> pd.DataFrame:
+    """Which places of a run are matched with which, and from which of their rows on."""
+    sides = [pdf[pdf["side"] == s].sort_values(["la", "lb"], ignore_index=True) for s in (0, 1)]
+    turned = sides[0]["n"].sum() > sides[1]["n"].sum()
+    x, y = reversed(sides) if turned else sides
+    (xa, xb), (ya, yb) = ([s[c].to_numpy(float) for c in ("la", "lb")] for s in (x, y))
+    first, last = np.searchsorted(ya, xa - bound), np.searchsorted(ya, xa + bound, "right")
+
+    def near(i: int) -> tuple[np.ndarray, np.ndarray]:
+        run = slice(first[i], last[i])
+        da, db = np.abs(ya[run] - xa[i]), np.abs(yb[run] - xb[i])
+        k = np.flatnonzero((da <= bound) & (db <= bound))
+        return k + first[i], (da + db)[k]
+
+    at = {place: j for j, place in enumerate(zip(y["a"], y["b"], strict=True))}
+    same = [(i, at[place]) for i, place in enumerate(zip(x["a"], x["b"], strict=True)) if place in at]
+    given, got = [0] * len(x), [0] * len(y)
+    out = []
+    for i, j, units in transport(x["n"].tolist(), y["n"].tolist(), near, 2 * bound, same):
+        ends = [(x["a"][i], x["b"][i], given[i]), (y["a"][j], y["b"][j], got[j])]
+        (la, lb, lf), (ra, rb, rf) = reversed(ends) if turned else ends
+        out.append((la, lb, ra, rb, lf, rf, units))
+        given[i] += units
+        got[j] += units
+    return pd.DataFrame(out, columns=["left_a", "left_b", "right_a", "right_b", "left_from", "right_from", "n"])
+
+
+def _length_edges_matched(left: DataFrame, right: DataFrame, bound: float) -> DataFrame:
+    """All pairs within bounds, matched. The log length of the first is cut into buckets of the bound, so three buckets meet."""
+    x = left.select(F.col("id").alias("left"), F.ln("a").alias("la"), F.ln("b").alias("lb"), F.explode(F.array(*[F.floor(F.ln("a") / bound) + i for i in (-1, 0, 1)])).alias("k"))
+    y = right.select(F.col("id").alias("right"), F.ln("a").alias("ra"), F.ln("b").alias("rb"), F.floor(F.ln("a") / bound).alias("k"))
     da, db = F.abs(F.col("la") - F.col("ra")), F.abs(F.col("lb") - F.col("rb"))
     edges = x.join(y, "k").where((da <= bound) & (db <= bound)).select("left", "right", (da + db).alias("cost"), F.col("la").alias("at"))
     return optimal_matching(edges, at="at")

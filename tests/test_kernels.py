@@ -10,6 +10,7 @@ from lexispark.functions.text import stable_score
 from lexispark.operators import controls, dedup, interventions, matching, numbering, policy, recovery, structure
 from lexispark.operators import statistics as stt
 from lexispark.operators.auction import Region, auction_matching
+from lexispark.operators.places import line_matching, transport
 
 
 def test_assignment_is_optimal():
@@ -174,6 +175,38 @@ def test_lengths_are_matched_best(spark):
     assert sorted(tuple(r) for r in matching.optimal_matching(edges, most=1).collect()) == [("x", 3, 0.25), ("z", 9, 1.0)]
 
 
+def test_rows_of_one_place_are_matched_as_one(spark):
+    rnd = random.Random(4)
+    sides = [[(o + i, rnd.choice([2, 3, 4, 40, 50]), rnd.randint(1, 4)) for i in range(k)] for o, k in ((0, 40), (100, 33))]
+    frames = [spark.createDataFrame(x, "id long, a long, b long") for x in sides]
+    gap = lambda x, y: [abs(math.log(x[k] / y[k])) for k in (1, 2)]
+    fits = {(x[0], y[0]): sum(gap(x, y)) for x in sides[0] for y in sides[1] if max(gap(x, y)) <= math.log(1.5) + 1e-12}
+    best = matching.sparse_matching(133, [[(y, c) for (x, y), c in fits.items() if x == i] for i in range(40)])
+    want = sum(j >= 0 for j in best), sum(fits[i, j] for i, j in enumerate(best) if j >= 0)
+    turned = [(b, a) for a, b in fits]
+    for most in (100, 0):
+        for flip in (False, True):
+            got = controls.length_matching(*(reversed(frames) if flip else frames), 1.5, most=most).collect()
+            assert all((r["left"], r["right"]) in (turned if flip else fits) for r in got)
+            assert len({r["left"] for r in got}) == len({r["right"] for r in got}) == len(got) == want[0]
+            assert sum(r["cost"] for r in got) == pytest.approx(want[1])
+
+
+def test_units_between_places_go_the_best_way():
+    rnd = random.Random(1)
+    for _ in range(200):
+        sides = [[(a, b, rnd.randint(1, 3)) for a, b in {(rnd.randint(1, 6), rnd.randint(1, 6)) for _ in range(rnd.randint(1, 5))}] for _ in range(2)]
+        bound = rnd.choice([0, 1, 2, 3])
+        gap = lambda x, y: (abs(x[0] - y[0]), abs(x[1] - y[1]))
+        fits = [[(j, float(sum(gap(x, y)))) for j, y in enumerate(sides[1]) if max(gap(x, y)) <= bound] for x in sides[0]]
+        near = lambda i: (np.array([j for j, _ in fits[i]], int), np.array([c for _, c in fits[i]], float))
+        got = transport([x[2] for x in sides[0]], [y[2] for y in sides[1]], near, 2.0 * bound, [(i, j) for i, e in enumerate(fits) for j, c in e if c == 0])
+        rows, cols = ([i for i, x in enumerate(s) for _ in range(x[2])] for s in sides)
+        best = matching.sparse_matching(len(cols), [[(k, dict(fits[i])[j]) for k, j in enumerate(cols) if j in dict(fits[i])] for i in rows])
+        want = sum(k >= 0 for k in best), sum(dict(fits[i])[cols[k]] for i, k in zip(rows, best, strict=True) if k >= 0)
+        assert (sum(k for *_, k in got), sum(k * dict(fits[i])[j] for i, j, k in got)) == want
+
+
 def region_value(edges, m, price, held, step, start):
     """A region whose nodes all come in at once, at given prices: what each right node and each single left node is paid."""
     region = Region([sorted(e) for e in edges], list(price), [-1] * m, list(held), step)
