@@ -207,6 +207,34 @@ def test_units_between_places_go_the_best_way():
         assert (sum(k for *_, k in got), sum(k * dict(fits[i])[j] for i, j, k in got)) == want
 
 
+def test_days_apart_are_matched_along_a_line(spark, monkeypatch):
+    rnd = random.Random(6)
+    # day 4.25 is near day 4, all others stand alone
+    sides = [[(o + i, rnd.choice([1.0, 2.0, 3.0, 4.0, 4.25]), rnd.choice([100.0, 102.0, 104.04, rnd.uniform(90, 120)])) for i in range(40)] for o in (0, 100)]
+    frames = [spark.createDataFrame(x, "id long, day double, size double") for x in sides]
+    edges = matching.range_edges(*frames, 0.5, 1.02).collect()
+    fits = {(r["left"], r["right"]): r["cost"] for r in edges}
+    best = matching.sparse_matching(140, [[(y, c) for (x, y), c in fits.items() if x == i] for i in range(40)])
+    made = []
+    whole = matching.range_edges
+    monkeypatch.setattr(matching, "range_edges", lambda a, b, *more: made.extend(r["day"] for r in a.collect()) or whole(a, b, *more))
+    got = matching.optimal_range_matching(*frames, 0.5, 1.02).collect()
+    assert set(made) <= {4.0, 4.25}
+    assert all(fits[r["left"], r["right"]] == r["cost"] for r in got)
+    assert len({r["left"] for r in got}) == len({r["right"] for r in got}) == len(got) == sum(j >= 0 for j in best)
+    assert sum(r["cost"] for r in got) == pytest.approx(sum(fits[i, j] for i, j in enumerate(best) if j >= 0), abs=1e-4)
+
+
+def test_a_line_is_matched_best():
+    rnd = random.Random(5)
+    for _ in range(300):
+        x, y = (np.sort(np.array([rnd.randint(0, 30) for _ in range(rnd.randint(1, 8))])) for _ in range(2))
+        bound = rnd.choice([0, 1, 3, 6])
+        got = line_matching(x, y, np.searchsorted(y, x - bound), np.searchsorted(y, x + bound, "right"), lambda i, run: np.abs(y[run] - x[i]))
+        best = matching.sparse_matching(len(y), [[(j, float(abs(u - v))) for j, v in enumerate(y) if abs(u - v) <= bound] for u in x])
+        assert (len(got), sum(abs(x[i] - y[j]) for i, j in got)) == (sum(j >= 0 for j in best), sum(abs(x[i] - y[j]) for i, j in enumerate(best) if j >= 0))
+
+
 def region_value(edges, m, price, held, step, start):
     """A region whose nodes all come in at once, at given prices: what each right node and each single left node is paid."""
     region = Region([sorted(e) for e in edges], list(price), [-1] * m, list(held), step)
