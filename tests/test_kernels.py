@@ -564,3 +564,18 @@ def test_ranges_are_matched_without_all_their_pairs(spark, monkeypatch):
     assert {r.left for r in ends} - {None} == {x for x, _ in edges} and {r.right for r in ends} - {None} == {y for _, y in edges}
     far = b.withColumn("day", F.lit(99.0))
     assert not matching.cheapest_range_edge(a, far, 1.0, 1.05, tie).head(1) and not matching.range_ends(a, far, 1.0, 1.05).head(1)
+
+
+def test_a_large_block_of_rows_is_dealt_over_the_cores(spark, tmp_path, monkeypatch):
+    from lexispark import session
+
+    monkeypatch.setattr(session, "SMALL_SHARE", 4096)
+    one, even = str(tmp_path / "one"), str(tmp_path / "even")
+    rows = spark.range(20000).withColumn("text", F.sha2(F.col("id").cast("string"), 256))
+    rows.coalesce(1).write.parquet(one)
+    rows.repartition(8).write.parquet(even)
+    share = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    dealt = session.spread(spark.read.parquet(one), "id")
+    assert max(share(dealt)) < 20000 / 2 and sum(share(dealt)) == 20000
+    # even parts are not shuffled
+    assert "Exchange" not in session.spread(spark.read.parquet(even), "id")._jdf.queryExecution().toString()
