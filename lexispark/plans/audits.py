@@ -27,7 +27,8 @@ _RETURNED = """ret AS (SELECT lang, CASE WHEN rank = 7 THEN token || 'x' ELSE to
 
 def _review(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A list of frequent words as issued, and as it came back with faults."""
-    kw = inc.top_keywords(inc.tokenised(table(spark, sf_dir, "documents")), 40)
+    # forty words a language, found once for all that is made of them
+    kw = written(inc.top_keywords(inc.tokenised(table(spark, sf_dir, "documents")), 40), "keywords")
     place = F.col("rank") % 4
     made = F.when(place == 0, "exclude").when(place == 1, "keep").when(place == 2, "pending").otherwise("maybe")
     back = kw.where("rank % 10 <> 9").select("lang", F.when(F.col("rank") == 7, F.concat("token", F.lit("x"))).otherwise(F.col("token")).alias("token"), made.alias("decision"))

@@ -579,3 +579,11 @@ def test_a_large_block_of_rows_is_dealt_over_the_cores(spark, tmp_path, monkeypa
     assert max(share(dealt)) < 20000 / 2 and sum(share(dealt)) == 20000
     # even parts are not shuffled
     assert "Exchange" not in session.spread(spark.read.parquet(even), "id")._jdf.queryExecution().toString()
+
+
+def test_a_review_reads_its_keywords_from_one_table(spark):
+    from lexispark.plans import audits
+
+    for side in audits._review(spark, "/root/testdata/sf0.001"):
+        plan = side._jdf.queryExecution().toString()
+        assert "documents.parquet" not in plan and "regexp_extract_all" not in plan
