@@ -1,14 +1,17 @@
 """Stemmers: suffix rules as generated column expressions, the repeated kinds and the English stemmer for vocabularies.
 
-Stemmers are applied to the distinct vocabulary and joined back, never to every token.
+What hangs on a word alone stems tokens where they lie; stemmers that look words up are applied to the distinct vocabulary and joined back.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,3 +260,39 @@ def english_stem(word: str) -> str:
 @F.pandas_udf(T.StringType())
 def english_stems(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else english_stem(w))
+
+
+@lru_cache(1 << 17)
+def _english_stem(word: str) -> str:
+    return english_stem(word)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def english_stem_arrays(tokens: pa.Array) -> pa.Array:
+    """Stems of the tokens of each array; a batch's distinct words are stemmed once. A null array stays null."""
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([None if w is None else _english_stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    sizes = [0 if n is None else n for n in tokens.value_lengths().to_pylist()]
+    offsets = [0]
+    for n in sizes:
+        offsets.append(offsets[-1] + n)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), stems, mask=tokens.is_null())
+
+
+@dataclass(frozen=True)
+class Stemmer:
+    """The stem of (word, known forms or null), and where it hangs on the word alone also those of a whole array of words."""
+
+    word: Callable[[Column, Column], Column]
+    arrays: Callable[[Column], Column] | None = None
+
+    def __call__(self, word: Column, known: Column) -> Column:
+        return self.word(word, known)
+
+
+def rule_stemmer(rules: list[Rule]) -> Stemmer:
+    return Stemmer(lambda word, known: suffix_stem(word, rules), lambda t: F.transform(t, lambda x: suffix_stem(x, rules)))
+
+
+def english_stemmer() -> Stemmer:
+    return Stemmer(lambda word, known: english_stems(word), english_stem_arrays)

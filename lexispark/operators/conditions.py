@@ -54,7 +54,7 @@ class Condition:
 
     tokeniser: dict
     stopwords: dict[str, set[str]] = field(default_factory=dict)
-    #: by language, the stems of (word, known forms or null)
+    #: by language, the stems of (word, known forms or null); of a ``stemming.Stemmer`` with ``arrays``, tokens are stemmed where they lie
     stemmers: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
     #: by language, the forms that must be known before a stemmer may use them
     candidates: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
@@ -74,6 +74,9 @@ class Condition:
         left = inc.remove_stopwords(tok, {k: sorted(v) for k, v in self.stopwords.items() if v})
         if not self.stemmers:
             return left.withColumn("changed", F.lit(0).cast("long"))
+        whole = {lang: getattr(stem, "arrays", None) for lang, stem in self.stemmers.items()}
+        if all(whole.values()) and not self.candidates:
+            return inc.stem_in_place(left, whole)
         left = written(left, "tokens")
         stems = self._stems(left.select("lang", F.explode("tokens").alias("token")).distinct(), lexicon)
         return inc.apply_stem_table(left, stems).join(left.select("doc_id", "removed"), "doc_id")
@@ -164,9 +167,8 @@ def load_condition(spark: SparkSession, path: str) -> tuple[Condition, dict | No
 
 def _stemmer(spec: dict) -> Callable[[Column, Column], Column]:
     if spec["algorithm"] == st.ALGORITHMS["en"]:
-        return lambda word, known: st.english_stems(word)
-    rules = st.rules_of(spec)
-    return lambda word, known: st.suffix_stem(word, rules)
+        return st.english_stemmer()
+    return st.rule_stemmer(st.rules_of(spec))
 
 
 def _execute(condition: Condition, files: _Files, spec: dict, policy: dict) -> dict | None:

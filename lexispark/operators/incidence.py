@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,19 @@ def apply_stem_table(tok: DataFrame, stems: DataFrame) -> DataFrame:
     return done.unionByName(empty)
 
 
+def stem_in_place(tok: DataFrame, stemmers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Tokens stemmed where they lie, by the stems of an array that each language has; no token moves: doc_id, lang, tokens, changed, removed. An empty stem is an error."""
+    stems = F.col("tokens")
+    for lang, stem in stemmers.items():
+        # a function of Python's would be given all rows, so those of other languages are null for it
+        own = F.col("lang") == lang
+        stems = F.when(own, stem(F.when(own, F.col("tokens")))).otherwise(stems)
+    done = tok.withColumn("stems", stems)
+    kept = F.when(F.array_contains("stems", ""), F.raise_error(F.lit("empty stem")).cast("array<string>")).otherwise(F.col("stems"))
+    changed = F.size(F.filter(F.zip_with("tokens", "stems", lambda a, b: a != b), lambda x: x)).cast("long")
+    return done.select("doc_id", "lang", kept.alias("tokens"), changed.alias("changed"), "removed")
+
+
 def stem_groups(vocabulary: DataFrame, stem: Column) -> DataFrame:
     """By language: types, stems, stems that merge several types, and the types in these."""
     per = vocabulary.select("lang", "token", stem.alias("stem")).groupBy("lang", "stem").agg(F.count(F.lit(1)).alias("k"))

@@ -587,3 +587,26 @@ def test_a_review_reads_its_keywords_from_one_table(spark):
     for side in audits._review(spark, "/root/testdata/sf0.001"):
         plan = side._jdf.queryExecution().toString()
         assert "documents.parquet" not in plan and "regexp_extract_all" not in plan
+
+
+def test_stems_of_a_word_alone_move_no_token(spark):
+    from lexispark.functions import stemming as st
+    from lexispark.operators import conditions
+    from lexispark.plans.corpus import RULES, TOKENISER
+
+    texts = [(1, "en", "the running horses jumped happily"), (2, "de", "die Freiheit machten Sachen"), (3, None, "horses things"), (4, "en", ""), (5, "en", None), (5, "en", "things being things"), (6, "fr", "le changement")]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, body string")
+    stemmers = {"en": st.english_stemmer(), "de": st.rule_stemmer(RULES)}
+    stop = {"en": {"the"}, "fr": {"le"}}
+    settings = TOKENISER | {"indexed_fields": ["body"]}
+    got = conditions.Condition(settings, stop, stemmers).documents(docs)
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    # the same stemmers by the table of the vocabulary, whose documents have one row each
+    by_table = conditions.Condition(settings, stop, {k: s.word for k, s in stemmers.items()})
+    want = by_table.documents(docs.where("doc_id <> 5"))
+    rows = lambda df: sorted(tuple(str(r[c]) for c in ("doc_id", "lang", "tokens", "removed", "changed")) for r in df.collect())
+    assert got.columns == want.columns and rows(got.where("doc_id <> 5")) == rows(want)
+    assert [r["tokens"] for r in got.where("doc_id = 5").orderBy(F.size("tokens")).collect()] == [[], [st.english_stem(w) for w in ("things", "being", "things")]]
+    with pytest.raises(Exception, match="empty stem"):
+        conditions.Condition(settings, {}, {"en": st.rule_stemmer([st.Rule("things", "", 1)]), "de": st.Stemmer(None, lambda t: F.transform(t, lambda x: F.lit("")))}).documents(docs).collect()
