@@ -577,6 +577,7 @@ def test_a_large_block_of_rows_is_dealt_over_the_cores(spark, tmp_path, monkeypa
     share = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     dealt = session.spread(spark.read.parquet(one), "id")
     assert max(share(dealt)) < 20000 / 2 and sum(share(dealt)) == 20000
+    assert session.spread(spark.createDataFrame([(1,), (2,)], "id long"), "id").rdd.getNumPartitions() <= 16
     # even parts are not shuffled
     assert "Exchange" not in session.spread(spark.read.parquet(even), "id")._jdf.queryExecution().toString()
 
