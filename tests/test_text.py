@@ -128,3 +128,16 @@ def test_local_seed(spark):
     import hashlib
 
     assert one(spark, tx.local_seed(F.col("t")), t="1:m:2:3") == int.from_bytes(hashlib.sha256(b"1:m:2:3").digest()[:4], "little")
+
+
+def test_extent_of_texts_sums_what_a_table_function_makes_before_it_is_sorted(spark):
+    from lexispark.functions import udtf
+    from lexispark.plans.corpus import shingle_table
+
+    rows = [(1, "b"), (1, "é"), (2, None), (2, "z"), (3, None), (None, "q"), (1, "a"), (None, "Q")]
+    got = {tuple(r) for r in udtf.text_extent(spark.createDataFrame(rows, "k long, t string").repartition(3), "k", "t").collect()}
+    assert got == {(1, 3, "a", "é"), (2, 2, "z", "z"), (3, 1, None, None), (None, 2, "Q", "q")}
+    plan = shingle_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial")[0].splitlines()
+    at = next(i for i, line in enumerate(plan) if "EvalPythonUDTF" in line)
+    summed = max(i for i, line in enumerate(plan[:at]) if "MapInArrow" in line)
+    assert not any("Sort" in line for line in plan[summed:at])
