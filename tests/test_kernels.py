@@ -611,3 +611,36 @@ def test_stems_of_a_word_alone_move_no_token(spark):
     assert [r["tokens"] for r in got.where("doc_id = 5").orderBy(F.size("tokens")).collect()] == [[], [st.english_stem(w) for w in ("things", "being", "things")]]
     with pytest.raises(Exception, match="empty stem"):
         conditions.Condition(settings, {}, {"en": st.rule_stemmer([st.Rule("things", "", 1)]), "de": st.Stemmer(None, lambda t: F.transform(t, lambda x: F.lit("")))}).documents(docs).collect()
+
+
+def test_pairs_of_orders_lie_so_that_copies_take_little(spark, tmp_path):
+    rng = random.Random(4)
+    places = [(float(rng.randrange(12)), round(rng.uniform(90, 110), 2)) for _ in range(120)]
+    sides = []
+    for side in (0, 1):
+        rows = [(1000 * rng.randrange(10**9) + i, *place) for place in places[side::2] for i in range(30)]
+        rng.shuffle(rows)
+        sides.append(rows)
+    made = matching.range_edges(*[spark.createDataFrame(s, "id long, day double, size double") for s in sides], 1.0, 1.05)
+    made.write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    near = [(a, b) for a, *p in sides[0] for b, *q in sides[1] if abs(p[0] - q[0]) <= 1 and max(p[1], q[1]) / min(p[1], q[1]) <= 1.05]
+    assert sorted((r["left"], r["right"]) for r in got.select("left", "right").collect()) == sorted(near)
+    taken = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert taken < len(near)  # under a byte a pair
+
+
+def test_pairs_at_the_bounds_are_in_cells_that_meet(spark):
+    sizes = [1.05**i for i in range(12)] + [100.0, 105.0, 110.25, 0.0]
+    rows = [(i, d, s) for i, (d, s) in enumerate(itertools.product((0.0, 1.0, 2.0, 2.5), sizes))]
+    frame = spark.createDataFrame(rows, "id long, day double, size double")
+    for days, most in ((1.0, 1.05), (0.0, 1.05), (1.0, 1.0), (0.5, 1.5)):
+        got = sorted((r["left"], r["right"]) for r in matching.range_edges(frame, frame, days, most).collect())
+        assert got == sorted((a, b) for a, x, s in rows for b, y, t in rows if s and t and abs(x - y) <= days and max(s, t) / min(s, t) <= most)
+
+
+def test_rounding_by_whole_millionths_is_that_by_decimals(spark):
+    rng = random.Random(8)
+    values = [rng.uniform(0, 2) for _ in range(3000)] + [round(rng.uniform(0, 2), 7) for _ in range(3000)] + [(n + 0.5) / 1e6 for n in range(2000)] + [n / 2**21 for n in range(3000)] + [0.0, 1e5, 1e12 + 0.3, 1 / 3e7]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    assert frame.where(~matching._rounded(F.col("x")).eqNullSafe(F.bround("x", 6))).count() == 0
