@@ -68,6 +68,41 @@ def top_keywords(tok: DataFrame, k: int, support: Column | None = None, auxiliar
     return df.withColumn("rank", rank).where(F.col("rank") <= k).select("lang", (F.col("rank") - 1).cast("long").alias("rank"), "token", "df")
 
 
+def stem_contenders(words: DataFrame, k: int) -> DataFrame:
+    """lang, token: words whose stems may be among a language's k with the highest df, with all words of these stems. ``words``: lang, token, df, stem.
+
+    A stem is in as many documents as its most frequent word at least, and as all its words together at most. So only stems that may reach the k-th such bound from below need be
+    counted in the documents; of stems of a single word, whose df is known, the first k.
+    """
+    stems = written(words.groupBy("lang", "stem").agg(F.max("df").alias("least"), F.sum("df").alias("most"), F.count(F.lit(1)).alias("n")), "stems")
+    by = Window.partitionBy("lang").orderBy(F.desc("least"), "stem")
+    first = stems.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+    floor = first.groupBy(F.col("lang").alias("__l")).agg(F.min(F.when(F.col("place") == k, F.col("least"))).alias("floor"))
+    one = stems.where("n = 1").withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).select("lang", "stem")
+    more = stems.where("n > 1").join(F.broadcast(floor), F.col("lang").eqNullSafe(F.col("__l"))).where(F.col("most") >= F.coalesce("floor", F.lit(0))).select("lang", "stem")  # a row a language
+    wanted = one.unionByName(more).select(F.col("lang").alias("__l"), F.col("stem").alias("__s"))
+    return words.join(wanted, F.col("lang").eqNullSafe(F.col("__l")) & (F.col("stem") == F.col("__s")), "left_semi").select("lang", "token")
+
+
+#: words of a language that are looked up in each document's own array
+FEW = 4096
+
+
+def restricted(tok: DataFrame, words: DataFrame) -> DataFrame:
+    """The documents with only those tokens that are among ``words`` (lang, token; distinct), written: doc_id, lang, tokens. ``tok``: distinct tokens."""
+    lists = written(words.groupBy(F.col("lang").alias("__l")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if (lists.agg(F.max("n")).first()[0] or 0) <= FEW:
+        few = words.groupBy(F.col("lang").alias("__l")).agg(F.collect_list("token").alias("__t"))
+        met = tok.join(F.broadcast(few), F.col("lang").eqNullSafe(F.col("__l")), "left")  # a bounded row a language
+        kept = F.coalesce(F.array_intersect("tokens", "__t"), F.array().cast("array<string>"))
+        return written(met.select("doc_id", "lang", kept.alias("tokens")), "restricted")
+    numbered_rows = written(tok.withColumn("__i", F.monotonically_increasing_id()), "rows")
+    many = words.select(F.col("lang").alias("__l"), F.col("token").alias("__t"))
+    flat = numbered_rows.select("__i", "lang", F.explode("tokens").alias("token"))
+    met = flat.join(many, F.col("lang").eqNullSafe(F.col("__l")) & (F.col("token") == F.col("__t")), "left_semi").groupBy("__i").agg(F.collect_list("token").alias("__k"))
+    return written(numbered_rows.join(met, "__i", "left").select("doc_id", "lang", F.coalesce("__k", F.array().cast("array<string>")).alias("tokens")), "restricted")
+
+
 def incidence(tok: DataFrame, keywords: DataFrame) -> DataFrame:
     """lang, doc_id, rank: one row for each document and keyword that it holds."""
     few = keywords.select(F.col("lang").alias("__l"), F.col("token").alias("__t"), "rank")

@@ -87,18 +87,29 @@ _LESS = lambda a, b: ", ".join(f"round({a}.{n} - {b}.{n}, 6) AS {n}" for n in ME
 def condition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, condition and the nine metrics, under plain tokens, without stopwords, and stemmed. One pass measures all: each condition of a language is a group."""
     docs = table(spark, sf_dir, "documents")
-    tok = inc.token_sets(docs)
+    every_token = inc.token_sets(docs)
+    df = every_token.select("lang", F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))  # they are distinct
+    words = written(df.withColumn("stem", st.suffix_stem(F.col("token"), RULES)), "words")
+    stop = F.lit(False)
+    for lang, listed in STOP.items():
+        stop |= (F.col("lang") == lang) & F.col("token").isin(*listed)
+    plain = words.where(~F.coalesce(stop, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token"))
+    first = lambda t: t.withColumn("rank", rank).where("rank <= 40")
+    # only words that can be keywords of a condition are carried on
+    leading = written(first(words).select("lang", "token").unionByName(first(plain).select("lang", "token")).unionByName(inc.stem_contenders(words, 40)).distinct(), "leading")
+    tok = inc.restricted(every_token, leading)
+    available = {"token": words.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "stopword": plain.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "stemming": words.groupBy("lang").agg(F.countDistinct("stem").alias("n"))}
     stem = F.array_distinct(F.transform("tokens", lambda t: st.suffix_stem(t, RULES)))
     made = {"token": tok, "stopword": inc.remove_stopwords(tok, STOP), "stemming": tok.withColumn("tokens", stem)}
-    every = None
+    every = count = None
     for name, t in made.items():
-        one = t.select("doc_id", F.concat("lang", F.lit(f":{name}")).alias("lang"), "tokens")
-        every = one if every is None else every.unionByName(one)
+        label = F.concat("lang", F.lit(f":{name}")).alias("lang")
+        one, n = t.select("doc_id", label, "tokens"), available[name].select(label, F.col("n").alias("available_count"))
+        every, count = (one, n) if every is None else (every.unionByName(one), count.unionByName(n))
     every = written(every, "conditions")
-    df = written(inc.document_frequency(every), "frequencies")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "token"))
-    kw = written(df.withColumn("rank", rank).where("rank <= 40").select("lang", (F.col("rank") - 1).cast("long").alias("rank"), "token", "df"), "keywords")
-    f = sx.features(every.select("doc_id", "lang"), kw, inc.incidence(every, kw)).join(df.groupBy("lang").agg(F.count(F.lit(1)).alias("available_count")), "lang")
+    kw = written(first(inc.document_frequency(every)).select("lang", (F.col("rank") - 1).cast("long").alias("rank"), "token", "df"), "keywords")
+    f = sx.features(every.select("doc_id", "lang"), kw, inc.incidence(every, kw)).join(count, "lang")
     return written(f.select(F.split_part("lang", F.lit(":"), F.lit(1)).alias("lang"), F.split_part("lang", F.lit(":"), F.lit(2)).alias("condition"), *METRICS), "metrics")
 
 
