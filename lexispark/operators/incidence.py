@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,37 @@ def incidence(tok: DataFrame, keywords: DataFrame) -> DataFrame:
     return occurrences(tok).join(F.broadcast(few), F.col("lang").eqNullSafe(F.col("__l")) & (F.col("token") == F.col("__t"))).select("lang", "doc_id", "rank")  # K rows a language
 
 
+def keyword_lists(tok: DataFrame, keywords: DataFrame) -> DataFrame:
+    """lang, doc_id, r: sorted distinct keywords of each document that holds any, found where its tokens lie; only these short lists are grouped. Rows without doc_id take no part.
+
+    ``keywords`` (lang, rank, token) is K rows a language, K bounded by configuration.
+    """
+    rows = keywords.groupBy("lang").agg(F.collect_list("token").alias("t"), F.collect_list("rank").alias("r")).collect()
+    given = {row["lang"]: (pa.array(row["t"], pa.string()), np.array(row["r"], dtype=np.int64)) for row in rows}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, listed = batch.column("lang"), batch.column("tokens")
+            for own in pc.unique(lang):
+                mine = pc.is_null(lang) if not own.is_valid else pc.fill_null(pc.equal(lang, own), False)
+                if own.as_py() not in given:
+                    continue
+                words, ranks = given[own.as_py()]
+                lists, ids = listed.filter(mine), batch.column("doc_id").filter(mine)
+                at, doc = pc.index_in(lists.flatten(), words), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+                hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                rank, doc = ranks[at.filter(pc.is_valid(at)).to_numpy(zero_copy_only=False)], doc[hit]
+                order = np.lexsort((rank, doc))
+                held, begin = np.unique(doc[order], return_index=True)
+                offsets = pa.array(np.r_[begin, len(doc)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([own.as_py()] * len(held), pa.string()), ids.take(pa.array(held)), pa.ListArray.from_arrays(offsets, pa.array(rank[order]))], ["lang", "doc_id", "r"])
+
+    kind = tok.schema["doc_id"].dataType.simpleString()
+    found = tok.where("doc_id is not null").select("lang", "doc_id", "tokens").mapInArrow(find, f"lang string, doc_id {kind}, r array<long>")
+    lists = F.collect_list("r")
+    return found.groupBy("lang", "doc_id").agg(lists.alias("l")).select("lang", "doc_id", F.when(F.size("l") == 1, F.col("l")[0]).otherwise(F.array_sort(F.array_distinct(F.flatten("l")))).alias("r"))
+
+
 def export_documents(tok: DataFrame, keywords: DataFrame) -> DataFrame:
     """Sorted keyword numbers of each document; documents without any keep an empty list."""
     lists = incidence(tok, keywords).groupBy("doc_id").agg(F.sort_array(F.collect_list("rank")).alias("keywords"))

@@ -19,6 +19,8 @@ SIDE = 256
 PAIRS = 1 << 22
 #: bytes of blocks that a task adds up before it sends them
 HELD = 128 << 20
+#: cells of a product of zeros and ones that cost about as much as one pair of keywords
+DENSE = 400
 #: first sums of a block; each takes the parts of its share of the tasks, so that no task takes those of all
 FAN = 64
 
@@ -92,6 +94,31 @@ def cooccurrence_blocks(inc: DataFrame, side: int = SIDE) -> DataFrame:
     Repeated rows count once; a null language is a language; rows without doc_id or rank take no part. An empty incidence has no blocks.
     """
     sets = inc.where("doc_id is not null and rank is not null").groupBy("lang", "doc_id").agg(F.sort_array(F.collect_set(F.col("rank").cast("long"))).alias("r"))  # K a document
+    return blocks_of_lists(sets, side)
+
+
+def _dense(lists: list[np.ndarray], side: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """bi, bj and the counts of that block, by products of the documents' rows of zeros and ones; whole numbers below 2^24 are exact in single precision."""
+    size = np.array([len(x) for x in lists], dtype=np.int64)
+    flat = np.concatenate(lists)
+    blocks = int(flat.max()) // side + 1
+    held = np.zeros((len(lists), blocks * side), dtype=np.float32)
+    held[np.repeat(np.arange(len(lists)), size), flat] = 1
+    for bi in range(blocks):
+        left = held[:, bi * side : (bi + 1) * side].T
+        for bj in range(bi, blocks):
+            n = left @ held[:, bj * side : (bj + 1) * side]
+            if bi == bj:
+                n = np.triu(n, 1)
+            if n.any():
+                yield bi, bj, n.ravel().astype(np.int64)
+
+
+def blocks_of_lists(sets: DataFrame, side: int = SIDE) -> DataFrame:
+    """``cooccurrence_blocks`` of documents with their sorted distinct keywords: lang, r (array<long>), a row a document.
+
+    Documents that hold many of the keywords are multiplied as rows of zeros and ones, which costs the square of the keywords each; others pair by pair.
+    """
     # a batch of documents is small next to the blocks, however many keywords each of them holds
     lists = sets.where(F.size("r") > 1).select("lang", "r", (F.spark_partition_id() % FAN).alias("part"))
 
@@ -104,9 +131,14 @@ def cooccurrence_blocks(inc: DataFrame, side: int = SIDE) -> DataFrame:
                 own = own.tolist()
                 size = np.array([len(x) for x in own], dtype=np.int64)
                 for run in _runs(size * (size - 1) // 2, PAIRS):
-                    for bi, bj, cells in _cells(*document_pairs(own[run]), side):
+                    docs, most = own[run], max(int(x[-1]) for x in own[run]) + 1
+                    if (size[run] * (size[run] - 1) // 2).sum() * DENSE > len(docs) * most * most:
+                        made = _dense(docs, side)
+                    else:
+                        made = ((bi, bj, np.bincount(cells, minlength=side * side)) for bi, bj, cells in _cells(*document_pairs(docs), side))
+                    for bi, bj, n in made:
                         block = held.setdefault((lang, bi, bj), np.zeros(side * side, dtype=np.int64))
-                        block += np.bincount(cells, minlength=side * side)
+                        block += n
                     if len(held) * side * side * 8 > HELD:
                         yield _rows(held, part)
                         held = {}

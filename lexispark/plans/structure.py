@@ -106,7 +106,8 @@ MANY = 2000
 
 
 def _blocks(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return written(products.cooccurrence_blocks(parts(spark, sf_dir, k)[2]), "blocks")
+    tok = inc.token_sets(table(spark, sf_dir, "documents"))
+    return written(products.blocks_of_lists(inc.keyword_lists(tok, inc.top_keywords(tok, k))), "blocks")
 
 
 @query(f"""WITH {oracle.cooc(MANY)}, f AS (SELECT lang, i, n FROM cooc UNION ALL SELECT lang, j, n FROM cooc)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexispark.operators import products, structure
+from lexispark.operators import incidence, products, structure
 from lexispark.session import written
 
 
@@ -73,3 +73,24 @@ def test_pairs_of_lists():
     assert list(zip(i.tolist(), j.tolist())) == [(2, 5), (2, 9), (5, 9), (0, 1)]
     assert [len(x) for x in products.document_pairs([])] == [0, 0]
     assert [s.stop - s.start for s in products._runs(np.array([1, 2, 9, 1, 1, 3]), 4)] == [2, 1, 2, 1]
+
+
+def test_documents_of_many_keywords_are_multiplied_as_rows():
+    rnd = np.random.default_rng(5)
+    lists = [np.flatnonzero(rnd.random(40) < share) for share in (0.9, 0.5, 0.1, 1.0, 0.02) for _ in range(30)]
+    lists = [x for x in lists if len(x) > 1]
+    by_pairs = {(bi, bj): np.bincount(cells, minlength=256) for bi, bj, cells in products._cells(*products.document_pairs(lists), 16)}
+    by_rows = {(bi, bj): n for bi, bj, n in products._dense(lists, 16)}
+    assert by_pairs.keys() == by_rows.keys() and all((by_pairs[k] == by_rows[k]).all() for k in by_pairs)
+
+
+def test_keyword_lists_are_the_grouped_incidence(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(30)] + ["é", "Z"]
+    rows = [(None if i % 41 == 0 else i // (1 + (i % 17 == 0)), rnd.choice(["en", "fr", "xx", None]), None if i % 53 == 0 else rnd.sample(words, rnd.randrange(9))) for i in range(300)]
+    tok = spark.createDataFrame(rows, "doc_id long, lang string, tokens array<string>").repartition(5)
+    kw = incidence.top_keywords(tok.where("lang is null or lang <> 'xx'"), 12)
+    sets = incidence.incidence(tok, kw).where("doc_id is not null").groupBy("lang", "doc_id").agg(F.sort_array(F.collect_set("rank")).alias("r"))
+    got = incidence.keyword_lists(tok, kw)
+    assert sorted(map(str, got.collect())) == sorted(map(str, sets.collect())) and got.count() > 100
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each keyword of a document
