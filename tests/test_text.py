@@ -117,6 +117,13 @@ def test_two_kinds_of_pages():
         parse_article(page, "none")
 
 
+def test_references_cut_of_their_semicolon_are_read_as_the_reference_parser_reads_them():
+    ends = {"&amp": "&", "&amp;&amp": "&&", "&quot": '"', "&lt": "<", "&am": "&am", "&": "&", "&amp;amp": "&amp"}
+    for cut, read in ends.items():
+        got = parse_article(f"<article><h1>Ores{cut}</h1><p>Fish{cut}</p></article>")
+        assert (got["title"], got["body"]) == (f"Ores{read}", f"Fish{read}")
+
+
 def test_listings():
     html = '<div class="wide press-release-list"><p>x<br><a href="/post/2/?x=1#y">b</a></p><a href="HTTPS://Other.ORG/post/1">a</a><a href="/page/4">d</a></div><a href="/post/3">c</a>'
     assert listing_links(html, "https://ex.org/") == ["https://ex.org/post/2", "https://other.org/post/1"]
