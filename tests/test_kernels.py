@@ -1,11 +1,14 @@
 import itertools
 import math
+import pathlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexispark.functions import text
 from lexispark.functions.text import stable_score
 from lexispark.operators import controls, dedup, interventions, matching, numbering, policy, recovery, structure
 from lexispark.operators import statistics as stt
@@ -544,6 +547,46 @@ def test_similar_pairs_equal_all_pairs_and_few_are_compared(spark, monkeypatch,
     assert len(compared) == 4 and compared[2] < 150 and compared[3] < 60
 
 
+def _texts(rnd, n):
+    """Documents as words, near copies and copies among them, some of one word, two or none."""
+    out = [("en", " ".join(rnd.choice("abcdefg") * rnd.randint(1, 3) for _ in range(rnd.choice([0, 1, 2, 3, 30, 60])))) for _ in range(n)]
+    for lang, text in out[: n // 2]:
+        t = text.split(" ")
+        t[rnd.randrange(len(t))] = rnd.choice(["z", t[0] or "z"])
+        out.append((rnd.choice([lang, "fr"]), " ".join(t)))
+    return [(i, lang, text) for i, (lang, text) in enumerate(out)]
+
+
+def test_sets_given_as_words_part_by_part(spark, monkeypatch):
+    """The same pairs and annotations as of shingles, when pairs are compared a few at a time and few keys may travel."""
+    monkeypatch.setattr(dedup, "COMPARED", 6)
+    monkeypatch.setattr(dedup, "COUNTED", 50)
+    for few in (1_000_000, 30, 5):  # keys travel, the other keys do, neither
+        monkeypatch.setattr(dedup, "FEW_KEYS", few)
+        df = spark.createDataFrame(_texts(random.Random(few), 60), "pos long, lang string, w string")
+        s = df.withColumn("s", text.word_shingles(F.lit(""), F.col("w"))).drop("w").collect()
+        assert [sorted(r.s) for r in df.select("pos", text.shingles_of(F.col("w")).alias("s")).orderBy("pos").collect()] == [sorted(r.s) for r in sorted(s)]
+        want = {(x.pos, y.pos) for x, y in itertools.combinations(s, 2) if x.lang == y.lang and x.s and y.s and len(set(x.s) & set(y.s)) / len(set(x.s) | set(y.s)) >= 0.6}
+        assert len(want) > 10 and {(r.a, r.b) for r in dedup.similar_pairs(df.where("w <> ''"), 0.6).collect()} == want
+        named = df.select("pos", F.concat(F.lit("r"), "pos").alias("record_id"), "lang", F.sha2("w", 256).alias("hash"), "w")
+        for threshold in (0.0, 0.6) if few == 30 else ():
+            got, shingled = (sorted(map(tuple, dedup.deduplicate(d, threshold).collect())) for d in (named, named.withColumn("s", text.shingles_of(F.col("w"))).drop("w")))
+            assert got == shingled and len(got) == 90
+
+
+def test_similar_pairs_leave_no_sets_on_disk(spark):
+    """What one step shuffles is gone before the next: all that stays are counts of rows."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    kept = lambda: {f: f.stat().st_size for d in dirs for f in pathlib.Path(d).rglob("shuffle_*.data")}
+    df = spark.createDataFrame(_texts(random.Random(3), 200), "pos long, lang string, w string").where("w <> ''")
+    df = df.withColumn("s", text.word_shingles(F.lit(""), F.col("w"))).drop("w")
+    before = kept()
+    assert dedup.similar_pairs(df, 0.6).count() > 50
+    time.sleep(1)
+    left = {f: n for f, n in kept().items() if f not in before}
+    assert sum(left.values()) < 5_000, left
+
+
 def test_ranges_are_matched_without_all_their_pairs(spark, monkeypatch):
     """Bands of rising cost, the first pair and the ends, against all admissible pairs: with copies, and rows that have no partner."""
     rnd = random.Random(12)
