@@ -587,6 +587,19 @@ def test_similar_pairs_leave_no_sets_on_disk(spark):
     assert sum(left.values()) < 5_000, left
 
 
+def test_sides_of_a_range_join_travel_few_times(spark):
+    """All pairs, also those at the bounds themselves, though a left row goes to less than three cells."""
+    rnd = random.Random(21)
+    for days, ratio in ((1.0, 1.05), (0.25, 1.2), (0.0, 1.05), (2.0, 1.0)):
+        made = lambda n, o: [(o + i, rnd.choice([rnd.randint(-6, 30) * 1.0, rnd.uniform(-6, 30)]), rnd.choice([1000.0 * ratio ** rnd.randint(-20, 20), rnd.uniform(900, 9000)])) for i in range(n)]  # noqa: B023, E731
+        left, right = made(300, 0), made(300, 1000)
+        a, b = [spark.createDataFrame(r, "id long, day double, size double") for r in (left, right)]
+        want = {(x[0], y[0]) for x in left for y in right if abs(x[1] - y[1]) <= days and max(x[2], y[2]) / min(x[2], y[2]) <= ratio}
+        got = [(r.left, r.right) for r in matching.range_edges(a, b, days, ratio).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert matching.dealt(a, b, days, ratio)[0].count() < 3 * 300
+
+
 def test_ranges_are_matched_without_all_their_pairs(spark, monkeypatch):
     """Bands of rising cost, the first pair and the ends, against all admissible pairs: with copies, and rows that have no partner."""
     rnd = random.Random(12)
